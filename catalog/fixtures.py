@@ -111,13 +111,15 @@ def points(spark, sf_dir, name: str) -> DataFrame:
     return prepare(spark).read.schema("tid int, ts timestamp, value float").parquet(path)
 
 
-def store(spark, sf_dir, name: str, eps: float = 0.0, **options) -> DataFrame:
-    """Segments of a point table, compressed once per session into a partitioned store."""
+def path_of(spark, sf_dir, name: str, eps=0.0, **options) -> str:
+    """Folder of the segments of a point table, compressed once per session and partitioned by time."""
     def build(path):
         write_segments(compress(points(spark, sf_dir, name), eps, si_ms=SI[name], **options), path, PERIOD[name])
-    label = f"segments-{name}"
-    path = once(spark, (sf_dir, name, eps, repr(sorted(options.items(), key=str))), label, build)
-    return read_segments(prepare(spark), path, period=PERIOD[name])
+    return once(spark, (sf_dir, name, eps, repr(sorted(options.items(), key=str))), f"segments-{name}", build)
+
+
+def store(spark, sf_dir, name: str, eps=0.0, **options) -> DataFrame:
+    return read_segments(prepare(spark), path_of(spark, sf_dir, name, eps, **options), period=PERIOD[name])
 
 
 _SEQ = """SELECT CAST(l_suppkey AS INT) tid, TIMESTAMP '2024-01-01' + (row_number() OVER (PARTITION BY l_suppkey

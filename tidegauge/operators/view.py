@@ -87,8 +87,8 @@ def clip(segments: DataFrame, ts_from=None, ts_to=None) -> DataFrame:
 
 
 def points(groups: DataFrame, series: DataFrame | None = None, tids: Iterable[int] | None = None,
-           ts_from=None, ts_to=None, models: tuple = ()) -> DataFrame:
-    """(tid, ts, value [, other columns of `series`]) represented by segment groups.
+           ts_from=None, ts_to=None, models: tuple = (), keep: Iterable[str] = ()) -> DataFrame:
+    """(keep, tid, ts, value [, other columns of `series`]) represented by segment groups.
 
     Only ticks in [ts_from, ts_to] of the wanted series are generated. Values are decoded once per
     group. With `series` the values are divided by `scaling` and its columns are joined.
@@ -105,8 +105,9 @@ def points(groups: DataFrame, series: DataFrame | None = None, tids: Iterable[in
     offset = tick * F.col("si_ms")
     value = F.coalesce(F.element_at("vals", (F.col("slot") + 1).cast("int")),
                        (F.col("b") + F.col("a") * offset).cast("float"))
-    out = (g.select(origin, "si_ms", "width", "tids", "vals", "a", "b", F.explode(slots).alias("slot"))
-           .select(F.element_at("tids", (F.col("slot") % F.col("width") + 1).cast("int")).alias("tid"),
+    kept = list(keep)
+    out = (g.select(*kept, origin, "si_ms", "width", "tids", "vals", "a", "b", F.explode(slots).alias("slot"))
+           .select(*kept, F.element_at("tids", (F.col("slot") % F.col("width") + 1).cast("int")).alias("tid"),
                    F.timestamp_millis(F.col(origin) + offset).alias("ts"), value.alias("value")))
     if wanted is not None:
         out = out.where(F.array_contains(wanted, F.col("tid")))
@@ -114,7 +115,7 @@ def points(groups: DataFrame, series: DataFrame | None = None, tids: Iterable[in
         return out
     extra = [c for c in series.columns if c not in ("tid", "scaling")]
     return (out.join(series, "tid")
-            .select("tid", "ts", (F.col("value") / F.col("scaling")).cast("float").alias("value"), *extra))
+            .select(*kept, "tid", "ts", (F.col("value") / F.col("scaling")).cast("float").alias("value"), *extra))
 
 
 def points_by_member(groups: DataFrame, series: DataFrame, condition: Column, **options) -> DataFrame:

@@ -42,7 +42,7 @@ def load_dimensions(spark: SparkSession, path: str, max_definitions: int = 1000)
     definitions = head[:head.index("")]
     hierarchy, columns = parse_definitions(definitions)
     rows = text.where((F.trim("value") != "") & ~F.trim("value").isin(definitions))
-    parts = F.transform(F.split("value", ","), F.trim)
+    parts = F.transform(F.split("value", ","), lambda p: F.trim(p))
     width = len(columns) + 1
     checked = F.when(F.size(parts) == width, parts).otherwise(
         F.raise_error(F.concat(F.lit("each source must include members for all dimensions: "), F.col("value"))))
