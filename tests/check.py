@@ -47,21 +47,21 @@ def rows_of(columns, rows):
 
 
 def compare(spark, con, name, sf_dir):
-    """None when equal, else a description of the difference."""
+    """Number of rows, and None when equal, else a description of the difference."""
     df = entry.queries()[name](spark, sf_dir)
     got = rows_of(df.columns, df.collect())
     text = entry.oracle_sql().get(name)
     if text is None:
-        return None if got else "no rows"
+        return len(got), None if got else "no rows"
     result = con.execute(text)
     columns = [d[0] for d in result.description]
     want = rows_of(columns, result.fetchall())
     if sorted(columns) != sorted(df.columns):
-        return f"columns {sorted(df.columns)} != {sorted(columns)}"
+        return len(got), f"columns {sorted(df.columns)} != {sorted(columns)}"
     if len(got) != len(want):
-        return f"{len(got)} rows != {len(want)}: {got[:2]} / {want[:2]}"
+        return len(got), f"{len(got)} rows != {len(want)}: {got[:2]} / {want[:2]}"
     bad = [(g, w) for g, w in zip(got, want) if g != w or [type(x) for x in g] != [type(x) for x in w]]
-    return f"{len(bad)} of {len(got)} rows differ, e.g. {bad[:2]}" if bad else None
+    return len(got), f"{len(bad)} of {len(got)} rows differ, e.g. {bad[:2]}" if bad else None
 
 
 def main():
@@ -71,12 +71,13 @@ def main():
     for name in names:
         start = time.time()
         try:
-            problem = compare(spark, con, name, sf_dir)
+            n, problem = compare(spark, con, name, sf_dir)
         except Exception as e:
-            problem = f"{type(e).__name__}: {str(e)[:1500]}"
+            n, problem = 0, f"{type(e).__name__}: {str(e)[:1500]}"
         failed += problem is not None
         kind = "sql " if name in entry.oracle_sql() else "rows"
-        print(f"{'FAIL' if problem else 'ok  '} {kind} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)
+        state = "FAIL" if problem else "ok  "
+        print(f"{state} {kind} {name} {n} rows {time.time() - start:.1f}s {problem or ''}", flush=True)
     print(f"{len(names) - failed} of {len(names)} ok")
 
 

@@ -116,7 +116,7 @@ def _scale(d: DataFrame, clause: Clause, hierarchy: Hierarchy) -> DataFrame:
         scaling = F.when(F.col(hierarchy.column(dimension, level)) == member, F.lit(float(factor))).otherwise(scaling)
     touched = d.groupBy("__g").agg((F.min("__was") != F.max("__was")).alias("__merged"))
     return (d.join(touched, "__g")
-            .withColumn("scaling", F.when("__merged", scaling).otherwise(F.col("scaling")).cast("float"))
+            .withColumn("scaling", F.when(F.col("__merged"), scaling).otherwise(F.col("scaling")).cast("float"))
             .drop("__was", "__merged"))
 
 

@@ -81,7 +81,9 @@ class Segmenter(StatefulProcessor):
         kept = ~ready if keep_from is None else ms >= keep_from
         if kept.any():
             self.state.update((ms[kept].tolist(), tid[kept].tolist(), value[kept].tolist(), si_ms, size, chunk_end, shown))
-            self.handle.registerTimer(max(int(watermark) + 1, min(int(ms.max()) + 2 * si_ms, chunk_end)))
+            # next: the first tick still in the future, or the proof that none follows the last one
+            due = int(ms[~ready].min()) + si_ms if not ready.all() else min(int(ms.max()) + 2 * si_ms, chunk_end)
+            self.handle.registerTimer(max(int(watermark) + 1, due))
         else:
             self.state.clear()
         for rows, is_final in ((final, True), (temporary, False)):
