@@ -2,7 +2,9 @@
 
 `fit(values, si_ms, eps)` gets a float32 matrix (ticks x members) and returns a `Fit`. `eps` is a
 percentage of each real value. A user-defined model type is any object with `mtid`, `fit` and
-`decode(payload, count)`; pass it to `compress(models=...)` and to the reading functions.
+`decode(payload, count)`; pass it to `compress(models=...)` and to the reading functions. A model
+type may also have `quick(values, si_ms, eps)`: computed once per run, it returns the fit of a start
+tick where the shortest possible one is already known to be the longest, else None.
 """
 
 from typing import NamedTuple
@@ -21,6 +23,7 @@ class Fit(NamedTuple):
     payload: bytes | None = None
 
 
+_QUICK_TICKS = 32  # shorter runs do not repay the preparation
 NO_FIT = Fit(0, float("nan"))
 
 
@@ -31,6 +34,11 @@ def percentage_error(approx: np.ndarray, real: np.ndarray) -> np.ndarray:
     return np.where(approx == real, 0.0, err)
 
 
+def _outside(approx: np.ndarray, real: np.ndarray, eps: float) -> np.ndarray:
+    """percentage_error > eps; 0/0 is NaN and so inside. Division warnings are off in segment_run."""
+    return np.abs((real - approx) / real) * 100.0 > eps
+
+
 def _blocks(n: int, first: int = 64):
     """Growing blocks, so that a short fit does not scan a long run."""
     at = 0
@@ -46,14 +54,14 @@ class Constant:
 
     def fit(self, values, si_ms, eps):
         n, width = values.shape
-        total, low, high, mean, length = 0.0, np.float32(np.inf), np.float32(-np.inf), None, 0
+        total, low, high, mean, length = 0.0, np.inf, -np.inf, None, 0
         for at, end in _blocks(n):
-            part = values[at:end]
-            sums = np.cumsum(np.concatenate(([total], part.ravel().astype(np.float64))))[width::width]
+            part = values[at:end].astype(np.float64)
+            sums = np.cumsum(np.concatenate(([total], part.ravel())))[width::width]
             lows = np.minimum(np.minimum.accumulate(part.min(axis=1)), low)
             highs = np.maximum(np.maximum.accumulate(part.max(axis=1)), high)
             means = (sums / (np.arange(at + 1, end + 1) * width)).astype(np.float32)
-            bad = (percentage_error(means, lows) > eps) | (percentage_error(means, highs) > eps)
+            bad = _outside(means, lows, eps) | _outside(means, highs, eps)
             kept = int(bad.argmax()) if bad.any() else end - at
             if kept:
                 mean, length = means[kept - 1], at + kept
@@ -62,6 +70,12 @@ class Constant:
             total, low, high = sums[-1], lows[-1], highs[-1]
         return Fit(length, 4.0, 0.0, float(mean)) if length else NO_FIT
 
+    def quick(self, values, si_ms, eps):
+        x = values[:, 0].astype(np.float64)
+        means = ((x[:-1] + x[1:]) / 2).astype(np.float32).astype(np.float64)
+        alone = _outside(means, x[:-1], eps) | _outside(means, x[1:], eps)
+        return lambda at: Fit(1, 4.0, 0.0, float(x[at])) if at < len(alone) and alone[at] else None
+
 
 class Linear:
     """Swing filter (Elmeleegy et al., VLDB 2009): a line from the first tick between two bounds."""
@@ -72,7 +86,7 @@ class Linear:
         n, width = values.shape
         first = values[0].astype(np.float64)
         start = float(np.float32(first.sum() / width))
-        if (percentage_error(start, first) > eps).any():
+        if width > 1 and _outside(start, first, eps).any():
             return NO_FIT
         upper, lower, length, slope = np.inf, -np.inf, 1, 0.0
         for at, end in _blocks(n - 1):
@@ -93,9 +107,20 @@ class Linear:
             return Fit(length, float("nan"))
         slope = (upper + lower) / 2.0
         approx = (start + slope * (np.arange(length, dtype=np.float64) * si_ms)).astype(np.float32)
-        if (percentage_error(approx[:, None], values[:length]) > eps).any():
+        if _outside(approx[:, None].astype(np.float64), values[:length], eps).any():
             return Fit(length, float("nan"))
-        return Fit(length, 8.0 if float(np.float32(slope)) == slope else 16.0, slope, start)
+        return Fit(length, 8.0 if float(np.float32(slope)) == slope else 16.0, float(slope), start)
+
+    def quick(self, values, si_ms, eps):
+        x = values[:, 0].astype(np.float64)
+        slack = np.abs(x * (eps / 100.1))
+        first, second, third = x[:-2], x[1:-1], x[2:]
+        upper, lower = ((second + s - first) / si_ms for s in (slack[1:-1], -slack[1:-1]))
+        pair = (third - slack[2:] > first + upper * (2.0 * si_ms)) | (third + slack[2:] < first + lower * (2.0 * si_ms))
+        slope = (upper + lower) / 2.0
+        lost = _outside((first + slope * si_ms).astype(np.float32).astype(np.float64), second, eps)
+        size = np.where(lost, np.nan, np.where(slope.astype(np.float32) == slope, 8.0, 16.0))
+        return lambda at: (Fit(2, float(size[at]), float(slope[at]), float(x[at])) if at < len(pair) and pair[at] else None)
 
 
 class Xor:
@@ -117,6 +142,7 @@ def compression_ratio(length: int, size: float, n_gaps: int) -> np.float32:
     return np.float32(raw * length) / np.float32(meta + size + gap * n_gaps)
 
 
+@np.errstate(divide="ignore", invalid="ignore")
 def segment_run(values, si_ms, eps, models, length_bound, n_gaps=0, flush=True):
     """Greedy segments (start, mtid, Fit) of one gap-free run, and the tick where they end.
 
@@ -124,11 +150,14 @@ def segment_run(values, si_ms, eps, models, length_bound, n_gaps=0, flush=True):
     `flush` a segment is only final once every model has failed inside the run.
     """
     out, at = [], 0
+    quick = [None] * len(models)
+    if values.shape[1] == 1 and len(values) >= _QUICK_TICKS:
+        quick = [m.quick(values, si_ms, eps) if hasattr(m, "quick") else None for m in models]
     while at < len(values):
         rest = values[at:]
         best, best_ratio, needed = None, None, 0
-        for model in models:
-            fit = model.fit(rest, si_ms, eps)
+        for model, known in zip(models, quick):
+            fit = (known and known(at)) or model.fit(rest, si_ms, eps)
             needed = max(needed + 1, fit.length + 1)
             if fit.length == 0 or np.isnan(fit.size):
                 continue

@@ -7,22 +7,29 @@ when they fit the last stored window, else `11` + 5-bit leading zeros + 6-bit le
 import numpy as np
 
 
+_FLUSH_BITS = 4096  # shifting one growing integer over a whole payload would be quadratic
+
+
 def encode(values: np.ndarray) -> bytes:
     bits = np.ascontiguousarray(values, dtype=np.float32).view(np.uint32)
-    out = [format(int(bits[0]), "032b")]
-    window = None
+    done, acc, size = [], int(bits[0]), 32
+    kept_lead, kept_trail = 33, 0
     for x in (bits[1:] ^ bits[:-1]).tolist():
         if x == 0:
-            out.append("0")
-            continue
-        lead, trail = 32 - x.bit_length(), (x & -x).bit_length() - 1
-        if window and lead >= window[0] and trail >= window[1]:
-            out.append("10" + format(x >> window[1], f"0{32 - window[0] - window[1]}b"))
+            acc, size = acc << 1, size + 1
         else:
-            window = (lead, trail)
-            n = 32 - lead - trail
-            out.append(f"11{lead:05b}{n:06b}{x >> trail:0{n}b}")
-    joined = "".join(out)
+            lead, trail = 32 - x.bit_length(), (x & -x).bit_length() - 1
+            if lead >= kept_lead and trail >= kept_trail:
+                n = 32 - kept_lead - kept_trail
+                acc, size = acc << n + 2 | 0b10 << n | x >> kept_trail, size + n + 2
+            else:
+                kept_lead, kept_trail, n = lead, trail, 32 - lead - trail
+                acc, size = acc << n + 13 | (0b11 << 11 | lead << 6 | n) << n | x >> trail, size + n + 13
+        if size > _FLUSH_BITS:
+            done.append(format(acc, f"0{size}b"))
+            acc, size = 0, 0
+    done.append(format(acc, f"0{size}b") if size else "")
+    joined = "".join(done)
     joined += "0" * (-len(joined) % 8)
     return int(joined, 2).to_bytes(len(joined) // 8, "big")
 
