@@ -142,13 +142,17 @@ def compression_ratio(length: int, size: float, n_gaps: int) -> np.float32:
     return np.float32(raw * length) / np.float32(meta + size + gap * n_gaps)
 
 
-@np.errstate(divide="ignore", invalid="ignore")
 def segment_run(values, si_ms, eps, models, length_bound, n_gaps=0, flush=True):
     """Greedy segments (start, mtid, Fit) of one gap-free run, and the tick where they end.
 
     The model with the best ratio wins, later models win ties, unusable ones are skipped. Without
     `flush` a segment is only final once every model has failed inside the run.
     """
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return _greedy(values, si_ms, eps, models, length_bound, n_gaps, flush)
+
+
+def _greedy(values, si_ms, eps, models, length_bound, n_gaps, flush):
     out, at = [], 0
     quick = [None] * len(models)
     if values.shape[1] == 1 and len(values) >= _QUICK_TICKS:
