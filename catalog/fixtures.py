@@ -43,7 +43,8 @@ def pts_cnt(spark, sf_dir) -> DataFrame:
     hourly = regularize(events(spark, sf_dir), "event_type", "hour", "count")
     series = series_ev(spark, sf_dir)
     points = hourly.join(series.select("tid", F.col("source").alias("event_type")), "event_type").select("tid", "ts", "value")
-    grid = align_grid(points, series.withColumn("gid", F.lit(1)))
+    together = series.withColumn("gid", F.when(F.col("source").isNotNull(), 1))
+    grid = align_grid(points, together)
     return grid.select("tid", "ts", F.coalesce("value", F.lit(0.0)).cast("float").alias("value"))
 
 

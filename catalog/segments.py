@@ -211,14 +211,19 @@ def _filter(name, condition, table="pts_seq"):
     return add(name, sql(table, body=f"SELECT tid, ts, {V} AS value FROM {table} WHERE {condition}"))
 
 
+def _of_tids(spark, sf_dir, tids):
+    gids = view.gids_of(fx.series_seq(spark, sf_dir), tids)
+    return _plain(view.points(fx.store(spark, sf_dir, "pts_seq"), tids=tids, gids=gids))
+
+
 @_filter("filter_tid_eq", "tid = 7")
 def filter_tid_eq(spark, sf_dir):
-    return _plain(view.points(fx.store(spark, sf_dir, "pts_seq"), tids=[7]))
+    return _of_tids(spark, sf_dir, [7])
 
 
 @_filter("filter_tid_in", "tid IN (1, 3, 8)")
 def filter_tid_in(spark, sf_dir):
-    return _plain(view.points(fx.store(spark, sf_dir, "pts_seq"), tids=[1, 3, 8]))
+    return _of_tids(spark, sf_dir, [1, 3, 8])
 
 
 def _by_series(spark, sf_dir, condition):
@@ -233,7 +238,7 @@ def filter_tid_range(spark, sf_dir):
 
 @_filter("filter_tid_missing", "tid = 123456789")
 def filter_tid_missing(spark, sf_dir):
-    return _plain(view.points(fx.store(spark, sf_dir, "pts_seq"), tids=[123456789]))
+    return _of_tids(spark, sf_dir, [123456789])
 
 
 @_filter("filter_ts_range", "ts > TIMESTAMP '2024-01-01 00:03:00' AND ts <= TIMESTAMP '2024-01-01 00:10:01'")

@@ -74,19 +74,18 @@ def stream_compress(spark, sf_dir):
 
 
 # a tick is used once the watermark of the second stream, its latest hour, has passed its end
-SEEN = CLOSED + " AND ts + INTERVAL 1 HOUR <= (SELECT date_trunc('hour', max(ts) - INTERVAL 2 HOUR) - INTERVAL 1 HOUR FROM events)"
+SEEN = dict(emitted=CLOSED, closed="SELECT * FROM emitted WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM emitted)")
 
 
-@add("stream_latency", sql("pts_ev", closed=SEEN, body="SELECT tid, true provisional, CAST(0 AS BIGINT) n_violations FROM closed GROUP BY tid"))
+@add("stream_latency", sql("pts_ev", **SEEN, body="SELECT tid, CAST(0 AS BIGINT) n_extra, CAST(0 AS BIGINT) n_violations FROM closed GROUP BY tid"))
 def stream_latency(spark, sf_dir):
-    """Provisional segments exist for every series and keep to the bound."""
+    """Provisional segments show only points there are, within the bound."""
     points = spark.read.schema(POINTS_DDL).parquet(regular(spark, sf_dir))
     temporary = segmented(spark, sf_dir, 1).where("NOT is_final").drop("is_final", "batch")
-    d = points.withColumnRenamed("value", "real").join(view.points(temporary).withColumnRenamed("value", "approx"), ["tid", "ts"])
-    return d.groupBy("tid").agg((F.count(F.lit(1)) > 0).alias("provisional"), F.count_if(quality.error() > EPS).alias("n_violations"))
+    return quality.alignment_counts(quality.align(points, view.points(temporary)), EPS).select("tid", "n_extra", "n_violations")
 
 
-@add("online_view", sql("pts_ev", closed=SEEN, body=INVARIANTS))
+@add("online_view", sql("pts_ev", **SEEN, body=INVARIANTS))
 def online_view(spark, sf_dir):
     """Finalized and provisional segments together show every tick so far, once."""
     shown = view.points(online.online_view(segmented(spark, sf_dir, 1)))

@@ -37,13 +37,12 @@ def align_grid(points: DataFrame, series: DataFrame, grid_ticks: int = 4096) ->
     spans = (points.groupBy("tid").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).join(meta, "tid")
              .groupBy("gid", "si_ms").agg(F.unix_millis(F.min("lo")).alias("lo"), F.unix_millis(F.max("hi")).alias("hi")))
     last = F.floor((F.col("hi") - F.col("lo")) / F.col("si_ms"))
-    blocks = spans.withColumn("last", last).select(
-        "gid", "si_ms", "lo", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / grid_ticks))).alias("block"))
+    blocks = (meta.select("gid", "tid").join(spans.withColumn("last", last), "gid")
+              .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / grid_ticks))).alias("block")))
     first = F.col("block") * grid_ticks
-    ticks = blocks.repartition("gid", "block").select(
-        "gid", F.explode(F.sequence(first, F.least(F.col("last"), first + grid_ticks - 1))).alias("i"), "lo", "si_ms")
-    grid = (ticks.select("gid", F.timestamp_millis(F.col("lo") + F.col("i") * F.col("si_ms")).alias("ts"))
-            .join(meta.select("gid", "tid"), "gid"))
+    grid = (blocks.repartition("tid", "block")
+            .select("gid", "tid", "lo", "si_ms", F.explode(F.sequence(first, F.least(F.col("last"), first + grid_ticks - 1))).alias("i"))
+            .select("gid", "tid", F.timestamp_millis(F.col("lo") + F.col("i") * F.col("si_ms")).alias("ts")))
     return grid.join(points, ["tid", "ts"], "left").select("gid", "tid", "ts", "value")
 
 

@@ -87,12 +87,16 @@ def clip(segments: DataFrame, ts_from=None, ts_to=None) -> DataFrame:
 
 
 def points(groups: DataFrame, series: DataFrame | None = None, tids: Iterable[int] | None = None,
-           ts_from=None, ts_to=None, models: tuple = (), keep: Iterable[str] = ()) -> DataFrame:
+           ts_from=None, ts_to=None, models: tuple = (), keep: Iterable[str] = (),
+           gids: Iterable[int] | None = None) -> DataFrame:
     """(keep, tid, ts, value [, other columns of `series`]) represented by segment groups.
 
     Only ticks in [ts_from, ts_to] of the wanted series are generated. Values are decoded once per
-    group. With `series` the values are divided by `scaling` and its columns are joined.
+    group. With `series` the values are divided by `scaling` and its columns are joined. `gids`,
+    see gids_of, lets the scan skip the files of other groups.
     """
+    if gids is not None:
+        groups = groups.where(F.col("gid").isin([int(g) for g in gids]))
     wanted = None if tids is None else F.array(*[F.lit(int(t)) for t in tids]).cast("array<int>")
     g = groups if wanted is None else groups.where(F.arrays_overlap("tids", wanted))
     origin = "__origin"
@@ -118,6 +122,11 @@ def points(groups: DataFrame, series: DataFrame | None = None, tids: Iterable[in
             .select(*kept, "tid", "ts", (F.col("value") / F.col("scaling")).cast("float").alias("value"), *extra))
 
 
+def gids_of(series: DataFrame, tids: Iterable[int]) -> list[int]:
+    """The groups of the listed series, at most one per listed id; none for unknown ids."""
+    return [r.gid for r in series.where(F.col("tid").isin([int(t) for t in tids])).select("gid").distinct().collect()]
+
+
 def points_by_member(groups: DataFrame, series: DataFrame, condition: Column, **options) -> DataFrame:
     """Points of the series whose metadata meets `condition`: segments are pruned by gid first."""
     chosen = series.where(condition)
