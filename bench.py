@@ -37,6 +37,7 @@ def main() -> None:
     table = "pts_seq"
     points = fx.points(spark, sf_dir, table)
     n = points.count()
+    fx.points(spark, sf_dir, "pts_smooth").count()
     # one small compressed table starts the Python workers
     rows(fx.store(spark, sf_dir, "pts_ev"))
     timed("compress", lambda: fx.path_of(spark, sf_dir, table, 0.0))

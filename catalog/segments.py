@@ -458,6 +458,20 @@ def group_agg_s(spark, sf_dir):
     return _rounded(aggregate.agg_segments(view.members(group_store(spark, sf_dir, 0.0)), ["tid"]), "tid")
 
 
+@add("sql_views", sql("pts_ev", "series_ev", body=f"""SELECT source, count(*) n, round(max({V} / scaling) FILTER (WHERE value / scaling > 0), 4) high,
+ round(sum({V} / scaling), 3) total, count(*) n_s, round(sum({V} / scaling), 3) total_s, round(min({V} / scaling), 4) low_s
+ FROM pts_ev JOIN series_ev USING (tid) GROUP BY source"""))
+def sql_views(spark, sf_dir):
+    """SQL over both views: the point route and the segment route side by side."""
+    view.register_views(fx.store(spark, sf_dir, "pts_ev"), fx.series_ev(spark, sf_dir))
+    return spark.sql("""
+        SELECT source, n, high, total, n_s, total_s, low_s
+        FROM (SELECT source, count(*) n, round(max(CASE WHEN value > 0 THEN cast(value AS double) END), 4) high,
+                     round(sum(cast(value AS double)), 3) total FROM datapoint GROUP BY source)
+        JOIN (SELECT source, sum(n_ticks) n_s, round(sum(vsum), 3) total_s, round(min(vmin), 4) low_s FROM segment GROUP BY source)
+        USING (source)""")
+
+
 # ---- calendar ----
 
 UNIT_SQL = {

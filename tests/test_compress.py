@@ -137,3 +137,14 @@ def test_sizes(points, series):
     assert sizes.expected_size == sizes.models_size + sizes.metadata_size + sizes.gaps_size
     payload = g.where(F.col("mtid").isin(schema.XOR, schema.RAW)).agg(F.sum(F.length("payload"))).first()[0]
     assert payload == g.where(F.col("mtid").isin(schema.XOR, schema.RAW)).agg(F.sum("model_bytes")).first()[0]
+
+
+def test_wide_groups_are_stored_in_parts(spark, monkeypatch):
+    from tidegauge.operators import compress as module
+    monkeypatch.setattr(module, "GROUP_WIDTH", 8)
+    d = spark.range(20 * 100).select((F.col("id") % 20 + 1).cast("int").alias("tid"),
+                                     F.timestamp_millis(F.floor(F.col("id") / 20) * 1000).alias("ts"),
+                                     F.floor(F.col("id") / 20).cast("float").alias("value"))
+    one = spark.range(1, 21).select(F.col("id").cast("int").alias("tid"), F.lit(1).alias("gid"), F.lit(1000).alias("si_ms"))
+    g = compress_groups(d, one, eps=1.0).cache()
+    assert g.select("part", F.size("tids").alias("w")).distinct().count() == 3 and violations(d, g, 1.0) == 0

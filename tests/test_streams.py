@@ -68,7 +68,7 @@ def test_provisional_segments_cover_what_is_open(spark, points, tmp_path):
 def test_new_provisional_segments_replace_old_ones(spark):
     def row(batch, first, ticks, final, payload=None):
         start = datetime(2024, 1, 1, 0, first)
-        return (0.0, 1, 0, start, datetime(2024, 1, 1, 0, first + ticks - 1), 60_000, ticks, 2, 0.0, 1.0, payload, [1], 0, None, None, None, 4, final, batch)
+        return (0.0, 1, 0, 0, start, datetime(2024, 1, 1, 0, first + ticks - 1), 60_000, ticks, 2, 0.0, 1.0, payload, [1], 0, None, None, None, 4, final, batch)
     ddl = ", ".join(f"{n} {t}" for n, t in ((f.name, f.dataType.simpleString()) for f in online.OUTPUT.fields)) + ", batch int"
     rows = [row(1, 0, 5, False), row(2, 0, 8, False), row(3, 0, 6, True)]
     d = spark.createDataFrame(rows, ddl)

@@ -27,3 +27,10 @@ def calendar_key(unit: str, ts: Column) -> Column:
     if unit not in fields:
         raise ValueError(f"unknown calendar unit {unit!r}")
     return fields[unit]().cast("int")
+
+
+def calendar_unit(unit: str, ts: Column) -> Column:
+    """Start of the unit that `ts` falls into."""
+    if UNIT_MS[unit] is None:
+        return F.date_trunc(unit, ts)
+    return F.floor(F.unix_millis(ts) / UNIT_MS[unit])

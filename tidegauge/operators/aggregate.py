@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge import schema
-from tidegauge.functions.calendar import UNIT_MS, calendar_key
+from tidegauge.functions.calendar import UNIT_MS, calendar_key, calendar_unit
 from tidegauge.operators.view import values_of
 from tidegauge.plans.quantile import exact_median
 
@@ -32,11 +32,18 @@ def median_exact(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return exact_median(points, keys, "value")
 
 
+def decoded(segments: DataFrame, cut: Column, models: tuple = ()) -> DataFrame:
+    """Add the stored values of the segments where `cut` holds and no closed form exists."""
+    needed = cut & ~F.col("mtid").isin(*schema.CLOSED_FORM)
+    return segments.withColumn("vals", values_of(F.col("mtid"), F.when(needed, F.col("payload")),
+                                                 F.col("n_stored") * F.col("width"), models))
+
+
 def with_stats(segments: DataFrame, clipped: bool = False, models: tuple = ()) -> DataFrame:
     """Set vmin, vmax and vsum of member segments, in the stored scale.
 
     Closed-form models and whole segments need only expressions. With `clipped`, the other
-    segments that lost ticks are decoded, and only those.
+    segments that lost ticks are decoded (unless they carry `vals` already), and only those.
     """
     n, si, skip = F.col("n_ticks"), F.col("si_ms"), F.col("skip")
     first = F.col("b") + F.col("a") * (skip * si)
@@ -48,17 +55,16 @@ def with_stats(segments: DataFrame, clipped: bool = False, models: tuple = ()) -
     if not clipped:
         return segments.withColumns({"vmin": low.otherwise(F.col("vmin")), "vmax": high.otherwise(F.col("vmax")),
                                      "vsum": total.otherwise(F.col("vsum"))})
-    cut = ~closed & (n < F.col("n_stored"))
-    d = segments.withColumn("__vals", values_of(F.col("mtid"), F.when(cut, F.col("payload")),
-                                                F.col("n_stored") * F.col("width"), models))
+    cut = n < F.col("n_stored")
+    d = segments if "vals" in segments.columns else decoded(segments, cut, models)
     picked = F.transform(F.sequence(skip, skip + n - 1),
-                         lambda i: F.element_at("__vals", i * F.col("width") + F.col("pos") + 1))
-    d = d.withColumn("__piece", F.when(F.col("width") == 1, F.slice("__vals", skip + 1, n)).otherwise(picked))
-    sums = F.aggregate("__piece", F.lit(0.0), lambda acc, x: acc + x)
-    return (d.withColumns({"vmin": low.when(cut, F.array_min("__piece")).otherwise(F.col("vmin")),
-                           "vmax": high.when(cut, F.array_max("__piece")).otherwise(F.col("vmax")),
+                         lambda i: F.element_at("vals", i * F.col("width") + F.col("pos") + 1))
+    piece = F.when(F.col("width") == 1, F.slice("vals", skip + 1, n)).otherwise(picked)
+    sums = F.aggregate(piece, F.lit(0.0), lambda acc, x: acc + x)
+    return (d.withColumns({"vmin": low.when(cut, F.array_min(piece)).otherwise(F.col("vmin")),
+                           "vmax": high.when(cut, F.array_max(piece)).otherwise(F.col("vmax")),
                            "vsum": total.when(cut, sums).otherwise(F.col("vsum"))})
-            .drop("__vals", "__piece"))
+            .drop("vals"))
 
 
 def aggregate_columns(aggs: Sequence[str], scaling: Column | None = None, suffix: str = "") -> list[Column]:
@@ -119,9 +125,13 @@ def calendar_agg(segments: DataFrame, agg: str, unit: str, keys: Sequence[str] =
     """COUNT, MIN, MAX, SUM or AVG of segments per calendar field, as rows or as one map per key."""
     if agg not in AGGREGATES:
         raise ValueError(f"unknown aggregate {agg!r}")
+    if agg != "count":
+        # decode before cutting: once per segment, however many pieces it gives
+        several = calendar_unit(unit, F.col("start_time")) != calendar_unit(unit, F.col("end_time"))
+        segments = decoded(segments, several | (F.col("n_ticks") < F.col("n_stored")), models)
     pieces = calendar_pieces(segments, unit)
     if agg != "count":
-        pieces = with_stats(pieces, clipped=True, models=models)
+        pieces = with_stats(pieces, clipped=True)
     rows = pieces.groupBy(*keys, "field").agg(*aggregate_columns([agg], scaling))
     if not as_map:
         return rows

@@ -1,4 +1,4 @@
-"""Compression: points -> segments, one Spark group per (error bound, group, chunk of time).
+"""Compression: points -> segments, one Spark group per (group of series, chunk of time).
 
 Greedy segmentation is sequential, so the time line is cut into chunks of a bounded number of
 points: a hot series or a wide group becomes many small tasks. A chunk edge costs at most one
@@ -14,9 +14,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidegauge import schema
 from tidegauge.functions.models import Constant, Linear, Xor, correlated_members, segment_run
+from tidegauge.plans.ordered import positions
 
 CHUNK_TICKS = 4096
 LENGTH_BOUND = 50
+GROUP_WIDTH = 1024
 
 
 def default_models(length_bound: int = LENGTH_BOUND) -> tuple:
@@ -36,15 +38,21 @@ def check_options(eps: Iterable[float], length_bound: int, chunk_ticks: int | No
 
 
 def with_group(points: DataFrame, series: DataFrame | None, si_ms: int | None) -> DataFrame:
-    """Add gid, si_ms and group_size; without `series` each series is its own group."""
+    """Add gid, part, si_ms and group_size; without `series` each series is its own group.
+
+    A group of more than GROUP_WIDTH members is stored in parts of that many, so that the width of
+    a group cannot grow the work of a task; group_size counts the members of the part.
+    """
     if series is None:
         if si_ms is None:
             raise ValueError("pass si_ms or a series table")
-        return points.withColumns({"gid": F.col("tid"), "si_ms": F.lit(si_ms).cast("long"),
+        return points.withColumns({"gid": F.col("tid"), "part": F.lit(0), "si_ms": F.lit(si_ms).cast("long"),
                                    "group_size": F.lit(1)})
-    sizes = series.groupBy("gid").agg(F.count(F.lit(1)).cast("int").alias("group_size"))
-    meta = series.select("tid", "gid", F.col("si_ms").cast("long").alias("si_ms")).join(sizes, "gid")
-    return points.join(meta, "tid")
+    meta = series.select("tid", "gid", F.col("si_ms").cast("long").alias("si_ms"))
+    placed = positions(meta, ["gid"], ["tid"], F.floor(F.col("tid") / 65_536))
+    parts = placed.select("tid", "gid", "si_ms", F.floor((F.col("rn") - 1) / GROUP_WIDTH).cast("int").alias("part"))
+    sizes = parts.groupBy("gid", "part").agg(F.count(F.lit(1)).cast("int").alias("group_size"))
+    return points.join(parts.join(sizes, ["gid", "part"]), "tid")
 
 
 def chunk_ms(si_ms: Column, group_size: Column, chunk_ticks: int) -> Column:
@@ -74,18 +82,17 @@ def compress(points: DataFrame, eps: float | Iterable[float] = 0.0, si_ms: int |
     models = models or default_models(length_bound)
     d = with_group(points, series, si_ms)
     keyed = d.select(
-        "gid", chunk_of(F.col("ts"), F.col("si_ms"), F.col("group_size"), chunk_ticks).alias("chunk"),
-        F.unix_millis("ts").alias("ms"), "tid", F.col("value").cast("float").alias("value"),
-        "si_ms", "group_size")
-    keyed = keyed.select("*", F.explode(F.array(*map(F.lit, bounds))).alias("eps"))
+        "gid", "part", chunk_of(F.col("ts"), F.col("si_ms"), F.col("group_size"), chunk_ticks).alias("chunk"),
+        F.unix_millis("ts").alias("ms"), "tid", F.col("value").cast("float").alias("value"), "si_ms", "group_size")
     arrow_schema = to_arrow_schema(schema.SEGMENT_GROUPS)
 
     def fit_chunk(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        bound, gid, chunk = (k.as_py() for k in key)
-        rows = segment_chunk(table, bound, models, length_bound, split_fraction)
-        return segment_table(rows, bound, gid, chunk, arrow_schema)
+        group = [k.as_py() for k in key]
+        # the points travel once, whatever the number of bounds
+        return pa.concat_tables([segment_table(segment_chunk(table, bound, models, length_bound, split_fraction),
+                                               bound, group, arrow_schema) for bound in bounds])
 
-    return keyed.groupBy("eps", "gid", "chunk").applyInArrow(fit_chunk, schema.SEGMENT_GROUPS)
+    return keyed.groupBy("gid", "part", "chunk").applyInArrow(fit_chunk, schema.SEGMENT_GROUPS)
 
 
 def compress_groups(points: DataFrame, series: DataFrame, **options) -> DataFrame:
@@ -96,17 +103,17 @@ def correlated_subgroups(points: DataFrame, series: DataFrame, eps: float,
                          chunk_ticks: int | None = CHUNK_TICKS) -> DataFrame:
     """(gid, chunk, tid, leader): members that stay within twice the bound of their leader."""
     d = with_group(points, series, None)
-    keyed = d.select("gid", chunk_of(F.col("ts"), F.col("si_ms"), F.col("group_size"), chunk_ticks).alias("chunk"),
+    keyed = d.select("gid", "part", chunk_of(F.col("ts"), F.col("si_ms"), F.col("group_size"), chunk_ticks).alias("chunk"),
                      F.unix_millis("ts").alias("ms"), "tid", "value")
 
     def split(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, tids, values = tick_matrix(*_columns(table))
-        rows = [(key[0].as_py(), key[1].as_py(), int(tids[i]), int(tids[group[0]]))
+        rows = [(key[0].as_py(), key[2].as_py(), int(tids[i]), int(tids[group[0]]))
                 for group in correlated_members(values, eps) for i in group]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.int32()))],
                         names=["gid", "chunk", "tid", "leader"])
 
-    return keyed.groupBy("gid", "chunk").applyInArrow(split, "gid int, chunk long, tid int, leader int")
+    return keyed.groupBy("gid", "part", "chunk").applyInArrow(split, "gid int, chunk long, tid int, leader int")
 
 
 def _columns(table: pa.Table):
@@ -162,14 +169,14 @@ def _segment_members(ticks, tids, values, si_ms, group_size, eps, models, length
     return out
 
 
-def segment_table(segments, eps, gid, chunk, arrow_schema) -> pa.Table:
+def segment_table(segments, eps, group, arrow_schema) -> pa.Table:
     rows = []
     for start, si_ms, mtid, fit, tids, gaps, values in segments:
         stats = (None, None, None)
         if mtid not in schema.CLOSED_FORM:
             stats = (values.min(axis=0).tolist(), values.max(axis=0).tolist(),
                      values.sum(axis=0, dtype=np.float64).tolist())
-        rows.append((eps, gid, chunk, start * 1000, (start + (fit.length - 1) * si_ms) * 1000, si_ms, fit.length,
+        rows.append((eps, *group, start * 1000, (start + (fit.length - 1) * si_ms) * 1000, si_ms, fit.length,
                      mtid, fit.a, fit.b, fit.payload, tids.tolist(), gaps, *stats, int(fit.size)))
     columns = zip(*rows) if rows else [[]] * len(arrow_schema)
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema)

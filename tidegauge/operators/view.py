@@ -176,3 +176,24 @@ def overlapping(segments: DataFrame, ranges: DataFrame, bucket_ms: int) -> DataF
             .where((F.col("start_time") <= F.col("range_end")) & (F.col("end_time") >= F.col("range_start"))
                    & (F.col("bucket") == first))
             .drop("bucket"))
+
+
+def register_views(groups: DataFrame, series: DataFrame, derived: DataFrame | None = None) -> None:
+    """Temporary views `segment` and `datapoint` for SQL, both with the columns of `series`.
+
+    `segment` carries vmin, vmax and vsum of every segment in the scale of the readings, so COUNT,
+    MIN, MAX, SUM and AVG need no points: sum(n_ticks), min(vmin), max(vmax), sum(vsum). `derived`
+    has further rows (tid, ts, value) for `datapoint`.
+    """
+    from tidegauge.operators.aggregate import with_stats
+    dims = [c for c in series.columns if c not in ("gid", "si_ms", "scaling")]
+    known = series.select(*dims, "scaling")
+    scaled = {c: F.col(c).cast("double") / F.col("scaling") for c in ("vmin", "vmax", "vsum")}
+    segments = with_stats(members(groups)).join(known, "tid").withColumns(scaled)
+    extra = [c for c in dims if c != "tid"]
+    segments.select("tid", "start_time", "end_time", "mtid", "si_ms", "n_ticks", "vmin", "vmax", "vsum",
+                    *extra).createOrReplaceTempView("segment")
+    d = points(groups, known)
+    if derived is not None:
+        d = d.unionByName(derived.select("tid", "ts", "value"), allowMissingColumns=True)
+    d.createOrReplaceTempView("datapoint")

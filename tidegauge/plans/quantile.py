@@ -4,9 +4,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-# A float32 falls into at most ~570,000 of these order-preserving buckets, and one bucket holds at
-# most a few thousand distinct float32 values.
-_BUCKETS_PER_OCTAVE = 1024
+# Float32 values fall into at most ~71,000 of these order-preserving buckets, and one bucket holds
+# at most ~66,000 distinct float32 values: both passes give a bounded number of counts per key.
+_BUCKETS_PER_OCTAVE = 128
 _SHIFT = 160 * _BUCKETS_PER_OCTAVE
 
 
@@ -38,8 +38,8 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
               .where(hit)
               .select(*keys, "__b", "__n", F.col("__lo").alias("__base")))
     at = [*keys, "__b"]
-    inside = d.join(target.select(*at), at, "left_semi").groupBy(*at, value).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = (inside.join(target, at)
+    inside = d.join(target, at).groupBy(*at, value, "__n", "__base").agg(F.count(F.lit(1)).alias("__c"))
+    ranked = (inside
               .withColumn("__cum", F.col("__base") + F.sum("__c").over(
                   W.partitionBy(*at).orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
               .withColumn("__lo", F.col("__cum") - F.col("__c")))

@@ -25,6 +25,7 @@ POINTS = T.StructType([
 SEGMENT_GROUPS = T.StructType([
     T.StructField("eps", T.DoubleType()),
     T.StructField("gid", T.IntegerType()),
+    T.StructField("part", T.IntegerType()),
     T.StructField("chunk", T.LongType()),
     T.StructField("start_time", T.TimestampType()),
     T.StructField("end_time", T.TimestampType()),

@@ -8,13 +8,16 @@ PERIODS = ("day", "month", "year")
 
 
 def write_segments(groups: DataFrame, path: str, period: str | None = "day", file_format: str = "parquet") -> None:
-    """Append finalized segments; rows are sorted inside each file so that min/max statistics prune."""
+    """Append finalized segments, balanced by period so that a partition gets few files of even size.
+
+    Rows are sorted inside each file so that min/max statistics prune by group and time.
+    """
     if period is None:
         groups.sortWithinPartitions("gid", "start_time").write.mode("append").format(file_format).save(path)
         return
     if period not in PERIODS:
         raise ValueError(f"unknown period {period!r}")
-    d = groups.withColumn("period", F.to_date(F.date_trunc(period, "start_time")))
+    d = groups.withColumn("period", F.to_date(F.date_trunc(period, "start_time"))).hint("rebalance", "period")
     (d.sortWithinPartitions("period", "gid", "start_time")
      .write.mode("append").partitionBy("period").format(file_format).save(path))
 

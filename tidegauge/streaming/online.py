@@ -24,7 +24,7 @@ _STATE = T.StructType([
 
 
 class Segmenter(StatefulProcessor):
-    """Keeps the points of the open segment of one (group, chunk) and emits segments as they close.
+    """Keeps the points of the open segment of one (group, part, chunk) and emits segments as they close.
 
     A tick is used once the watermark has passed it. Segments are those of `compress` on the same
     points, so a stream and a batch over the same chunks store the same rows.
@@ -88,7 +88,7 @@ class Segmenter(StatefulProcessor):
             self.state.clear()
         for rows, is_final in ((final, True), (temporary, False)):
             if rows:
-                table = segment_table(rows, self.eps, int(key[0]), int(key[1]), self.arrow_schema)
+                table = segment_table(rows, self.eps, [int(k) for k in key], self.arrow_schema)
                 yield table.to_pandas().assign(is_final=is_final)
 
     def _whole(self, buffer, si_ms):
@@ -113,11 +113,11 @@ def segment_stream(points: DataFrame, eps: float = 0.0, si_ms: int | None = None
     d = with_group(points.withWatermark("ts", delay), series, si_ms)
     chunk = chunk_of(F.col("ts"), F.col("si_ms"), F.col("group_size"), chunk_ticks)
     width = chunk_ms(F.col("si_ms"), F.col("group_size"), chunk_ticks)
-    keyed = d.select("gid", chunk.alias("chunk"), "ts", F.unix_millis("ts").alias("ms"), "tid",
+    keyed = d.select("gid", "part", chunk.alias("chunk"), "ts", F.unix_millis("ts").alias("ms"), "tid",
                      F.col("value").cast("float").alias("value"), "si_ms", "group_size",
                      ((chunk + 1) * width).cast("long").alias("chunk_end"))
     processor = Segmenter(float(eps), models or default_models(length_bound), length_bound, maximum_latency)
-    return keyed.groupBy("gid", "chunk").transformWithStateInPandas(
+    return keyed.groupBy("gid", "part", "chunk").transformWithStateInPandas(
         processor, outputStructType=OUTPUT, outputMode="append", timeMode="eventtime")
 
 
@@ -138,7 +138,7 @@ def online_view(segments: DataFrame) -> DataFrame:
 
     `segments` has is_final and a `batch` that grows with time.
     """
-    keys = ["eps", "gid", "chunk"]
+    keys = ["eps", "gid", "part", "chunk"]
     columns = [f.name for f in schema.SEGMENT_GROUPS.fields]
     finals = segments.where("is_final")
     newest = (segments.where("NOT is_final").groupBy(*keys)
