@@ -25,8 +25,11 @@ def events(spark, sf_dir) -> DataFrame:
 
 
 def series_ev(spark, sf_dir) -> DataFrame:
-    d = number_sources(events(spark, sf_dir), "event_type").withColumnRenamed("event_type", "source")
-    return d.select("tid", "source", F.lit(SI["pts_ev"]).cast("long").alias("si_ms"), _scaling(), F.col("tid").alias("gid"))
+    def build(path):
+        number_sources(events(spark, sf_dir), "event_type").write.parquet(path)
+    ids = spark.read.schema("tid int, event_type string").parquet(once(spark, (sf_dir, "series_ev"), "series", build))
+    return ids.select("tid", F.col("event_type").alias("source"), F.lit(SI["pts_ev"]).cast("long").alias("si_ms"), _scaling(),
+                      F.col("tid").alias("gid"))
 
 
 def _scaling():

@@ -270,6 +270,12 @@ def filter_value_nonzero(spark, sf_dir):
     return _plain(view.points(fx.store(spark, sf_dir, "pts_cnt"))).where("value <> 0")
 
 
+@_filter("filter_value_range", "value >= 60000 AND value <= 70000", "pts_smooth")
+def filter_value_range(spark, sf_dir):
+    """Segments are skipped by their extremes before they are decoded."""
+    return _plain(view.points(fx.store(spark, sf_dir, "pts_smooth"), low=60_000, high=70_000))
+
+
 @_filter("filter_and_or", "(tid = 2 OR ts < TIMESTAMP '2024-01-01 00:01:00') AND NOT (value < 5000 AND tid > 50)")
 def filter_and_or(spark, sf_dir):
     d = _plain(view.points(fx.store(spark, sf_dir, "pts_seq")))

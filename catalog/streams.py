@@ -18,6 +18,11 @@ EPS = 10.0
 CLOSED = """SELECT * FROM pts_ev WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"""
 
 
+def cores(spark):
+    """State partitions: one per core that the session has."""
+    return spark.sparkContext.defaultParallelism
+
+
 def event_stream(spark, sf_dir):
     schema = fx.load(spark, sf_dir, "events").schema
     d = ingest.read_stream(spark, sf_dir, schema, glob="events.parquet")
@@ -38,7 +43,8 @@ def regular(spark, sf_dir):
     def build(path):
         hourly = ingest.regularize_stream(event_stream(prepare(spark), sf_dir), "event_type", "1 hour", DELAY)
         ids = fx.series_ev(spark, sf_dir).select("tid", F.col("source").alias("event_type"))
-        ingest.run(ingest.append_to(hourly.join(ids, "event_type").select("tid", "ts", "value"), path, work_dir(spark, "checkpoint")))
+        ingest.run(ingest.append_to(hourly.join(ids, "event_type").select("tid", "ts", "value"), path, work_dir(spark, "checkpoint"),
+                                    state_partitions=cores(spark)))
     return fx.once(spark, (sf_dir, "stream_regular"), "stream-points", build)
 
 
@@ -56,7 +62,8 @@ def segmented(spark, sf_dir, latency):
     def build(path):
         points = ingest.read_stream(spark, regular(spark, sf_dir), POINTS_DDL)
         out = online.segment_stream(points, EPS, fx.SI["pts_ev"], chunk_ticks=CHUNK, maximum_latency=latency)
-        ingest.run(ingest.append_batches(out, path, work_dir(spark, "checkpoint")))
+        ingest.run(ingest.append_batches(out, path, work_dir(spark, "checkpoint"),
+                                    state_partitions=cores(spark)))
     path = fx.once(spark, (sf_dir, "stream_segments", latency), "stream-segments", build)
     return spark.read.parquet(path)
 
@@ -105,7 +112,7 @@ def stream_late_drop(spark, sf_dir):
     def deliver(df):
         df.write.mode("append").parquet(inbox)
         d = ingest.drop_late_and_duplicates(ingest.read_stream(spark, inbox, ev.schema), ["event_id"], DELAY)
-        ingest.run(ingest.append_to(d, path, checkpoint))
+        ingest.run(ingest.append_to(d, path, checkpoint, state_partitions=cores(spark)))
 
     deliver(ev)
     again = ev.where(F.col("ts") > newest - F.expr("INTERVAL 1 HOUR"))

@@ -88,13 +88,16 @@ def clip(segments: DataFrame, ts_from=None, ts_to=None) -> DataFrame:
 
 def points(groups: DataFrame, series: DataFrame | None = None, tids: Iterable[int] | None = None,
            ts_from=None, ts_to=None, models: tuple = (), keep: Iterable[str] = (),
-           gids: Iterable[int] | None = None) -> DataFrame:
+           gids: Iterable[int] | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
     """(keep, tid, ts, value [, other columns of `series`]) represented by segment groups.
 
     Only ticks in [ts_from, ts_to] of the wanted series are generated. Values are decoded once per
     group. With `series` the values are divided by `scaling` and its columns are joined. `gids`,
-    see gids_of, lets the scan skip the files of other groups.
+    see gids_of, lets the scan skip the files of other groups. `low` and `high` bound the stored
+    values; segments whose extremes are outside are not decoded.
     """
+    if low is not None or high is not None:
+        groups = groups.where(may_hold(low, high))
     if gids is not None:
         groups = groups.where(F.col("gid").isin([int(g) for g in gids]))
     wanted = None if tids is None else F.array(*[F.lit(int(t)) for t in tids]).cast("array<int>")
@@ -115,6 +118,10 @@ def points(groups: DataFrame, series: DataFrame | None = None, tids: Iterable[in
                    F.timestamp_millis(F.col(origin) + offset).alias("ts"), value.alias("value")))
     if wanted is not None:
         out = out.where(F.array_contains(wanted, F.col("tid")))
+    if low is not None:
+        out = out.where(F.col("value") >= F.lit(low))
+    if high is not None:
+        out = out.where(F.col("value") <= F.lit(high))
     if series is None:
         return out
     extra = [c for c in series.columns if c not in ("tid", "scaling")]
@@ -122,6 +129,21 @@ def points(groups: DataFrame, series: DataFrame | None = None, tids: Iterable[in
             .select(*kept, "tid", "ts", (F.col("value") / F.col("scaling")).cast("float").alias("value"), *extra))
 
 
+def may_hold(low: float | None, high: float | None) -> Column:
+    """Whether a segment group can hold a value in [low, high], from its extremes."""
+    closed = F.col("mtid").isin(*schema.CLOSED_FORM)
+    first = F.col("b").cast("float")
+    last = (F.col("b") + F.col("a") * ((F.col("n_ticks") - 1) * F.col("si_ms"))).cast("float")
+    top = F.when(closed, F.greatest(first, last)).otherwise(F.array_max("maxs"))
+    bottom = F.when(closed, F.least(first, last)).otherwise(F.array_min("mins"))
+    condition = F.lit(True)
+    if low is not None:
+        condition &= top >= F.lit(low)
+    if high is not None:
+        condition &= bottom <= F.lit(high)
+    return condition
+
+
 def gids_of(series: DataFrame, tids: Iterable[int]) -> list[int]:
     """The groups of the listed series, at most one per listed id; none for unknown ids."""
     return [r.gid for r in series.where(F.col("tid").isin([int(t) for t in tids])).select("gid").distinct().collect()]

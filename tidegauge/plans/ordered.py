@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidegauge.session import written
+
 _B = "__bucket"
 _FULL = (W.unboundedPreceding, W.currentRow)
 _BEFORE = (W.unboundedPreceding, -1)
@@ -33,6 +35,18 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Colum
             .drop("__rn", "__before", _B))
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str = "rn") -> DataFrame:
+    """1-based position of every row of a whole table, e.g. of series names.
+
+    The table is cut into ranges of about equal size and written, since ranges are sampled and must
+    not change between the counting and the numbering pass.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id())
+    d = written(df.sparkSession, d, "ranges")
+    return positions(d, [], order, F.col("__range"), name).drop("__range")
+
+
 def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], bucket: Column,
                    step: int = -1, name: str = "prev", keep_bucket: bool = False) -> DataFrame:
     """Add a struct `name` with `cols` of the previous (step=-1) or next (step=+1) row of the key."""

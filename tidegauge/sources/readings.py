@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidegauge.plans.ordered import positions
+from tidegauge.plans.ordered import numbered
 
 
 def _source(raw: DataFrame) -> Column:
@@ -65,11 +65,10 @@ def read_parquet(spark: SparkSession, paths: str | Sequence[str], **options) ->
     return read_columnar(spark, paths, "parquet", **options)
 
 
-def number_sources(readings: DataFrame, name: str = "source", first_tid: int = 1, prefix: int = 32) -> DataFrame:
+def number_sources(readings: DataFrame, name: str = "source", first_tid: int = 1) -> DataFrame:
     """(tid, source): running numbers over the sorted distinct sources."""
-    names = readings.select(name).distinct()
-    numbered = positions(names, [], [name], F.substring(name, 1, prefix), "tid")
-    return numbered.select((F.col("tid") + (first_tid - 1)).cast("int").alias("tid"), name)
+    ids = numbered(readings.select(name).distinct(), [name], "tid")
+    return ids.select((F.col("tid") + (first_tid - 1)).cast("int").alias("tid"), name)
 
 
 def assign_tids(readings: DataFrame, sources: DataFrame, name: str = "source") -> DataFrame:

@@ -1,5 +1,7 @@
 """Streams of readings: regular ticks by watermark, duplicates, sinks."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,22 +32,37 @@ def drop_late_and_duplicates(events: DataFrame, keys: list[str], delay: str) ->
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
+@contextmanager
+def _state_partitions(spark: SparkSession, n: int | None):
+    """A stateful query keeps the number of partitions it first starts with."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, before if n is None else str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def append_to(df: DataFrame, path: str, checkpoint: str, file_format: str = "parquet",
-              partition_by: list[str] | None = None, once: bool = True) -> StreamingQuery:
+              partition_by: list[str] | None = None, once: bool = True,
+              state_partitions: int | None = None) -> StreamingQuery:
     """Bulk mode: append finalized rows, exactly once through the file sink's log."""
     writer = df.writeStream.format(file_format).option("checkpointLocation", checkpoint).outputMode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if once:
         writer = writer.trigger(availableNow=True)
-    return writer.start(path)
+    with _state_partitions(df.sparkSession, state_partitions):
+        return writer.start(path)
 
 
 def run(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
-def append_batches(df: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def append_batches(df: DataFrame, path: str, checkpoint: str, once: bool = True,
+                   state_partitions: int | None = None) -> StreamingQuery:
     """Online mode: every micro-batch overwrites its own `batch` partition, so a retry changes nothing."""
     def write(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
@@ -54,4 +71,5 @@ def append_batches(df: DataFrame, path: str, checkpoint: str, once: bool = True)
     writer = df.writeStream.option("checkpointLocation", checkpoint).outputMode("append").foreachBatch(write)
     if once:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    with _state_partitions(df.sparkSession, state_partitions):
+        return writer.start()
