@@ -15,6 +15,28 @@ from tidegauge.operators import aggregate, quality, view
 from tidegauge.sources.store import stored_bytes
 
 
+def per_signal(groups, segments, tids) -> dict[str, float]:
+    """One sequential query per signal and aggregate, as an interactive client sends them."""
+    v = aggregate.value()
+
+    def point(column, tid, condition=None):
+        d = view.points(groups, tids=[tid], gids=[tid])
+        return (d if condition is None else d.where(condition)).agg(column).first()
+
+    queries = {
+        "max": lambda t: point(F.max(v), t, "value > 0"), "min": lambda t: point(F.min(v), t, "value > 0"),
+        "avg": lambda t: aggregate.agg_segments(segments.where((F.col("gid") == t) & (F.col("tid") == t)), aggs=["avg"]).first(),
+        "std": lambda t: point(aggregate.std(), t), "median": lambda t: point(aggregate.median_approx(), t)}
+    out, start = {}, time.perf_counter()
+    for name, run in queries.items():
+        begin = time.perf_counter()
+        for tid in tids:
+            run(tid)
+        out[f"{name}_mean"] = round((time.perf_counter() - begin) / len(tids), 3)
+    out["total"], out["n"] = round(time.perf_counter() - start, 3), len(queries) * len(tids)
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
@@ -66,6 +88,7 @@ def main() -> None:
     timed("sum_cal_hour_of_day", lambda: rows(aggregate.calendar_agg(segments, "sum", "hour_of_day", ["tid"])))
     timed("sum_cal_minute", lambda: rows(aggregate.calendar_agg(segments, "sum", "minute", ["tid"])))
     timed("rqe_downsampled", lambda: rows(cq.rqe_downsampled(spark, sf_dir)))
+    signals = per_signal(groups, segments, [r.tid for r in groups.select(F.col("gid").alias("tid")).distinct().orderBy("tid").take(10)])
     stored = stored_bytes(spark, fx.path_of(spark, sf_dir, table, 0.0), "*.parquet").first()["bytes"]
     model = groups.agg(F.sum(F.col("model_bytes") + 24 + 4 * F.col("n_gaps")).alias("b")).first()["b"]
     print(json.dumps({
@@ -73,7 +96,7 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")), "points": n, "compress_points_per_sec": round(n / seconds["compress"]),
         "reconstruct_points_per_sec": round(n / seconds["reconstruct_lossless"]),
         "stored_bytes_per_point": round(stored / n, 3), "model_bytes_per_point": round(model / n, 3),
-        "segment_route_speedup": round(seconds["sum_by_tid_from_points"] / seconds["sum_s_by_tid"], 2)}))
+        "signal_queries": signals, "segment_route_speedup": round(seconds["sum_by_tid_from_points"] / seconds["sum_s_by_tid"], 2)}))
 
 
 if __name__ == "__main__":

@@ -147,3 +147,41 @@ def test_shortcuts_change_nothing(eps, monkeypatch):
 def test_leaders_collect_members_within_twice_the_bound():
     v = np.array([[100, 101, 150, 119, np.nan], [100, 99, 151, 119, 100]], dtype=np.float32)
     assert [g.tolist() for g in M.correlated_members(v, 10.0)] == [[0, 1, 3, 4], [2]]
+
+
+def tick_by_tick(v, si, eps, models, length_bound):
+    """Segments when ticks arrive one at a time: each model is given up once it refuses a tick, and
+    the best one is stored when the last has refused."""
+    def best(buffer):
+        chosen, chosen_ratio = None, None
+        for m in models:
+            fit = m.fit(buffer, si, eps)
+            if fit.length and not np.isnan(fit.size):
+                ratio = M.compression_ratio(fit.length, fit.size, 0)
+                if chosen is None or not ratio < chosen_ratio:
+                    chosen, chosen_ratio = (m.mtid, fit.length), ratio
+        return chosen or (schema.RAW, min(length_bound, len(buffer)))
+
+    out, start, end, current = [], 0, 0, 0
+    while end < len(v):
+        end += 1
+        if models[current].fit(v[start:end], si, eps).length < end - start:
+            current += 1
+            if current == len(models):
+                out.append((start, *best(v[start:end])))
+                start, current = start + out[-1][2], 0
+    while start < end:
+        out.append((start, *best(v[start:end])))
+        start += out[-1][2]
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(series, BOUNDS, st.sampled_from([5, 20]), st.booleans())
+def test_same_segments_as_tick_by_tick(values, eps, bound, coded):
+    v = column(values)
+    models = (M.Constant(), M.Linear(), M.Xor(bound)) if coded else (M.Constant(), M.Linear())
+    with np.errstate(all="ignore"):
+        want = tick_by_tick(v, 1000, eps, models, bound)
+    got = [(at, mtid, fit.length) for at, mtid, fit in M.segment_run(v, 1000, eps, models, bound)[0]]
+    assert got == want

@@ -84,3 +84,16 @@ def test_bulk_append_runs_once_per_file(spark, points, tmp_path):
         stream = ingest.read_stream(spark, str(tmp_path / "in"), POINTS)
         ingest.run(ingest.append_to(stream, str(tmp_path / "out"), str(tmp_path / "check"), partition_by=["tid"]))
     assert spark.read.parquet(str(tmp_path / "out")).count() == points.count()
+
+
+def test_late_rows_are_counted(spark, points, tmp_path):
+    def deliver(df):
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        d = ingest.drop_late_and_duplicates(ingest.read_stream(spark, str(tmp_path / "in"), POINTS), ["tid", "ts"], "10 minutes")
+        query = ingest.append_to(d, str(tmp_path / "out"), str(tmp_path / "check"), state_partitions=2)
+        ingest.run(query)
+        return ingest.late_rows(query)
+    assert deliver(points) == 0
+    again = points.where(F.col("ts") < datetime(2024, 1, 1, 0, 5))
+    assert deliver(again) == again.count() == 15
+    assert spark.read.parquet(str(tmp_path / "out")).count() == points.count()

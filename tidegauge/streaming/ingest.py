@@ -61,6 +61,11 @@ def run(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows dropped behind the watermark, by the recent progress of the query."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def append_batches(df: DataFrame, path: str, checkpoint: str, once: bool = True,
                    state_partitions: int | None = None) -> StreamingQuery:
     """Online mode: every micro-batch overwrites its own `batch` partition, so a retry changes nothing."""
