@@ -7,6 +7,7 @@ from catalog.fixtures import Catalog, dbl, sql
 from catalog.points import FACTORS, FILLED, PRECISIONS, QUANT, down_sql, downsampled, filled, quantized
 from catalog.segments import xor_store
 from tidegauge.operators import quality, view
+from tidegauge.sources.store import stored_bytes
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -17,7 +18,6 @@ MEAN = "avg(CAST(value AS DOUBLE))"
 
 # ---- alignment and point errors ----
 
-# Each side keeps the points of the other except every 97th price: both missing and extra points occur.
 SIDES = dict(quant=QUANT,
              aligned="""SELECT q."precision", tid, ts, CAST(p.value AS DOUBLE) AS real, CAST(q.value AS DOUBLE) AS approx FROM pts_seq p JOIN quant q USING (tid, ts)""")
 
@@ -119,7 +119,6 @@ def theoretical_bytes(spark, sf_dir):
 @add("file_size", sql("pts_smooth", body="""SELECT count(*) points, (SELECT CAST(sum(n) * 4 + arg_min(n, tid) * 8 AS BIGINT) FROM (
  SELECT tid, count(*) n FROM pts_smooth GROUP BY 1)) theoretical_size, true adds_up, true smaller FROM pts_smooth"""))
 def file_size(spark, sf_dir):
-    from tidegauge.sources.store import stored_bytes
     g = fx.store(spark, sf_dir, "pts_smooth", 5.0)
     raw = stored_bytes(spark, sf_dir, "lineitem.parquet")
     kept = stored_bytes(spark, fx.path_of(spark, sf_dir, "pts_smooth", 5.0), "*.parquet")
@@ -194,7 +193,7 @@ def agg_sql(table, keys, std, factor=None):
 RQE = """CASE WHEN r.result = a.result THEN 0 WHEN r.result = 0 THEN NULL ELSE abs((r.result - a.result) / r.result) END"""
 
 
-def rqe_sql(key, table):
+def rqe_sql(key):
     return f"SELECT a.{key}, a.tid, a.query, {RQE} rqe FROM approx a JOIN real r ON r.tid = a.tid AND r.query = a.query"
 
 
@@ -203,41 +202,36 @@ _DOWN = dict(down=down_sql(MEAN), real=agg_sql("pts_seq", "tid", "stddev_pop"),
 
 
 def quantized_rqe(spark, sf_dir):
-    real = quality.series_aggregates(fx.points(spark, sf_dir, "pts_seq"), ["tid"], population_std=False)
-    approx = quality.series_aggregates(quantized(spark, sf_dir), ["precision", "tid"], population_std=False)
-    return quality.rqe(real, approx, "precision")
+    return quality.rqe(fx.points(spark, sf_dir, "pts_seq"), quantized(spark, sf_dir), "precision", population_std=False)
 
 
 def downsampled_rqe(spark, sf_dir):
-    real = quality.series_aggregates(fx.points(spark, sf_dir, "pts_seq"), ["tid"])
-    approx = quality.series_aggregates(downsampled(spark, sf_dir), ["factor", "tid"])
-    return quality.rqe(real, approx, "factor", sum_factor=F.col("factor"))
+    return quality.rqe(fx.points(spark, sf_dir, "pts_seq"), downsampled(spark, sf_dir), "factor", scale_sum=True)
 
 
-@add("rqe_quantized", sql("pts_seq", **_PREC, rqe=rqe_sql('"precision"', "quant"), body='SELECT "precision", tid, query, round(rqe, 9) rqe FROM rqe'))
+@add("rqe_quantized", sql("pts_seq", **_PREC, rqe=rqe_sql('"precision"'), body='SELECT "precision", tid, query, round(rqe, 9) rqe FROM rqe'))
 def rqe_quantized(spark, sf_dir):
     return quantized_rqe(spark, sf_dir).select("precision", "tid", "query", dbl("rqe", 9))
 
 
 @add("rqe_by_series", sql("pts_cnt", daily="""SELECT tid, date_trunc('day', ts) ts, CAST(avg(CAST(value AS DOUBLE)) AS FLOAT) AS value, 24 factor FROM pts_cnt GROUP BY 1, 2""",
      kept="SELECT * FROM pts_cnt WHERE value > 0", kept_daily="SELECT * FROM daily WHERE value > 0",
-     real=agg_sql("kept", "tid", "stddev_pop"), approx=agg_sql("kept_daily", "factor, tid", "stddev_pop"), rqe=rqe_sql("factor", "daily"),
+     real=agg_sql("kept", "tid", "stddev_pop"), approx=agg_sql("kept_daily", "factor, tid", "stddev_pop"), rqe=rqe_sql("factor"),
      body="SELECT tid, query, round(rqe, 9) rqe FROM rqe"))
 def rqe_by_series(spark, sf_dir):
     """All queries on positive values only: hourly counts against daily means."""
     p = fx.points(spark, sf_dir, "pts_cnt")
     daily = p.groupBy("tid", F.date_trunc("day", "ts").alias("ts")).agg(F.avg(F.col("value").cast("double")).cast("float").alias("value"))
-    real = quality.series_aggregates(p, ["tid"], positive=True)
-    approx = quality.series_aggregates(daily.withColumn("factor", F.lit(24)), ["factor", "tid"], positive=True)
-    return quality.rqe(real, approx, "factor").select("tid", "query", dbl("rqe", 9))
+    approx = daily.withColumn("factor", F.lit(24))
+    return quality.rqe(p, approx, "factor", positive=True).select("tid", "query", dbl("rqe", 9))
 
 
-@add("rqe_downsampled", sql("pts_seq", **_DOWN, rqe=rqe_sql("factor", "down"), body="SELECT factor, tid, query, round(rqe, 8) rqe FROM rqe"))
+@add("rqe_downsampled", sql("pts_seq", **_DOWN, rqe=rqe_sql("factor"), body="SELECT factor, tid, query, round(rqe, 8) rqe FROM rqe"))
 def rqe_downsampled(spark, sf_dir):
     return downsampled_rqe(spark, sf_dir).select("factor", "tid", "query", dbl("rqe", 8))
 
 
-@add("rqe_summary", sql("pts_seq", **_DOWN, rqe=rqe_sql("factor", "down"), body="""SELECT factor, query, round(min(rqe), 8) min_rqe, round(max(rqe), 8) max_rqe,
+@add("rqe_summary", sql("pts_seq", **_DOWN, rqe=rqe_sql("factor"), body="""SELECT factor, query, round(min(rqe), 8) min_rqe, round(max(rqe), 8) max_rqe,
  round(median(rqe), 8) median_rqe, count(*) FILTER (WHERE rqe IS NULL) undefined FROM rqe GROUP BY 1, 2"""))
 def rqe_summary(spark, sf_dir):
     d = quality.rqe_summary(downsampled_rqe(spark, sf_dir), ["factor", "query"])

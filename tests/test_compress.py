@@ -148,3 +148,11 @@ def test_wide_groups_are_stored_in_parts(spark, monkeypatch):
     one = spark.range(1, 21).select(F.col("id").cast("int").alias("tid"), F.lit(1).alias("gid"), F.lit(1000).alias("si_ms"))
     g = compress_groups(d, one, eps=1.0).cache()
     assert g.select("part", F.size("tids").alias("w")).distinct().count() == 3 and violations(d, g, 1.0) == 0
+
+
+def test_derived_members_share_the_segments_of_their_source(spark, points):
+    m = view.members(compress(points, 0.0, si_ms=1000))
+    derived = spark.createDataFrame([(1, 501, "value * 2"), (1, 502, "value + 1")], "source_tid int, tid int, expression string")
+    d = view.derived_members(m, derived)
+    assert {r.tid for r in d.select("tid").distinct().collect()} == {501, 502}
+    assert d.agg(F.sum("n_ticks")).first()[0] == 2 * points.where("tid = 1").count()

@@ -45,26 +45,20 @@ def with_stats(segments: DataFrame, clipped: bool = False, models: tuple = ()) -
     Closed-form models and whole segments need only expressions. With `clipped`, the other
     segments that lost ticks are decoded (unless they carry `vals` already), and only those.
     """
-    n, si, skip = F.col("n_ticks"), F.col("si_ms"), F.col("skip")
-    first = F.col("b") + F.col("a") * (skip * si)
-    last = F.col("b") + F.col("a") * ((skip + n - 1) * si)
-    closed = F.col("mtid").isin(*schema.CLOSED_FORM)
-    low = F.when(closed, F.least(first.cast("float"), last.cast("float")))
-    high = F.when(closed, F.greatest(first.cast("float"), last.cast("float")))
-    total = F.when(closed, n * (first + last) / 2)
+    first, last = "(b + a * (skip * si_ms))", "(b + a * ((skip + n_ticks - 1) * si_ms))"
+    closed = {"vmin": f"least(cast({first} AS float), cast({last} AS float))",
+              "vmax": f"greatest(cast({first} AS float), cast({last} AS float))",
+              "vsum": f"n_ticks * ({first} + {last}) / 2"}
+    piece = ("CASE WHEN width = 1 THEN slice(vals, skip + 1, n_ticks) ELSE "
+             "transform(sequence(skip, skip + n_ticks - 1), i -> element_at(vals, i * width + pos + 1)) END")
+    cut = {"vmin": f"array_min({piece})", "vmax": f"array_max({piece})",
+           "vsum": f"aggregate({piece}, 0D, (acc, x) -> acc + x)"}
+    when = f"WHEN mtid IN {schema.CLOSED_FORM} THEN"
     if not clipped:
-        return segments.withColumns({"vmin": low.otherwise(F.col("vmin")), "vmax": high.otherwise(F.col("vmax")),
-                                     "vsum": total.otherwise(F.col("vsum"))})
-    cut = n < F.col("n_stored")
-    d = segments if "vals" in segments.columns else decoded(segments, cut, models)
-    picked = F.transform(F.sequence(skip, skip + n - 1),
-                         lambda i: F.element_at("vals", i * F.col("width") + F.col("pos") + 1))
-    piece = F.when(F.col("width") == 1, F.slice("vals", skip + 1, n)).otherwise(picked)
-    sums = F.aggregate(piece, F.lit(0.0), lambda acc, x: acc + x)
-    return (d.withColumns({"vmin": low.when(cut, F.array_min(piece)).otherwise(F.col("vmin")),
-                           "vmax": high.when(cut, F.array_max(piece)).otherwise(F.col("vmax")),
-                           "vsum": total.when(cut, sums).otherwise(F.col("vsum"))})
-            .drop("vals"))
+        return segments.selectExpr("* EXCEPT (vmin, vmax, vsum)", *[f"CASE {when} {closed[c]} ELSE {c} END AS {c}" for c in closed])
+    d = segments if "vals" in segments.columns else decoded(segments, F.expr("n_ticks < n_stored"), models)
+    return d.selectExpr("* EXCEPT (vmin, vmax, vsum, vals)", *[
+        f"CASE {when} {closed[c]} WHEN n_ticks < n_stored THEN {cut[c]} ELSE {c} END AS {c}" for c in closed])
 
 
 def aggregate_columns(aggs: Sequence[str], scaling: Column | None = None, suffix: str = "") -> list[Column]:

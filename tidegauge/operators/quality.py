@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidegauge import schema
 from tidegauge.functions.errors import percentage_error, query_error, relative_error
@@ -170,15 +170,25 @@ def series_aggregates(points: DataFrame, keys: Sequence[str], population_std: bo
             .unpivot(list(keys), list(QUERIES), "query", "result"))
 
 
-def rqe(real: DataFrame, approx: DataFrame, sweep: str, sum_factor: Column | None = None) -> DataFrame:
-    """(sweep, tid, query, rqe) of aggregate rows; `approx` has an extra column named by `sweep`."""
+_RAW = -1  # marks the raw points among the values of a sweep, which are not negative
+
+
+def rqe(points: DataFrame, approx: DataFrame, sweep: str, population_std: bool = True, positive: bool = False,
+        scale_sum: bool = False) -> DataFrame:
+    """(sweep, tid, query, rqe): errors of queries on `approx`, which has a column named by `sweep`.
+
+    Raw and approximate points are aggregated together, and each answer meets the raw one in a
+    window over the few rows of its series and query. `scale_sum` multiplies sums by the sweep.
+    """
+    columns = [sweep, "tid", "value"]
+    both = points.withColumn(sweep, F.lit(_RAW)).select(*columns).unionByName(approx.select(*columns))
+    answers = series_aggregates(both, [sweep, "tid"], population_std, positive)
+    raw = F.col(sweep) == _RAW
     result = F.col("result")
-    if sum_factor is not None:
-        result = F.when(F.col("query") == "SUM", result * sum_factor).otherwise(result)
-    a = approx.select(sweep, "tid", "query", result.alias("approx"))
-    r = real.select("tid", "query", F.col("result").alias("real"))
-    return a.join(r, ["tid", "query"]).select(
-        sweep, "tid", "query", query_error(F.col("real"), F.col("approx")).alias("rqe"))
+    if scale_sum:
+        result = F.when((F.col("query") == "SUM") & ~raw, result * F.col(sweep)).otherwise(result)
+    real = F.max(F.when(raw, F.col("result"))).over(W.partitionBy("tid", "query"))
+    return (answers.withColumn("rqe", query_error(real, result)).where(~raw).select(sweep, "tid", "query", "rqe"))
 
 
 def rqe_summary(errors: DataFrame, keys: Sequence[str]) -> DataFrame:

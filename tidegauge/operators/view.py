@@ -40,17 +40,15 @@ def values_of(mtid: Column, payload: Column, count: Column, models: tuple = ())
 
 def with_offsets(groups: DataFrame) -> DataFrame:
     """Add the width of the group, and the ticks skipped by clipping (none yet) of those stored."""
-    d = groups if "skip" in groups.columns else groups.withColumns({"skip": F.lit(0), "n_stored": F.col("n_ticks")})
-    return d.withColumn("width", F.size("tids"))
+    new = [] if "skip" in groups.columns else ["0 AS skip", "n_ticks AS n_stored"]
+    return groups.selectExpr("*", *new, "size(tids) AS width")
 
 
 def members(groups: DataFrame) -> DataFrame:
     """One row per series of each segment: its position in the group and the whole-segment statistics."""
-    at = F.col("pos") + 1
-    return (with_offsets(groups).select("*", F.posexplode("tids").alias("pos", "tid"))
-            .withColumns({"vmin": F.element_at("mins", at), "vmax": F.element_at("maxs", at),
-                          "vsum": F.element_at("sums", at)})
-            .drop("tids", "mins", "maxs", "sums"))
+    return (with_offsets(groups).selectExpr("*", "posexplode(tids) AS (pos, tid)")
+            .selectExpr("* EXCEPT (tids, mins, maxs, sums)", "element_at(mins, pos + 1) AS vmin",
+                        "element_at(maxs, pos + 1) AS vmax", "element_at(sums, pos + 1) AS vsum"))
 
 
 def derived_members(segments: DataFrame, derived: DataFrame) -> DataFrame:
@@ -59,8 +57,8 @@ def derived_members(segments: DataFrame, derived: DataFrame) -> DataFrame:
     return segments.join(d, "tid").withColumn("tid", F.col("__new")).drop("__new")
 
 
-def _ms(t) -> Column:
-    return F.unix_millis(F.lit(t).cast("timestamp") if isinstance(t, (str, datetime)) else t)
+def _time(t) -> Column:
+    return F.lit(t).cast("timestamp") if isinstance(t, (str, datetime)) else t
 
 
 def clip(segments: DataFrame, ts_from=None, ts_to=None) -> DataFrame:
@@ -69,21 +67,20 @@ def clip(segments: DataFrame, ts_from=None, ts_to=None) -> DataFrame:
     The bounds are timestamps, literals or columns. The overlap predicate on the plain columns
     reaches the Parquet scan.
     """
-    start, si = F.unix_millis("start_time"), F.col("si_ms")
-    first, last = F.lit(0).cast("long"), F.col("n_ticks").cast("long") - 1
-    d = segments
+    if ts_from is None and ts_to is None:
+        return segments
+    d, first, last = segments, "0L", "n_ticks - 1L"
     if ts_from is not None:
-        d = d.where(F.col("end_time") >= (F.lit(ts_from).cast("timestamp") if isinstance(ts_from, (str, datetime)) else ts_from))
-        first = F.greatest(first, F.ceil((_ms(ts_from) - start) / si))
+        d = d.withColumn("__lo", _time(ts_from)).where("end_time >= __lo")
+        first = "greatest(0L, ceil((unix_millis(__lo) - unix_millis(start_time)) / si_ms))"
     if ts_to is not None:
-        d = d.where(F.col("start_time") <= (F.lit(ts_to).cast("timestamp") if isinstance(ts_to, (str, datetime)) else ts_to))
-        last = F.least(last, F.floor((_ms(ts_to) - start) / si))
-    return (d.withColumns({"__f": first, "__l": last}).where("__l >= __f")
-            .withColumns({"start_time": F.timestamp_millis(start + F.col("__f") * si),
-                          "end_time": F.timestamp_millis(start + F.col("__l") * si),
-                          "skip": (F.col("skip") + F.col("__f")).cast("int"),
-                          "n_ticks": (F.col("__l") - F.col("__f") + 1).cast("int")})
-            .drop("__f", "__l"))
+        d = d.withColumn("__hi", _time(ts_to)).where("start_time <= __hi")
+        last = "least(n_ticks - 1L, floor((unix_millis(__hi) - unix_millis(start_time)) / si_ms))"
+    kept = [c for c in segments.columns if c not in ("start_time", "end_time", "skip", "n_ticks")]
+    return (d.selectExpr("*", f"{first} AS __f", f"{last} AS __l").where("__l >= __f")
+            .selectExpr(*[f"`{c}`" for c in kept], "timestamp_millis(unix_millis(start_time) + __f * si_ms) AS start_time",
+                        "timestamp_millis(unix_millis(start_time) + __l * si_ms) AS end_time",
+                        "cast(skip + __f AS int) AS skip", "cast(__l - __f + 1 AS int) AS n_ticks"))
 
 
 def points(groups: DataFrame, series: DataFrame | None = None, tids: Iterable[int] | None = None,
@@ -100,24 +97,19 @@ def points(groups: DataFrame, series: DataFrame | None = None, tids: Iterable[in
         groups = groups.where(may_hold(low, high))
     if gids is not None:
         groups = groups.where(F.col("gid").isin([int(g) for g in gids]))
-    wanted = None if tids is None else F.array(*[F.lit(int(t)) for t in tids]).cast("array<int>")
-    g = groups if wanted is None else groups.where(F.arrays_overlap("tids", wanted))
-    origin = "__origin"
-    first = F.unix_millis("start_time") - F.col("skip") * F.col("si_ms")
-    g = clip(with_offsets(g).withColumn(origin, first), ts_from, ts_to)
-    stored = F.when(~F.col("mtid").isin(*schema.CLOSED_FORM), F.col("payload"))
-    g = g.withColumn("vals", values_of(F.col("mtid"), stored, F.col("n_stored") * F.col("width"), models))
-    slots = F.sequence(F.col("skip") * F.col("width"), (F.col("skip") + F.col("n_ticks")) * F.col("width") - 1)
-    tick = F.floor(F.col("slot") / F.col("width"))
-    offset = tick * F.col("si_ms")
-    value = F.coalesce(F.element_at("vals", (F.col("slot") + 1).cast("int")),
-                       (F.col("b") + F.col("a") * offset).cast("float"))
+    wanted = None if tids is None else f"cast(array({', '.join(str(int(t)) for t in tids)}) AS array<int>)"
+    g = groups if wanted is None else groups.where(f"arrays_overlap(tids, {wanted})")
+    g = with_offsets(g).selectExpr("*", "unix_millis(start_time) - skip * si_ms AS __origin")
+    g = clip(g, ts_from, ts_to)
+    stored = F.expr(f"CASE WHEN mtid NOT IN {schema.CLOSED_FORM} THEN payload END")
+    g = g.withColumn("vals", values_of(F.col("mtid"), stored, F.expr("n_stored * width"), models))
     kept = list(keep)
-    out = (g.select(*kept, origin, "si_ms", "width", "tids", "vals", "a", "b", F.explode(slots).alias("slot"))
-           .select(*kept, F.element_at("tids", (F.col("slot") % F.col("width") + 1).cast("int")).alias("tid"),
-                   F.timestamp_millis(F.col(origin) + offset).alias("ts"), value.alias("value")))
+    out = (g.selectExpr(*kept, "__origin", "si_ms", "width", "tids", "vals", "a", "b",
+                        "explode(sequence(skip * width, (skip + n_ticks) * width - 1)) AS slot")
+           .selectExpr(*kept, "tids[slot % width] AS tid", "timestamp_millis(__origin + (slot div width) * si_ms) AS ts",
+                       "coalesce(vals[slot], cast(b + a * ((slot div width) * si_ms) AS float)) AS value"))
     if wanted is not None:
-        out = out.where(F.array_contains(wanted, F.col("tid")))
+        out = out.where(f"array_contains({wanted}, tid)")
     if low is not None:
         out = out.where(F.col("value") >= F.lit(low))
     if high is not None:
