@@ -30,6 +30,11 @@ def test_histogram_keeps_large_errors_in_the_last_bin(aligned, eps, last):
     assert rows[0].bin == pytest.approx((eps or 1) / 10 + 1e-6)
 
 
+def test_ceiled_histogram_is_whole(aligned):
+    rows = {r.error: r.n for r in quality.error_ceil_histogram(aligned).collect()}
+    assert rows == {i: 0 for i in range(11)} | {0: 2, 5: 1, 50: 1, None: 1}
+
+
 def test_mape_variants(aligned):
     both = aligned.where("real IS NOT NULL AND approx IS NOT NULL")
     one = {r.tid: r for r in quality.mape(both).collect()}

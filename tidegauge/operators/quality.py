@@ -68,10 +68,10 @@ def error_histogram(aligned: DataFrame, eps: float) -> DataFrame:
 
 
 def error_ceil_histogram(aligned: DataFrame) -> DataFrame:
-    """(error, n): errors rounded up; 0 to 10 are always present."""
+    """(error, n): errors rounded up; 0 to 10 are always present, infinite errors count under NULL."""
+    up = F.when(F.col("e") < float("inf"), F.ceil("e"))
     counts = (aligned.where("real IS NOT NULL AND approx IS NOT NULL").withColumn("e", error())
-              .where(F.col("e") < float("inf"))
-              .groupBy(F.ceil("e").alias("error")).agg(F.count(F.lit(1)).alias("n")))
+              .groupBy(up.alias("error")).agg(F.count(F.lit(1)).alias("n")))
     bins = aligned.sparkSession.range(11).withColumnRenamed("id", "error")
     return bins.join(counts, "error", "full_outer").select("error", F.coalesce("n", F.lit(0)).alias("n"))
 
