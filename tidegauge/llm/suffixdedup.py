@@ -89,6 +89,7 @@ def anchor_blobs(length: int, buckets: int):
     """Each batch of documents as one row a bucket: documents with their numbers of segments, then anchors and ordinals."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column("doc_id").is_valid())
             ids, keys = _key_columns(batch)
             rows, anchors, ordinals = [], [], []
             for a, _, data, offsets in T.text_pieces(batch.column("text")):
@@ -148,6 +149,7 @@ def segment_blobs(length: int, buckets: int):
     """The bytes of all segments that shared_anchors() named, one row a batch and bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column("ordinals").is_valid())
             ids, keys = _key_columns(batch)
             wanted = [np.frombuffer(b"".join(x or ()), np.int32) for x in batch.column("ordinals").to_pylist()]
             for a, b, data, offsets in T.text_pieces(batch.column("text"), 2 * T.PIECE_BYTES):
@@ -173,6 +175,22 @@ def segment_blobs(length: int, buckets: int):
     return run
 
 
+class Ranks:
+    """Marked rows as bits with counts of the marks before each word: how many marks stand at or before a row."""
+
+    def __init__(self, rows: np.ndarray, n: int):
+        flags = np.zeros((n >> 6) + 1 << 6, bool)
+        flags[rows] = True
+        self.words = np.packbits(flags, bitorder="little").view(np.uint64)
+        counts = np.bitwise_count(self.words).astype(np.int64)
+        self.before = (np.cumsum(counts) - counts).astype(np.int32)
+
+    def __call__(self, row: np.ndarray) -> np.ndarray:
+        word = row >> 6
+        upto = np.uint64(0xFFFFFFFFFFFFFFFF) >> (63 - (row & 63)).astype(np.uint64)
+        return self.before[word] + np.bitwise_count(self.words[word] & upto)
+
+
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of strings that end in a zero byte, with the suffix array at run ends.
 
@@ -182,48 +200,48 @@ class RunLengthIndex:
     def __init__(self, symbols: np.ndarray, length: int):
         suffixes, ranks = suffix_array(symbols, length)
         n = len(symbols)
-        last = symbols[suffixes - 1]
-        self.starts = np.append(_groups(last), n)
-        self.heads = last[self.starts[:-1]]
-        sizes = np.diff(self.starts)
+        last = symbols[suffixes - 1]  # the symbol before; position 0 follows the last
+        self.starts = _groups(last)
+        self.heads = last[self.starts]
+        self.runs = Ranks(self.starts, n)
+        ends = np.append(self.starts[1:], n)
+        sizes = ends - self.starts
         # row of the first symbol of each run in the sorted column: smaller symbols, then equal ones of earlier runs
         order = np.argsort(self.heads, kind="stable")
         before = np.cumsum(sizes[order]) - sizes[order]
         self.steps = np.empty(len(sizes), np.int64)
         self.steps[order] = before
-        self.first_sample, self.last_sample = suffixes[self.starts[:-1]], suffixes[self.starts[1:] - 1]
+        self.steps -= self.starts
+        self.first_sample, self.last_sample = suffixes[self.starts], suffixes[ends - 1]
         self.entries = suffixes[:np.count_nonzero(symbols == 0)]  # positions of the end marks, the smallest suffixes
         depth = ranks[0]
         shift = length - depth
-        near, far = ranks[1][suffixes], ranks[1][np.minimum(suffixes + shift, n - 1)]
-        self.classes = _groups(near, far)
+        near, far = ranks[1][suffixes], ranks[1][np.minimum(suffixes + np.int32(shift), n - 1)]
+        classes = _groups(near, far)
+        self.n_classes, self.classes = len(classes), Ranks(classes, n)
 
-    def run_of(self, row: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, row, "right") - 1
-
-    def back(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of the suffixes one symbol longer, and that symbol."""
-        run = self.run_of(row)
-        return self.steps[run] + row - self.starts[run], self.heads[run]
+    def back(self, row: np.ndarray) -> np.ndarray:
+        """The rows of the suffixes one symbol longer."""
+        return row + self.steps[self.runs(row) - 1]
 
     def class_of(self, row: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.classes, row, "right") - 1
+        return self.classes(row) - 1
 
 
 def suffix_array(symbols: np.ndarray, length: int) -> tuple[np.ndarray, tuple[int, np.ndarray]]:
     """Suffixes in order by doubling; and the largest depth of at most `length` reached, with the ranks at that depth.
 
     Suffixes compare as on a circle. Strings of bounded length end in zeros, so a few doublings tell all apart but
-    equal ones; those keep their order of position, turned by the circle alike.
+    equal ones, and distinct strings leave none. Ranks take 31 bits, so a bucket holds less than 2 GB.
     """
     n = len(symbols)
     padded = np.concatenate([symbols, symbols[:8]])
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | padded[j:j + n].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key).astype(np.int32)
     heads = _groups(key[order])
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
     depth, kept = 8, None
     if depth * 2 > length:
@@ -234,10 +252,10 @@ def suffix_array(symbols: np.ndarray, length: int) -> tuple[np.ndarray, tuple[in
         open_rows = np.flatnonzero(tied)
         if len(open_rows) and depth < n:
             at = order[open_rows]
-            following = at + depth
+            following = at + np.int32(depth)
             following[following >= n] -= n
             own, pair = rank[at], rank[following]
-            turn = np.lexsort((pair, own)) if n > 1 << 31 else np.argsort((own.astype(np.uint64) << np.uint64(32)) | pair.astype(np.uint64), kind="stable")
+            turn = np.argsort((own.astype(np.uint64) << np.uint64(32)) | pair.astype(np.uint64))
             at, own, pair = at[turn], own[turn], pair[turn]
             order[open_rows] = at
             new = _groups(own, pair)
@@ -280,11 +298,11 @@ def smallest_holders(content: np.ndarray, sizes: np.ndarray, holders: np.ndarray
     row, ordered = row[left], sizes[left]
     for step in range(1, int(ordered[0]) + 1):
         alive = int(np.searchsorted(-ordered, -step, "right"))
-        row[:alive], _ = index.back(row[:alive])
+        row[:alive] = index.back(row[:alive])
         if step >= length:
             which = left[:alive]
             classes[firsts[which] + sizes[which] - step] = index.class_of(row[:alive])
-    lowest = np.full(len(index.classes), np.iinfo(np.int64).max)
+    lowest = np.full(index.n_classes, np.iinfo(np.int64).max)
     np.minimum.at(lowest, classes, np.repeat(holders, per))
     return lowest[classes], firsts
 
@@ -347,20 +365,20 @@ def merged(spans: np.ndarray) -> np.ndarray:
 def repeated_spans(documents: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, text_key, marks): spans of bytes that documents with a smaller doc_id hold too, as packed pairs of int64."""
     spark = documents.sparkSession
-    keyed = _keyed(documents)
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = _keyed(documents)
     few, many = (max(least, total // size) for size in BUCKET_BYTES.values())
     anchors = keyed.mapInArrow(anchor_blobs(length, few), _ddl(ANCHORS))
     shared = anchors.groupBy("bucket").applyInArrow(shared_anchors, _ddl(ORDINALS))
     shared = shared.groupBy("doc_id", "text_key").agg(F.collect_list("ordinals").alias("ordinals"))
-    held = keyed.join(shared, ["doc_id", "text_key"])
+    held = keyed.join(shared, ["doc_id", "text_key"], "left")  # as the last join: both read one exchange of texts
     blobs = held.mapInArrow(segment_blobs(length, many), _ddl(SEGMENTS))
     return blobs.groupBy("bucket").applyInArrow(mark_bucket(length), _ddl(MARKS))
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash("text").alias("text_key"), "text")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash("text").alias("text_key"), "text")
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -388,7 +406,4 @@ def remove_repeats(documents: DataFrame, length: int = 50, digest: bool = False)
     document with a smaller doc_id, judged on the input.
     """
     marks = repeated_spans(documents, length).groupBy("doc_id", "text_key").agg(F.collect_list("marks").alias("marks"))
-    keyed = _keyed(documents).join(marks, ["doc_id", "text_key"], "left")
-    unnamed = documents.where(F.col("doc_id").isNull()).select(
-        F.lit(None).cast("bigint").alias("doc_id"), F.hash("text").alias("text_key"), "text", F.lit(None).cast("array<binary>").alias("marks"))
-    return keyed.unionByName(unnamed).mapInArrow(_cut(digest), _ddl(RESULT))
+    return _keyed(documents).join(marks, ["doc_id", "text_key"], "left").mapInArrow(_cut(digest), _ddl(RESULT))
