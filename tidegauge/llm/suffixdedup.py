@@ -4,8 +4,8 @@ Strings of `length` bytes that agree have the same smallest hash of their `GRAM`
 
 1. Every maximal run of windows with one anchor (a segment) sends its anchor to a bucket; anchors of two documents survive.
 2. The segments of surviving anchors go to a bucket of that anchor, so that all equal windows meet.
-3. Each bucket collapses equal segments, builds a suffix array of the rest, keeps its Burrows-Wheeler transform as runs
-   with sampled ends, and streams the segments backwards over the runs. The row reached at a byte tells its class: the
+3. Each bucket collapses equal segments; one that is alone with its anchor can match nothing but its copies. Of the rest
+   the bucket builds a suffix array, keeps its Burrows-Wheeler transform as runs with sampled ends, and streams the segments backwards over the runs. The row reached at a byte tells its class: the
    suffixes around it that agree over `length` bytes or more. A window whose class holds a smaller document is marked.
 4. Marks return to their documents, where overlapping ones join.
 
@@ -28,7 +28,7 @@ from tidegauge.llm import text as T
 
 GRAM = 16
 SEGMENT_WINDOWS = 64
-BUCKET_BYTES = {"anchors": 1 << 25, "segments": 1 << 23}
+BUCKET_BYTES = {"anchors": 1 << 25, "segments": 1 << 22}
 KEYS = [("doc_id", pa.int64()), ("text_key", pa.int32())]
 
 
@@ -137,7 +137,7 @@ def shared_anchors(table: pa.Table) -> pa.Table:
                                  T.binary([ordinal[a:b].tobytes() for a, b in zip(heads, ends)])], schema=ORDINALS)
 
 
-SEGMENTS = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("ids", "keys", "starts", "sizes", "content")])
+SEGMENTS = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("ids", "keys", "starts", "sizes", "anchors", "content")])
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ def segment_blobs(length: int, buckets: int):
             batch = batch.filter(batch.column("ordinals").is_valid())
             ids, keys = _key_columns(batch)
             wanted = [np.frombuffer(b"".join(x or ()), np.int32) for x in batch.column("ordinals").to_pylist()]
-            for a, b, data, offsets in T.text_pieces(batch.column("text"), 2 * T.PIECE_BYTES):
+            for a, b, data, offsets in T.text_pieces(batch.column("text")):
                 row, first, size, anchor = segments(data, offsets, length)
                 begins = np.searchsorted(row, np.arange(b - a + 1))
                 here = [w[w < e - s] + s for w, s, e in zip(wanted[a:b], begins[:-1], begins[1:])]
@@ -168,10 +168,10 @@ def segment_blobs(length: int, buckets: int):
                 ends = np.append(0, np.cumsum(size))
                 content = _gather(data, start, size)
                 columns = {"ids": ids[a + rows].astype(np.int64), "keys": keys[a + rows].astype(np.int32),
-                           "starts": (start - offsets[rows]).astype(np.int64), "sizes": size.astype(np.int32)}
+                           "starts": (start - offsets[rows]).astype(np.int64), "sizes": size.astype(np.int32), "anchors": anchor[pick].astype(np.uint32)}
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32())] + [
                     T.binary([v[edges[x]:edges[x + 1]].tobytes() for x in used]) for v in columns.values()] + [
-                    T.binary([content[ends[edges[x]]:ends[edges[x + 1]]].tobytes() for x in used])], schema=SEGMENTS)
+                    T.binary([pa.compress(content[ends[edges[x]]:ends[edges[x + 1]]], "zstd", asbytes=True) for x in used])], schema=SEGMENTS)
     return run
 
 
@@ -275,10 +275,10 @@ def suffix_array(symbols: np.ndarray, length: int) -> tuple[np.ndarray, tuple[in
 MARKS = pa.schema(KEYS + [("marks", pa.binary())])
 
 
-def smallest_holders(content: np.ndarray, sizes: np.ndarray, holders: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def smallest_holders(content: np.ndarray, sizes: np.ndarray, holders: np.ndarray, length: int) -> np.ndarray:
     """For every window of distinct strings the smallest holder of any string with that window.
 
-    Also returns the first window of every string. The matching statistics of all strings against the index are streamed
+    The matching statistics of all strings against the index are streamed
     together, from their ends backwards: each step moves the row of every string over the runs.
     """
     count = len(sizes)
@@ -304,27 +304,35 @@ def smallest_holders(content: np.ndarray, sizes: np.ndarray, holders: np.ndarray
             classes[firsts[which] + sizes[which] - step] = index.class_of(row[:alive])
     lowest = np.full(index.n_classes, np.iinfo(np.int64).max)
     np.minimum.at(lowest, classes, np.repeat(holders, per))
-    return lowest[classes], firsts
+    return lowest[classes]
 
 
 def mark_bucket(length: int):
     def run(table: pa.Table) -> pa.Table:
         ids, keys, starts, sizes = (_column(table, c, t) for c, t in (("ids", np.int64), ("keys", np.int32), ("starts", np.int64), ("sizes", np.int32)))
         sizes = sizes.astype(np.int64)
-        hashes, blobs = [], [np.frombuffer(b, np.uint8) for b in table["content"].to_pylist()]
-        for blob, own in zip(blobs, table["sizes"].to_pylist()):
+        anchors = _column(table, "anchors", np.uint32)
+        hashes, blobs = [], []
+        for packed, own in zip(table["content"].to_pylist(), table["sizes"].to_pylist()):
             ends = np.cumsum(np.frombuffer(own, np.int32).astype(np.int64))
-            hashes.append(T.span_hashes(T.rolling(blob), np.append(0, ends[:-1]), ends))
+            blobs.append(np.frombuffer(pa.decompress(packed, int(ends[-1]), "zstd", asbytes=True), np.uint8))
+            hashes.append(T.span_hashes(T.rolling(blobs[-1]), np.append(0, ends[:-1]), ends))
         hashed = np.concatenate(hashes)
         content, begins = np.concatenate(blobs), np.cumsum(sizes) - sizes
-        order = np.lexsort((ids, hashed))
-        heads = _groups(hashed[order])
+        order = np.lexsort((ids, hashed, anchors))
+        heads = _groups(anchors[order], hashed[order])
         group = np.empty(len(order), np.int64)
         group[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
         lead = order[heads]
-        lowest, firsts = smallest_holders(_gather(content, begins[lead], sizes[lead]), sizes[lead], ids[lead], length)
-        # per distinct string: maximal stretches of windows with one smallest holder
         per = sizes[lead] - length + 1
+        firsts = np.cumsum(per) - per
+        lowest = np.repeat(ids[lead], per)
+        family = _groups(anchors[lead])
+        many = np.repeat(np.diff(np.append(family, len(lead))) > 1, np.diff(np.append(family, len(lead))))
+        if many.any():
+            some = lead[many]
+            lowest[np.repeat(many, per)] = smallest_holders(_gather(content, begins[some], sizes[some]), sizes[some], ids[some], length)
+        # per distinct string: maximal stretches of windows with one smallest holder
         string = np.repeat(np.arange(len(lead)), per)
         cuts = _groups(string, lowest)
         upto = np.append(cuts, len(string))[1:]
