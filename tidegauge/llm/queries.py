@@ -1,8 +1,9 @@
 """Registered queries of the corpus operators: production parameters over whole tables."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidegauge.llm import suffixdedup
+from tidegauge.llm import bpe, jaccard, suffixdedup, tokencount
 
 QUERIES, ORACLES = {}, {}
 
@@ -25,3 +26,22 @@ def op8_suffix_dedup(spark, sf_dir):
     """Bytes of 50-byte strings that an earlier document holds are cut."""
     d = suffixdedup.remove_repeats(load(spark, sf_dir, "documents"), 50, digest=True)
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
+
+
+@add("op2_bpe_round_trip")
+def op2_bpe_round_trip(spark, sf_dir):
+    """Ids and decoded text of every document, as digests."""
+    return bpe.digests(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@add("op9_ngram_jaccard_join")
+def op9_ngram_jaccard_join(spark, sf_dir):
+    """Classes of documents linked by 5-word shingles at a similarity of 0.8."""
+    return jaccard.near_duplicates(load(spark, sf_dir, "documents"), 5, 80)
+
+
+@add("op10_token_counts")
+def op10_token_counts(spark, sf_dir):
+    """Pieces of the best unigram segmentation of every document."""
+    pieces = tokencount.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencount.token_counts(load(spark, sf_dir, "documents"), pieces)

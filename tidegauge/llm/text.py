@@ -142,3 +142,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.n
 
 def binary(items) -> pa.Array:
     return pa.array(items, pa.binary())
+
+
+class Memo(dict):
+    """Results of a function by key, at most `limit` of them; then it starts anew."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
