@@ -116,25 +116,60 @@ def anchor_blobs(length: int, buckets: int):
     return run
 
 
-ORDINALS = pa.schema(KEYS + [("ordinals", pa.binary())])
+# Values for documents, packed by groups of documents: a row a bucket and group, however many documents a bucket knows.
+PACKED = pa.schema([("group", pa.int32())] + [(c, pa.binary()) for c in ("ids", "keys", "counts", "values")])
 
 
-def shared_anchors(table: pa.Table) -> pa.Table:
+def pack(ids: np.ndarray, keys: np.ndarray, values: np.ndarray, groups: int) -> pa.Table:
+    """Values (rows of int64) of documents as PACKED rows."""
+    group = (T.mix(ids) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((keys, ids, group))
+    group, ids, keys, values = group[order], ids[order], keys[order], values[order]
+    heads = _groups(group, ids, keys)
+    counts = np.diff(np.append(heads, len(ids))).astype(np.int32)
+    edges, tops = np.searchsorted(group, np.arange(groups + 1)), np.searchsorted(group[heads], np.arange(groups + 1))
+    used = np.flatnonzero(np.diff(edges))
+    columns = (ids[heads].astype(np.int64), tops), (keys[heads].astype(np.int32), tops), (counts, tops), (values.astype(np.int64), edges)
+    return pa.Table.from_arrays([pa.array(used, pa.int32())] + [
+        T.binary([pa.compress(v[e[g]:e[g + 1]].tobytes(), "zstd", asbytes=True) if n == 3 else v[e[g]:e[g + 1]].tobytes() for g in used])
+        for n, (v, e) in enumerate(columns)], schema=PACKED)
+
+
+UNPACKED = pa.schema(KEYS + [("found", pa.binary())])
+
+
+def unpack(width: int):
+    """Of one group: a row a document with all its values."""
+    def run(table: pa.Table) -> pa.Table:
+        counts = [np.frombuffer(x, np.int32) for x in table["counts"].to_pylist()]
+        values = [np.frombuffer(pa.decompress(x, int(c.sum()) * 8 * width, "zstd"), np.int64) for x, c in zip(table["values"].to_pylist(), counts)]
+        counts, values = np.concatenate(counts), np.concatenate(values).reshape(-1, width)
+        ids, keys = np.repeat(_column(table, "ids", np.int64), counts), np.repeat(_column(table, "keys", np.int32), counts)
+        order = np.lexsort((values[:, 0], keys, ids))
+        ids, keys, values = ids[order], keys[order], values[order]
+        heads = _groups(ids, keys)
+        return pa.Table.from_arrays([pa.array(ids[heads]), pa.array(keys[heads], pa.int32()),
+                                     T.binary([values[a:b].tobytes() for a, b in zip(heads, np.append(heads, len(ids))[1:])])], schema=UNPACKED)
+    return run
+
+
+def by_document(packed: DataFrame, width: int) -> DataFrame:
+    return packed.groupBy("group").applyInArrow(unpack(width), _ddl(UNPACKED))
+
+
+def shared_anchors(groups: int):
     """Of one bucket: for every document the ordinals of its segments whose anchor another document has too."""
-    counts = _column(table, "counts", np.int32)
-    ids, keys = (np.repeat(_column(table, c, t), counts) for c, t in (("ids", np.int64), ("keys", np.int32)))
-    anchor, ordinal = _column(table, "anchors", np.uint32), _column(table, "ordinals", np.int32)
-    order = np.argsort(anchor, kind="stable")
-    heads = _groups(anchor[order])
-    by = ids[order]
-    many = np.minimum.reduceat(by, heads) != np.maximum.reduceat(by, heads) if len(heads) else np.zeros(0, bool)
-    keep = order[np.repeat(many, np.diff(np.append(heads, len(order))))]
-    keep = keep[np.lexsort((ordinal[keep], keys[keep], ids[keep]))]
-    ids, keys, ordinal = ids[keep], keys[keep], ordinal[keep]
-    heads = _groups(ids, keys)
-    ends = np.append(heads, len(ids))[1:]
-    return pa.Table.from_arrays([pa.array(ids[heads]), pa.array(keys[heads], pa.int32()),
-                                 T.binary([ordinal[a:b].tobytes() for a, b in zip(heads, ends)])], schema=ORDINALS)
+    def run(table: pa.Table) -> pa.Table:
+        counts = _column(table, "counts", np.int32)
+        ids, keys = (np.repeat(_column(table, c, t), counts) for c, t in (("ids", np.int64), ("keys", np.int32)))
+        anchor, ordinal = _column(table, "anchors", np.uint32), _column(table, "ordinals", np.int32)
+        order = np.argsort(anchor, kind="stable")
+        heads = _groups(anchor[order])
+        by = ids[order]
+        many = np.minimum.reduceat(by, heads) != np.maximum.reduceat(by, heads) if len(heads) else np.zeros(0, bool)
+        keep = order[np.repeat(many, np.diff(np.append(heads, len(order))))]
+        return pack(ids[keep], keys[keep], ordinal[keep], groups)
+    return run
 
 
 SEGMENTS = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("ids", "keys", "starts", "sizes", "anchors", "content")])
@@ -149,9 +184,10 @@ def segment_blobs(length: int, buckets: int):
     """The bytes of all segments that shared_anchors() named, one row a batch and bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column("ordinals").is_valid())
+            batch = batch.filter(batch.column("found").is_valid())
             ids, keys = _key_columns(batch)
-            wanted = [np.frombuffer(b"".join(x or ()), np.int32) for x in batch.column("ordinals").to_pylist()]
+            wanted = [np.frombuffer(x, np.int64) for x in batch.column("found").to_pylist()]
+            found, contents = [], []
             for a, b, data, offsets in T.text_pieces(batch.column("text")):
                 row, first, size, anchor = segments(data, offsets, length)
                 begins = np.searchsorted(row, np.arange(b - a + 1))
@@ -159,19 +195,24 @@ def segment_blobs(length: int, buckets: int):
                 pick = np.concatenate(here) if here else np.zeros(0, np.int64)
                 if not len(pick):
                     continue
-                bucket = bucket_of(anchor[pick], buckets)
-                order = np.argsort(bucket, kind="stable")
-                pick, bucket = pick[order], bucket[order]
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                used = np.flatnonzero(np.diff(edges))
-                rows, start, size = row[pick], first[pick], size[pick] + length - 1
-                ends = np.append(0, np.cumsum(size))
-                content = _gather(data, start, size)
-                columns = {"ids": ids[a + rows].astype(np.int64), "keys": keys[a + rows].astype(np.int32),
-                           "starts": (start - offsets[rows]).astype(np.int64), "sizes": size.astype(np.int32), "anchors": anchor[pick].astype(np.uint32)}
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32())] + [
-                    T.binary([v[edges[x]:edges[x + 1]].tobytes() for x in used]) for v in columns.values()] + [
-                    T.binary([pa.compress(content[ends[edges[x]]:ends[edges[x + 1]]], "zstd", asbytes=True) for x in used])], schema=SEGMENTS)
+                start, sized = first[pick], size[pick] + length - 1
+                found.append((ids[a + row[pick]], keys[a + row[pick]], start - offsets[row[pick]], sized, anchor[pick]))
+                contents.append(_gather(data, start, sized))
+            if not found:
+                continue
+            of, key, start, size, anchor = (np.concatenate(c) for c in zip(*found))
+            bucket = bucket_of(anchor, buckets)
+            order = np.argsort(bucket, kind="stable")
+            begin = np.cumsum(size) - size
+            size, edges = size[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            content = _gather(np.concatenate(contents), begin[order], size)
+            ends = np.append(0, np.cumsum(size))
+            used = np.flatnonzero(np.diff(edges))
+            columns = (of.astype(np.int64), key.astype(np.int32), start.astype(np.int64), None, anchor.astype(np.uint32))
+            ordered = [size.astype(np.int32) if c is None else c[order] for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32())] + [
+                T.binary([v[edges[x]:edges[x + 1]].tobytes() for x in used]) for v in ordered] + [
+                T.binary([pa.compress(content[ends[edges[x]]:ends[edges[x + 1]]], "zstd", asbytes=True) for x in used])], schema=SEGMENTS)
     return run
 
 
@@ -272,9 +313,6 @@ def suffix_array(symbols: np.ndarray, length: int) -> tuple[np.ndarray, tuple[in
             kept = (depth, rank.copy())
 
 
-MARKS = pa.schema(KEYS + [("marks", pa.binary())])
-
-
 def smallest_holders(content: np.ndarray, sizes: np.ndarray, holders: np.ndarray, length: int) -> np.ndarray:
     """For every window of distinct strings the smallest holder of any string with that window.
 
@@ -307,7 +345,8 @@ def smallest_holders(content: np.ndarray, sizes: np.ndarray, holders: np.ndarray
     return lowest[classes]
 
 
-def mark_bucket(length: int):
+def mark_bucket(length: int, groups: int):
+    """Of one bucket: the marked spans of every document."""
     def run(table: pa.Table) -> pa.Table:
         ids, keys, starts, sizes = (_column(table, c, t) for c, t in (("ids", np.int64), ("keys", np.int32), ("starts", np.int64), ("sizes", np.int32)))
         sizes = sizes.astype(np.int64)
@@ -346,12 +385,7 @@ def mark_bucket(length: int):
         copy, pick = copy[keep], pick[keep]
         base = starts[copy] - firsts[of[pick]]
         low, high = base + cuts[pick], base + upto[pick] + length - 1
-        order = np.lexsort((low, keys[copy], ids[copy]))
-        copy, spans = copy[order], np.stack([low[order], high[order]], 1)
-        heads = _groups(ids[copy], keys[copy])
-        ends = np.append(heads, len(copy))[1:]
-        return pa.Table.from_arrays([pa.array(ids[copy[heads]], pa.int64()), pa.array(keys[copy[heads]], pa.int32()),
-                                     T.binary([spans[a:b].tobytes() for a, b in zip(heads, ends)])], schema=MARKS)
+        return pack(ids[copy], keys[copy], np.stack([low, high], 1), groups)
     return run
 
 
@@ -371,18 +405,17 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(documents: DataFrame, length: int = 50) -> DataFrame:
-    """(doc_id, text_key, marks): spans of bytes that documents with a smaller doc_id hold too, as packed pairs of int64."""
+    """(doc_id, text_key, found): spans of bytes that documents with a smaller doc_id hold too, as packed pairs of int64."""
     spark = documents.sparkSession
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(documents)
     few, many = (max(least, total // size) for size in BUCKET_BYTES.values())
     anchors = keyed.mapInArrow(anchor_blobs(length, few), _ddl(ANCHORS))
-    shared = anchors.groupBy("bucket").applyInArrow(shared_anchors, _ddl(ORDINALS))
-    shared = shared.groupBy("doc_id", "text_key").agg(F.collect_list("ordinals").alias("ordinals"))
+    shared = by_document(anchors.groupBy("bucket").applyInArrow(shared_anchors(few), _ddl(PACKED)), 1)
     held = keyed.join(shared, ["doc_id", "text_key"], "left")  # as the last join: both read one exchange of texts
     blobs = held.mapInArrow(segment_blobs(length, many), _ddl(SEGMENTS))
-    return blobs.groupBy("bucket").applyInArrow(mark_bucket(length), _ddl(MARKS))
+    return by_document(blobs.groupBy("bucket").applyInArrow(mark_bucket(length, few), _ddl(PACKED)), 2)
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -397,8 +430,8 @@ def _cut(digest: bool):
         for batch in batches:
             data, offsets = T.buffer_of(batch.column("text"))
             out = []
-            for marks, a, b in zip(batch.column("marks").to_pylist(), offsets[:-1], offsets[1:]):
-                spans = merged(np.frombuffer(b"".join(marks or ()), np.int64).reshape(-1, 2))
+            for found, a, b in zip(batch.column("found").to_pylist(), offsets[:-1], offsets[1:]):
+                spans = merged(np.frombuffer(found or b"", np.int64).reshape(-1, 2))
                 edges = np.concatenate([[0], spans.ravel(), [b - a]])
                 kept = b"".join(data[a + x:a + y].tobytes() for x, y in zip(edges[::2], edges[1::2]))
                 out.append((int(b - a), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(kept).hexdigest().encode() if digest else kept))
@@ -413,5 +446,5 @@ def remove_repeats(documents: DataFrame, length: int = 50, digest: bool = False)
     One row for every row of documents(doc_id, text). A byte goes if a string of `length` bytes over it also starts in a
     document with a smaller doc_id, judged on the input.
     """
-    marks = repeated_spans(documents, length).groupBy("doc_id", "text_key").agg(F.collect_list("marks").alias("marks"))
-    return _keyed(documents).join(marks, ["doc_id", "text_key"], "left").mapInArrow(_cut(digest), _ddl(RESULT))
+    found = repeated_spans(documents, length)
+    return _keyed(documents).join(found, ["doc_id", "text_key"], "left").mapInArrow(_cut(digest), _ddl(RESULT))
