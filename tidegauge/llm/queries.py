@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, jaccard, suffixdedup, tokencount
+from tidegauge.llm import bpe, jaccard, langid, suffixdedup, tokencount, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -21,6 +21,33 @@ def load(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def held_out():
+    """The rows that nothing is learned from; a row without id is in neither part."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def learnable():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 != 1, F.lit(False))
+
+
+@add("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    """Nearest centroid of every document; `rejected` tells which lie too far from it."""
+    documents = load(spark, sf_dir, "documents")
+    model = langid.fit(documents.where(learnable()))
+    d = langid.predict(documents, model)
+    return d.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@add("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    """Score of every document by a classifier of the labelled ones."""
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, load(spark, sf_dir, "labels").where(learnable()))
+    d = toxicity.score(documents, model)
+    return d.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @add("op8_suffix_dedup")
 def op8_suffix_dedup(spark, sf_dir):
     """Bytes of 50-byte strings that an earlier document holds are cut."""
