@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, types as S
 from tidegauge.llm.text import Memo, worker_memo
 
 MEMO_WORDS = 400_000
+ROWS = 512
 # White space of the file's patterns, contractions that are words of their own, bytes that stand for themselves.
 WHITE = "\t-\r \x85\xa0  -     　"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -152,20 +153,23 @@ def decode(tokens: DataFrame, path: str, column: str = "ids") -> DataFrame:
     return rest.mapInArrow(run, S.StructType([*rest.schema.fields, S.StructField("decoded", S.StringType())]))
 
 
-def digests(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass, where ids needn't leave the task."""
+def digests(documents: DataFrame, path: str, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and with `ids` the ids: encode and decode in one pass."""
     shared = _file(documents, path)
+    names, kinds = ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()]
+    ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches):
         coder = _coder(shared, path)
         sha = hashlib.sha256
         for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                ids = coder.encode(text.as_py() or "")
-                rows.append((len(ids), sha(coder.numbered(ids).encode()).hexdigest(), sha(coder.decode(ids).encode()).hexdigest()))
-            n, a, b = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+            for start in range(0, batch.num_rows, ROWS):
+                part, rows, kept = batch.slice(start, ROWS), [], []
+                for text in part.column("text"):
+                    found = coder.encode(text.as_py() or "")
+                    rows.append((len(found), sha(coder.numbered(found).encode()).hexdigest(), sha(coder.decode(found).encode()).hexdigest()))
+                    if ids:
+                        kept.append(found)
+                columns = [part.column("doc_id")] + [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * ids, names=["doc_id", *names] + ["ids"] * ids)
+    return documents.select("doc_id", "text").mapInArrow(run, ddl)

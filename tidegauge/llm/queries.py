@@ -3,7 +3,10 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, jaccard, langid, suffixdedup, tokencount, toxicity
+from tidegauge.llm import ann, bpe, decontaminate, jaccard, langid, linededup, suffixdedup, tokencount, toxicity, warc
+
+# Fixed value: the date that the records of the pages table bear, which has none.
+FETCHED = "2024-01-01T00:00:00Z"
 
 QUERIES, ORACLES = {}, {}
 
@@ -48,6 +51,34 @@ def op3_toxicity(spark, sf_dir):
     return d.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@add("op4_decontamination")
+def op4_decontamination(spark, sf_dir):
+    """Documents with a benchmark item, also with other numbers, names or units."""
+    d = decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return d.select("doc_id", "item_id", "words", "matched", "renamed").distinct()
+
+
+@add("op5_warc_derivatives")
+def op5_warc_derivatives(spark, sf_dir):
+    """The metadata and conversion record of every page's response, as digests."""
+    d = warc.derive(warc.responses(load(spark, sf_dir, "pages"), FETCHED))
+    return d.select("record_id", "warc_type", "target_uri", "refers_to", F.octet_length("block").cast("bigint").alias("n_bytes"), "block_digest", "source_block_digest",
+                    "source_payload_digest")
+
+
+@add("op6_cross_polytope_ann")
+def op6_cross_polytope_ann(spark, sf_dir):
+    """The 20 nearest of every twentieth vector."""
+    return ann.neighbours(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@add("op7_line_dedup", linededup.ORACLE_SQL)
+def op7_line_dedup(spark, sf_dir):
+    """Lines of runs of three or more that stand earlier are cut."""
+    d = linededup.remove_repeated_runs(load(spark, sf_dir, "documents").select("doc_id", "text"), 3)
+    return d.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @add("op8_suffix_dedup")
 def op8_suffix_dedup(spark, sf_dir):
     """Bytes of 50-byte strings that an earlier document holds are cut."""
