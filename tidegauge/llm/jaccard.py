@@ -445,3 +445,18 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     out = sketches.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(member, "set_key", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id")).alias("component_id"))
+
+
+# The same rows in DuckDB.
+ORACLE_SQL = """WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x20\\x09-\\x0D]+') w FROM documents),
+ shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM words WHERE len(w) > 0)),
+ sizes AS (SELECT doc_id, count(*) n FROM shingles GROUP BY 1),
+ shared AS (SELECT s FROM shingles GROUP BY 1 HAVING count(*) > 1),
+ met AS (SELECT doc_id, s FROM shingles JOIN shared USING (s)),
+ pairs AS (SELECT a.doc_id x, b.doc_id y, count(*) o FROM met a JOIN met b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * o >= 80 * (p.n + q.n - o)),
+ both_ways AS MATERIALIZED (SELECT x, y FROM links UNION SELECT y, x FROM links),
+ reach AS (SELECT x AS a, x AS b FROM both_ways UNION SELECT a, y FROM reach JOIN both_ways ON b = x)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, w.doc_id) AS component_id FROM words w LEFT JOIN sizes ON sizes.doc_id = w.doc_id
+LEFT JOIN (SELECT a, min(b) c FROM reach GROUP BY 1) m ON m.a = w.doc_id"""

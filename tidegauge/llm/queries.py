@@ -79,7 +79,7 @@ def op7_line_dedup(spark, sf_dir):
     return d.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-@add("op8_suffix_dedup")
+@add("op8_suffix_dedup", suffixdedup.ORACLE_SQL)
 def op8_suffix_dedup(spark, sf_dir):
     """Bytes of 50-byte strings that an earlier document holds are cut."""
     d = suffixdedup.remove_repeats(load(spark, sf_dir, "documents"), 50, digest=True)
@@ -92,7 +92,7 @@ def op2_bpe_round_trip(spark, sf_dir):
     return bpe.digests(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@add("op9_ngram_jaccard_join")
+@add("op9_ngram_jaccard_join", jaccard.ORACLE_SQL)
 def op9_ngram_jaccard_join(spark, sf_dir):
     """Classes of documents linked by 5-word shingles at a similarity of 0.8."""
     return jaccard.near_duplicates(load(spark, sf_dir, "documents"), 5, 80)

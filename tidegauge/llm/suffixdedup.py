@@ -448,3 +448,18 @@ def remove_repeats(documents: DataFrame, length: int = 50, digest: bool = False)
     """
     found = repeated_spans(documents, length)
     return _keyed(documents).join(found, ["doc_id", "text_key"], "left").mapInArrow(_cut(digest), _ddl(RESULT))
+
+
+# The same rows in DuckDB.
+ORACLE_SQL = """WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+ strings AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 49))) AS i FROM hexed)),
+ first AS (SELECT s, min(doc_id) d FROM strings GROUP BY 1 HAVING count(*) > 1),
+ marks AS (SELECT doc_id, i FROM strings JOIN first USING (s) WHERE d < doc_id),
+ cuts AS (SELECT doc_id, i, i > coalesce(max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 50, -1) AS fresh FROM marks),
+ numbered AS (SELECT doc_id, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) g FROM cuts),
+ spans AS (SELECT doc_id, g, min(i) a, max(i) + 50 b FROM numbered GROUP BY 1, 2),
+ edges AS (SELECT doc_id, 0 AS a, NULL AS b FROM hexed UNION ALL SELECT doc_id, a, b FROM spans),
+ parts AS (SELECT doc_id, coalesce(b, 0) AS x, lead(a) OVER (PARTITION BY doc_id ORDER BY a, b NULLS FIRST) AS y FROM edges),
+ kept AS (SELECT doc_id, string_agg(CASE WHEN y IS NULL THEN substr(h, CAST(2 * x + 1 AS BIGINT)) ELSE substr(h, CAST(2 * x + 1 AS BIGINT), CAST(2 * (y - x) AS BIGINT)) END, '' ORDER BY x) k FROM parts JOIN hexed USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM hexed JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) r, count(*) n FROM spans GROUP BY 1) USING (doc_id)"""
