@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as S
 
 from tidegauge.llm import text as T
 from tidegauge.session import written
@@ -199,7 +199,8 @@ def fit(documents: DataFrame, labels: DataFrame, identity: dict[str, list[str]]
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, sample / max(1, sizes.get(1, 0)))).otherwise(min(1.0, sample / max(1, sizes.get(0, 0))))
     known = known.withColumn("sampled", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < share)
-    rows = documents.select("doc_id", "text").join(known, "doc_id").select("text", "toxic", "sampled")
+    # a merge join at every size: texts cross once, where a broadcast of the labels would have to end at some size
+    rows = documents.select("doc_id", "text").join(known.hint("merge"), "doc_id").select("text", "toxic", "sampled")
     evidence = written(spark, rows.mapInArrow(_evidence(identity), ROWS_DDL), "evidence")
     n, found = np.zeros(2), np.zeros((2, SLOTS))
     parts = evidence.where("kind = 0").select("toxic", "n", "slots").repartition(8)
@@ -226,5 +227,4 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(shared.value.margins(batch.column("text"))))], names=[*batch.schema.names, "score"])
-    from pyspark.sql import types as S
     return rest.mapInArrow(run, S.StructType([*rest.schema.fields, S.StructField("score", S.DoubleType())]))
