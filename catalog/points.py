@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.fixtures import Catalog, dbl, sql
 from tidegauge.functions.errors import percentage_error
-from tidegauge.operators import aggregate, regularize as rg
+from tidegauge.operators import aggregate, regularize as rg, view
+from tidegauge.operators.compress import compress
 from tidegauge.session import work_dir, written
 from tidegauge.sources import dimensions, readings
 
@@ -53,7 +54,7 @@ def read_parquet_readings(spark, sf_dir):
 
 @add("assign_tids", """SELECT CAST(dense_rank() OVER (ORDER BY s_name) AS INT) tid, s_name AS source FROM supplier""")
 def assign_tids(spark, sf_dir):
-    return readings.number_sources(fx.load(spark, sf_dir, "supplier").withColumnRenamed("s_name", "source"))
+    return readings.number_sources(fx.load(spark, sf_dir, "supplier").withColumnRenamed("s_name", "source")).select("tid", "source")
 
 
 _WIDE = """SELECT CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) datetime, sum(l_quantity) quantity,
@@ -72,12 +73,42 @@ def unpivot_signals(spark, sf_dir):
     return readings.unpivot_signals(wide).select("source", "ts", F.col("value").cast("double").alias("value"))
 
 
+# one reading a minute, a hundredth without a number, one series not listed: what a store can take and what not
+_RAW = """SELECT CAST(dense_rank() OVER (ORDER BY event_type) AS INT) tid, date_trunc('minute', ts) ts, CAST(CASE WHEN event_id % 97 = 0 THEN 'nan'::FLOAT
+ ELSE value END AS FLOAT) AS value FROM events"""
+_SPLIT = """SELECT tid, ts, value, CASE WHEN tid = 3 THEN 'unknown' WHEN isnan(value) THEN 'no number'
+ WHEN row_number() OVER (PARTITION BY tid, ts, tid <> 3 AND NOT isnan(value) ORDER BY value) > 1 THEN 'repeated' END reason FROM raw"""
+
+
+def _raw_readings(spark, sf_dir):
+    ids = fx.series_ev(spark, sf_dir)
+    value = F.when(F.col("event_id") % 97 == 0, F.lit(float("nan"))).otherwise(F.col("value")).cast("float")
+    named = fx.events(spark, sf_dir).join(ids.select("tid", F.col("source").alias("event_type")), "event_type")
+    return named.select("tid", F.date_trunc("minute", "ts").alias("ts"), value.alias("value")), ids.where("tid <> 3")
+
+
+@add("reject_readings", sql(raw=_RAW, split=_SPLIT, body="SELECT tid, coalesce(reason, 'taken') reason, count(*) n FROM split GROUP BY 1, 2"))
+def reject_readings(spark, sf_dir):
+    """Repeated times, missing numbers and unlisted series are counted, none is lost."""
+    taken, refused = rg.split_readings(*_raw_readings(spark, sf_dir))
+    return taken.withColumn("reason", F.lit("taken")).unionByName(refused).groupBy("tid", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("compress_taken", sql(raw=_RAW, split=_SPLIT, body="SELECT tid, ts, CAST(value AS DOUBLE) AS value FROM split WHERE reason IS NULL"))
+def compress_taken(spark, sf_dir):
+    """All readings that were taken come back from lossless segments."""
+    points, series = _raw_readings(spark, sf_dir)
+    taken, _ = rg.split_readings(points, series)
+    minutes = series.withColumn("si_ms", F.lit(60_000).cast("long"))
+    return _plain(view.points(compress(taken, series=minutes)))
+
+
 _PIVOT = ", ".join(f"CAST(max(CASE WHEN tid = {i} THEN value END) AS DOUBLE) s{i}" for i in range(1, 6))
 
 
 @add("pivot_signals", sql("pts_ev", body=f"SELECT ts, {_PIVOT} FROM pts_ev GROUP BY ts"))
 def pivot_signals(spark, sf_dir):
-    signals = range(1, 6)
+    signals = [r.tid for r in fx.series_ev(spark, sf_dir).orderBy("tid").collect()]
     wide = readings.pivot_signals(fx.points(spark, sf_dir, "pts_ev"), signals)
     return wide.select("ts", *[F.col(str(i)).cast("double").alias(f"s{i}") for i in signals])
 

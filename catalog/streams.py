@@ -14,8 +14,6 @@ add = CATALOG.add
 DELAY = "2 hours"
 CHUNK = 24  # hourly ticks per chunk: state leaves after a day
 EPS = 10.0
-# hours that the final watermark has closed
-CLOSED = """SELECT * FROM pts_ev WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"""
 
 
 def cores(spark):
@@ -39,19 +37,22 @@ def stream_ingest(spark, sf_dir):
 
 
 def regular(spark, sf_dir):
-    """Hourly points of a stream with series ids, written once per session."""
+    """Hourly points of a stream with series ids, completed by the windows open at its end; written once per session."""
     def build(path):
+        emitted = work_dir(spark, "stream-windows")
         hourly = ingest.regularize_stream(event_stream(prepare(spark), sf_dir), "event_type", "1 hour", DELAY)
+        ingest.run(ingest.append_to(hourly, emitted, work_dir(spark, "checkpoint"), state_partitions=cores(spark)))
+        seen = spark.read.schema("event_type string, ts timestamp, value float").parquet(emitted)
+        rest = ingest.open_windows(fx.events(spark, sf_dir), seen, "event_type", "1 hour")
         ids = fx.series_ev(spark, sf_dir).select("tid", F.col("source").alias("event_type"))
-        ingest.run(ingest.append_to(hourly.join(ids, "event_type").select("tid", "ts", "value"), path, work_dir(spark, "checkpoint"),
-                                    state_partitions=cores(spark)))
+        seen.unionByName(rest).join(ids, "event_type").select("tid", "ts", "value").write.parquet(path)
     return fx.once(spark, (sf_dir, "stream_regular"), "stream-points", build)
 
 
 POINTS_DDL = "tid int, ts timestamp, value float"
 
 
-@add("stream_regularize", sql("pts_ev", closed=CLOSED, body="SELECT tid, ts, CAST(value AS DOUBLE) AS value FROM closed"))
+@add("stream_regularize", sql("pts_ev", body="SELECT tid, ts, CAST(value AS DOUBLE) AS value FROM pts_ev"))
 def stream_regularize(spark, sf_dir):
     d = spark.read.schema(POINTS_DDL).parquet(regular(spark, sf_dir))
     return d.select("tid", "ts", F.col("value").cast("double").alias("value"))
@@ -68,10 +69,10 @@ def segmented(spark, sf_dir, latency):
     return spark.read.parquet(path)
 
 
-INVARIANTS = """SELECT tid, count(*) n_points, CAST(0 AS BIGINT) n_missing, CAST(0 AS BIGINT) n_extra, CAST(0 AS BIGINT) n_violations FROM closed GROUP BY tid"""
+INVARIANTS = """SELECT tid, count(*) n_points, CAST(0 AS BIGINT) n_missing, CAST(0 AS BIGINT) n_extra, CAST(0 AS BIGINT) n_violations FROM pts_ev GROUP BY tid"""
 
 
-@add("stream_compress", sql("pts_ev", closed=CLOSED, body=INVARIANTS))
+@add("stream_compress", sql("pts_ev", body=INVARIANTS))
 def stream_compress(spark, sf_dir):
     """Finalized segments, completed at the end of the stream by the points no segment covers."""
     points = spark.read.schema(POINTS_DDL).parquet(regular(spark, sf_dir))
@@ -80,11 +81,7 @@ def stream_compress(spark, sf_dir):
     return quality.alignment_counts(quality.align(points, view.points(finals.unionByName(rest))), EPS)
 
 
-# a tick is used once the watermark of the second stream, its latest hour, has passed its end
-SEEN = dict(emitted=CLOSED, closed="SELECT * FROM emitted WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM emitted)")
-
-
-@add("stream_latency", sql("pts_ev", **SEEN, body="SELECT tid, CAST(0 AS BIGINT) n_extra, CAST(0 AS BIGINT) n_violations FROM closed GROUP BY tid"))
+@add("stream_latency", sql("pts_ev", body="SELECT tid, CAST(0 AS BIGINT) n_extra, CAST(0 AS BIGINT) n_violations FROM pts_ev GROUP BY tid"))
 def stream_latency(spark, sf_dir):
     """Provisional segments show only points there are, within the bound."""
     points = spark.read.schema(POINTS_DDL).parquet(regular(spark, sf_dir))
@@ -92,13 +89,13 @@ def stream_latency(spark, sf_dir):
     return quality.alignment_counts(quality.align(points, view.points(temporary)), EPS).select("tid", "n_extra", "n_violations")
 
 
-@add("online_view", sql("pts_ev", **SEEN, body=INVARIANTS))
+@add("online_view", sql("pts_ev", body=INVARIANTS))
 def online_view(spark, sf_dir):
-    """Finalized and provisional segments together show every tick so far, once."""
-    shown = view.points(online.online_view(segmented(spark, sf_dir, 1)))
+    """Finalized and provisional segments, and those of ticks that the watermark has not passed, show every tick once."""
+    segments = online.online_view(segmented(spark, sf_dir, 1))
     points = spark.read.schema(POINTS_DDL).parquet(regular(spark, sf_dir))
-    horizon = points.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("t")).scalar()
-    return quality.alignment_counts(quality.align(points.where(F.col("ts") <= horizon), shown), EPS)
+    last = online.finish(points, segments, eps=EPS, si_ms=fx.SI["pts_ev"], chunk_ticks=CHUNK)
+    return quality.alignment_counts(quality.align(points, view.points(segments).unionByName(view.points(last))), EPS)
 
 
 @add("stream_late_drop", """SELECT event_type, count(*) n, round(sum(value), 4) total FROM events GROUP BY 1""")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge import schema
-from tidegauge.operators import view
+from tidegauge.operators import regularize, view
 from tidegauge.operators.compress import compress
 from tidegauge.sources import readings, store
 
@@ -23,6 +23,43 @@ def test_csv_variants(spark, tmp_path):
     assert (c.ts, c.value) == (datetime(2024, 3, 1, 11), -4.0)
 
 
+def test_numbers_of_locales(spark):
+    def read(text, locale):
+        return spark.range(1).select(readings.parse_number(F.lit(text), locale)).first()[0]
+    for text, locale in (("1,234.5", "en"), ("1.234,5", "de"), ("1.234,5", "pt-BR"), ("1 234,5", "pl"), ("1\u202f234,5", "fr"), ("1'234.5", "de-CH"), ("1 234,5", "sv"), ("1.234,5", "da_DK")):
+        assert read(text, locale) == 1234.5, locale
+    assert read("\u22121,5", "sv") == read("-1,5", "nb") == -1.5
+    for locale in ("xx", "", "fa"):
+        with pytest.raises(ValueError):
+            read("1", locale)
+
+
+def test_files_of_one_name(spark, tmp_path):
+    for folder, value in (("a", "1"), ("b", "2")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text(f"1700000000,{value}\n")
+    d = readings.read_csv(spark, str(tmp_path / "*"))
+    ids = readings.number_sources(d)
+    assert [(r.tid, r.source, r.path[-7:]) for r in ids.orderBy("tid").collect()] == [(1, "x.csv", "a/x.csv"), (2, "x.csv", "b/x.csv")]
+    assert sorted((r.tid, r.value) for r in readings.assign_tids(d, ids).collect()) == [(1, 1.0), (2, 2.0)]
+    with pytest.raises(Exception, match="not among the listed sources"):
+        readings.assign_tids(d, ids.where("tid = 1")).collect()
+
+
+def test_readings_that_cannot_be_stored_raise(spark):
+    def points(*rows):
+        return spark.createDataFrame(rows, "tid int, ms long, value float").select("tid", F.timestamp_millis("ms").alias("ts"), "value")
+    series = spark.createDataFrame([(1, 1, 1000)], "tid int, gid int, si_ms long")
+    good = (1, 0, 1.0)
+    for bad, text in (((1, 0, 2.0), "several readings"), ((1, 1000, float("nan")), "no number"), ((2, 0, 1.0), "not among the listed series")):
+        d = points(good, bad)
+        with pytest.raises(Exception, match=text):
+            compress(d, series=series).collect()
+        taken, refused = regularize.split_readings(d, series)
+        assert refused.count() == 1 and len(rows(view.points(compress(taken, series=series)))) == 1
+    assert {r.reason for r in regularize.split_readings(points(good, (1, 0, 1.0), (3, 0, 1.0), (1, 5, float("nan"))), series)[1].collect()} == {"repeated", "unknown", "no number"}
+
+
 def test_malformed_csv_raises(spark, tmp_path):
     (tmp_path / "a.csv").write_text("1700000000,nonsense\n")
     with pytest.raises(Exception):

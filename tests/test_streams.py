@@ -91,9 +91,21 @@ def test_late_rows_are_counted(spark, points, tmp_path):
         df.write.mode("append").parquet(str(tmp_path / "in"))
         d = ingest.drop_late_and_duplicates(ingest.read_stream(spark, str(tmp_path / "in"), POINTS), ["tid", "ts"], "10 minutes")
         query = ingest.append_to(d, str(tmp_path / "out"), str(tmp_path / "check"), state_partitions=2)
-        ingest.run(query)
-        return ingest.late_rows(query)
+        return late.of(query)
+    late = ingest.LateRows(spark)
     assert deliver(points) == 0
     again = points.where(F.col("ts") < datetime(2024, 1, 1, 0, 5))
     assert deliver(again) == again.count() == 15
     assert spark.read.parquet(str(tmp_path / "out")).count() == points.count()
+    late.close()
+
+
+def test_windows_open_at_the_end(spark, points, tmp_path):
+    events = points.withColumnRenamed("tid", "key").withColumn("value", F.col("value").cast("double"))
+    events.write.parquet(str(tmp_path / "in"))
+    stream = ingest.read_stream(spark, str(tmp_path / "in"), events.schema)
+    ingest.run(ingest.append_to(ingest.regularize_stream(stream, "key", "7 minutes", "20 minutes"), str(tmp_path / "out"), str(tmp_path / "check"), state_partitions=2))
+    seen = spark.read.schema("key int, ts timestamp, value float").parquet(str(tmp_path / "out"))
+    rest = ingest.open_windows(events, seen, "key", "7 minutes")
+    want = events.groupBy("key", F.window("ts", "7 minutes").start.alias("ts")).agg(F.max("value").cast("float").alias("value"))
+    assert rest.count() > 0 and sorted(map(tuple, seen.union(rest).collect())) == sorted(map(tuple, want.collect()))

@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidegauge import schema
 from tidegauge.functions.models import Constant, Linear, Xor, correlated_members, segment_run
+from tidegauge.plans.lookup import required
 from tidegauge.plans.ordered import positions
 
 CHUNK_TICKS = 4096
@@ -52,7 +53,7 @@ def with_group(points: DataFrame, series: DataFrame | None, si_ms: int | None) -
     placed = positions(meta, ["gid"], ["tid"], F.floor(F.col("tid") / 65_536))
     parts = placed.select("tid", "gid", "si_ms", F.floor((F.col("rn") - 1) / GROUP_WIDTH).cast("int").alias("part"))
     sizes = parts.groupBy("gid", "part").agg(F.count(F.lit(1)).cast("int").alias("group_size"))
-    return points.join(parts.join(sizes, ["gid", "part"]), "tid")
+    return required(points, parts.join(sizes, ["gid", "part"]), ["tid"], "series")
 
 
 def chunk_ms(si_ms: Column, group_size: Column, chunk_ticks: int) -> Column:
@@ -121,9 +122,21 @@ def _columns(table: pa.Table):
 
 
 def tick_matrix(ms, tid, value) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Times, tids and a float32 matrix (ticks x tids, NaN = gap) of one chunk."""
+    """Times, tids and a float32 matrix (ticks x tids, NaN = gap) of one chunk.
+
+    Two readings of a series in one millisecond, or a reading without a number, can't be stored and raise;
+    regularize.split_readings sorts them out beforehand.
+    """
     ticks, row = np.unique(ms, return_inverse=True)
     tids, col = np.unique(tid, return_inverse=True)
+    value = np.asarray(value, dtype=np.float32)
+    lost = np.flatnonzero(np.isnan(value))
+    if len(lost):
+        raise ValueError(f"series {tid[lost[0]]} has no number at {ms[lost[0]]} ms")
+    slots, counts = np.unique(row * len(tids) + col, return_counts=True)
+    if len(slots) < len(row):
+        twice = slots[counts > 1][0]
+        raise ValueError(f"series {tids[twice % len(tids)]} has several readings at {ticks[twice // len(tids)]} ms")
     values = np.full((len(ticks), len(tids)), np.nan, dtype=np.float32)
     values[row, col] = value
     return ticks, tids, values

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.plans.ordered import positions
+from tidegauge.session import written
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,7 @@ class Hierarchy:
     def auto_distance(self) -> float:
         """Lowest possible distance above zero."""
         if not self.levels:
-            raise ValueError("grouping by dimensions requires dimensions")
+            raise ValueError("a distance needs at least one dimension")
         return 1.0 / max(len(c) for c in self.levels.values()) / len(self.levels)
 
     def distance_of(self, shared: Mapping[str, int]) -> float:
@@ -74,7 +75,9 @@ def group_series(series: DataFrame, clauses: Sequence[Clause], hierarchy: Hierar
 
     Groups merge when all their series meet the conditions and agree on the compared levels, which
     is an equivalence, so each step is a groupBy over the series. Ids follow the smallest tid.
+    Every step but the first reads the table that the one before wrote, so plans keep their size.
     """
+    steps = 0
     hierarchy = hierarchy or Hierarchy({})
     d = series.drop("gid").withColumn("__g", F.col("tid"))
     if "scaling" not in d.columns:
@@ -89,6 +92,9 @@ def group_series(series: DataFrame, clauses: Sequence[Clause], hierarchy: Hierar
         vectors = [None] if clause.distance is None else hierarchy.level_vectors(clause.distance)
         d = d.withColumn("__was", F.col("__g"))
         for vector in vectors:
+            if steps:
+                d = written(d.sparkSession, d, "grouping")
+            steps += 1
             shared = [] if vector is None else [c for dim, n in vector.items() for c in hierarchy.levels[dim][:n]]
             d = _merge(d, allowed, [*prefix, *shared])
         d = _scale(d, clause, hierarchy)

@@ -2,8 +2,9 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidegauge.plans.lookup import required
 from tidegauge.plans.ordered import consecutive_runs, fill_forward, positions, time_bucket, with_neighbour
 
 BUCKET_MS = 3_600_000  # of series with an unknown sampling interval
@@ -20,6 +21,23 @@ def regularize(events: DataFrame, key: str, si: str = "hour", how: str = "max")
             .select(key, F.col("tick").alias("ts"), "value"))
 
 
+def split_readings(points: DataFrame, series: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Points that `compress` takes, and those it can't take with a `reason`.
+
+    Refused are readings of unlisted series (`unknown`), without time or number (`no number`: null or NaN), and all but the
+    first of several in one millisecond (`repeated`; the smallest value comes first). Both tables together are the input.
+    """
+    number = F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")) & F.col("ts").isNotNull() & F.col("tid").isNotNull()
+    d = points.withColumn("reason", F.when(~number, "no number"))
+    if series is not None:
+        listed = series.select("tid", F.lit(True).alias("__listed")).distinct()
+        d = d.join(listed, "tid", "left").withColumn("reason", F.when(F.col("__listed").isNull(), "unknown").otherwise(F.col("reason"))).drop("__listed")
+    order = Window.partitionBy("tid", F.unix_millis("ts"), F.col("reason").isNull()).orderBy("value", "ts")
+    d = d.withColumn("__n", F.row_number().over(order))
+    d = d.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("__n") > 1), "repeated").otherwise(F.col("reason"))).drop("__n")
+    return d.where("reason IS NULL").drop("reason"), d.where("reason IS NOT NULL")
+
+
 def infer_si(points: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """(tid, si_ms): the most frequent difference of consecutive timestamps, the smallest on ties."""
     d = with_neighbour(points.select("tid", "ts"), ["tid"], "ts", ["ts"], time_bucket("ts", bucket_ms))
@@ -50,7 +68,7 @@ def _ms_points(points: DataFrame, si_ms: int | None, series: DataFrame | None) -
     d = points.select("tid", F.unix_millis("ts").alias("ms"))
     if series is None:
         return d.withColumn("si_ms", F.lit(si_ms).cast("long"))
-    return d.join(series.select("tid", F.col("si_ms").cast("long").alias("si_ms")), "tid")
+    return required(d, series.select("tid", F.col("si_ms").cast("long").alias("si_ms")), ["tid"], "series")
 
 
 def _tick_bucket() -> Column:
@@ -115,7 +133,7 @@ def unscale(points: DataFrame, series: DataFrame) -> DataFrame:
 
 
 def _scaled(points, series, f):
-    d = points.join(series.select("tid", F.col("scaling").cast("float").alias("scaling")), "tid")
+    d = required(points, series.select("tid", F.col("scaling").cast("float").alias("scaling")), ["tid"], "series")
     return d.select("tid", "ts", f(F.col("value"), F.col("scaling")).cast("float").alias("value"))
 
 

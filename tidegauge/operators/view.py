@@ -61,15 +61,31 @@ def _time(t) -> Column:
     return F.lit(t).cast("timestamp") if isinstance(t, (str, datetime)) else t
 
 
-def clip(segments: DataFrame, ts_from=None, ts_to=None) -> DataFrame:
+def in_periods(segments: DataFrame, ts_from=None, ts_to=None, longest_ms: int | None = None) -> DataFrame:
+    """Drop the partitions of a store that no segment over [ts_from, ts_to] can lie in.
+
+    A segment lies in the period of its start. Those after `ts_to` hold none; with `longest_ms`, the longest time that a
+    segment covers (a chunk), neither do those that end before `ts_from` less that time. Periods are at most a year.
+    """
+    if "period" not in segments.columns:
+        return segments
+    if isinstance(ts_to, (str, datetime)):
+        segments = segments.where(F.col("period") <= F.to_date(_time(ts_to)))
+    if isinstance(ts_from, (str, datetime)) and longest_ms is not None:
+        start = F.timestamp_millis(F.unix_millis(_time(ts_from)) - longest_ms)
+        segments = segments.where(F.col("period") > F.add_months(F.to_date(start), -12))
+    return segments
+
+
+def clip(segments: DataFrame, ts_from=None, ts_to=None, longest_ms: int | None = None) -> DataFrame:
     """Restrict member segments to the ticks in [ts_from, ts_to]; empty ones are dropped.
 
     The bounds are timestamps, literals or columns. The overlap predicate on the plain columns
-    reaches the Parquet scan.
+    reaches the Parquet scan, and literal bounds prune its partitions (see in_periods).
     """
     if ts_from is None and ts_to is None:
         return segments
-    d, first, last = segments, "0L", "n_ticks - 1L"
+    d, first, last = in_periods(segments, ts_from, ts_to, longest_ms), "0L", "n_ticks - 1L"
     if ts_from is not None:
         d = d.withColumn("__lo", _time(ts_from)).where("end_time >= __lo")
         first = "greatest(0L, ceil((unix_millis(__lo) - unix_millis(start_time)) / si_ms))"
@@ -85,7 +101,8 @@ def clip(segments: DataFrame, ts_from=None, ts_to=None) -> DataFrame:
 
 def points(groups: DataFrame, series: DataFrame | None = None, tids: Iterable[int] | None = None,
            ts_from=None, ts_to=None, models: tuple = (), keep: Iterable[str] = (),
-           gids: Iterable[int] | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
+           gids: Iterable[int] | None = None, low: float | None = None, high: float | None = None,
+           longest_ms: int | None = None) -> DataFrame:
     """(keep, tid, ts, value [, other columns of `series`]) represented by segment groups.
 
     Only ticks in [ts_from, ts_to] of the wanted series are generated. Values are decoded once per
@@ -100,16 +117,18 @@ def points(groups: DataFrame, series: DataFrame | None = None, tids: Iterable[in
     wanted = None if tids is None else f"cast(array({', '.join(str(int(t)) for t in tids)}) AS array<int>)"
     g = groups if wanted is None else groups.where(f"arrays_overlap(tids, {wanted})")
     g = with_offsets(g).selectExpr("*", "unix_millis(start_time) - skip * si_ms AS __origin")
-    g = clip(g, ts_from, ts_to)
+    g = clip(g, ts_from, ts_to, longest_ms)
     stored = F.expr(f"CASE WHEN mtid NOT IN {schema.CLOSED_FORM} THEN payload END")
     g = g.withColumn("vals", values_of(F.col("mtid"), stored, F.expr("n_stored * width"), models))
     kept = list(keep)
-    out = (g.selectExpr(*kept, "__origin", "si_ms", "width", "tids", "vals", "a", "b",
-                        "explode(sequence(skip * width, (skip + n_ticks) * width - 1)) AS slot")
+    slots = "sequence(skip * width, (skip + n_ticks) * width - 1)"
+    if wanted is not None:  # only the wanted members of a group are generated
+        members_at = f"filter(sequence(0, width - 1), p -> array_contains({wanted}, tids[p]))"
+        slots = "flatten(transform(sequence(skip, skip + n_ticks - 1), t -> transform(__at, p -> t * width + p)))"
+        g = g.withColumn("__at", F.expr(members_at))
+    out = (g.selectExpr(*kept, "__origin", "si_ms", "width", "tids", "vals", "a", "b", f"explode({slots}) AS slot")
            .selectExpr(*kept, "tids[slot % width] AS tid", "timestamp_millis(__origin + (slot div width) * si_ms) AS ts",
                        "coalesce(vals[slot], cast(b + a * ((slot div width) * si_ms) AS float)) AS value"))
-    if wanted is not None:
-        out = out.where(f"array_contains({wanted}, tid)")
     if low is not None:
         out = out.where(F.col("value") >= F.lit(low))
     if high is not None:

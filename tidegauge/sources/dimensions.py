@@ -17,35 +17,41 @@ def parse_definitions(lines: list[str]) -> tuple[Hierarchy, list[tuple[str, str]
         if members and " " not in members[-1]:
             weights[name] = 1.0 / float(members.pop())
         if not members:
-            raise ValueError(f"dimension {line!r} has no levels")
+            raise ValueError(f"no level follows the name in {line!r}")
         levels[name] = []
         for member in members:
             column = member.split(" ")
             if len(column) != 2 or column[1].lower() not in TYPES:
-                raise ValueError(f"unparsable dimension {line!r}")
+                raise ValueError(f"expected `level type` with a known type in {line!r}")
             levels[name].append(column[0].lower())
             columns.append((column[0].lower(), TYPES[column[1].lower()]))
     return Hierarchy(levels, weights), columns
 
 
-def load_dimensions(spark: SparkSession, path: str, max_definitions: int = 1000) -> tuple[Hierarchy, DataFrame]:
+def load_dimensions(spark: SparkSession, path: str, definitions: list[str] | None = None) -> tuple[Hierarchy, DataFrame]:
     """The hierarchy and a table (source, member columns) of one dimension file.
 
-    The few definition lines are read on the driver, the rows stay distributed. A row with the
-    wrong number of members, or a member of the wrong type, raises when the table is computed.
+    The lines before the first empty line define the dimensions and go to the driver; the rows after it, chosen by their
+    place in the file, stay distributed. With `definitions` the file holds rows only. A row with the wrong number of
+    members, or a member of the wrong type, raises when the table is computed.
     """
-    text = spark.read.text(path)
-    head = [r.value.strip() for r in text.limit(max_definitions).collect()]
-    if "" not in head:
-        raise ValueError("a dimension file needs an empty line after at most "
-                         f"{max_definitions} definitions")
-    definitions = head[:head.index("")]
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    text = spark.read.text(path).select(F.trim("value").alias("value"), place.alias("place"), F.col("_metadata.file_path").alias("file"))
+    rows = text
+    if definitions is None:
+        files, end = text.agg(F.count_distinct("file"), F.min(F.when(F.col("value") == "", F.col("place")))).first()
+        if files > 1:
+            raise ValueError(f"one dimension file is expected, {path} holds {files}")
+        if end is None:
+            raise ValueError(f"no empty line follows the definitions in {path}")
+        end = F.struct(F.lit(end["block"]).alias("block"), F.lit(end["line"]).alias("line"))
+        definitions = [r.value for r in text.where(F.col("place") < end).orderBy("place").collect()]
+        rows = text.where(F.col("place") > end)
     hierarchy, columns = parse_definitions(definitions)
-    rows = text.where((F.trim("value") != "") & ~F.trim("value").isin(definitions))
     parts = F.transform(F.split("value", ","), lambda p: F.trim(p))
     width = len(columns) + 1
     checked = F.when(F.size(parts) == width, parts).otherwise(
-        F.raise_error(F.concat(F.lit("each source must include members for all dimensions: "), F.col("value"))))
-    d = rows.select(checked.alias("p"))
+        F.raise_error(F.concat(F.lit(f"expected a source and {len(columns)} members, found: "), F.col("value"))))
+    d = rows.where("value != ''").select(checked.alias("p"))
     return hierarchy, d.select(F.col("p")[0].alias("source"),
                                *[F.col("p")[i + 1].cast(t).alias(c) for i, (c, t) in enumerate(columns)])

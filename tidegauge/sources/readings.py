@@ -2,15 +2,19 @@
 
 from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidegauge.plans.lookup import required
 from tidegauge.plans.ordered import numbered
 
 
-def _source(raw: DataFrame) -> Column:
-    """A partition folder `source=...` names the series, else the file does."""
-    name = F.col("source") if "source" in raw.columns else F.col("_metadata.file_name")
-    return name.cast("string").alias("source")
+def _source(raw: DataFrame) -> list[Column]:
+    """A partition folder `source=...` names the series, else the file does; `path` tells apart files of one name."""
+    if "source" in raw.columns:
+        name = F.col("source").cast("string")
+        return [name.alias("source"), name.alias("path")]
+    return [F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_path").alias("path")]
 
 
 def parse_time(text: Column, date_format: str = "unix", time_zone: str = "UTC") -> Column:
@@ -22,39 +26,49 @@ def parse_time(text: Column, date_format: str = "unix", time_zone: str = "UTC")
     return F.to_utc_timestamp(F.to_timestamp(text, date_format), time_zone)
 
 
+def separators(locale: str) -> tuple[str, str, str]:
+    """Grouping, decimal and minus sign of a language tag, as the Java runtime of the session knows them."""
+    text = SparkContext._active_spark_context._jvm.java.text
+    locales = SparkContext._active_spark_context._jvm.java.util.Locale
+    tag = locales.forLanguageTag(locale.replace("_", "-"))
+    if not tag.getLanguage() or tag.getLanguage() not in locales.getISOLanguages():
+        raise ValueError(f"unknown locale {locale!r}")
+    signs = text.DecimalFormatSymbols.getInstance(tag)
+    if signs.getZeroDigit() != "0":
+        raise ValueError(f"numbers of locale {locale!r} have digits of their own")
+    return signs.getGroupingSeparator(), signs.getDecimalSeparator(), signs.getMinusSign()
+
+
 def parse_number(text: Column, locale: str = "en") -> Column:
     """A number with the grouping and decimal signs of the locale."""
-    if locale in ("de", "da", "es", "it", "nl"):
-        text = F.translate(F.translate(text, ".", ""), ",", ".")
-    elif locale in ("fr", "sv", "nb", "fi"):
-        text = F.translate(F.regexp_replace(text, r"[\s  ]", ""), ",", ".")
-    else:
-        text = F.translate(text, ",", "")
-    return text.cast("float")
+    grouping, decimal, minus = separators(locale)
+    # spaces of any width group where one does, apostrophes likewise
+    drop = next((kind for kind in (" \u00a0\u202f\u2009", "'\u2019") if grouping in kind), grouping)
+    return F.translate(text, decimal + minus + "\u2212" + drop, ".--").cast("float")
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], n_columns: int = 2, time_column: int = 0, value_column: int = 1,
              separator: str = ",", header: bool = False, date_format: str = "unix", time_zone: str = "UTC",
              locale: str = "en", glob: str | None = None) -> DataFrame:
-    """(source, ts, value) from text files, gzipped or not; a malformed row raises."""
+    """(source, path, ts, value) from text files, gzipped or not; a malformed row raises."""
     fields = ", ".join(f"c{i} string" for i in range(n_columns))
     reader = spark.read.schema(fields).option("sep", separator).option("header", header).option("mode", "FAILFAST")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.csv(paths)
     ts = parse_time(F.col(f"c{time_column}"), date_format, time_zone)
-    return raw.select(_source(raw), ts.alias("ts"), parse_number(F.col(f"c{value_column}"), locale).alias("value"))
+    return raw.select(*_source(raw), ts.alias("ts"), parse_number(F.col(f"c{value_column}"), locale).alias("value"))
 
 
 def read_columnar(spark: SparkSession, paths: str | Sequence[str], file_format: str, time_column: str = "ts",
                   value_column: str = "value", glob: str | None = None) -> DataFrame:
-    """(source, ts, value) from ORC or Parquet: two columns are read, time is cut to milliseconds."""
+    """(source, path, ts, value) from ORC or Parquet: two columns are read, time is cut to milliseconds."""
     reader = spark.read.format(file_format)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     ts = F.date_trunc("millisecond", F.col(time_column).cast("timestamp"))
     raw = reader.load(paths if isinstance(paths, str) else list(paths))
-    return raw.select(_source(raw), ts.alias("ts"), F.col(value_column).cast("float").alias("value"))
+    return raw.select(*_source(raw), ts.alias("ts"), F.col(value_column).cast("float").alias("value"))
 
 
 def read_orc(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:
@@ -66,13 +80,16 @@ def read_parquet(spark: SparkSession, paths: str | Sequence[str], **options) ->
 
 
 def number_sources(readings: DataFrame, name: str = "source", first_tid: int = 1) -> DataFrame:
-    """(tid, source): running numbers over the sorted distinct sources."""
-    ids = numbered(readings.select(name).distinct(), [name], "tid")
-    return ids.select((F.col("tid") + (first_tid - 1)).cast("int").alias("tid"), name)
+    """(tid, source[, path]): running numbers over the sorted distinct sources, files of one name in order of their paths."""
+    keys = [name, *(["path"] if "path" in readings.columns else [])]
+    ids = numbered(readings.select(*keys).distinct(), keys, "tid")
+    return ids.select((F.col("tid") + (first_tid - 1)).cast("int").alias("tid"), *keys)
 
 
 def assign_tids(readings: DataFrame, sources: DataFrame, name: str = "source") -> DataFrame:
-    return readings.join(sources, name).select("tid", "ts", "value")
+    """(tid, ts, value); a reading whose source is not listed raises."""
+    keys = [name, *(["path"] if "path" in readings.columns and "path" in sources.columns else [])]
+    return required(readings, sources.select("tid", *keys), keys, "sources").select("tid", "ts", "value")
 
 
 # Column names treated as time, and the index column dropped from multivariate files.

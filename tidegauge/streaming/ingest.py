@@ -1,9 +1,10 @@
 """Streams of readings: regular ticks by watermark, duplicates, sinks."""
 
 from contextlib import contextmanager
+from threading import Event
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 # Fixed value: the state store that stateful processors need.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -61,9 +62,49 @@ def run(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark, by the recent progress of the query."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Counts rows dropped behind the watermark over all batches of all queries of a session, however many there are.
+
+    A row dropped by one stateful operator does not reach the next, so their counts add up. Events arrive with a delay;
+    `of` waits for the end of the query first.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._counts: dict[str, int] = {}
+        self._ended: dict[str, Event] = {}
+        self.spark = spark
+        spark.streams.addListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        self._ended.setdefault(str(event.runId), Event())
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        self._counts[run] = self._counts.get(run, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._ended.setdefault(str(event.runId), Event()).set()
+
+    def of(self, query: StreamingQuery, timeout: float = 60.0) -> int:
+        query.awaitTermination()
+        run = str(query.runId)
+        if not self._ended.setdefault(run, Event()).wait(timeout):
+            raise TimeoutError("the end of the query was not reported")
+        return self._counts.get(run, 0)
+
+    def close(self) -> None:
+        self.spark.streams.removeListener(self)
+
+
+def open_windows(events: DataFrame, emitted: DataFrame, key: str, si: str, how: str = "max") -> DataFrame:
+    """At the end of a stream: the regular values of the same events, as a table, that regularize_stream has not emitted."""
+    aggregates = {"max": F.max("value"), "mean": F.avg("value"), "sum": F.sum("value"), "count": F.count("value")}
+    every = (events.groupBy(F.window("ts", si), key).agg(aggregates[how].cast("float").alias("value"))
+             .select(key, F.col("window.start").alias("ts"), "value"))
+    return every.join(emitted.select(key, "ts"), [key, "ts"], "left_anti")
 
 
 def append_batches(df: DataFrame, path: str, checkpoint: str, once: bool = True,
