@@ -157,7 +157,8 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) ->
         n, total = n + r.rows, total + np.frombuffer(r.found, np.int64)
     idf = (np.log((1 + n) / (1 + total)) + 1).astype(np.float32)
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
-    chosen = rows.join(share, "lang").where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < F.col("share")).select("text", "lang")
+    # a row a language, as the model itself has: small enough for every task, and texts needn't move
+    chosen = rows.join(F.broadcast(share), "lang").where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < F.col("share")).select("text", "lang")
     centers = (chosen.mapInArrow(_sparse, "lang string, slots array<int>, found array<int>").groupBy("lang")
                .applyInArrow(_cluster(idf, clusters), "lang string, k int, reach double, center binary").collect())
     centers.sort(key=lambda r: (r.lang, r.k))
