@@ -8,7 +8,7 @@ from tidegauge import schema
 from tidegauge.functions.calendar import UNITS
 from tidegauge.functions.models import Constant, Linear, Xor
 from tidegauge.operators import aggregate, quality, view
-from tidegauge.operators.compress import compress, compress_groups, correlated_subgroups
+from tidegauge.operators.compress import CHUNK_TICKS, compress, compress_groups, correlated_subgroups
 from tidegauge.session import work_dir
 from tidegauge.sources import store as stores
 
@@ -207,6 +207,9 @@ def project_dims(spark, sf_dir):
     return d.select("region", "nation", "tid", "ts", F.col("value").cast("double").alias("value"))
 
 
+CHUNK_MS = CHUNK_TICKS * fx.SI["pts_seq"]  # no segment of this store covers more
+
+
 def _filter(name, condition, table="pts_seq"):
     return add(name, sql(table, body=f"SELECT tid, ts, {V} AS value FROM {table} WHERE {condition}"))
 
@@ -243,14 +246,14 @@ def filter_tid_missing(spark, sf_dir):
 
 @_filter("filter_ts_range", "ts > TIMESTAMP '2024-01-01 00:03:00' AND ts <= TIMESTAMP '2024-01-01 00:10:01'")
 def filter_ts_range(spark, sf_dir):
-    d = view.points(fx.store(spark, sf_dir, "pts_seq"), ts_from="2024-01-01 00:03:00", ts_to="2024-01-01 00:10:01")
+    d = view.points(fx.store(spark, sf_dir, "pts_seq"), ts_from="2024-01-01 00:03:00", ts_to="2024-01-01 00:10:01", longest_ms=CHUNK_MS)
     return _plain(d.where(F.col("ts") > F.lit("2024-01-01 00:03:00").cast("timestamp")))
 
 
 @_filter("filter_ts_point", "ts = TIMESTAMP '2024-01-01 00:05:00'")
 def filter_ts_point(spark, sf_dir):
     at = "2024-01-01 00:05:00"
-    return _plain(view.points(fx.store(spark, sf_dir, "pts_seq"), ts_from=at, ts_to=at))
+    return _plain(view.points(fx.store(spark, sf_dir, "pts_seq"), ts_from=at, ts_to=at, longest_ms=CHUNK_MS))
 
 
 @add("segment_scan_range", sql("pts_ship", blocks=BLOCKS, s=XOR_SEGMENTS, body="""SELECT tid, start_time, end_time, n_ticks FROM s
@@ -310,7 +313,7 @@ def points_of_series(spark, sf_dir):
 
 @add("point_topk", sql("pts_seq", body=f"SELECT tid, ts, {V} AS value FROM pts_seq WHERE tid = 1 ORDER BY ts LIMIT 10"))
 def point_topk(spark, sf_dir):
-    return _plain(view.points(fx.store(spark, sf_dir, "pts_seq"), tids=[1]).orderBy("ts").limit(10))
+    return _of_tids(spark, sf_dir, [1]).orderBy("ts").limit(10)
 
 
 # ---- stores ----
@@ -363,7 +366,7 @@ def stored_bytes(spark, sf_dir):
 # ---- joins ----
 
 RANGES = """SELECT o_orderkey range_id, CAST(o_orderdate AS TIMESTAMP) range_start, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 3 DAY range_end
- FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'"""
+ FROM orders"""
 YEAR_MS = 31_536_000_000
 
 
@@ -371,11 +374,13 @@ YEAR_MS = 31_536_000_000
  CAST(sum(n_ticks) AS BIGINT) ticks, count(DISTINCT tid) series FROM s JOIN ranges ON start_time <= range_end AND end_time >= range_start GROUP BY 1"""))
 def interval_overlap_join(spark, sf_dir):
     start = F.col("o_orderdate").cast("timestamp")
-    ranges = fx.load(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(
-        F.col("o_orderkey").alias("range_id"), start.alias("range_start"), (start + F.expr("INTERVAL 3 DAYS")).alias("range_end"))
+    orders = fx.load(spark, sf_dir, "orders").select("o_orderkey", start.alias("range_start"))
+    # orders of one day ask the same: each distinct range is met once, then handed to its orders
+    ranges = orders.select("range_start", (F.col("range_start") + F.expr("INTERVAL 3 DAYS")).alias("range_end")).distinct()
     m = view.members(xor_store(spark, sf_dir)).select("tid", "start_time", "end_time", "n_ticks")
-    return view.overlapping(m, ranges, 30 * 86_400_000).groupBy("range_id").agg(
+    met = view.overlapping(m, ranges, 30 * 86_400_000, salts=4).groupBy("range_start").agg(
         F.count(F.lit(1)).alias("segments"), F.sum("n_ticks").alias("ticks"), F.countDistinct("tid").alias("series"))
+    return orders.join(met, "range_start").select(F.col("o_orderkey").alias("range_id"), "segments", "ticks", "series")
 
 
 REQUESTS = """SELECT DISTINCT CAST(c_nationkey + 1 AS INT) tid, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) ts
@@ -478,6 +483,28 @@ def sql_views(spark, sf_dir):
         USING (source)""")
 
 
+SQL_RANGE = "ts > TIMESTAMP '2024-01-01 00:03:00' AND ts <= TIMESTAMP '2024-01-01 00:10:01' AND tid IN (2, 5)"
+
+
+@add("sql_datapoint_range", sql("pts_seq", "series_seq", body=f"""SELECT tid, count(*) n, round(sum({V} / scaling), 3) total, round(max({V} / scaling), 4) high
+ FROM pts_seq JOIN series_seq USING (tid) WHERE {SQL_RANGE} GROUP BY tid"""))
+def sql_datapoint_range(spark, sf_dir):
+    """SQL over views with bounds: other groups and periods are not read."""
+    view.register_views(fx.store(spark, sf_dir, "pts_seq"), fx.series_seq(spark, sf_dir), tids=[2, 5], ts_from="2024-01-01 00:03:00",
+                        ts_to="2024-01-01 00:10:01", longest_ms=CHUNK_MS)
+    return spark.sql(f"""SELECT tid, count(*) n, round(sum(cast(value AS double)), 3) total, round(max(cast(value AS double)), 4) high
+                         FROM datapoint WHERE {SQL_RANGE} GROUP BY tid""")
+
+
+@add("sql_segment_range", sql("pts_ship", "series_ship", body=f"""SELECT nation, count(*) n, round(sum({V}), 3) total, round(min({V}), 4) low, round(max({V}), 4) high
+ FROM pts_ship JOIN series_ship USING (tid) WHERE tid IN (1, 4, 9) AND ts BETWEEN TIMESTAMP '1996-12-24' AND TIMESTAMP '1998-03-03' GROUP BY nation"""))
+def sql_segment_range(spark, sf_dir):
+    """The segment route of START_END bounds in SQL."""
+    view.register_views(fx.store(spark, sf_dir, "pts_ship"), fx.series_ship(spark, sf_dir), tids=[1, 4, 9], ts_from="1996-12-24", ts_to="1998-03-03")
+    return spark.sql("""SELECT nation, sum(n_ticks) n, round(sum(vsum), 3) total, round(min(vmin), 4) low, round(max(vmax), 4) high
+                        FROM segment GROUP BY nation""")
+
+
 # ---- calendar ----
 
 UNIT_SQL = {
@@ -507,6 +534,14 @@ def _register_calendar():
 _register_calendar()
 
 
+@add("sql_cal_views", sql("pts_ship", "series_ship", body=f"""SELECT a.tid, a.field, n AS "count", total AS "sum" FROM
+ (SELECT tid, year(ts) field, count(*) n, round(sum({V}), 3) total FROM pts_ship GROUP BY 1, 2) a WHERE a.tid IN (SELECT tid FROM series_ship)"""))
+def sql_cal_views(spark, sf_dir):
+    """Calendar aggregates by their SQL names."""
+    view.register_calendar_views(fx.store(spark, sf_dir, "pts_ship"), fx.series_ship(spark, sf_dir), ["year"], ["count", "sum"])
+    return spark.sql("SELECT tid, field, count, round(sum, 3) AS sum FROM cal_count_year JOIN cal_sum_year USING (tid, field)")
+
+
 @add("count_cal_map", sql("pts_ev", body="""SELECT tid, string_agg(field || ':' || n, ',' ORDER BY field) fields FROM (
  SELECT tid, hour(ts) field, count(*) n FROM pts_ev GROUP BY 1, 2) GROUP BY tid"""))
 def count_cal_map(spark, sf_dir):

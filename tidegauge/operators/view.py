@@ -198,35 +198,57 @@ def point_lookup(segments: DataFrame, requests: DataFrame, bucket_ms: int, model
     return d.select("tid", "ts", value.alias("value"))
 
 
-def overlapping(segments: DataFrame, ranges: DataFrame, bucket_ms: int) -> DataFrame:
-    """Pairs of segments and (range_id, range_start, range_end) that overlap, once each."""
+def overlapping(segments: DataFrame, ranges: DataFrame, bucket_ms: int, salts: int = 1) -> DataFrame:
+    """Pairs of segments and (range_id, range_start, range_end) that overlap, once each.
+
+    Both are listed under the time buckets they touch. With `salts` the segments of a bucket are dealt out by
+    series to that many tasks, and the ranges go to each, so a crowded time does not end in one task.
+    """
     def listed(df, a, b):
         return df.withColumn("bucket", F.explode(F.sequence(F.floor(F.unix_millis(a) / bucket_ms),
                                                             F.floor(F.unix_millis(b) / bucket_ms))))
     s, r = listed(segments, "start_time", "end_time"), listed(ranges, "range_start", "range_end")
+    s = s.withColumn("salt", F.pmod(F.hash("tid"), F.lit(salts)))
+    r = r.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     first = F.greatest(F.floor(F.unix_millis("start_time") / bucket_ms), F.floor(F.unix_millis("range_start") / bucket_ms))
-    return (s.join(r, "bucket")
+    return (s.join(r, ["bucket", "salt"])
             .where((F.col("start_time") <= F.col("range_end")) & (F.col("end_time") >= F.col("range_start"))
                    & (F.col("bucket") == first))
-            .drop("bucket"))
+            .drop("bucket", "salt"))
 
 
-def register_views(groups: DataFrame, series: DataFrame, derived: DataFrame | None = None) -> None:
+def register_views(groups: DataFrame, series: DataFrame, derived: DataFrame | None = None, tids: Iterable[int] | None = None,
+                   ts_from=None, ts_to=None, longest_ms: int | None = None) -> None:
     """Temporary views `segment` and `datapoint` for SQL, both with the columns of `series`.
 
     `segment` carries vmin, vmax and vsum of every segment in the scale of the readings, so COUNT,
     MIN, MAX, SUM and AVG need no points: sum(n_ticks), min(vmin), max(vmax), sum(vsum). `derived`
-    has further rows (tid, ts, value) for `datapoint`.
+    has further rows (tid, ts, value) for `datapoint`. The bounds `tids`, `ts_from` and `ts_to` hold for both views; they
+    prune groups and periods of the store and are applied before anything is decoded, which SQL predicates on points aren't.
     """
     from tidegauge.operators.aggregate import with_stats
     dims = [c for c in series.columns if c not in ("gid", "si_ms", "scaling")]
     known = series.select(*dims, "scaling")
     scaled = {c: F.col(c).cast("double") / F.col("scaling") for c in ("vmin", "vmax", "vsum")}
-    segments = with_stats(members(groups)).join(known, "tid").withColumns(scaled)
+    tids = None if tids is None else [int(t) for t in tids]
+    gids = None if tids is None else gids_of(series, tids)
+    chosen = groups if gids is None else groups.where(F.col("gid").isin(gids))
+    bounded = ts_from is not None or ts_to is not None
+    parts = members(chosen) if tids is None else members(chosen).where(F.col("tid").isin(tids))
+    segments = with_stats(clip(parts, ts_from, ts_to, longest_ms), bounded).join(known, "tid").withColumns(scaled)
     extra = [c for c in dims if c != "tid"]
     segments.select("tid", "start_time", "end_time", "mtid", "si_ms", "n_ticks", "vmin", "vmax", "vsum",
                     *extra).createOrReplaceTempView("segment")
-    d = points(groups, known)
+    d = points(groups, known, tids, ts_from, ts_to, gids=gids, longest_ms=longest_ms)
     if derived is not None:
         d = d.unionByName(derived.select("tid", "ts", "value"), allowMissingColumns=True)
     d.createOrReplaceTempView("datapoint")
+
+
+def register_calendar_views(groups: DataFrame, series: DataFrame, units: Iterable[str], aggs: Iterable[str]) -> None:
+    """Temporary views `cal_<aggregate>_<unit>` (tid, field, <aggregate>), in the scale of the readings, from segments."""
+    from tidegauge.operators.aggregate import calendar_agg
+    placed = members(groups).join(series.select("tid", "scaling"), "tid")
+    for unit in units:
+        for agg in aggs:
+            calendar_agg(placed, agg, unit, ["tid", "scaling"], scaling=F.col("scaling")).drop("scaling").createOrReplaceTempView(f"cal_{agg}_{unit}")
