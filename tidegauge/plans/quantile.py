@@ -77,4 +77,4 @@ def _middle(ranked: DataFrame, keys: Sequence[str], value: str, name: str) -> Da
     k1, k2 = F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)
     v = F.col(value).cast("double")
     at = lambda k: F.max(F.when((F.col("__lo") < k) & (F.col("__cum") >= k), v))
-    return ranked.groupBy(*keys).agg(((at(k1) + at(k2)) / 2).alias(name))
+    return ranked.groupBy(*keys).agg(F.when(at(k1) == at(k2), at(k1)).otherwise((at(k1) + at(k2)) / 2).alias(name))
