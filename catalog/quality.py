@@ -60,12 +60,12 @@ def error_table_models(spark, sf_dir):
     return d.select("tid", "count", (F.col("maximum_error") <= 5.0).alias("bounded"), consistent.alias("consistent"))
 
 
-@add("verify", sql("pts_seq", **SIDES, body=f"""SELECT "precision", tid, ts, real, approx, round(e, 9) error, 'outside' kind
- FROM (SELECT *, {ERROR} e FROM aligned) WHERE e > 0.0001"""))
+@add("verify", sql("pts_seq", **SIDES, body=f"""SELECT "precision", tid, 'outside' kind, count(*) n, round(max(e), 6) worst, min(ts) first_ts, max(ts) last_ts
+ FROM (SELECT *, {ERROR} e FROM aligned) WHERE e > 0.0001 GROUP BY ALL"""))
 def verify(spark, sf_dir):
     d = quality.violations(aligned(spark, sf_dir), 0.0001)
-    return d.select("precision", "tid", "ts", F.col("real").cast("double").alias("real"), F.col("approx").cast("double").alias("approx"),
-                    dbl("error", 9), "kind")
+    return d.groupBy("precision", "tid", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("error"), 6).alias("worst"),
+                                                     F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 @add("verify_models", sql("pts_smooth", body="SELECT tid, ts, 0.0::DOUBLE error FROM pts_smooth WHERE false"))
