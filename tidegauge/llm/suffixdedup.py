@@ -4,8 +4,8 @@ Strings of `length` bytes that agree have the same smallest hash of their `GRAM`
 
 1. Every maximal run of windows with one anchor (a segment) sends its anchor to a bucket; anchors of two documents survive.
 2. The segments of surviving anchors go to a bucket of that anchor, so that all equal windows meet.
-3. Each bucket collapses equal segments; one that is alone with its anchor can match nothing but its copies. Of the rest
-   the bucket builds a suffix array, keeps its Burrows-Wheeler transform as runs with sampled ends, and streams the segments backwards over the runs. The row reached at a byte tells its class: the
+3. Each bucket collapses equal segments, builds a suffix array of the rest, keeps its Burrows-Wheeler transform as runs
+   with sampled ends, and streams the segments backwards over the runs. The row reached at a byte tells its class: the
    suffixes around it that agree over `length` bytes or more. A window whose class holds a smaller document is marked.
 4. Marks return to their documents, where overlapping ones join.
 
@@ -172,7 +172,13 @@ def shared_anchors(groups: int):
     return run
 
 
-SEGMENTS = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("ids", "keys", "starts", "sizes", "anchors", "content")])
+# Columns of a bucket's row are differences from one segment to the next, in order of documents, and compressed.
+SEGMENTS = pa.schema([("bucket", pa.int32()), ("n", pa.int32())] + [(c, pa.binary()) for c in ("ids", "keys", "starts", "sizes", "content")])
+
+
+def _segment_column(table, name: str, dtype) -> list[np.ndarray]:
+    width = np.dtype(dtype).itemsize
+    return [np.cumsum(np.frombuffer(pa.decompress(x, n * width, "zstd", asbytes=True), dtype), dtype=dtype) for x, n in zip(table[name].to_pylist(), table["n"].to_pylist())]
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -196,22 +202,20 @@ def segment_blobs(length: int, buckets: int):
                 if not len(pick):
                     continue
                 start, sized = first[pick], size[pick] + length - 1
-                found.append((ids[a + row[pick]], keys[a + row[pick]], start - offsets[row[pick]], sized, anchor[pick]))
+                found.append((ids[a + row[pick]], keys[a + row[pick]], start - offsets[row[pick]], sized, bucket_of(anchor[pick], buckets)))
                 contents.append(_gather(data, start, sized))
             if not found:
                 continue
-            of, key, start, size, anchor = (np.concatenate(c) for c in zip(*found))
-            bucket = bucket_of(anchor, buckets)
-            order = np.argsort(bucket, kind="stable")
+            of, key, start, size, bucket = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((start, key, of, bucket))
             begin = np.cumsum(size) - size
             size, edges = size[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
             content = _gather(np.concatenate(contents), begin[order], size)
             ends = np.append(0, np.cumsum(size))
             used = np.flatnonzero(np.diff(edges))
-            columns = (of.astype(np.int64), key.astype(np.int32), start.astype(np.int64), None, anchor.astype(np.uint32))
-            ordered = [size.astype(np.int32) if c is None else c[order] for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32())] + [
-                T.binary([v[edges[x]:edges[x + 1]].tobytes() for x in used]) for v in ordered] + [
+            ordered = [of.astype(np.int64)[order], key.astype(np.int32)[order], start.astype(np.int32)[order], size.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.diff(edges)[used], pa.int32())] + [
+                T.binary([pa.compress(np.diff(v[edges[x]:edges[x + 1]], prepend=v.dtype.type(0)), "zstd", asbytes=True) for x in used]) for v in ordered] + [
                 T.binary([pa.compress(content[ends[edges[x]]:ends[edges[x + 1]]], "zstd", asbytes=True) for x in used])], schema=SEGMENTS)
     return run
 
@@ -348,29 +352,23 @@ def smallest_holders(content: np.ndarray, sizes: np.ndarray, holders: np.ndarray
 def mark_bucket(length: int, groups: int):
     """Of one bucket: the marked spans of every document."""
     def run(table: pa.Table) -> pa.Table:
-        ids, keys, starts, sizes = (_column(table, c, t) for c, t in (("ids", np.int64), ("keys", np.int32), ("starts", np.int64), ("sizes", np.int32)))
-        sizes = sizes.astype(np.int64)
-        anchors = _column(table, "anchors", np.uint32)
+        ids, keys, starts, sizes = (_segment_column(table, c, t) for c, t in (("ids", np.int64), ("keys", np.int32), ("starts", np.int32), ("sizes", np.int32)))
         hashes, blobs = [], []
-        for packed, own in zip(table["content"].to_pylist(), table["sizes"].to_pylist()):
-            ends = np.cumsum(np.frombuffer(own, np.int32).astype(np.int64))
+        for packed, own in zip(table["content"].to_pylist(), sizes):
+            ends = np.cumsum(own.astype(np.int64))
             blobs.append(np.frombuffer(pa.decompress(packed, int(ends[-1]), "zstd", asbytes=True), np.uint8))
             hashes.append(T.span_hashes(T.rolling(blobs[-1]), np.append(0, ends[:-1]), ends))
+        ids, keys, starts, sizes = np.concatenate(ids), np.concatenate(keys), np.concatenate(starts).astype(np.int64), np.concatenate(sizes).astype(np.int64)
         hashed = np.concatenate(hashes)
         content, begins = np.concatenate(blobs), np.cumsum(sizes) - sizes
-        order = np.lexsort((ids, hashed, anchors))
-        heads = _groups(anchors[order], hashed[order])
+        order = np.lexsort((ids, hashed))
+        heads = _groups(hashed[order])
         group = np.empty(len(order), np.int64)
         group[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
         lead = order[heads]
         per = sizes[lead] - length + 1
         firsts = np.cumsum(per) - per
-        lowest = np.repeat(ids[lead], per)
-        family = _groups(anchors[lead])
-        many = np.repeat(np.diff(np.append(family, len(lead))) > 1, np.diff(np.append(family, len(lead))))
-        if many.any():
-            some = lead[many]
-            lowest[np.repeat(many, per)] = smallest_holders(_gather(content, begins[some], sizes[some]), sizes[some], ids[some], length)
+        lowest = smallest_holders(_gather(content, begins[lead], sizes[lead]), sizes[lead], ids[lead], length)
         # per distinct string: maximal stretches of windows with one smallest holder
         string = np.repeat(np.arange(len(lead)), per)
         cuts = _groups(string, lowest)
