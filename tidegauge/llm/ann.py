@@ -16,7 +16,7 @@ id; rows that repeat count once; ties go to the smaller id; an id that repeats w
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as S
 
 from tidegauge.llm import text as T
 from tidegauge.llm.jaccard import runs_of
@@ -72,7 +72,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _buckets(largest: float, lift: bool, tables: int, probes: int):
+def _buckets(largest: float, lift: bool, tables: int, probes: int, kind: str):
     """For every distinct vector its bucket in every table, and for those that queries have also the probed ones."""
     def run(batches):
         for batch in batches:
@@ -80,7 +80,7 @@ def _buckets(largest: float, lift: bool, tables: int, probes: int):
                 continue
             x = matrix(batch.column("embedding"))
             asks = np.flatnonzero(batch.column("asks").to_numpy(zero_copy_only=False))
-            reps, packed = batch.column("rep").to_numpy(), [v.tobytes() for v in x]
+            reps, packed = batch.column("rep").to_numpy(), [v.tobytes() for v in x.astype(kind)]
             points, questions = lifted(x, largest, False, lift), lifted(x[asks], largest, True, lift)
             for table in range(tables):
                 own = axes(rotated(points, table), 1)[:, 0]
@@ -110,7 +110,10 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return (rows[rank < k], at[rank < k]), values[rank < k]
 
 
-def _rank(k: int):
+def _rank(k: int, kind: str):
+    def vectors(packed):
+        return np.frombuffer(b"".join(packed), kind).astype(np.float64).reshape(len(packed), -1)
+
     def run(batches):
         for table in runs_of(batches, ["table", "bucket", "i", "j"]):
             keys = [table[c].to_numpy() for c in ("table", "bucket", "i", "j")]
@@ -122,10 +125,10 @@ def _rank(k: int):
                 asks, holds = a + np.flatnonzero(query[a:b]), a + np.flatnonzero(~query[a:b])
                 if not len(asks) or not len(holds):
                     continue
-                c = np.frombuffer(b"".join([packed[i] for i in holds]), np.float64).reshape(len(holds), -1)
+                c = vectors([packed[i] for i in holds])
                 for x in range(0, len(asks), 256):
                     some = asks[x:x + 256]
-                    q = np.frombuffer(b"".join([packed[i] for i in some]), np.float64).reshape(len(some), -1)
+                    q = vectors([packed[i] for i in some])
                     (rows, at), values = best_of(reps[holds], q @ c.T, k)
                     out[0].append(reps[some[rows]])
                     out[1].append(reps[holds[at]])
@@ -135,7 +138,7 @@ def _rank(k: int):
     return run
 
 
-def _ranked(entries: DataFrame, k: int) -> DataFrame:
+def _ranked(entries: DataFrame, k: int, kind: str) -> DataFrame:
     """(asking, rep, score): of every block of every bucket the k best of each query in it."""
     sizes = entries.groupBy("table", "bucket").agg(
         F.ceil(F.sum(F.when(F.col("query"), 0).otherwise(1)) / BLOCK).cast("int").alias("parts"), F.ceil(F.sum(F.when(F.col("query"), 1).otherwise(0)) / BLOCK).cast("int").alias("turns"))
@@ -150,7 +153,7 @@ def _ranked(entries: DataFrame, k: int) -> DataFrame:
     dealt = placed.withColumn("i", F.explode(F.when(query, each("parts")).otherwise(F.array(block("parts")))))
     dealt = dealt.withColumn("j", F.explode(F.when(query, F.array(block("turns"))).otherwise(each("turns"))))
     dealt = dealt.select("table", "bucket", "i", "j", "query", "rep", "vector").repartition("table", "bucket", "i", "j").sortWithinPartitions("table", "bucket", "i", "j", "rep")
-    return dealt.mapInArrow(_rank(k), "asking bigint, rep bigint, score double")
+    return dealt.mapInArrow(_rank(k, kind), "asking bigint, rep bigint, score double")
 
 
 def _dot(a: str, b: str):
@@ -160,6 +163,8 @@ def _dot(a: str, b: str):
 def neighbours(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest found of vectors(vec_id, embedding) for those rows where `queries` holds."""
     spark = vectors.sparkSession
+    # components travel as they are stored and are multiplied as doubles
+    kind = "f4" if vectors.schema["embedding"].dataType == S.ArrayType(S.FloatType()) else "f8"
     sound = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), queries.alias("asks")).where(F.col("vec_id").isNotNull() & sound)
     usual = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -174,7 +179,7 @@ def neighbours(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, p
     asked = rows.groupBy("embedding").agg(F.max("asks").alias("asks"))
     distinct = few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).join(asked, "embedding")
     distinct = written(spark, distinct.select("embedding", "ids", F.element_at("ids", 1).alias("rep"), F.coalesce("asks", F.lit(False)).alias("asks")), "vectors")
-    entries = distinct.mapInArrow(_buckets(largest, lift, tables, probes), BUCKETS_DDL)
+    entries = distinct.mapInArrow(_buckets(largest, lift, tables, probes, kind), BUCKETS_DDL)
     members = distinct.select("rep", "ids")
 
     def lists(found: DataFrame) -> DataFrame:
@@ -185,7 +190,7 @@ def neighbours(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, p
         pairs = F.transform("ids", lambda x: F.struct((-F.col("score")).alias("less"), x.alias("vec_id")))
         return top.groupBy("asking").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs))), 1, k + 1).alias("near"))
 
-    near = written(spark, lists(_ranked(entries, k + 1)), "near")
+    near = written(spark, lists(_ranked(entries, k + 1, kind)), "near")
     asking = distinct.where("asks")
     lacking = asking.join(near.where(F.size("near") >= min(k + 1, total)).select(F.col("asking").alias("rep")), "rep", "left_anti")
     if lacking.limit(1).count():
@@ -193,12 +198,12 @@ def neighbours(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, p
 
         def pack(batches):
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), T.binary([v.tobytes() for v in matrix(batch.column("embedding"))])], names=["rep", "vector"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), T.binary([v.tobytes() for v in matrix(batch.column("embedding")).astype(kind)])], names=["rep", "vector"])
         plain = distinct.select("rep", "embedding").mapInArrow(pack, "rep bigint, vector binary")
         key = [F.lit(-1).alias("table"), F.lit(0).alias("bucket")]
         everything = plain.select(*key, F.lit(False).alias("query"), "rep", "vector").union(
             plain.join(lacking.select("rep"), "rep").select(*key, F.lit(True).alias("query"), "rep", "vector"))
-        again = lists(_ranked(everything, k + 1))
+        again = lists(_ranked(everything, k + 1, kind))
         near = near.join(again.select("asking"), "asking", "left_anti").union(again)
     owners = rows.where("asks").join(distinct.select("embedding", "rep"), "embedding").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("asking"))
     own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
