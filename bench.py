@@ -15,12 +15,12 @@ from tidegauge.operators import aggregate, quality, view
 from tidegauge.sources.store import stored_bytes
 
 
-def per_signal(groups, segments, tids) -> dict[str, float]:
+def per_signal(groups, segments, series, tids) -> dict[str, float]:
     """One sequential query per signal and aggregate, as an interactive client sends them."""
     v = aggregate.value()
 
     def point(column, tid, condition=None):
-        d = view.points(groups, tids=[tid], gids=[tid])
+        d = view.points(groups, tids=[tid], gids=view.gids_of(series, [tid]))
         return (d if condition is None else d.where(condition)).agg(column).first()
 
     queries = {
@@ -92,7 +92,7 @@ def main() -> None:
     warm("sum_cal_hour_of_day", lambda: rows(aggregate.calendar_agg(segments, "sum", "hour_of_day", ["tid"])))
     warm("sum_cal_minute", lambda: rows(aggregate.calendar_agg(segments, "sum", "minute", ["tid"])))
     warm("rqe_downsampled", lambda: rows(cq.rqe_downsampled(spark, sf_dir)))
-    signals = per_signal(groups, segments, [r.tid for r in groups.select(F.col("gid").alias("tid")).distinct().orderBy("tid").take(10)])
+    signals = per_signal(groups, segments, fx.series_seq(spark, sf_dir).select("tid", "gid"), [r.tid for r in groups.select(F.col("gid").alias("tid")).distinct().orderBy("tid").take(10)])
     stored = stored_bytes(spark, fx.path_of(spark, sf_dir, table, 0.0), "*.parquet").first()["bytes"]
     model = groups.agg(F.sum(F.col("model_bytes") + 24 + 4 * F.col("n_gaps")).alias("b")).first()["b"]
     print(json.dumps({

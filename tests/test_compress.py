@@ -36,7 +36,7 @@ def violations(points, groups, eps):
 
 
 @pytest.mark.parametrize("eps", [0.0, 1.0, 10.0])
-@pytest.mark.parametrize("chunk_ticks", [None, 64, 4096])
+@pytest.mark.parametrize("chunk_ticks", [64, 4096, 100_000])
 def test_series(points, eps, chunk_ticks):
     g = compress(points, eps, si_ms=1000, chunk_ticks=chunk_ticks).cache()
     assert violations(points, g, eps) == 0

@@ -24,6 +24,8 @@ class Fit(NamedTuple):
 
 
 _QUICK_TICKS = 32  # shorter runs do not repay the preparation
+# Fixed value: the divisor that turns an error bound in percent into the slack of a line, a little below the bound.
+SLACK = 100.1
 NO_FIT = Fit(0, float("nan"))
 
 
@@ -92,7 +94,7 @@ class Linear:
         for at, end in _blocks(n - 1):
             x = values[1 + at:1 + end].ravel().astype(np.float64)
             dt = np.repeat(np.arange(1 + at, 1 + end, dtype=np.float64) * si_ms, width)
-            slack = np.abs(x * (eps / 100.1))
+            slack = np.abs(x * (eps / SLACK))
             uppers = np.minimum.accumulate(np.concatenate(([upper], (x + slack - start) / dt)))
             lowers = np.maximum.accumulate(np.concatenate(([lower], (x - slack - start) / dt)))
             bad = (x - slack > start + uppers[:-1] * dt) | (x + slack < start + lowers[:-1] * dt)
@@ -113,7 +115,7 @@ class Linear:
 
     def quick(self, values, si_ms, eps):
         x = values[:, 0].astype(np.float64)
-        slack = np.abs(x * (eps / 100.1))
+        slack = np.abs(x * (eps / SLACK))
         first, second, third = x[:-2], x[1:-1], x[2:]
         upper, lower = ((second + s - first) / si_ms for s in (slack[1:-1], -slack[1:-1]))
         pair = (third - slack[2:] > first + upper * (2.0 * si_ms)) | (third + slack[2:] < first + lower * (2.0 * si_ms))

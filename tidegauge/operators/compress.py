@@ -26,13 +26,13 @@ def default_models(length_bound: int = LENGTH_BOUND) -> tuple:
     return Constant(), Linear(), Xor(length_bound)
 
 
-def check_options(eps: Iterable[float], length_bound: int, chunk_ticks: int | None, split_fraction: float = 0.0,
+def check_options(eps: Iterable[float], length_bound: int, chunk_ticks: int, split_fraction: float = 0.0,
                   maximum_latency: int = 0) -> None:
     if any(not 0.0 <= e <= 100.0 for e in eps):
         raise ValueError("an error bound is a percentage from 0 to 100")
     if length_bound <= 0:
         raise ValueError("length_bound must be positive")
-    if chunk_ticks is not None and chunk_ticks <= 0:
+    if chunk_ticks <= 0:
         raise ValueError("chunk_ticks must be positive")
     if split_fraction < 0 or maximum_latency < 0:
         raise ValueError("split_fraction and maximum_latency must not be negative")
@@ -62,21 +62,19 @@ def chunk_ms(si_ms: Column, group_size: Column, chunk_ticks: int) -> Column:
     return si_ms * F.when(group_size == 1, F.lit(chunk_ticks)).otherwise(wide)
 
 
-def chunk_of(ts: Column, si_ms: Column, group_size: Column, chunk_ticks: int | None) -> Column:
-    if chunk_ticks is None:
-        return F.lit(0).cast("long")
+def chunk_of(ts: Column, si_ms: Column, group_size: Column, chunk_ticks: int) -> Column:
     return F.floor(F.unix_millis(ts) / chunk_ms(si_ms, group_size, chunk_ticks)).cast("long")
 
 
 def compress(points: DataFrame, eps: float | Iterable[float] = 0.0, si_ms: int | None = None,
              series: DataFrame | None = None, models: tuple | None = None, length_bound: int = LENGTH_BOUND,
-             chunk_ticks: int | None = CHUNK_TICKS, split_fraction: float = 0.0) -> DataFrame:
+             chunk_ticks: int = CHUNK_TICKS, split_fraction: float = 0.0) -> DataFrame:
     """Segments of `points` for one or several error bounds (percent), see schema.SEGMENT_GROUPS.
 
     With `series` (tid, gid, si_ms) the members of a group share one model per segment. With
     `split_fraction` > 0 a chunk whose ratio is below that fraction of what its correlated
-    sub-groups reach is stored by sub-group. `chunk_ticks=None` gives single-pass boundaries and
-    is meant for comparisons on short series only.
+    sub-groups reach is stored by sub-group. A chunk is one task, and a fixed part of the layout: a segment
+    ends at its edge.
     """
     bounds = [float(e) for e in (eps if isinstance(eps, Iterable) else [eps])]
     check_options(bounds, length_bound, chunk_ticks, split_fraction)
@@ -101,7 +99,7 @@ def compress_groups(points: DataFrame, series: DataFrame, **options) -> DataFram
 
 
 def correlated_subgroups(points: DataFrame, series: DataFrame, eps: float,
-                         chunk_ticks: int | None = CHUNK_TICKS) -> DataFrame:
+                         chunk_ticks: int = CHUNK_TICKS) -> DataFrame:
     """(gid, chunk, tid, leader): members that stay within twice the bound of their leader."""
     d = with_group(points, series, None)
     keyed = d.select("gid", "part", chunk_of(F.col("ts"), F.col("si_ms"), F.col("group_size"), chunk_ticks).alias("chunk"),

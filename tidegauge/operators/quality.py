@@ -38,6 +38,7 @@ def error_table(aligned: DataFrame, keys: Sequence[str] = ("tid",)) -> DataFrame
     total = F.sum(e)
     return (aligned.where("real IS NOT NULL AND approx IS NOT NULL").withColumn("e", error())
             .groupBy(*keys)
+            # fixed values: the column names of this and the following result tables
             .agg(F.when(hits > 0, total / hits).otherwise(0.0).alias("average_error"),
                  F.max(e).alias("maximum_error"), hits.alias("difference_count"), F.count(e).alias("count"),
                  (total / F.count(e)).alias("mean_absolute_error")))
