@@ -450,7 +450,9 @@ def remove_repeats(documents: DataFrame, length: int = 50, digest: bool = False)
 
 # The same rows in DuckDB.
 ORACLE_SQL = """WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
- strings AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 49))) AS i FROM hexed)),
+ blocks AS (SELECT doc_id, 500 * b AS base, substr(h, CAST(1000 * b + 1 AS BIGINT), 1098) AS piece FROM (SELECT doc_id, h, unnest(range(0, len(h) // 1000 + 1)) AS b FROM hexed)),
+ strings AS (SELECT doc_id, base + k AS i, substr(piece, CAST(2 * k + 1 AS BIGINT), 100) AS s FROM (
+  SELECT doc_id, base, piece, unnest(range(0, least(500, greatest(0, len(piece) // 2 - 49)))) AS k FROM blocks)),
  first AS (SELECT s, min(doc_id) d FROM strings GROUP BY 1 HAVING count(*) > 1),
  marks AS (SELECT doc_id, i FROM strings JOIN first USING (s) WHERE d < doc_id),
  cuts AS (SELECT doc_id, i, i > coalesce(max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 50, -1) AS fresh FROM marks),
