@@ -341,18 +341,20 @@ def _bounds(*columns: np.ndarray) -> np.ndarray:
 
 
 def _possible_links(percent: int):
+    """Lists come in order of their first document: its forest lasts over them, and only whole lists are held."""
     def run(batches):
-        for table in runs_of(batches, ["lead"]):
+        forest, current = Forest(), None
+        for table in runs_of(batches, ["lead", "list_key"]):
             lead, key, ids, sizes = (table[c].to_numpy() for c in ("lead", "list_key", "doc_id", "n"))
-            signatures = table["signature"].to_pylist()
-            edges, forest, at = [], None, None
+            signatures, edges = table["signature"], []
             bounds = _bounds(lead, key)
             for a, b in zip(bounds[:-1], bounds[1:]):
-                if lead[a] != at:
-                    edges += forest.edges if forest else []
-                    forest, at = Forest(), lead[a]
-                join_list(ids[a:b], sizes[a:b], signatures[a:b], forest, percent)
-            yield edge_batch(edges + (forest.edges if forest else []))
+                if lead[a] != current:
+                    edges += forest.edges
+                    forest, current = Forest(), lead[a]
+                join_list(ids[a:b], sizes[a:b], signatures[a:b].to_pylist(), forest, percent)
+            yield edge_batch(edges)
+        yield edge_batch(forest.edges)
     return run
 
 
