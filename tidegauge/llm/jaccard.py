@@ -48,25 +48,33 @@ SLOT_SCHEMA = "part int, counts binary"
 
 def _slot_counts(n: int):
     def run(batches):
-        total = np.zeros(SLOTS, np.int64)
+        total, waiting, held = np.zeros(SLOTS, np.int64), [], 0
         for batch in batches:
-            for _, _, data, offsets in T.text_pieces(batch.column("text"), 4 * T.PIECE_BYTES):
+            for _, _, data, offsets in T.text_pieces(batch.column("text")):
                 row, _, _, hashes = T.words(data, offsets)
                 if len(row) >= n:
-                    total += np.bincount((T.windows(hashes, n)[row[n - 1:] == row[:len(row) - n + 1]] & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        parts = total.astype(np.uint32 if total.max() < 1 << 32 else np.uint64).reshape(SLOT_PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLOT_PARTS), pa.int32()), T.binary([p.tobytes() for p in parts])], names=["part", "counts"])
+                    waiting.append((T.windows(hashes, n)[row[n - 1:] == row[:len(row) - n + 1]] & np.uint64(SLOTS - 1)).astype(np.int32))
+                    held += len(waiting[-1])
+                if held > SLOTS:
+                    total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
+                    waiting, held = [], 0
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
+        yield _slot_batch(list(range(SLOT_PARTS)), total.reshape(SLOT_PARTS, -1))
     return run
 
 
+def _slot_batch(parts: list[int], counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), T.binary([T.packed(c) for c in counts])], names=["part", "counts"])
+
+
 def _slot_sums(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            width = len(blob) * SLOT_PARTS // SLOTS
-            sums[part] = sums.get(part, 0) + np.frombuffer(blob, f"u{width}").astype(np.int64)
+            sums[part] = sums.get(part, 0) + T.unpacked(blob, SLOTS // SLOT_PARTS, np.int64)
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), T.binary([x.tobytes() for x in sums.values()])], names=["part", "counts"])
+        yield _slot_batch(list(sums), sums.values())
 
 
 def crowded_slots(documents: DataFrame, n: int) -> np.ndarray:
@@ -75,7 +83,7 @@ def crowded_slots(documents: DataFrame, n: int) -> np.ndarray:
     rows = parts.repartition("part").mapInArrow(_slot_sums, SLOT_SCHEMA).collect()
     counts = np.zeros((SLOT_PARTS, SLOTS // SLOT_PARTS), np.int64)
     for part, blob in rows:
-        counts[part] += np.frombuffer(blob, np.int64)
+        counts[part] += T.unpacked(blob, SLOTS // SLOT_PARTS, np.int64)
     counts = counts.ravel()
     return np.packbits(counts >= CROWDED * max(1.0, counts.mean()))
 

@@ -14,7 +14,7 @@ MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 # The white space of the word contract.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 def worker_memo(name: str, make: Callable):
@@ -76,7 +76,7 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 1 << 23:
+        if size <= 1 << 21:  # longer ones serve a single very long text
             store[base] = have
     return have[:n]
 
@@ -140,6 +140,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.n
             yield np.zeros(0, np.uint64)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """An array as compressed bytes; counters are mostly zeros."""
+    return pa.compress(values.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, dtype) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(dtype).itemsize, "zstd", asbytes=True), dtype)
+
+
 def binary(items) -> pa.Array:
     return pa.array(items, pa.binary())
 

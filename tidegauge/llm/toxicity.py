@@ -122,7 +122,7 @@ def _evidence(identity):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ROWS)], schema=ROWS)
         yield pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int32()), pa.array([0, 1], pa.int32()), pa.array(n, pa.int64()),
-                                          T.binary([x.tobytes() for x in total]), T.binary([None, None])], schema=ROWS)
+                                          T.binary([T.packed(x) for x in total]), T.binary([None, None])], schema=ROWS)
     return run
 
 
@@ -130,9 +130,9 @@ def _sum_counts(batches):
     total, n = np.zeros((2, SLOTS), np.int64), [0, 0]
     for batch in batches:
         for label, rows, blob in zip(*(batch.column(c).to_pylist() for c in ("toxic", "n", "slots"))):
-            total[label] += np.frombuffer(blob, np.int64)
+            total[label] += T.unpacked(blob, SLOTS, np.int64)
             n[label] += rows
-    yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(n, pa.int64()), T.binary([x.tobytes() for x in total])], names=["toxic", "n", "slots"])
+    yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(n, pa.int64()), T.binary([T.packed(x) for x in total])], names=["toxic", "n", "slots"])
 
 
 def telling(found: np.ndarray, n: np.ndarray, always: np.ndarray) -> np.ndarray:
@@ -206,7 +206,7 @@ def fit(documents: DataFrame, labels: DataFrame, identity: dict[str, list[str]]
     parts = evidence.where("kind = 0").select("toxic", "n", "slots").repartition(8)
     for r in parts.mapInArrow(_sum_counts, "toxic int, n bigint, slots binary").collect():
         n[r["toxic"]] += r["n"]
-        found[r["toxic"]] += np.frombuffer(r["slots"], np.int64)
+        found[r["toxic"]] += T.unpacked(r["slots"], SLOTS, np.int64)
     if not n.all():
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((n[1] + 0.5) / (n[0] + 0.5))))
     terms = pa.array([" ".join(t for x in identity.values() for t in x)])
