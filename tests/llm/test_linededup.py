@@ -51,3 +51,42 @@ def test_awkward_rows(awkward, nothing):
     assert remove_repeated_runs(nothing).count() == 0
     clash = awkward.withColumnRenamed("row", "found")
     assert remove_repeated_runs(clash).columns == [*clash.columns, "n_lines", "n_removed", "n_runs"]
+
+
+def brute_long(rows, run, words):
+    """Windows of every size up to `run`; those of fewer lines need more than `words` words."""
+    def windows(text):
+        parts = text.split("\n")
+        for size in range(1, run + 1):
+            for i in range(len(parts) - size + 1):
+                if size == run or sum(len(p.split()) for p in parts[i:i + size]) > words:
+                    yield i, tuple(parts[i:i + size])
+    places = {}
+    for doc, text in rows:
+        for i, key in windows(text):
+            places[key] = min((doc, i), places.get(key, (doc, i)))
+    out = []
+    for doc, text in rows:
+        parts = text.split("\n")
+        gone = [0] * len(parts)
+        for i, key in windows(text):
+            if places[key] < (doc, i):
+                gone[i:i + len(key)] = [1] * len(key)
+        begins = sum(g and not p for g, p in zip(gone, [0] + gone))
+        out.append((doc, "\n".join(p for p, g in zip(parts, gone) if not g), len(parts), sum(gone), begins))
+    return sorted(out, key=str)
+
+
+def test_long_passages_on_one_or_two_lines(spark):
+    rng = random.Random(3)
+    long = " ".join(f"word{k}" for k in range(51))
+    halves = " ".join(f"left{k}" for k in range(26)), " ".join(f"right{k}" for k in range(25))
+    rows = [(0, f"a\n{long}\nb"), (1, f"c\n{long}\nd"), (2, long), (3, "e\n" + "\n".join(halves) + "\nf"), (4, "\n".join(halves) + "\ng"),
+            (5, f"h\n{halves[0]}\ni"), (6, f"j\n{long.rsplit(' ', 1)[0]}\nk"), (7, f"l\n{long.rsplit(' ', 1)[0]}\nm")]
+    texts = [" ".join(f"w{rng.randrange(9)}x{j}" for j in range(n)) for n in (1, 20, 26, 27, 40, 51, 60)]
+    rows += [(10 + d, "\n".join(rng.choice(texts) for _ in range(rng.randrange(1, 6)))) for d in range(60)]
+    got = sorted((tuple(r) for r in remove_repeated_runs(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), 3, 50).select(
+        "doc_id", "text", "n_lines", "n_removed", "n_runs").collect()), key=str)
+    assert got == brute_long(rows, 3, 50)
+    kept = {r[0]: r[1] for r in got}
+    assert (kept[1], kept[2], kept[4], kept[5], kept[7]) == ("c\nd", "", "g", rows[5][1], rows[7][1])

@@ -7,6 +7,9 @@
    stands earlier, in order of (doc_id, line), is repeated; overlapping windows make up the whole match.
 4. Lines of repeated windows go; all lines are judged on the input.
 
+With `words`, fewer than `run` lines that hold more than that many words together are windows too, each its own fingerprint: a
+long passage that stands earlier on one or two lines goes, whatever its neighbours are. Without it only runs of `run` lines count.
+
 A line that stands in a third of all documents costs a row each: counts and first positions are partial aggregates, and the
 joins with them are split where skewed. No pairs of positions are made.
 
@@ -48,49 +51,68 @@ def fingerprints(row: np.ndarray, hashes: np.ndarray, run: int) -> tuple[np.ndar
     return whole, whole + chosen
 
 
-SCHEMA = "fingerprint bigint, doc_id bigint, text_key int, line bigint, windows array<bigint>"
-FIELDS = pa.schema([("fingerprint", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int32()), ("line", pa.int64()), ("windows", pa.list_(pa.int64()))])
+def long_windows(row: np.ndarray, words_of: np.ndarray, size: int, words: int) -> np.ndarray:
+    """First line (index) of every window of `size` lines of one row that hold more than `words` words together."""
+    n = len(row) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    return np.flatnonzero((row[:n] == row[size - 1:]) & (sum(words_of[j:j + n] for j in range(size)) > words))
+
 
+SCHEMA = "fingerprint bigint, doc_id bigint, text_key int, line bigint, size int, windows array<bigint>"
+FIELDS = pa.schema([("fingerprint", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int32()), ("line", pa.int64()), ("size", pa.int32()),
+                    ("windows", pa.list_(pa.int64()))])
 
-def _positions(run: int):
-    """A row a chosen line: its hash, the first line of the windows that chose it, and the hashes of these windows."""
+
+def _positions(run: int, words: int | None):
+    """A row a chosen line: its hash, the first line and the lines of the windows that chose it, and the hashes of these windows."""
     def work(batches):
         for batch in batches:
             batch = batch.filter(batch.column("doc_id").is_valid())
-            ids, keys = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
+            ids, texts = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
             for a, b, data, offsets in T.text_pieces(batch.column("text")):
                 row, start, end = lines(data, offsets)
                 hashes = T.span_hashes(T.rolling(data), start, end)
+                base = np.searchsorted(row, row)  # index of the first line of the row
+
+                def rows(keys, at, size, ends, window):
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(window.view(np.int64)))
+                    return pa.RecordBatch.from_arrays([
+                        pa.array(keys.view(np.int64)), pa.array(ids[a + row[at]], pa.int64()), pa.array(texts[a + row[at]], pa.int32()),
+                        pa.array(at - base[at]), pa.array(np.full(len(at), size, np.int32)), lists], schema=FIELDS)
+
                 first, chosen = fingerprints(row, hashes, run)
-                if not len(first):
+                if len(first):
+                    heads = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (first[1:] != first[:-1] + 1)))
+                    yield rows(hashes[chosen[heads]], first[heads], run, np.append(heads, len(first)), T.windows(hashes, run)[first])
+                if words is None:
                     continue
-                window = T.windows(hashes, run)[first].view(np.int64)
-                base = np.searchsorted(row, row)  # index of the first line of the row
-                heads = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (first[1:] != first[:-1] + 1)))
-                at = first[heads]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(first)), pa.int32()), pa.array(window))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(hashes[chosen[heads]].view(np.int64)), pa.array(ids[a + row[at]], pa.int64()), pa.array(keys[a + row[at]], pa.int32()),
-                    pa.array(at - base[at]), lists], schema=FIELDS)
+                begins, _ = T.spans(data, offsets, T.IS_SPACE[data])
+                words_of = np.searchsorted(begins, end) - np.searchsorted(begins, start)
+                for size in range(1, run):
+                    at = long_windows(row, words_of, size, words)
+                    if len(at):
+                        window = T.windows(hashes, size)[at]
+                        yield rows(window, at, size, np.arange(len(at) + 1), window)
     return work
 
 
-def repeated_windows(documents: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, text_key, line): first lines of the windows of `run` lines that stand earlier too."""
+def repeated_windows(documents: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(doc_id, text_key, line, size): first lines and numbers of lines of the windows that stand earlier too."""
     keyed = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash("text").alias("text_key"), "text")
-    positions = written(documents.sparkSession, keyed.mapInArrow(_positions(run), SCHEMA), "fingerprints")
+    positions = written(documents.sparkSession, keyed.mapInArrow(_positions(run, words), SCHEMA), "fingerprints")
     many = positions.groupBy("fingerprint").agg(F.sum(F.size("windows")).alias("n")).where("n > 1")
     met = positions.join(many.select("fingerprint"), "fingerprint", "left_semi")
-    each = met.select("doc_id", "text_key", "line", F.posexplode("windows").alias("step", "window")).select(
-        "window", F.struct("doc_id", (F.col("line") + F.col("step")).alias("line"), "text_key").alias("place"))
+    each = met.select("doc_id", "text_key", "line", "size", F.posexplode("windows").alias("step", "window")).select(
+        "window", F.struct("doc_id", (F.col("line") + F.col("step")).alias("line"), "text_key", "size").alias("place"))
     first = each.groupBy("window").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("window", "first")
-    return each.join(first, "window").where("place > first").select("place.doc_id", "place.text_key", "place.line").distinct()
+    return each.join(first, "window").where("place > first").select("place.doc_id", "place.text_key", "place.line", "place.size").distinct()
 
 
 OUT = [("n_lines", S.LongType()), ("n_removed", S.LongType()), ("n_runs", S.LongType())]
 
 
-def _delete(run: int, names: list[str]):
+def _delete(names: list[str]):
     def work(batches):
         for batch in batches:
             kept, counts = [], []
@@ -98,8 +120,8 @@ def _delete(run: int, names: list[str]):
                 text = text.as_py()
                 parts = (text or "").split("\n")
                 gone = np.zeros(len(parts) + 1, np.int64)
-                for at in found or ():
-                    gone[at:at + run] = 1
+                for window in found or ():
+                    gone[window["line"]:window["line"] + window["size"]] = 1
                 gone = gone[:-1]
                 counts.append((len(parts), int(gone.sum()), int((np.diff(gone, prepend=0) == 1).sum())))
                 kept.append("\n".join(p for p, g in zip(parts, gone) if not g) if text is not None else None)
@@ -109,10 +131,13 @@ def _delete(run: int, names: list[str]):
     return work
 
 
-def remove_repeated_runs(documents: DataFrame, run: int = RUN) -> DataFrame:
-    """All columns of documents with `text` less its repeated lines, and n_lines, n_removed, n_runs (replacing such columns)."""
+def remove_repeated_runs(documents: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """All columns of documents with `text` less its repeated lines, and n_lines, n_removed, n_runs (replacing such columns).
+
+    A repeat is a run of `run` lines and, with `words`, also fewer lines with more than `words` words together."""
     rest = documents.drop(*(n for n, _ in OUT))
-    found = repeated_windows(documents.select("doc_id", "text"), run).groupBy("doc_id", "text_key").agg(F.collect_list("line").alias("found"))
+    found = repeated_windows(documents.select("doc_id", "text"), run, words).groupBy("doc_id", "text_key").agg(
+        F.collect_list(F.struct("line", "size")).alias("found"))
     left, right = "__line_doc", "__line_key"
     found = found.select(F.col("doc_id").alias(left), F.col("text_key").alias(right), F.col("found").alias("__found"))
     joined = rest.join(found, (F.col("doc_id").cast("bigint") == F.col(left)) & (F.hash("text") == F.col(right)), "left")
@@ -120,7 +145,7 @@ def remove_repeated_runs(documents: DataFrame, run: int = RUN) -> DataFrame:
         *(c for c in rest.columns if c != "found"), F.col("found").alias("__kept_found"), F.col("__found").alias("found"))
     names = [c for c in joined.columns if c != "found"]
     schema = S.StructType([joined.schema[n] for n in names] + [S.StructField(n, t) for n, t in OUT])
-    out = joined.mapInArrow(_delete(run, names), schema)
+    out = joined.mapInArrow(_delete(names), schema)
     return out.withColumnRenamed("__kept_found", "found").select(*rest.columns, *(n for n, _ in OUT))
 
 
@@ -134,3 +159,18 @@ ORACLE_SQL = """WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr
  runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY n), false) AS begins FROM marked)
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, CAST(count(*) FILTER (begins) AS BIGINT) AS n_runs,
  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256 FROM runs GROUP BY doc_id"""
+
+# The rows with windows of one or two lines of more than 50 words too.
+LONG_SQL = """WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) l FROM documents),
+ line AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n, len(l) AS m FROM cut),
+ counted AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM line),
+ spans AS (SELECT doc_id, n, m, 1 AS size, line AS key, words FROM counted
+  UNION ALL SELECT doc_id, n, m, 2, line || chr(10) || lead(line, 1) OVER w, words + lead(words, 1) OVER w FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY n)
+  UNION ALL SELECT doc_id, n, m, 3, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w, NULL FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+ later AS (SELECT doc_id, n, size FROM (SELECT doc_id, n, size, row_number() OVER (PARTITION BY size, key ORDER BY doc_id, n) r FROM spans
+  WHERE n + size - 1 <= m AND (size = 3 OR words > 50)) WHERE r > 1),
+ gone AS (SELECT DISTINCT doc_id, n + unnest(range(size)) AS n FROM later),
+ marked AS (SELECT a.doc_id, a.n, a.line, g.n IS NOT NULL AS gone FROM line a LEFT JOIN gone g ON a.doc_id = g.doc_id AND a.n = g.n),
+ runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY n), false) AS begins FROM marked)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, CAST(count(*) FILTER (begins) AS BIGINT) AS n_runs,
+ sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256 FROM runs GROUP BY doc_id"""

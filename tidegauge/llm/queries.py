@@ -79,6 +79,13 @@ def op7_line_dedup(spark, sf_dir):
     return d.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@add("op7_long_line_dedup", linededup.LONG_SQL)
+def op7_long_line_dedup(spark, sf_dir):
+    """Lines of runs of three or more, or of more than 50 words, that stand earlier are cut."""
+    d = linededup.remove_repeated_runs(load(spark, sf_dir, "documents").select("doc_id", "text"), 3, 50)
+    return d.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @add("op8_suffix_dedup", suffixdedup.ORACLE_SQL)
 def op8_suffix_dedup(spark, sf_dir):
     """Bytes of 50-byte strings that an earlier document holds are cut."""
