@@ -30,6 +30,25 @@ def test_renamed_questions(spark):
     assert not got & {(2, 1), (6, 3), (8, 1), (9, 1)}
 
 
+def test_renamings_that_change_the_number_of_words(spark):
+    item = ("If we know that Peter walks to the old green market with 12 heavy bags of corn and then runs for 5 km along "
+            "the long river before he meets Anna at home again")
+    longer = item.replace("Peter", "Karl Smith").replace("12", "1 200").replace("5 km", "7km").replace("Anna", "Maria Lopez")
+    inserted = item.replace("old green", "old and green").replace("bags of", "bags full of").replace("the long", "the very long").replace("he meets", "he then meets")
+    rich = "Yesterday our friend gave Anna 4 , Tom 5 , Eva 6 and Max 7 , Ida 8 , Ben 9 marbles"
+    other = "Yesterday our friend gave Lisa 11 , Paul 12 , Nora 13 and Otto 14 , Rosa 15 , Emil 16 marbles"
+    table = "so Lisa 11 , Paul 12 , Nora 13 and Otto 14 , Rosa 15 , Emil 16"
+    texts = [item, longer, inserted, item.lower(), other, table, "nothing of it"]
+    assert found(spark, texts, [(1, item), (2, rich)]) == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 2)}
+
+
+def test_pieces_are_joined_in_order_and_near():
+    plain = lambda at, pos: D.Piece([(at, bytes(8), list(range(8)), bytes(8), list(range(8)), pos, (), ())])
+    assert D.chained([plain(0, 0), plain(9, 12), plain(20, 5), plain(20, 500)], 40) == (16, False)
+    slot = lambda at, pos, v: D.Piece([(at, bytes([0, D.NAME]), [1, 7], bytes([0, D.NAME]), [1, v], pos, (), ())])
+    assert D.chained([slot(0, 0, 8), slot(5, 6, 8)], 10)[0] == 4 and D.chained([slot(0, 0, 8), slot(5, 6, 9)], 10)[0] == 2
+
+
 def test_consistency_rules():
     name = bytes([D.PLAIN, D.NAME, D.PLAIN, D.NAME])
     def check(doc, item=(1, 7, 2, 7), kinds=name):
