@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidegauge.llm import ann, bpe, decontaminate, jaccard, langid, linededup, suffixdedup, tokencount, toxicity, warc
+from tidegauge.llm import ann, bpe, decontaminate, jaccard, langid, linededup, merkle, resample, simhash, suffixdedup, tokencount, toxicity, warc
 
 # Fixed value: the date that the records of the pages table bear, which has none.
 FETCHED = "2024-01-01T00:00:00Z"
@@ -110,3 +110,23 @@ def op10_token_counts(spark, sf_dir):
     """Pieces of the best unigram segmentation of every document."""
     pieces = tokencount.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     return tokencount.token_counts(load(spark, sf_dir, "documents"), pieces)
+
+
+@add("op11_importance_resampling", resample.ORACLE_SQL)
+def op11_importance_resampling(spark, sf_dir):
+    """Weight of every document towards the benchmark, and the tenth that is drawn."""
+    return resample.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@add("op12_merkle_manifest", merkle.ORACLE_SQL)
+def op12_merkle_manifest(spark, sf_dir):
+    """Proof of every document, folded from texts without line ends where the id's CRC-32 is even."""
+    tampered = F.replace("text", F.lit("\n"), F.lit(""))
+    return merkle.manifest(load(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], changed={"text": tampered},
+                           where=F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+
+
+@add("op13_simhash_near_duplicates")
+def op13_simhash_near_duplicates(spark, sf_dir):
+    """Classes of documents linked by fingerprints that differ in 4 bits or fewer."""
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
