@@ -113,10 +113,10 @@ LAYER = "tree string, block bigint, leaves int, levels int, log binary, root bin
 
 
 def _build(fanout: int):
-    def run(nodes: pa.Table) -> pa.Table:
+    def run(nodes: pa.Table, sizes: pa.Table) -> pa.Table:
         nodes = nodes.sort_by("pos")
         leaves = [d.hex() for d in nodes["digest"].to_pylist()]
-        levels = min(HEIGHT, height(nodes["size"][0].as_py(), fanout))
+        levels = min(HEIGHT, height(sizes["size"][0].as_py(), fanout))
         log = completion_log(leaves, levels, fanout)
         return pa.table({
             "tree": pa.array([nodes["tree"][0].as_py()], pa.string()), "block": pa.array([nodes["block"][0].as_py()], pa.int64()),
@@ -129,13 +129,20 @@ def in_blocks(nodes: DataFrame, fanout: int) -> DataFrame:
     return nodes.withColumn("block", F.floor(F.col("pos") / F.lit(fanout ** HEIGHT)))
 
 
+def _together(a: DataFrame, b: DataFrame):
+    """Both tables by block. Dealt out by block explicitly: a table that lies by tree would keep a large tree in one task."""
+    at = ["tree", "block"]
+    return a.repartition(*at).groupBy(*at).cogroup(b.repartition(*at).groupBy(*at))
+
+
 def layers_of(nodes: DataFrame, fanout: int) -> list[DataFrame]:
     """Layers from the leaves nodes(tree, pos from 0, digest) up to one block a tree; none for no nodes."""
     spark, layers = nodes.sparkSession, []
     while True:
-        sizes = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("size"))
-        held = in_blocks(nodes.select("tree", "pos", "digest").join(sizes, "tree"), fanout)
-        layer = written(spark, held.groupBy("tree", "block").applyInArrow(_build(fanout), LAYER), "layer")
+        held = in_blocks(nodes.select("tree", "pos", "digest"), fanout)
+        blocks = held.groupBy("tree", "block").agg(F.count(F.lit(1)).alias("n"))
+        sizes = blocks.join(blocks.groupBy("tree").agg(F.sum("n").alias("size")), "tree").select("tree", "block", "size")
+        layer = written(spark, _together(held, sizes).applyInArrow(_build(fanout), LAYER), "layer")
         most = layer.agg(F.max("block")).first()[0]
         if most is None:
             return []
@@ -221,7 +228,7 @@ def manifest(rows: DataFrame, columns: Sequence[str], group: str = "source", ord
     above = paths_down(layers, tops.select("tree", "path"), fanout)
     logs = layers[0].join(above, ["tree", "block"]).join(tops.select("tree", "subroot"), "tree").select("tree", "block", "leaves", "levels", "log", "path", "subroot")
     held = in_blocks(placed, fanout).select("tree", "block", "pos", "doc_id", "changed")
-    out = held.groupBy("tree", "block").cogroup(logs.groupBy("tree", "block")).applyInArrow(_proofs(fanout, root, whole), names)
+    out = _together(held, logs).applyInArrow(_proofs(fanout, root, whole), names)
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 

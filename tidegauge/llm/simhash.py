@@ -212,7 +212,8 @@ def shards(prints: DataFrame, limit: int) -> DataFrame:
         salts = F.ceil(F.col("n") / SALT_ROWS)
         held = cut.withColumn("salt", F.pmod(F.xxhash64("id"), salts)).select("shard", "salt", "id", "print", "own")
         dealt = trees.join(large, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).select("shard", "salt", "leaves", "tree")
-        rows = written(spark, held.groupBy("shard", "salt").cogroup(dealt.groupBy("shard", "salt")).applyInArrow(_route, ROWS), "shards")
+        at = ["shard", "salt"]  # dealt out explicitly: a table that lies by shard would keep a large shard in one task
+        rows = written(spark, held.repartition(*at).groupBy(*at).cogroup(dealt.repartition(*at).groupBy(*at)).applyInArrow(_route, ROWS), "shards")
 
 
 # 4. links
@@ -267,7 +268,7 @@ def links(prints: DataFrame, limit: int) -> DataFrame:
     cells = cells.otherwise(F.transform(blocks, lambda y: F.struct(y.alias("a"), F.when(x == F.col("k"), y).otherwise(x).alias("b"))))
     dealt = rows.join(sizes, "shard").withColumn("block", block).withColumn("cell", F.explode(cells))
     dealt = dealt.select("shard", "cell.a", "cell.b", "id", "print", "own", "block")
-    return dealt.groupBy("shard", "a", "b").applyInArrow(_links(limit), "a bigint, b bigint")
+    return dealt.repartition("shard", "a", "b").groupBy("shard", "a", "b").applyInArrow(_links(limit), "a bigint, b bigint")
 
 
 def near_duplicates(documents: DataFrame, n: int = 4, limit: int = 4, seed: int = 42) -> DataFrame:
