@@ -142,6 +142,7 @@ def layers_of(nodes: DataFrame, fanout: int) -> list[DataFrame]:
         held = in_blocks(nodes.select("tree", "pos", "digest"), fanout)
         blocks = held.groupBy("tree", "block").agg(F.count(F.lit(1)).alias("n"))
         sizes = blocks.join(blocks.groupBy("tree").agg(F.sum("n").alias("size")), "tree").select("tree", "block", "size")
+        sizes = written(spark, sizes, "sizes")  # columns of one origin on both sides would be ambiguous
         layer = written(spark, _together(held, sizes).applyInArrow(_build(fanout), LAYER), "layer")
         most = layer.agg(F.max("block")).first()[0]
         if most is None:
