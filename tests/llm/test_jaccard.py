@@ -66,3 +66,44 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_crowded_shingles_and_large_families(spark, monkeypatch):
+    """Shingles of more documents than a block, in lists of their own, and families that take two rounds."""
+    rng = random.Random(11)
+    bases = [[f"b{k}w{j}" for j in range(40)] for k in range(3)]
+    rows = []
+    for d in range(160):
+        words = list(bases[0] if d % 2 else bases[1 + d % 4 // 2])
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10 ** 6)}"
+        rows.append((d, " ".join(words[:rng.randrange(33, 41)])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for block in (64, 16):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "LEAD_ROWS", block)
+        assert rows_of(df, 3, 80) == brute(rows, 3, 80)
+    order = jaccard.shingle_order(df, 3)
+    held = jaccard.np.concatenate([s for t in rows for s in jaccard.T.shingle_sets(*jaccard.T.buffer_of(jaccard.pa.array([t[1]])), 3)])
+    values, counts = jaccard.np.unique(held, return_counts=True)
+    assert jaccard.crowded(values[counts > block], order).all()
+
+
+def test_rounds_connect_what_all_pairs_would(spark):
+    """Members of a group meet in the first round or, if their classes differ still, in the second."""
+    members = spark.createDataFrame([(g, k * 3 + g) for g in (0, 1) for k in range(50)], "grp bigint, id bigint")
+    first = {}
+    for r in jaccard.around_first(members, 8).collect():
+        first.setdefault((r.grp, r.cell), set()).add(r.id)
+    classes = spark.createDataFrame([(i, 0 if i < 90 else i) for i in range(0, 150, 3)], "node bigint, component bigint")
+    second, known = {}, {}
+    for r in jaccard.outside_largest(members, classes, 8).collect():
+        second.setdefault((r.grp, r.a, r.b), set()).add(r.id)
+        known[r.grp, r.id] = r.known
+    assert max(map(len, second.values())) < 50
+    for g in (0, 1):
+        ids = [k * 3 + g for k in range(50)]
+        for x in ids:
+            for y in ids:
+                assert known[g, x] == known[g, y] or any(x in c and y in c for k, c in second.items() if k[0] == g)
+    assert all(i in set().union(*first.values()) for i in known.values())

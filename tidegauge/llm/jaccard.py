@@ -1,10 +1,11 @@
 """Links and classes of documents whose sets of word shingles are alike, by signature trees over prefix lists.
 
-1. Shingles are counted in a fixed number of slots over all documents. The order of shingles is by hash, those of crowded
-   slots last: a passage that a third of all documents share does not bring them together.
+1. Shingles are counted in slots over all documents; slots grow with the input, up to a fixed bound. Shingles are ordered by the logarithm
+   of that estimate, rare ones first, then by hash: a passage that a third of all documents share does not bring them together.
 2. Each document becomes a sketch: size, key of its set, prefix (any two linked sets share a shingle of their prefixes) and
-   a bitmap of four bits a shingle. Documents with equal sets go on as one.
-3. Prefix shingles meet in buckets. Every distinct list of documents that share one becomes work once.
+   a bitmap of two to four bits a shingle. Documents with equal sets go on as one.
+3. Prefix shingles meet in buckets. Every distinct list of documents that share one becomes work once. Lists with one first document
+   go together, so that a bitmap is sent once for all of them.
 4. For each list a signature tree is built: leaves of documents by size, nodes with the OR of the bitmaps and the range of
    sizes. Two trees are walked together; a pair of nodes is left when sizes or the largest possible overlap
    exclude a link, or when all below is connected already. What remains are edges of a spanning forest of
@@ -12,7 +13,9 @@
 5. Components of that forest hold all links. Within each, the sets themselves are compared, again until connected.
 6. Components of the exact links are the classes.
 
-Lists and components of more than BLOCK documents are dealt out as pairs of blocks, so no task holds an unbounded group.
+Shingles that may stand in more than BLOCK documents, and components of more than BLOCK / 2, are dealt out in two rounds. In the first,
+members are dealt to blocks and every block meets block 0, which connects what is alike. In the second, only members outside of the
+largest class found so far meet all blocks. So no task holds an unbounded group, and rows grow with the members, not their square.
 """
 
 import hashlib
@@ -26,10 +29,13 @@ from tidegauge.llm import text as T
 from tidegauge.llm.components import components
 from tidegauge.session import written
 
-SLOTS = 1 << 20
-SLOT_PARTS = 64
-CROWDED = 4
+SLOT_LOAD = 16
+LEAST_SLOTS, MOST_SLOTS = 1 << 18, 1 << 23
+SLOT_PART = 1 << 14
 BLOCK = 4096
+LEAD_ROWS = 1024
+FILTER_PART = 1 << 16
+LEAST_FILTER, MOST_FILTER = 1 << 16, 1 << 26
 LEAF = 32
 FANOUT = 8
 BUCKET_TOKENS = 1 << 20
@@ -41,57 +47,72 @@ def needed(n, percent: int):
     return (percent * n + 99) // 100
 
 
-# 1. crowded shingles
+# 1. counts of shingles
 
 SLOT_SCHEMA = "part int, counts binary"
+LEVEL_SCHEMA = "part int, total bigint, levels binary"
 
 
-def _slot_counts(n: int):
+def _slot_counts(n: int, slots: int):
     def run(batches):
-        total, waiting, held = np.zeros(SLOTS, np.int64), [], 0
+        total, waiting, held = np.zeros(slots, np.uint32), [], 0
         for batch in batches:
             for _, _, data, offsets in T.text_pieces(batch.column("text")):
                 row, _, _, hashes = T.words(data, offsets)
                 if len(row) >= n:
-                    waiting.append((T.windows(hashes, n)[row[n - 1:] == row[:len(row) - n + 1]] & np.uint64(SLOTS - 1)).astype(np.int32))
+                    waiting.append((T.windows(hashes, n)[row[n - 1:] == row[:len(row) - n + 1]] & np.uint64(slots - 1)).astype(np.int32))
                     held += len(waiting[-1])
-                if held > SLOTS:
-                    total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
+                if held > slots:
+                    total += np.bincount(np.concatenate(waiting), minlength=slots).astype(np.uint32)
                     waiting, held = [], 0
         if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=SLOTS)
-        yield _slot_batch(list(range(SLOT_PARTS)), total.reshape(SLOT_PARTS, -1))
+            total += np.bincount(np.concatenate(waiting), minlength=slots).astype(np.uint32)
+        parts = total.reshape(-1, SLOT_PART)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), T.binary([T.packed(parts[k]) for k in used])], names=["part", "counts"])
     return run
 
 
-def _slot_batch(parts: list[int], counts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), T.binary([T.packed(c) for c in counts])], names=["part", "counts"])
-
-
-def _slot_sums(batches):
+def _slot_levels(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sums[part] = sums.get(part, 0) + T.unpacked(blob, SLOTS // SLOT_PARTS, np.int64)
+            sums[part] = sums.get(part, 0) + T.unpacked(blob, SLOT_PART, np.uint32).astype(np.int64)
     if sums:
-        yield _slot_batch(list(sums), sums.values())
+        levels = [T.packed(np.floor(np.log2(c + 1)).astype(np.uint8)) for c in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([int(c.sum()) for c in sums.values()], pa.int64()), T.binary(levels)], names=["part", "total", "levels"])
+
+
+class Order:
+    """The rank of every slot: 0 up to twice the mean count, one more each time the count doubles. The driver gets a byte a slot, at most MOST_SLOTS."""
+
+    def __init__(self, slots: int, parts):
+        levels = np.zeros((slots // SLOT_PART, SLOT_PART), np.uint8)
+        for part, _, blob in parts:
+            levels[part] = T.unpacked(blob, SLOT_PART, np.uint8)
+        self.slots, self.base = slots, int(np.log2(2 * sum(total for _, total, _ in parts) / slots + 1))
+        self.blob = T.packed(np.maximum(levels.ravel(), self.base) - np.uint8(self.base))
 
 
-def crowded_slots(documents: DataFrame, n: int) -> np.ndarray:
-    """Flags of the slots whose count is CROWDED times the mean or more. The driver gets SLOTS counters, whatever the input."""
-    parts = documents.select("text").mapInArrow(_slot_counts(n), SLOT_SCHEMA)
-    rows = parts.repartition("part").mapInArrow(_slot_sums, SLOT_SCHEMA).collect()
-    counts = np.zeros((SLOT_PARTS, SLOTS // SLOT_PARTS), np.int64)
-    for part, blob in rows:
-        counts[part] += T.unpacked(blob, SLOTS // SLOT_PARTS, np.int64)
-    counts = counts.ravel()
-    return np.packbits(counts >= CROWDED * max(1.0, counts.mean()))
+def ranks(shingles: np.ndarray, order: tuple[int, int, bytes]) -> np.ndarray:
+    """order: slots, base, packed ranks."""
+    slots, _, blob = order
+    table = T.worker_memo(("shingle ranks", hashlib.blake2b(blob).digest()), lambda: T.unpacked(blob, slots, np.uint8))
+    return table[(shingles & np.uint64(slots - 1)).astype(np.int64)]
+
+
+def shingle_order(documents: DataFrame, n: int) -> tuple[int, int, bytes]:
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (size // (6 * SLOT_LOAD)).bit_length()))
+    parts = documents.select("text").mapInArrow(_slot_counts(n, slots), SLOT_SCHEMA).repartition("part").mapInArrow(_slot_levels, LEVEL_SCHEMA).collect()
+    order = Order(slots, parts)
+    return order.slots, order.base, order.blob
 
 
 # 2. sketches
 
 def signature_bits(n: int) -> int:
-    return max(6, int(4 * n - 1).bit_length())
+    return max(6, int(2 * n - 1).bit_length())
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -104,16 +125,14 @@ SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.bi
 SKETCH_DDL = "doc_id bigint, n bigint, set_key binary, prefix binary, signature binary"
 
 
-def _sketches(n: int, percent: int, crowded: np.ndarray):
+def _sketches(n: int, percent: int, order):
     def run(batches):
-        flags = np.unpackbits(crowded).astype(bool)
         for batch in batches:
             rows = []
             for _, _, data, offsets in T.text_pieces(batch.column("text")):
                 for s in T.shingle_sets(data, offsets, n):
-                    late = flags[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
                     size = len(s) - needed(len(s), percent) + 1 if len(s) else 0
-                    prefix = np.concatenate([s[~late][:size], s[late]])[:size]
+                    prefix = s[np.argsort(ranks(s, order), kind="stable")[:size]]
                     rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), prefix.tobytes(), signature(s) if len(s) else b""))
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64())] + [pa.array(c, f.type) for c, f in zip(columns, list(SKETCH)[1:])], schema=SKETCH)
@@ -125,16 +144,24 @@ def _sketches(n: int, percent: int, crowded: np.ndarray):
 TOKENS_DDL = "bucket int, ids binary, counts binary, tokens binary"
 
 
-def _token_blobs(buckets: int):
+def crowded(shingles: np.ndarray, order: tuple[int, int, bytes]) -> np.ndarray:
+    """Whether more than BLOCK documents may hold a shingle."""
+    return (np.int64(1) << (ranks(shingles, order).astype(np.int64) + order[1] + 1)) > BLOCK
+
+
+def _token_blobs(buckets: int, order):
+    """Prefix shingles that at most BLOCK documents hold."""
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             data, offsets = T.buffer_of(batch.column("prefix"))
-            tokens = T.mix(np.frombuffer(data.tobytes(), np.uint64))
+            tokens = np.frombuffer(data.tobytes(), np.uint64)
             row = np.repeat(np.arange(len(ids)), np.diff(offsets) // 8)
+            few = ~crowded(tokens, order)
+            tokens, row = T.mix(tokens[few]), row[few]
             bucket = ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            row, low, bucket = row[order], tokens[order].astype(np.uint32), bucket[order]
+            by = np.argsort(bucket, kind="stable")
+            row, low, bucket = row[by], tokens[by].astype(np.uint32), bucket[by]
             heads = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1]))) if len(row) else np.zeros(0, np.int64)
             counts = np.diff(np.append(heads, len(row))).astype(np.int32)
             of = ids[row[heads]].astype(np.int64)
@@ -146,11 +173,24 @@ def _token_blobs(buckets: int):
     return run
 
 
+def _crowded_tokens(order):
+    """(grp, id) of the other prefix shingles."""
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            data, offsets = T.buffer_of(batch.column("prefix"))
+            tokens = np.frombuffer(data.tobytes(), np.uint64)
+            many = crowded(tokens, order)
+            row = np.repeat(np.arange(len(ids)), np.diff(offsets) // 8)[many]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(ids[row], pa.int64())], names=["grp", "id"])
+    return run
+
+
 LISTS_DDL = "lead bigint, list_key bigint, doc_id bigint"
 
 
 def shared_lists(table: pa.Table) -> pa.Table:
-    """Of one bucket: every distinct list of documents that share a token, as rows; long lists as pairs of blocks."""
+    """Of one bucket: every distinct list of documents that share a token, as rows."""
     def read(name, dtype):
         return np.frombuffer(b"".join(table[name].to_pylist()), dtype)
 
@@ -165,21 +205,40 @@ def shared_lists(table: pa.Table) -> pa.Table:
     keys = T.mix(np.add.reduceat(T.mix(ids), heads) + sizes.astype(np.uint64)) if len(heads) else NOTHING
     shared = np.flatnonzero(sizes > 1)
     _, first = np.unique(keys[shared], return_index=True)
-    out = [], [], []
-    for t in shared[first]:
-        members = ids[heads[t]:heads[t] + sizes[t]]
-        blocks = -(-len(members) // BLOCK)
-        for i in range(blocks):
-            for j in range(i + (blocks > 1), blocks):
-                part = members[i * BLOCK:(i + 1) * BLOCK]
-                part = part if i == j else np.concatenate([part, members[j * BLOCK:(j + 1) * BLOCK]])
-                out[0].append(np.full(len(part), part[0]))
-                out[1].append(np.full(len(part), T.mix(keys[t:t + 1] + np.uint64(i * blocks + j)).view(np.int64)[0]))
-                out[2].append(part)
-    columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+    kept = shared[first]
+    n = sizes[kept]
+    at = np.repeat(heads[kept], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    columns = np.repeat(ids[heads[kept]], n), np.repeat(keys[kept].view(np.int64), n), ids[at]
     return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["lead", "list_key", "doc_id"])
 
 
+# Groups of any size, members(grp, id), dealt out in two rounds.
+
+def every(n, *make):
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), *make)
+
+
+def around_first(members: DataFrame, size: int) -> DataFrame:
+    """First round: (grp, cell, id); every block of about `size` members meets block 0."""
+    blocks = members.groupBy("grp").agg(F.ceil(F.count("*") / size).alias("k"))
+    block = F.pmod(F.xxhash64("id"), F.col("k"))
+    cells = F.when(block == 0, every(F.col("k"), lambda j: j)).otherwise(F.array(block))
+    return members.join(blocks, "grp").select("grp", F.explode(cells).alias("cell"), "id")
+
+
+def outside_largest(members: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """Second round: (grp, a, b, id, known); members outside of the largest class of their group meet all. classes(node, component)."""
+    known = members.join(classes.withColumnRenamed("node", "id"), "id", "left").select("grp", "id", F.coalesce("component", "id").alias("known"))
+    counts = known.groupBy("grp", "known").agg(F.count("*").alias("n"))
+    tops = counts.groupBy("grp").agg(F.max_by("known", F.struct("n", "known")).alias("top"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    tops = tops.select("grp", "top", F.ceil(F.col("n") / size).alias("k"), F.ceil((F.col("n") - F.col("most")) / size).alias("m"))
+    x, y = F.pmod(F.xxhash64("id", F.lit(1)), F.col("m")), F.pmod(F.xxhash64("id"), F.col("k"))
+    cells = every(F.col("m"), lambda a: F.struct(a.alias("a"), y.alias("b")))
+    both = F.array_distinct(F.concat(cells, every(F.col("k"), lambda b: F.struct(x.alias("a"), b.alias("b")))))
+    dealt = known.join(tops, "grp").withColumn("cell", F.explode(F.when(F.col("known") == F.col("top"), cells).otherwise(both)))
+    return dealt.select("grp", "cell.a", "cell.b", "id", "known")
+
+
 # 4. signature trees
 
 class Forest:
@@ -349,43 +408,76 @@ def _bounds(*columns: np.ndarray) -> np.ndarray:
 
 
 def _possible_links(percent: int):
-    """Lists come in order of their first document: its forest lasts over them, and only whole lists are held."""
+    """Rows hold a document of one part of the lists of a first document, and the keys of those of its lists; one forest lasts over the part."""
     def run(batches):
-        forest, current = Forest(), None
-        for table in runs_of(batches, ["lead", "list_key"]):
-            lead, key, ids, sizes = (table[c].to_numpy() for c in ("lead", "list_key", "doc_id", "n"))
-            signatures, edges = table["signature"], []
-            bounds = _bounds(lead, key)
+        for table in runs_of(batches, ["lead", "part"]):
+            lead, part, ids, sizes = (table[c].to_numpy() for c in ("lead", "part", "doc_id", "n"))
+            signatures, lists = table["signature"].to_pylist(), table["lists"].combine_chunks()
+            offsets, keys = lists.offsets.to_numpy(), lists.values.to_numpy()
+            edges, bounds = [], _bounds(lead, part)
             for a, b in zip(bounds[:-1], bounds[1:]):
-                if lead[a] != current:
-                    edges += forest.edges
-                    forest, current = Forest(), lead[a]
-                join_list(ids[a:b], sizes[a:b], signatures[a:b].to_pylist(), forest, percent)
+                forest = Forest()
+                held, row = keys[offsets[a]:offsets[b]], np.repeat(np.arange(a, b), np.diff(offsets[a:b + 1]))
+                order = np.argsort(held, kind="stable")
+                row, cuts = row[order], _bounds(held[order])
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    join_list(ids[row[i:j]], sizes[row[i:j]], [signatures[k] for k in row[i:j]], forest, percent)
+                edges += forest.edges
             yield edge_batch(edges)
-        yield edge_batch(forest.edges)
     return run
 
 
+def possible_links(work: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """work(lead, part, doc_id, lists): documents of lists that go together."""
+    held = work.join(sketches, "doc_id").select("lead", "part", "doc_id", "n", "signature", "lists")
+    return held.repartition("lead", "part").sortWithinPartitions("lead", "part", "doc_id").mapInArrow(_possible_links(percent), "a bigint, b bigint")
+
+
 # 5. exact links
 
-FAMILY_DDL = "component bigint, i int, j int, doc_id bigint, n bigint, shingles binary"
+def _filter_parts(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        flags = np.zeros(FILTER_PART, bool)
+        flags[table["bit"].to_numpy()] = True
+        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int64()), "flags": T.binary([T.packed(np.packbits(flags))])})
+    return run
+
 
+def id_filter(ids: DataFrame) -> tuple[int, bytes]:
+    """Bits of hashed ids(id), 32 an id between bounds; the driver gets at most MOST_FILTER / 8 bytes."""
+    bits = min(MOST_FILTER, max(LEAST_FILTER, 1 << (32 * ids.count()).bit_length()))
+    low = F.xxhash64("id").bitwiseAND(bits - 1)
+    parts = ids.select(F.floor(low / FILTER_PART).alias("part"), (low % FILTER_PART).alias("bit")).distinct()
+    flags = np.zeros((bits // FILTER_PART, FILTER_PART // 8), np.uint8)
+    for part, blob in parts.groupBy("part").applyInArrow(_filter_parts(bits), "part bigint, flags binary").collect():
+        flags[part] = T.unpacked(blob, FILTER_PART // 8, np.uint8)
+    return bits, T.packed(flags)
 
-def _family_sets(n: int):
+
+def _passing(bits: int, blob: bytes):
+    def run(batches):
+        flags = T.unpacked(blob, bits // 8, np.uint8)
+        for batch in batches:
+            low = batch.column("low").to_numpy()
+            batch = batch.filter(pa.array((flags[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1).astype(bool)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], names=["doc_id", "text"])
+    return run
+
+
+def _family_sets(n: int, columns: list[str]):
     def run(batches):
         for batch in batches:
             sets = [s for _, _, data, offsets in T.text_pieces(batch.column("text")) for s in T.shingle_sets(data, offsets, n)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("component", "block", "blocks", "doc_id")] + [pa.array([len(s) for s in sets], pa.int64()), T.binary([s.tobytes() for s in sets])],
-                names=["component", "block", "blocks", "doc_id", "n", "shingles"])
+                [batch.column(c) for c in columns] + [pa.array([len(s) for s in sets], pa.int64()), T.binary([s.tobytes() for s in sets])], names=[*columns, "n", "shingles"])
     return run
 
 
-def exact_links(ids: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def exact_links(ids: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links of some documents: each is compared with all of other classes whose size allows it."""
     forest = Forest()
     order = np.argsort(sizes, kind="stable")
-    label = np.arange(len(ids))
+    label = np.arange(len(ids)) if known is None else np.unique(known, return_inverse=True)[1][order]
     starts = np.cumsum([0] + [len(sets[k]) for k in order])
     joined = np.concatenate([sets[k] for k in order])
     n = sizes[order]
@@ -409,18 +501,30 @@ def exact_links(ids: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, perc
     return forest.edges
 
 
-def _exact(percent: int):
+def _exact(percent: int, keys: list[str], known: bool):
     def run(batches):
-        for table in runs_of(batches, ["component", "i", "j"]):
-            component, i, j, ids, sizes = (table[c].to_numpy() for c in ("component", "i", "j", "doc_id", "n"))
-            sets = table["shingles"].to_pylist()
-            edges, bounds = [], _bounds(component, i, j)
+        for table in runs_of(batches, keys):
+            ids, sizes, sets = table["doc_id"].to_numpy(), table["n"].to_numpy(), table["shingles"].to_pylist()
+            classes = table["known"].to_numpy() if known else None
+            edges, bounds = [], _bounds(*(table[k].to_numpy() for k in keys))
             for a, b in zip(bounds[:-1], bounds[1:]):
-                edges += exact_links(ids[a:b], [np.frombuffer(s, np.uint64) for s in sets[a:b]], sizes[a:b], percent)
+                edges += exact_links(ids[a:b], [np.frombuffer(s, np.uint64) for s in sets[a:b]], sizes[a:b], percent, classes[a:b] if known else None)
             yield edge_batch(edges)
     return run
 
 
+def exact_within(documents: DataFrame, cells: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) inside the cells(key columns, id); texts of other documents are left out before they are sent."""
+    keys = [c for c in cells.columns if c not in ("id", "known")]
+    members = cells.select("id").distinct()
+    bits, blob = id_filter(members)
+    texts = documents.withColumn("low", F.xxhash64("doc_id").bitwiseAND(bits - 1)).mapInArrow(_passing(bits, blob), "doc_id bigint, text string")
+    texts = texts.join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_family_sets(n, ["doc_id"]), "doc_id bigint, n bigint, shingles binary").where("n > 0")
+    held = sets.join(cells.withColumnRenamed("id", "doc_id"), "doc_id").repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+    return held.mapInArrow(_exact(percent, keys, "known" in cells.columns), "a bigint, b bigint")
+
+
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (bigint) of every row of documents(doc_id, text).
 
@@ -431,27 +535,44 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     """
     spark = documents.sparkSession
     columns = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    crowded = crowded_slots(columns, n)
-    sketches = written(spark, columns.mapInArrow(_sketches(n, percent, crowded), SKETCH_DDL), "sketches")
+    order = shingle_order(columns, n)
+    sketches = written(spark, columns.mapInArrow(_sketches(n, percent, order), SKETCH_DDL), "sketches")
     linkable = sketches.where("n > 0 and doc_id is not null")
-    classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("first"))
-    single = linkable.join(classes.select("set_key", F.col("first").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
+    classes = written(spark, linkable.groupBy("set_key").agg(F.min("doc_id").alias("first")), "sets")
+    firsts = classes.select(F.col("first").alias("doc_id"), "set_key")
+    single = linkable.join(firsts, ["doc_id", "set_key"], "left_semi")
+    bitmaps = single.select("doc_id", "set_key", "n", "signature").dropDuplicates(["doc_id", "set_key"]).drop("set_key")
+    prefixes = single.select("doc_id", "prefix")
+
+    # lists of few documents
     total = sketches.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (100 - percent) // 100 // BUCKET_TOKENS)
-    lists = single.select("doc_id", "prefix").mapInArrow(_token_blobs(buckets), TOKENS_DDL).groupBy("bucket").applyInArrow(shared_lists, LISTS_DDL)
-    work = lists.distinct().join(single.select("doc_id", "n", "signature"), "doc_id").select("lead", "list_key", "doc_id", "n", "signature")
-    pairs = work.repartition("lead").sortWithinPartitions("lead", "list_key", "doc_id").mapInArrow(_possible_links(percent), "a bigint, b bigint")
-    families = written(spark, components(pairs), "families")
-    sizes = families.groupBy("component").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("blocks"))
-    placed = families.join(sizes, "component").select(
-        "component", F.col("node").alias("doc_id"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    held = columns.join(placed, "doc_id").select("component", "block", "blocks", "doc_id", "text")
-    sets = held.mapInArrow(_family_sets(n), "component bigint, block int, blocks int, doc_id bigint, n bigint, shingles binary").where("n > 0")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j"))))
-    dealt = sets.withColumn("pair", pair).select("component", "pair.i", "pair.j", "doc_id", "n", "shingles")
-    dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id")
-    links = components(dealt.mapInArrow(_exact(percent), "a bigint, b bigint"))
-    member = classes.join(links.withColumnRenamed("node", "first"), "first", "left").select("set_key", F.coalesce("component", "first").alias("component_id"))
+    lists = written(spark, prefixes.mapInArrow(_token_blobs(buckets, order), TOKENS_DDL).groupBy("bucket").applyInArrow(shared_lists, LISTS_DDL), "lists")
+    parts = lists.groupBy("lead").agg(F.ceil(F.count("*") / LEAD_ROWS).alias("parts")).where("parts > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("list_key"), F.col("parts")), F.lit(0).cast("bigint"))
+    work = lists.join(parts, "lead", "left").groupBy("lead", part.alias("part"), "doc_id").agg(F.collect_set("list_key").alias("lists"))
+    pairs = possible_links(work, bitmaps, percent)
+
+    # shingles of many documents
+    many = written(spark, prefixes.mapInArrow(_crowded_tokens(order), "grp bigint, id bigint").distinct(), "crowded")
+    if many.limit(1).count():
+        one_list = F.array(F.lit(0).cast("bigint")).alias("lists")
+        by_first = many.groupBy("id").agg(F.min("grp").alias("grp"))
+        first = around_first(by_first, BLOCK).select(F.col("grp").alias("lead"), F.col("cell").alias("part"), F.col("id").alias("doc_id"), one_list)
+        pairs = written(spark, pairs.unionByName(possible_links(first, bitmaps, percent)), "pairs")
+        rest = outside_largest(many, components(pairs), BLOCK)
+        rest = rest.select(F.xxhash64("grp", "a").alias("lead"), F.col("b").alias("part"), F.col("id").alias("doc_id"), one_list)
+        pairs = pairs.unionByName(possible_links(rest, bitmaps, percent))
+
+    # exact links within components
+    families = written(spark, components(pairs).select(F.col("component").alias("grp"), F.col("node").alias("id")), "families")
+    links = written(spark, exact_within(columns, around_first(families, BLOCK // 2), n, percent), "links")
+    large = families.join(families.groupBy("grp").count().where(F.col("count") > BLOCK // 2), "grp", "left_semi")
+    if large.limit(1).count():
+        rest = written(spark, outside_largest(large, components(links), BLOCK // 2), "rest")
+        links = links.unionByName(exact_within(columns, rest, n, percent))
+    found = components(links)
+    member = classes.join(found.withColumnRenamed("node", "first"), "first", "left").select("set_key", F.coalesce("component", "first").alias("component_id"))
     out = sketches.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(member, "set_key", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id")).alias("component_id"))
