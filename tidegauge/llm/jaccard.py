@@ -29,8 +29,8 @@ from tidegauge.llm import text as T
 from tidegauge.llm.components import components
 from tidegauge.session import written
 
-SLOT_LOAD = 16
-LEAST_SLOTS, MOST_SLOTS = 1 << 18, 1 << 23
+SLOT_LOAD = 64
+LEAST_SLOTS, MOST_SLOTS = 1 << 18, 1 << 22
 SLOT_PART = 1 << 14
 BLOCK = 4096
 LEAD_ROWS = 1024
@@ -101,6 +101,11 @@ def ranks(shingles: np.ndarray, order: tuple[int, int, bytes]) -> np.ndarray:
     return table[(shingles & np.uint64(slots - 1)).astype(np.int64)]
 
 
+def crowded(shingles: np.ndarray, order: tuple[int, int, bytes]) -> np.ndarray:
+    """Whether more than BLOCK documents may hold a shingle."""
+    return (np.int64(1) << (ranks(shingles, order).astype(np.int64) + order[1] + 1)) > BLOCK
+
+
 def shingle_order(documents: DataFrame, n: int) -> tuple[int, int, bytes]:
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (size // (6 * SLOT_LOAD)).bit_length()))
@@ -121,8 +126,8 @@ def signature(shingles: np.ndarray) -> bytes:
     return np.packbits(flags, bitorder="little").tobytes()
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("prefix", pa.binary()), ("signature", pa.binary())])
-SKETCH_DDL = "doc_id bigint, n bigint, set_key binary, prefix binary, signature binary"
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("prefix", pa.binary()), ("crowded", pa.bool_()), ("signature", pa.binary())])
+SKETCH_DDL = "doc_id bigint, n bigint, set_key binary, prefix binary, crowded boolean, signature binary"
 
 
 def _sketches(n: int, percent: int, order):
@@ -133,8 +138,8 @@ def _sketches(n: int, percent: int, order):
                 for s in T.shingle_sets(data, offsets, n):
                     size = len(s) - needed(len(s), percent) + 1 if len(s) else 0
                     prefix = s[np.argsort(ranks(s, order), kind="stable")[:size]]
-                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), prefix.tobytes(), signature(s) if len(s) else b""))
-            columns = list(zip(*rows)) or [()] * 4
+                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), prefix.tobytes(), bool(crowded(prefix, order).any()), signature(s) if len(s) else b""))
+            columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64())] + [pa.array(c, f.type) for c, f in zip(columns, list(SKETCH)[1:])], schema=SKETCH)
     return run
 
@@ -144,11 +149,6 @@ def _sketches(n: int, percent: int, order):
 TOKENS_DDL = "bucket int, ids binary, counts binary, tokens binary"
 
 
-def crowded(shingles: np.ndarray, order: tuple[int, int, bytes]) -> np.ndarray:
-    """Whether more than BLOCK documents may hold a shingle."""
-    return (np.int64(1) << (ranks(shingles, order).astype(np.int64) + order[1] + 1)) > BLOCK
-
-
 def _token_blobs(buckets: int, order):
     """Prefix shingles that at most BLOCK documents hold."""
     def run(batches):
@@ -554,7 +554,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     pairs = possible_links(work, bitmaps, percent)
 
     # shingles of many documents
-    many = written(spark, prefixes.mapInArrow(_crowded_tokens(order), "grp bigint, id bigint").distinct(), "crowded")
+    many = written(spark, single.where("crowded").select("doc_id", "prefix").mapInArrow(_crowded_tokens(order), "grp bigint, id bigint").distinct(), "crowded")
     if many.limit(1).count():
         one_list = F.array(F.lit(0).cast("bigint")).alias("lists")
         by_first = many.groupBy("id").agg(F.min("grp").alias("grp"))
