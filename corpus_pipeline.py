@@ -12,7 +12,7 @@ from tidegauge.session import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC = 0.7
-LINES = 3
+LINES, LONG = 3, 50
 WORDS, PERCENT = 5, 80
 
 
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of LINES lines go, and with them documents of which no line is left."""
-    cut = linededup.remove_repeated_runs(docs.select(*COLUMNS), LINES)
+    """Later copies of runs of LINES lines, or of more than LONG words, go, and with them documents of which no line is left."""
+    cut = linededup.remove_repeated_runs(docs.select(*COLUMNS), LINES, LONG)
     return cut.where("n_removed < n_lines").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

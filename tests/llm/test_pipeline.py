@@ -31,7 +31,7 @@ def test_stages(spark):
         outs.append({r.doc_id: r.text for r in docs.collect()})
         assert all(r.n_chars == len(r.text) for r in docs.collect())
     assert outs[0] == kept and 0 < len(kept) < 200
-    cut = {d: text for d, text, n, gone, _ in test_linededup.brute(list(kept.items()), P.LINES) if gone < n}
+    cut = {d: text for d, text, n, gone, _ in test_linededup.brute_long(list(kept.items()), P.LINES, P.LONG) if gone < n}
     assert outs[1] == cut
     classes = test_jaccard.brute(list(cut.items()), P.WORDS, P.PERCENT)
     alone = {d: cut[d] for d, _, c in classes if c == d}

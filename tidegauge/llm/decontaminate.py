@@ -3,7 +3,8 @@
 Words lose punctuation at both ends and case. In a template, numbers, names (capitalised words within a sentence) and units after
 a number become typed placeholders. All windows of WINDOW template words of the items, and the same windows as plain words, are
 hashed; documents are scanned for them through a bit filter of bounded size and joined by hash. An item shorter than a window
-is a window of its own length; below SHORTEST words it can't be told from chance and matches nothing. Neighbouring names, or
+is a window of its own length; one below SHORTEST words can't be told from chance inside a text and matches documents that
+consist of the same words only. Neighbouring names, or
 numbers with their unit, are also folded into one placeholder, and windows with such a one are hashed too: "Peter" and "Peter
 Smith", "12" and "1 200", "5 km" and "5km" agree. Windows with fewer than half plain words would match any table of numbers: they
 count only beside others, and those without a plain word never.
@@ -129,12 +130,19 @@ def window_keys(row: np.ndarray, kind: np.ndarray, plain: np.ndarray, length: in
             np.concatenate([few, np.zeros(len(as_plain), bool)]))
 
 
-ITEMS_DDL = "item_id bigint, key bigint, at bigint, words bigint, length int, kinds binary, plain binary, sizes binary"
+def whole_keys(row: np.ndarray, plain: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the rows that have n words and no more."""
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    first = first[np.diff(np.append(first, len(row))) == n]
+    return first, T.mix(T.windows(plain, n)[first] ^ np.uint64(n)) if len(first) else np.zeros(0, np.uint64)
+
+
+ITEMS_DDL = "item_id bigint, item_key bigint, key bigint, at bigint, words bigint, length int, kinds binary, plain binary, sizes binary"
 
 
 def _item_windows(batches):
     for batch in batches:
-        ids = batch.column("item_id").to_pylist()
+        ids, item_keys = batch.column("item_id").to_pylist(), batch.column("item_key").to_pylist()
         out = []
         for a, b, data, offsets in T.text_pieces(batch.column("text")):
             row, kind, plain = canonical(data, offsets)
@@ -142,17 +150,21 @@ def _item_windows(batches):
             for k, (x, y) in enumerate(zip(bounds[:-1], bounds[1:])):
                 if ids[a + k] is None:
                     continue
-                own = row[x:y], kind[x:y], plain[x:y]
+                own, short = (row[x:y], kind[x:y], plain[x:y]), int(y - x)
+                if 0 < short < SHORTEST:
+                    _, keys = whole_keys(row[x:y], plain[x:y], short)
+                    out.append((ids[a + k], item_keys[a + k], int(keys.view(np.int64)[0]), 0, short, -short, kind[x:y].tobytes(), plain[x:y].tobytes(), b""))
+                    continue
                 for rows, kinds, plains, first, sizes in ((*own, np.arange(y - x), None), folded(*own)):
                     length = min(WINDOW, len(rows))
                     if length < SHORTEST:
                         continue
                     at, keys, _ = window_keys(rows, kinds, plains, length, sizes)
-                    out += [(ids[a + k], int(key.view(np.int64)), int(first[i]), int(y - x), length, kinds[i:i + length].tobytes(), plains[i:i + length].tobytes(),
+                    out += [(ids[a + k], item_keys[a + k], int(key.view(np.int64)), int(first[i]), int(y - x), length, kinds[i:i + length].tobytes(), plains[i:i + length].tobytes(),
                              b"" if sizes is None else sizes[i:i + length].astype(np.int32).tobytes()) for i, key in zip(at, keys)]
-        columns = list(zip(*out)) or [()] * 8
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["item_id", "key", "at", "words", "length", "kinds", "plain", "sizes"])
+        columns = list(zip(*out)) or [()] * 9
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["item_id", "item_key", "key", "at", "words", "length", "kinds", "plain", "sizes"])
 
 
 def _bits_of(bits: int):
@@ -183,6 +195,7 @@ def passes(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (flags[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1 == 1
 
 
+HITS = ["doc_id", "text_key", "key", "pos", "doc_kinds", "doc_plain", "doc_sizes"]
 HITS_DDL = "doc_id bigint, text_key int, key bigint, pos bigint, doc_kinds binary, doc_plain binary, doc_sizes binary"
 
 
@@ -208,6 +221,14 @@ def _document_windows(shared, lengths: list[int]):
                 base = np.searchsorted(row, np.arange(b - a + 1))
                 rows, kinds, plains, heads, sizes = folded(row, kind, plain)
                 for length in lengths:
+                    if length < 0:
+                        at, keys = whole_keys(row, plain, -length)
+                        at, keys = at[passes(flags, keys)], keys[passes(flags, keys)]
+                        spans = [slice(i, i - length) for i in at]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(ids[a + row[at]], pa.int64()), pa.array(text_keys[a + row[at]], pa.int32()), pa.array(keys.view(np.int64)), pa.array(at - base[row[at]]),
+                            T.binary([kind[s].tobytes() for s in spans]), T.binary([plain[s].tobytes() for s in spans]), T.binary([b""] * len(at))], names=HITS)
+                        continue
                     at, keys, few = window_keys(row, kind, plain, length)
                     hit = passes(flags, keys)
                     at, keys, few = at[hit], keys[hit], few[hit]
@@ -225,7 +246,7 @@ def _document_windows(shared, lengths: list[int]):
                         T.binary([kind[i:i + length].tobytes() for i in at] + [kinds[i:i + length].tobytes() for i in fold_at]),
                         T.binary([plain[i:i + length].tobytes() for i in at] + [plains[i:i + length].tobytes() for i in fold_at]),
                         T.binary([b""] * len(at) + [sizes[i:i + length].astype(np.int32).tobytes() for i in fold_at])],
-                        names=["doc_id", "text_key", "key", "pos", "doc_kinds", "doc_plain", "doc_sizes"])
+                        names=HITS)
     return run
 
 
@@ -322,21 +343,21 @@ RESULT_DDL = "doc_id bigint, text_key int, item_id bigint, words bigint, matched
 
 def _verify(share: float):
     def run(batches):
-        for table in runs_of(batches, ["doc_id", "text_key", "item_id"]):
-            names = "doc_id", "text_key", "item_id", "words", "at", "kinds", "plain", "doc_kinds", "doc_plain", "pos", "sizes", "doc_sizes"
+        for table in runs_of(batches, ["doc_id", "text_key", "item_id", "item_key"]):
+            names = "doc_id", "text_key", "item_id", "words", "item_key", "at", "kinds", "plain", "doc_kinds", "doc_plain", "pos", "sizes", "doc_sizes"
             groups: dict[tuple, dict[tuple, list]] = {}
-            for doc, key, item, words, at, kinds, plain, doc_kinds, doc_plain, pos, sizes, doc_sizes in zip(*(table[c].to_pylist() for c in names)):
+            for doc, key, item, words, item_key, at, kinds, plain, doc_kinds, doc_plain, pos, sizes, doc_sizes in zip(*(table[c].to_pylist() for c in names)):
                 own, other = np.frombuffer(sizes, np.int32).tolist(), np.frombuffer(doc_sizes, np.int32).tolist()
                 shift = (sum(other) or len(kinds)) - (sum(own) or len(kinds))
                 few = plain != doc_plain and 2 * kinds.count(PLAIN) < len(kinds)
-                groups.setdefault((doc, key, item, words), {}).setdefault((pos - at, shift, bool(own or other), few), []).append(
+                groups.setdefault((doc, key, item, words, item_key), {}).setdefault((pos - at, shift, bool(own or other), few), []).append(
                     (at, kinds, np.frombuffer(plain, np.uint64).tolist(), doc_kinds, np.frombuffer(doc_plain, np.uint64).tolist(), pos, own, other))
-            best: dict[tuple, tuple[int, bool]] = {}
+            best: dict[tuple, tuple[int, bool]] = {}  # texts of one item are items of their own
             for pair, diagonals in groups.items():
                 n, renamed = chained(pieces_of(diagonals), pair[3])
                 if n >= share * pair[3]:
                     best[pair] = n, renamed
-            out = [(*k, *v) for k, v in best.items()]
+            out = list(dict.fromkeys((*k[:4], *v) for k, v in best.items()))
             columns = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))],
                                              names=["doc_id", "text_key", "item_id", "words", "matched", "renamed"])
@@ -346,16 +367,19 @@ def _verify(share: float):
 def leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, text_key (hash of the text), item_id, words of the item, words matched, and whether placeholders were renamed.
 
-    One row a document of documents(doc_id, text) and item of benchmark(item_id, text) that it holds.
+    One row a document of documents(doc_id, text) and item of benchmark(item_id, text) that it holds. Texts that share an item_id
+    are matched each by itself.
     """
     spark = documents.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct().mapInArrow(_item_windows, ITEMS_DDL).distinct()
+    texts = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.xxhash64("text").alias("item_key"), "text")
+    items = texts.dropDuplicates(["item_id", "item_key"]).mapInArrow(_item_windows, ITEMS_DDL).distinct()
     lengths = sorted(r.length for r in items.select("length").distinct().collect())
     shared = spark.sparkContext.broadcast(bit_filter(items))
     keyed = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash("text").alias("text_key"), "text")
     hits = keyed.mapInArrow(_document_windows(shared, lengths), HITS_DDL)
-    met = hits.join(items, "key").dropDuplicates(["doc_id", "text_key", "item_id", "pos", "at", "kinds", "sizes", "doc_sizes"])
-    placed = met.repartition("doc_id", "text_key", "item_id").sortWithinPartitions("doc_id", "text_key", "item_id", "pos", "at")
+    met = hits.join(items, "key").dropDuplicates(["doc_id", "text_key", "item_id", "item_key", "pos", "at", "kinds", "sizes", "doc_sizes"])
+    at = ["doc_id", "text_key", "item_id", "item_key"]
+    placed = met.repartition(*at).sortWithinPartitions(*at, "pos", "at")
     return placed.mapInArrow(_verify(share), RESULT_DDL)
 
 

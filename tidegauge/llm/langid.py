@@ -10,7 +10,7 @@ Cases: null texts and texts without a letter are `und` with score 0; rows with n
 labelled row everything is `und`. A text is held whole, as its row is.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -168,10 +168,11 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) ->
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (the cosine, 0 to 1), rejected: whether the text lies beyond the reach of its centroid."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # languages x clusters x DIMENSIONS numbers
+    # languages x clusters x DIMENSIONS numbers, as plain arrays: classes of this package are known to tasks by value only
+    shared = documents.sparkSession.sparkContext.broadcast(tuple(getattr(model, f.name) for f in fields(model)))
 
     def run(batches):
-        m = shared.value
+        m = Model(*shared.value)
         for batch in batches:
             column = batch.column("text")
             known = pc.fill_null(pc.match_substring_regex(column, r"\pL"), False).to_numpy(zero_copy_only=False)

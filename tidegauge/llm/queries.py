@@ -72,15 +72,8 @@ def op6_cross_polytope_ann(spark, sf_dir):
     return ann.neighbours(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
-@add("op7_line_dedup", linededup.ORACLE_SQL)
+@add("op7_line_dedup", linededup.LONG_SQL)
 def op7_line_dedup(spark, sf_dir):
-    """Lines of runs of three or more that stand earlier are cut."""
-    d = linededup.remove_repeated_runs(load(spark, sf_dir, "documents").select("doc_id", "text"), 3)
-    return d.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
-@add("op7_long_line_dedup", linededup.LONG_SQL)
-def op7_long_line_dedup(spark, sf_dir):
     """Lines of runs of three or more, or of more than 50 words, that stand earlier are cut."""
     d = linededup.remove_repeated_runs(load(spark, sf_dir, "documents").select("doc_id", "text"), 3, 50)
     return d.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

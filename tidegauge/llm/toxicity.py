@@ -12,7 +12,7 @@ is held whole, as its row is.
 """
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -222,9 +222,12 @@ def fit(documents: DataFrame, labels: DataFrame, identity: dict[str, list[str]]
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """All columns of documents and `score` (0 to 1), replacing a column of that name."""
-    shared, rest = documents.sparkSession.sparkContext.broadcast(model), documents.drop("score")
+    # plain arrays: classes of this package are known to tasks by value only
+    shared = documents.sparkSession.sparkContext.broadcast(tuple(getattr(model, f.name) for f in fields(model)))
+    rest = documents.drop("score")
 
     def run(batches):
+        own = Model(*shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(shared.value.margins(batch.column("text"))))], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(own.margins(batch.column("text"))))], names=[*batch.schema.names, "score"])
     return rest.mapInArrow(run, S.StructType([*rest.schema.fields, S.StructField("score", S.DoubleType())]))
