@@ -152,9 +152,10 @@ SQL = {
 }
 
 
-def sql(*names: str, body: str, recursive: bool = False, **ctes: str) -> str:
+def sql(*names: str, body: str, recursive: bool = False, materialized: bool = False, **ctes: str) -> str:
     """A query over the named tables and further common table expressions."""
-    parts = [f"{n} AS ({SQL[n]})" for n in names] + [f"{n} AS ({q})" for n, q in ctes.items()]
+    kept = "AS MATERIALIZED" if materialized else "AS"
+    parts = [f"{n} {kept} ({SQL[n]})" for n in names] + [f"{n} {kept} ({q})" for n, q in ctes.items()]
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + body
 
 

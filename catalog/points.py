@@ -260,15 +260,14 @@ def quantize_delta_bytes(spark, sf_dir):
     return rg.delta_bytes(quantized(spark, sf_dir))
 
 
-@add("pct_error", sql("pts_seq", quant=QUANT, body="""SELECT "precision", tid, error, count(*) n FROM (
- SELECT q."precision", p.tid, round(CASE WHEN q.value = p.value THEN 0
- WHEN p.value = 0 THEN 'infinity'::DOUBLE ELSE abs((CAST(p.value AS DOUBLE) - q.value) / CAST(p.value AS DOUBLE)) * 100 END, 5) error
- FROM pts_seq p JOIN quant q USING (tid, ts)) GROUP BY ALL"""))
+@add("pct_error", sql("pts_seq", materialized=True, quant=QUANT, body="""SELECT q."precision", p.tid, p.ts, round(CASE WHEN q.value = p.value THEN 0
+ WHEN p.value = 0 THEN 'infinity'::DOUBLE ELSE abs((CAST(p.value AS DOUBLE) - q.value) / CAST(p.value AS DOUBLE)) * 100 END, 9) error
+ FROM pts_seq p JOIN quant q USING (tid, ts)"""))
 def pct_error(spark, sf_dir):
     approx = quantized(spark, sf_dir).withColumnRenamed("value", "approx")
     d = fx.points(spark, sf_dir, "pts_seq").join(approx, ["tid", "ts"])
     error = percentage_error(F.col("approx"), F.col("value"))
-    return d.groupBy("precision", "tid", F.round(error, 5).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+    return d.select("precision", "tid", "ts", F.round(error, 9).alias("error"))
 
 
 # ---- aggregates on points ----

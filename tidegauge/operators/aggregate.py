@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegauge import schema
 from tidegauge.functions.calendar import UNIT_MS, calendar_key, calendar_unit
 from tidegauge.operators.view import values_of
+from tidegauge.plans.lookup import required
 from tidegauge.plans.quantile import exact_median
 
 AGGREGATES = ("count", "min", "max", "sum", "avg")
@@ -83,7 +84,7 @@ def rollup_segments(segments: DataFrame, series: DataFrame, levels: Sequence[str
     per_tid = with_stats(segments, clipped).groupBy("tid").agg(
         F.sum("n_ticks").alias("n_ticks"), F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"),
         F.sum("vsum").alias("vsum"))
-    return per_tid.join(series.select("tid", *levels), "tid").rollup(*levels).agg(*aggregate_columns(aggs))
+    return required(per_tid, series.select("tid", *levels), ["tid"], "series").rollup(*levels).agg(*aggregate_columns(aggs))
 
 
 def calendar_pieces(segments: DataFrame, unit: str) -> DataFrame:

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegauge.plans.lookup import required
 from tidegauge.plans.ordered import positions
 from tidegauge.session import written
 
@@ -22,7 +23,7 @@ class Hierarchy:
         columns = self._dimension(dimension)
         index = len(columns) - 1 + level if level <= 0 else level - 1
         if not 0 <= index < len(columns):
-            raise ValueError(f"level {level} does not exist for dimension {dimension!r}")
+            raise ValueError(f"{dimension!r} has {len(columns)} levels, asked for {level}")
         return columns[index]
 
     def prefix(self, dimension: str, level: int) -> list[str]:
@@ -49,7 +50,7 @@ class Hierarchy:
 
     def _dimension(self, dimension: str) -> Sequence[str]:
         if dimension not in self.levels:
-            raise ValueError(f"the dimension {dimension!r} does not exist")
+            raise ValueError(f"{dimension!r} is none of {sorted(self.levels)}")
         return self.levels[dimension]
 
 
@@ -154,7 +155,7 @@ def derive(stored: DataFrame, series: DataFrame, derived: Iterable[tuple[int | s
     are evaluated in one pass over the points of the sources.
     """
     rules = list(derived)
-    d = stored.join(series.select("tid", "source", F.col("scaling").alias("scalingFactor")), "tid")
+    d = required(stored, series.select("tid", "source", F.col("scaling").alias("scalingFactor")), ["tid"], "series")
     outputs = []
     for source, tid, expression in rules:
         is_source = F.col("source") == source if isinstance(source, str) else F.col("tid") == source

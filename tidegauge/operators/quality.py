@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidegauge import schema
 from tidegauge.functions.errors import percentage_error, query_error, relative_error
+from tidegauge.plans.lookup import required
 from tidegauge.plans.ordered import consecutive_runs, positions
 from tidegauge.plans.quantile import exact_median, median_of_counts
 
@@ -214,7 +215,7 @@ def olap_report(points: DataFrame, series: DataFrame, eps: float, dataset: str,
     base = points.groupBy("tid").agg(
         F.max(pos).alias("MAX"), F.min(pos).alias("MIN"), F.avg(kept).alias("AVG"), F.stddev_samp(kept).alias("STD"),
         F.percentile_approx(kept, 0.5).alias("MEDIAN"), F.count(F.lit(1)).alias("datapoint_cnt"))
-    return (base.join(series.select("tid", F.col("source").alias("signal")), "tid")
+    return (required(base, series.select("tid", F.col("source").alias("signal")), ["tid"], "series")
             .unpivot(["signal", "datapoint_cnt"], ["MAX", "MIN", "AVG", "STD", "MEDIAN"], "query", "result")
             .select(F.lit(dataset).alias("dataset"), "signal", F.lit(eps).alias("error_bound"), "query", "result",
                     "datapoint_cnt"))

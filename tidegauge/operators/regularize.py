@@ -32,8 +32,10 @@ def split_readings(points: DataFrame, series: DataFrame | None = None) -> tuple[
     if series is not None:
         listed = series.select("tid", F.lit(True).alias("__listed")).distinct()
         d = d.join(listed, "tid", "left").withColumn("reason", F.when(F.col("__listed").isNull(), "unknown").otherwise(F.col("reason"))).drop("__listed")
-    order = Window.partitionBy("tid", F.unix_millis("ts"), F.col("reason").isNull()).orderBy("value", "ts")
-    d = d.withColumn("__n", F.row_number().over(order))
+    # refused readings may share a series or a missing time in any number: only the others are numbered
+    order = Window.partitionBy("tid", F.unix_millis("ts")).orderBy("value", "ts")
+    sound = d.where("reason IS NULL").withColumn("__n", F.row_number().over(order))
+    d = sound.unionByName(d.where("reason IS NOT NULL").withColumn("__n", F.lit(1)))
     d = d.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("__n") > 1), "repeated").otherwise(F.col("reason"))).drop("__n")
     return d.where("reason IS NULL").drop("reason"), d.where("reason IS NOT NULL")
 
@@ -46,14 +48,35 @@ def infer_si(points: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
             .groupBy("tid").agg(F.max_by("si_ms", F.struct(F.col("n"), -F.col("si_ms"))).alias("si_ms")))
 
 
+def _grids(points: DataFrame, meta: DataFrame) -> DataFrame:
+    """(gid, si_ms, lo, hi): first and last time of the listed series of every group."""
+    return (points.groupBy("tid").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).join(meta, "tid")
+            .groupBy("gid", "si_ms").agg(F.unix_millis(F.min("lo")).alias("lo"), F.unix_millis(F.max("hi")).alias("hi")))
+
+
+def split_grid(points: DataFrame, series: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points that `align_grid` takes, and those it can't take with a `reason`: readings of unlisted series (`unknown`), and those
+    beside the grid that begins with the first reading of the group (`off grid`) or without time. Both tables together are the input.
+    """
+    meta = series.select("tid", "gid", F.col("si_ms").cast("long").alias("si_ms"))
+    grids = meta.join(_grids(points, meta), ["gid", "si_ms"], "left").select("tid", F.col("lo").alias("__lo"), F.col("si_ms").alias("__si"))
+    on = (F.unix_millis("ts") - F.col("__lo")) % F.col("__si") == 0
+    d = points.join(grids, "tid", "left").withColumn("reason", F.when(F.col("__si").isNull(), "unknown").when(~F.coalesce(on, F.lit(False)), "off grid")).drop("__lo", "__si")
+    return d.where("reason IS NULL").drop("reason"), d.where("reason IS NOT NULL")
+
+
 def align_grid(points: DataFrame, series: DataFrame, grid_ticks: int = 4096) -> DataFrame:
     """(gid, tid, ts, value) on the common grid of each group, NULL where a member has a gap.
 
-    The grid is generated per block of `grid_ticks`, so no task holds the whole history of a group.
+    The grid is generated per block of `grid_ticks`, so no task holds the whole history of a group. A reading of an unlisted
+    series or beside the grid raises; split_grid sorts them out.
     """
     meta = series.select("tid", "gid", F.col("si_ms").cast("long").alias("si_ms"))
-    spans = (points.groupBy("tid").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).join(meta, "tid")
-             .groupBy("gid", "si_ms").agg(F.unix_millis(F.min("lo")).alias("lo"), F.unix_millis(F.max("hi")).alias("hi")))
+    spans = _grids(points, meta)
+    known = required(points, meta.join(spans.drop("hi"), ["gid", "si_ms"], "left"), ["tid"], "series")
+    on = F.coalesce((F.unix_millis("ts") - F.col("lo")) % F.col("si_ms") == 0, F.lit(False))
+    refuse = F.raise_error(F.concat(F.lit("not on the grid of its group: "), F.coalesce(F.col("ts").cast("string"), F.lit("null")))).cast("boolean")
+    points = known.where(F.when(on, F.lit(True)).otherwise(refuse)).select("tid", "ts", "value")
     last = F.floor((F.col("hi") - F.col("lo")) / F.col("si_ms"))
     blocks = (meta.select("gid", "tid").join(spans.withColumn("last", last), "gid")
               .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / grid_ticks))).alias("block")))

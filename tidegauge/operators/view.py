@@ -10,6 +10,7 @@ from pyspark.sql.functions import arrow_udf
 
 from tidegauge import schema
 from tidegauge.functions import xor
+from tidegauge.plans.lookup import required
 
 
 def values_of(mtid: Column, payload: Column, count: Column, models: tuple = ()) -> Column:
@@ -99,22 +100,22 @@ def clip(segments: DataFrame, ts_from=None, ts_to=None, longest_ms: int | None =
                         "cast(skip + __f AS int) AS skip", "cast(__l - __f + 1 AS int) AS n_ticks"))
 
 
-def points(groups: DataFrame, series: DataFrame | None = None, tids: Iterable[int] | None = None,
+def points(groups: DataFrame, series: DataFrame | None = None, tids: Iterable[int] | str | None = None,
            ts_from=None, ts_to=None, models: tuple = (), keep: Iterable[str] = (),
            gids: Iterable[int] | None = None, low: float | None = None, high: float | None = None,
            longest_ms: int | None = None) -> DataFrame:
     """(keep, tid, ts, value [, other columns of `series`]) represented by segment groups.
 
     Only ticks in [ts_from, ts_to] of the wanted series are generated. Values are decoded once per
-    group. With `series` the values are divided by `scaling` and its columns are joined. `gids`,
-    see gids_of, lets the scan skip the files of other groups. `low` and `high` bound the stored
+    group. With `series` the values are divided by `scaling` and its columns are joined; it has to list every series
+    that is generated. `tids` is a list or the name of a column of `groups` with the wanted ones of each. `gids`, see gids_of, lets the scan skip the files of other groups. `low` and `high` bound the stored
     values; segments whose extremes are outside are not decoded.
     """
     if low is not None or high is not None:
         groups = groups.where(may_hold(low, high))
     if gids is not None:
         groups = groups.where(F.col("gid").isin([int(g) for g in gids]))
-    wanted = None if tids is None else f"cast(array({', '.join(str(int(t)) for t in tids)}) AS array<int>)"
+    wanted = tids if tids is None or isinstance(tids, str) else f"cast(array({', '.join(str(int(t)) for t in tids)}) AS array<int>)"
     g = groups if wanted is None else groups.where(f"arrays_overlap(tids, {wanted})")
     g = with_offsets(g).selectExpr("*", "unix_millis(start_time) - skip * si_ms AS __origin")
     g = clip(g, ts_from, ts_to, longest_ms)
@@ -136,7 +137,7 @@ def points(groups: DataFrame, series: DataFrame | None = None, tids: Iterable[in
     if series is None:
         return out
     extra = [c for c in series.columns if c not in ("tid", "scaling")]
-    return (out.join(series, "tid")
+    return (required(out, series, ["tid"], "series")
             .select(*kept, "tid", "ts", (F.col("value") / F.col("scaling")).cast("float").alias("value"), *extra))
 
 
@@ -161,10 +162,10 @@ def gids_of(series: DataFrame, tids: Iterable[int]) -> list[int]:
 
 
 def points_by_member(groups: DataFrame, series: DataFrame, condition: Column, **options) -> DataFrame:
-    """Points of the series whose metadata meets `condition`: segments are pruned by gid first."""
+    """Points of the series whose metadata meets `condition`: groups without one are left out, of the others only those are generated."""
     chosen = series.where(condition)
-    pruned = groups.join(chosen.select("gid").distinct(), "gid", "left_semi")
-    return points(pruned, chosen, **options)
+    wanted = chosen.groupBy("gid").agg(F.collect_set("tid").alias("__wanted"))
+    return points(groups.join(wanted, "gid"), chosen, tids="__wanted", **options)
 
 
 def count_points(groups: DataFrame) -> DataFrame:
@@ -235,7 +236,7 @@ def register_views(groups: DataFrame, series: DataFrame, derived: DataFrame | No
     chosen = groups if gids is None else groups.where(F.col("gid").isin(gids))
     bounded = ts_from is not None or ts_to is not None
     parts = members(chosen) if tids is None else members(chosen).where(F.col("tid").isin(tids))
-    segments = with_stats(clip(parts, ts_from, ts_to, longest_ms), bounded).join(known, "tid").withColumns(scaled)
+    segments = required(with_stats(clip(parts, ts_from, ts_to, longest_ms), bounded), known, ["tid"], "series").withColumns(scaled)
     extra = [c for c in dims if c != "tid"]
     segments.select("tid", "start_time", "end_time", "mtid", "si_ms", "n_ticks", "vmin", "vmax", "vsum",
                     *extra).createOrReplaceTempView("segment")
@@ -248,7 +249,7 @@ def register_views(groups: DataFrame, series: DataFrame, derived: DataFrame | No
 def register_calendar_views(groups: DataFrame, series: DataFrame, units: Iterable[str], aggs: Iterable[str]) -> None:
     """Temporary views `cal_<aggregate>_<unit>` (tid, field, <aggregate>), in the scale of the readings, from segments."""
     from tidegauge.operators.aggregate import calendar_agg
-    placed = members(groups).join(series.select("tid", "scaling"), "tid")
+    placed = required(members(groups), series.select("tid", "scaling"), ["tid"], "series")
     for unit in units:
         for agg in aggs:
             calendar_agg(placed, agg, unit, ["tid", "scaling"], scaling=F.col("scaling")).drop("scaling").createOrReplaceTempView(f"cal_{agg}_{unit}")

@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}  # of local sessions that name no shared folder
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Calendar keys and grids are defined in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -20,10 +23,10 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tidegauge-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _local[app] = _local.get(app) or tempfile.mkdtemp(prefix="tidegauge-")
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
 
 
