@@ -550,7 +550,8 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     lists = written(spark, prefixes.mapInArrow(_token_blobs(buckets, order), TOKENS_DDL).groupBy("bucket").applyInArrow(shared_lists, LISTS_DDL), "lists")
     parts = lists.groupBy("lead").agg(F.ceil(F.count("*") / LEAD_ROWS).alias("parts")).where("parts > 1")
     part = F.coalesce(F.pmod(F.xxhash64("list_key"), F.col("parts")), F.lit(0).cast("bigint"))
-    work = lists.join(parts, "lead", "left").groupBy("lead", part.alias("part"), "doc_id").agg(F.collect_set("list_key").alias("lists"))
+    dealt = lists.join(parts, "lead", "left").select("lead", part.alias("part"), "doc_id", "list_key").repartition("lead", "part", "doc_id")
+    work = dealt.groupBy("lead", "part", "doc_id").agg(F.collect_set("list_key").alias("lists"))
     pairs = possible_links(work, bitmaps, percent)
 
     # shingles of many documents
