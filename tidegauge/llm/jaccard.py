@@ -29,7 +29,8 @@ from tidegauge.llm import text as T
 from tidegauge.llm.components import components
 from tidegauge.session import written
 
-SLOT_LOAD = 64
+SLOT_LOAD = 256
+FLUSH = 1 << 20
 LEAST_SLOTS, MOST_SLOTS = 1 << 18, 1 << 22
 SLOT_PART = 1 << 14
 BLOCK = 4096
@@ -62,7 +63,7 @@ def _slot_counts(n: int, slots: int):
                 if len(row) >= n:
                     waiting.append((T.windows(hashes, n)[row[n - 1:] == row[:len(row) - n + 1]] & np.uint64(slots - 1)).astype(np.int32))
                     held += len(waiting[-1])
-                if held > slots:
+                if held > FLUSH:
                     total += np.bincount(np.concatenate(waiting), minlength=slots).astype(np.uint32)
                     waiting, held = [], 0
         if waiting:
