@@ -71,7 +71,7 @@ def _slot_counts(n: int, slots: int):
         parts = total.reshape(-1, SLOT_PART)
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), T.binary([T.packed(parts[k]) for k in used])], names=["part", "counts"])
-    return run
+    return T.handed_back(run)
 
 
 def _slot_levels(batches):
@@ -95,24 +95,28 @@ class Order:
         self.blob = T.packed(np.maximum(levels.ravel(), self.base) - np.uint8(self.base))
 
 
-def ranks(shingles: np.ndarray, order: tuple[int, int, bytes]) -> np.ndarray:
-    """order: slots, base, packed ranks."""
-    slots, _, blob = order
-    table = T.worker_memo(("shingle ranks", hashlib.blake2b(blob).digest()), lambda: T.unpacked(blob, slots, np.uint8))
+def ranks(shingles: np.ndarray, order: tuple) -> np.ndarray:
+    """order: slots, base, packed ranks and their digest."""
+    slots, _, blob, name = order
+    table = T.worker_memo("shingle ranks", dict)
+    if name not in table:
+        table.clear()  # of an earlier query
+        table[name] = T.unpacked(blob, slots, np.uint8)
+    table = table[name]
     return table[(shingles & np.uint64(slots - 1)).astype(np.int64)]
 
 
-def crowded(shingles: np.ndarray, order: tuple[int, int, bytes]) -> np.ndarray:
+def crowded(shingles: np.ndarray, order: tuple) -> np.ndarray:
     """Whether more than BLOCK documents may hold a shingle."""
     return (np.int64(1) << (ranks(shingles, order).astype(np.int64) + order[1] + 1)) > BLOCK
 
 
-def shingle_order(documents: DataFrame, n: int) -> tuple[int, int, bytes]:
+def shingle_order(documents: DataFrame, n: int) -> tuple[int, int, bytes, bytes]:
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (size // (6 * SLOT_LOAD)).bit_length()))
     parts = documents.select("text").mapInArrow(_slot_counts(n, slots), SLOT_SCHEMA).repartition("part").mapInArrow(_slot_levels, LEVEL_SCHEMA).collect()
     order = Order(slots, parts)
-    return order.slots, order.base, order.blob
+    return order.slots, order.base, order.blob, hashlib.blake2b(order.blob, digest_size=16).digest()
 
 
 # 2. sketches
@@ -142,7 +146,7 @@ def _sketches(n: int, percent: int, order):
                     rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), prefix.tobytes(), bool(crowded(prefix, order).any()), signature(s) if len(s) else b""))
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64())] + [pa.array(c, f.type) for c, f in zip(columns, list(SKETCH)[1:])], schema=SKETCH)
-    return run
+    return T.handed_back(run)
 
 
 # 3. lists of documents that share a prefix shingle
@@ -171,7 +175,7 @@ def _token_blobs(buckets: int, order):
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32())] + [
                 T.binary([v[e[b]:e[b + 1]].tobytes() for b in used]) for v, e in ((of, tops), (counts, tops), (low, edges))],
                 names=["bucket", "ids", "counts", "tokens"])
-    return run
+    return T.handed_back(run)
 
 
 def _crowded_tokens(order):
@@ -184,7 +188,7 @@ def _crowded_tokens(order):
             many = crowded(tokens, order)
             row = np.repeat(np.arange(len(ids)), np.diff(offsets) // 8)[many]
             yield pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(ids[row], pa.int64())], names=["grp", "id"])
-    return run
+    return T.handed_back(run)
 
 
 LISTS_DDL = "lead bigint, list_key bigint, doc_id bigint"
@@ -425,7 +429,7 @@ def _possible_links(percent: int):
                     join_list(ids[row[i:j]], sizes[row[i:j]], [signatures[k] for k in row[i:j]], forest, percent)
                 edges += forest.edges
             yield edge_batch(edges)
-    return run
+    return T.handed_back(run)
 
 
 def possible_links(work: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -462,7 +466,7 @@ def _passing(bits: int, blob: bytes):
             low = batch.column("low").to_numpy()
             batch = batch.filter(pa.array((flags[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1).astype(bool)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], names=["doc_id", "text"])
-    return run
+    return T.handed_back(run)
 
 
 def _family_sets(n: int, columns: list[str]):
@@ -471,7 +475,7 @@ def _family_sets(n: int, columns: list[str]):
             sets = [s for _, _, data, offsets in T.text_pieces(batch.column("text")) for s in T.shingle_sets(data, offsets, n)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in columns] + [pa.array([len(s) for s in sets], pa.int64()), T.binary([s.tobytes() for s in sets])], names=[*columns, "n", "shingles"])
-    return run
+    return T.handed_back(run)
 
 
 def exact_links(ids: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -511,7 +515,7 @@ def _exact(percent: int, keys: list[str], known: bool):
             for a, b in zip(bounds[:-1], bounds[1:]):
                 edges += exact_links(ids[a:b], [np.frombuffer(s, np.uint64) for s in sets[a:b]], sizes[a:b], percent, classes[a:b] if known else None)
             yield edge_batch(edges)
-    return run
+    return T.handed_back(run)
 
 
 def exact_within(documents: DataFrame, cells: DataFrame, n: int, percent: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Numpy helpers for columns of text inside Arrow tasks: byte views, rolling sums, words, shingles, hash tables."""
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -25,6 +26,16 @@ def worker_memo(name: str, make: Callable):
     return store[name]
 
 
+def handed_back(f: Callable) -> Callable:
+    """A function of batches after whose last one the worker, which goes on to other tasks, returns the memory it has freed."""
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits whose results look random."""
     x = x.astype(np.uint64)
