@@ -548,3 +548,32 @@ def count_cal_map(spark, sf_dir):
     d = aggregate.calendar_agg(seg(spark, sf_dir, "pts_ev"), "count", "hour_of_day", ["tid"], as_map=True)
     text = F.array_join(F.transform(F.map_entries("count"), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
     return d.select("tid", text.alias("fields"))
+
+
+# ---- SQL table functions ----
+
+BETWEEN = "ts BETWEEN TIMESTAMP '1996-12-24 07:30:00' AND TIMESTAMP '1998-03-03 07:30:00'"
+ARGUMENTS = "p_from => TIMESTAMP '1996-12-24 07:30:00', p_to => TIMESTAMP '1998-03-03 07:30:00'"
+FUNCTIONS = {"count_s": "count(*)", "min_s": "min(CAST(value AS DOUBLE))", "max_s": "max(CAST(value AS DOUBLE))", "sum_s": "sum(CAST(value AS DOUBLE))",
+             "avg_s": "avg(CAST(value AS DOUBLE))"}
+
+
+@add("sql_functions", sql("pts_ship", body=" UNION ALL ".join(
+     f"SELECT '{name}' AS function, tid, round(CAST({aggregate} AS DOUBLE), 6) result FROM pts_ship WHERE {BETWEEN} GROUP BY tid" for name, aggregate in FUNCTIONS.items())))
+def sql_functions(spark, sf_dir):
+    """Every aggregate as a SQL table function with its bounds as SQL arguments."""
+    view.register_functions(xor_store(spark, sf_dir))
+    return spark.sql(" UNION ALL ".join(f"SELECT '{name}' AS function, tid, round(cast(result AS double), 6) result FROM {name}({ARGUMENTS})" for name in FUNCTIONS))
+
+
+@add("sql_datapoints", sql("pts_ship", body=f"SELECT tid, ts, {V} AS value FROM pts_ship WHERE tid IN (3, 4, 9) AND {BETWEEN}"))
+def sql_datapoints(spark, sf_dir):
+    view.register_functions(xor_store(spark, sf_dir))
+    return spark.sql(f"SELECT tid, ts, cast(value AS double) AS value FROM datapoints(p_tids => array(3, 4, 9), {ARGUMENTS})")
+
+
+@add("sql_segments", sql("pts_ship", blocks=BLOCKS, body=f"""SELECT tid, min(ts) start_time, max(ts) end_time, CAST(count(*) AS INT) n_ticks
+ FROM blocks WHERE {BETWEEN} GROUP BY tid, chunk, run, block"""))
+def sql_segments(spark, sf_dir):
+    view.register_functions(xor_store(spark, sf_dir))
+    return spark.sql(f"SELECT tid, start_time, end_time, n_ticks FROM segments({ARGUMENTS})")

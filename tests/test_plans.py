@@ -55,3 +55,26 @@ def test_only_clipped_segments_are_decoded(groups):
 def test_no_cartesian_product_in_the_point_tables(spark, name):
     text = plan(fx.POINTS[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_bounds_of_sql_functions_reach_the_scan(spark):
+    from catalog import segments
+    plan = segments.sql_datapoints(spark, SF)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed = plan[plan.index("PushedFilters"):].split("\n")[0]
+    assert "GreaterThanOrEqual(end_time" in pushed and "LessThanOrEqual(start_time" in pushed
+    assert "period" in plan[plan.index("PartitionFilters"):].split("\n")[0]
+
+
+def test_readings_beside_the_grid_are_refused(spark):
+    import pytest
+
+    from tidegauge.operators import regularize
+    series = spark.createDataFrame([(1, 1, 1000), (2, 1, 1000)], "tid int, gid int, si_ms long")
+    rows = [(1, 0, 1.0), (1, 1000, 2.0), (2, 1500, 3.0), (7, 0, 4.0), (2, None, 5.0)]
+    points = spark.createDataFrame(rows, "tid int, ms long, value float").selectExpr("tid", "timestamp_millis(ms) ts", "value")
+    kept, refused = regularize.split_grid(points, series)
+    assert sorted((r.tid, r.reason) for r in refused.collect()) == [(2, "off grid"), (2, "off grid"), (7, "unknown")]
+    assert {(r.tid, r.value) for r in regularize.align_grid(kept, series).collect()} == {(1, 1.0), (1, 2.0), (2, None)}
+    for bad in ("tid = 7 OR tid = 1", "ms IS NULL"):
+        with pytest.raises(Exception, match="not among the listed|not on the grid"):
+            regularize.align_grid(points if bad == "ms IS NULL" else points.where("tid <> 2"), series).collect()

@@ -13,8 +13,8 @@ from tidegauge.functions import xor
 from tidegauge.plans.lookup import required
 
 
-def values_of(mtid: Column, payload: Column, count: Column, models: tuple = ()) -> Column:
-    """Stored values of non-closed-form segments as array<float>, NULL for the others."""
+def decoder(models: tuple = ()):
+    """A function (mtid, payload, count) of the stored values of segments as array<float>, NULL where there is no payload."""
     custom = {m.mtid: m.decode for m in models if hasattr(m, "decode")}
 
     @arrow_udf(T.ArrayType(T.FloatType()))
@@ -36,7 +36,12 @@ def values_of(mtid: Column, payload: Column, count: Column, models: tuple = ())
         offsets = pa.array(starts.astype(np.int32), mask=np.concatenate((~known, [False])))
         return pa.ListArray.from_arrays(offsets, pa.array(flat))
 
-    return decode(mtid, payload, count)
+    return decode
+
+
+def values_of(mtid: Column, payload: Column, count: Column, models: tuple = ()) -> Column:
+    """Stored values of non-closed-form segments as array<float>, NULL for the others."""
+    return decoder(models)(mtid, payload, count)
 
 
 def with_offsets(groups: DataFrame) -> DataFrame:
@@ -253,3 +258,39 @@ def register_calendar_views(groups: DataFrame, series: DataFrame, units: Iterabl
     for unit in units:
         for agg in aggs:
             calendar_agg(placed, agg, unit, ["tid", "scaling"], scaling=F.col("scaling")).drop("scaling").createOrReplaceTempView(f"cal_{agg}_{unit}")
+
+
+# Bodies of SQL table functions over the temporary view segment_group; arguments begin with p_, null is no bound.
+_KEPT = """(p_from IS NULL OR end_time >= p_from) AND (p_to IS NULL OR start_time <= p_to) AND (p_tids IS NULL OR arrays_overlap(tids, p_tids))"""
+_TICKS = """coalesce(greatest(0, ceil((unix_millis(p_from) - unix_millis(start_time)) / si_ms)), 0) AS first_tick,
+ coalesce(least(n_ticks - 1, floor((unix_millis(p_to) - unix_millis(start_time)) / si_ms)), n_ticks - 1) AS last_tick"""
+_POINTS = f"""SELECT tid, timestamp_millis(unix_millis(start_time) + i * si_ms) AS ts, coalesce(vals[i * size(tids) + pos], cast(b + a * (i * si_ms) AS float)) AS value
+ FROM (SELECT *, posexplode(tids) AS (pos, tid) FROM (SELECT *, explode(sequence(first_tick, last_tick)) AS i FROM (
+ SELECT tids, start_time, si_ms, a, b, {_TICKS}, stored_values(mtid, CASE WHEN mtid NOT IN {schema.CLOSED_FORM} THEN payload END, n_ticks * size(tids)) AS vals
+ FROM segment_group WHERE {_KEPT}) WHERE first_tick <= last_tick)) WHERE p_tids IS NULL OR array_contains(p_tids, tid)"""
+_BOUNDS = "p_tids ARRAY<INT> DEFAULT NULL, p_from TIMESTAMP DEFAULT NULL, p_to TIMESTAMP DEFAULT NULL"
+_SEGMENT_AGGREGATES = {"count_s": "count(value)", "min_s": "min(cast(value AS double))", "max_s": "max(cast(value AS double))", "sum_s": "sum(cast(value AS double))",
+                       "avg_s": "avg(cast(value AS double))"}
+
+
+def register_functions(groups: DataFrame) -> None:
+    """SQL table functions over a store in the stored scale, each with (tids, from, to) as optional SQL arguments.
+
+    datapoints(...) gives (tid, ts, value); segments(...) gives (tid, start_time, end_time, n_ticks, mtid) cut to the bounds;
+    count_s, min_s, max_s, sum_s and avg_s give (tid, result) within the bounds. The bounds stand in the body as predicates on
+    the columns of the store, so literal arguments reach its scan and prune its periods, and only segments that overlap them are decoded.
+    """
+    spark = groups.sparkSession
+    groups.createOrReplaceTempView("segment_group")
+    spark.udf.register("stored_values", decoder())
+    cut = f"""SELECT tid, timestamp_millis(unix_millis(start_time) + first_tick * si_ms), timestamp_millis(unix_millis(start_time) + last_tick * si_ms),
+ cast(last_tick - first_tick + 1 AS int), mtid FROM (SELECT *, explode(tids) AS tid FROM (SELECT tids, start_time, si_ms, mtid, {_TICKS} FROM segment_group WHERE {_KEPT})
+ WHERE first_tick <= last_tick) WHERE p_tids IS NULL OR array_contains(p_tids, tid)"""
+    functions = {"datapoints": ("tid INT, ts TIMESTAMP, value FLOAT", _POINTS), "segments": ("tid INT, start_time TIMESTAMP, end_time TIMESTAMP, n_ticks INT, mtid INT", cut)}
+    for name, aggregate in _SEGMENT_AGGREGATES.items():
+        kind = "BIGINT" if name == "count_s" else "DOUBLE"
+        functions[name] = (f"tid INT, result {kind}", f"SELECT tid, {aggregate} FROM ({_POINTS}) GROUP BY tid")
+    period = " AND (p_to IS NULL OR period <= to_date(p_to))" if "period" in groups.columns else ""
+    for name, (columns, body) in functions.items():
+        body = body.replace(_KEPT, _KEPT + period)
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({_BOUNDS}) RETURNS TABLE({columns}) RETURN {body}")
