@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import zlib
 from html.parser import HTMLParser
 
 from tidegauge.llm import warc
@@ -93,3 +94,41 @@ def test_awkward_rows(spark):
     assert len(rows) == 8 and sorted(bytes(r.block) for r in rows if r.warc_type == "conversion") == [b"", b"", b"deep", b"deep"]
     assert warc.derive(warc.responses(spark.createDataFrame([], ddl), DATE)).count() == 0
     assert hashlib.sha1(b"").hexdigest() and warc.digest(b"") == "sha1:3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
+
+
+def test_damaged_records_do_not_end_the_reading():
+    def record(length, block, *more):
+        return "\r\n".join(["WARC/1.0", "WARC-Type: response", f"Content-Length: {length}", *more]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    blocks = [r[6] for r in warc.split_records(record(3, b"one") + record("many", b"two") + record(-40, b"three") + record("9" * 5000, b"x") + record(4, b"four"))]
+    assert blocks == [b"one", b"four"]
+    members = [gzip.compress(bytes(range(256)) * 3 + str(i).encode() * 70000) for i in range(4)]
+    broken = members[1][:40] + b"\xff" * 60 + members[1][100:]
+    whole = [gzip.decompress(members[i]) for i in (0, 2, 3)]
+    assert warc.inflated(members[0] + broken + members[2] + members[3]) == b"".join(whole)
+    assert warc.inflated(members[0] + members[2][:50]).startswith(whole[0])
+    assert warc.inflated(b"plain") == b"plain" and warc.inflated(b"\x1f\x8b\x08broken") == b""
+
+
+def test_encodings_of_payloads():
+    for name in ("idna", "undefined", "hex", "punycode", "no-such"):
+        assert "<p>\N{BULLET}" in warc.decoded([("Content-Type", f"text/html; charset={name}")], "<p>\N{BULLET}\xff..".encode())
+    page = b"<p>some text</p>" * 20
+    chunked = b"".join(b"%x;note=1\r\n%s\r\n" % (len(page[i:i + 33]), page[i:i + 33]) for i in range(0, len(page), 33)) + b"0\r\n\r\n"
+    zipped = gzip.compress(page)
+    raw = zlib.compressobj(wbits=-15)
+    assert warc.bare([("Transfer-Encoding", "chunked")], chunked) == page
+    assert warc.bare([("Transfer-Encoding", "chunked"), ("content-encoding", "GZIP")], b"%X\r\n%s\r\n0\r\n\r\n" % (len(zipped), zipped)) == page
+    assert warc.bare([("Content-Encoding", "deflate")], zlib.compress(page)) == warc.bare([("Content-Encoding", "deflate")], raw.compress(page) + raw.flush()) == page
+    assert warc.bare([("Transfer-Encoding", "chunked"), ("Content-Encoding", "gzip")], page) == page
+    assert warc.unchunked(b"ff\r\ntoo short") == b"ff\r\ntoo short"
+
+
+def test_source_headers_stay(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=idna\r\n\r\n<title>T</title>\xff"
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nWARC-IP-Address: 10.0.0.1\r\nwarc-truncated: length\r\nContent-Length: {len(block)}\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(head.encode() + block + b"\r\n\r\n")
+    records = warc.parse(spark.read.format("binaryFile").load(str(tmp_path)))
+    assert [r.headers for r in records.collect()] == ["WARC-IP-Address: 10.0.0.1\nwarc-truncated: length"]
+    derived = warc.derive(records)
+    assert {r.headers for r in derived.collect()} == {"X-Source-WARC-IP-Address: 10.0.0.1\nX-Source-warc-truncated: length"}
+    assert all(b"X-Source-WARC-IP-Address: 10.0.0.1\r\n" in bytes(r.record) for r in warc.serialise(derived).collect())
