@@ -1,8 +1,10 @@
 import hashlib
+import random
 
+import numpy as np
 import pytest
 
-from tidegauge.llm.suffixdedup import remove_repeats
+from tidegauge.llm.suffixdedup import RunLengthIndex, Ranks, agreement, remove_repeats, smallest_holders, suffix_array, word_at
 
 
 def brute(rows, length):
@@ -49,3 +51,57 @@ def test_kept_bytes(spark):
     df = spark.createDataFrame([(1, text), (2, "head " + text + " tail")], "doc_id long, text string")
     kept = {r.doc_id: r.kept for r in remove_repeats(df, 30).collect()}
     assert bytes(kept[1]) == text.encode() and bytes(kept[2]) == b"head  tail"
+
+
+def joined(strings):
+    return np.frombuffer(b"".join(bytes(c + 1 for c in x) + b"\0" for x in strings), np.uint8)
+
+
+def bag(seed, letters):
+    """Distinct strings of 12 to 60 letters, many of them cut from one another."""
+    rng = random.Random(seed)
+    strings = ["".join(rng.choices(letters, k=60)).encode() for _ in range(6)]
+    for _ in range(40):
+        a, b = rng.sample(strings, 2)
+        cut = rng.randrange(len(a))
+        strings.append((a[cut:] + b)[:rng.randrange(12, 60)])
+    return sorted({x for x in strings if len(x) >= 12}, key=lambda x: rng.random())
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
+def test_matching_lengths_come_from_run_ends(letters):
+    """Each step back gives the row of the longer suffix, and the symbols it shares with the row above."""
+    symbols, length = joined(bag(3, letters)), 20
+    n = len(symbols)
+    words = word_at(symbols)
+    order = suffix_array(symbols, words)
+    circle = bytes(symbols) * 2
+    assert list(order) == sorted(range(n), key=lambda p: circle[p:p + n])
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    shared = [0] + [next(k for k in range(n) if circle[a + k] != circle[b + k]) for a, b in zip(order[:-1], order[1:])]
+    assert [min(length, x) for x in agreement(words, order[:-1], order[1:], length)] == [min(length, x) for x in shared[1:]]
+    index = RunLengthIndex(symbols, length)
+    assert len(index.starts) < n
+    row, matched = index.back(np.arange(n), np.minimum(shared, length).astype(np.int32))
+    inside = symbols[order - 1] > 0
+    assert (row == place[order - 1])[inside].all()
+    assert [min(length, x) for x in matched[inside]] == [min(length, shared[r]) for r in row[inside]]
+
+
+@pytest.mark.parametrize("seed, letters, length", [(1, "ab", 12), (2, "abcd", 9), (5, "abcdefgh", 12), (6, "a", 12)])
+def test_smallest_holders(seed, letters, length):
+    strings = bag(seed, letters)
+    holders = random.Random(seed).sample(range(1000), len(strings))
+    least = {}
+    for x, h in zip(strings, holders):
+        for i in range(len(x) - length + 1):
+            least[x[i:i + length]] = min(h, least.get(x[i:i + length], h))
+    want = [least[x[i:i + length]] for x in strings for i in range(len(x) - length + 1)]
+    got = smallest_holders(np.frombuffer(b"".join(strings), np.uint8), np.array([len(x) for x in strings]), np.array(holders, np.int64), length)
+    assert list(got) == want
+
+
+def test_ranks():
+    marked = np.array([0, 3, 63, 64, 130])
+    assert list(Ranks(marked, 140)(np.arange(140))) == [int((marked <= i).sum()) for i in range(140)]

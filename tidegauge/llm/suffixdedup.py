@@ -4,9 +4,10 @@ Strings of `length` bytes that agree have the same smallest hash of their `GRAM`
 
 1. Every maximal run of windows with one anchor (a segment) sends its anchor to a bucket; anchors of two documents survive.
 2. The segments of surviving anchors go to a bucket of that anchor, so that all equal windows meet.
-3. Each bucket collapses equal segments, builds a suffix array of the rest, keeps its Burrows-Wheeler transform as runs
-   with sampled ends, and streams the segments backwards over the runs. The row reached at a byte tells its class: the
-   suffixes around it that agree over `length` bytes or more. A window whose class holds a smaller document is marked.
+3. Each bucket collapses equal segments, keeps the Burrows-Wheeler transform of the rest as runs with sampled ends, and
+   streams the segments backwards over the runs with their matching statistics: the row reached and how many bytes agree with
+   the row above. That length grows by one a step; where a run starts, the samples at the ends of runs tell it anew. Rows
+   that agree over `length` bytes or more are one class; a window whose class holds a smaller document is marked.
 4. Marks return to their documents, where overlapping ones join.
 
 Buckets grow in number with the text, not in size; a string that a third of all documents share is one segment a
@@ -237,91 +238,104 @@ class Ranks:
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of strings that end in a zero byte, with the suffix array at run ends.
+    """Run-compressed Burrows-Wheeler transform of strings that end in a zero byte, with the suffix array sampled at both ends of runs.
 
-    `classes` are the rows at which a suffix differs from the row before within `length` bytes.
+    A row's matching length is the number of symbols that its suffix shares with the row above. One symbol further back both rows
+    move on together and it is one more, unless the row starts a run. Then the row above is the end of the
+    last run before with the same symbol, and the samples of both are compared, up to `length` symbols.
     """
 
     def __init__(self, symbols: np.ndarray, length: int):
-        suffixes, ranks = suffix_array(symbols, length)
+        words = word_at(symbols)
+        suffixes = suffix_array(symbols, words)
         n = len(symbols)
         last = symbols[suffixes - 1]  # the symbol before; position 0 follows the last
         self.starts = _groups(last)
-        self.heads = last[self.starts]
+        heads = last[self.starts]
         self.runs = Ranks(self.starts, n)
         ends = np.append(self.starts[1:], n)
         sizes = ends - self.starts
         # row of the first symbol of each run in the sorted column: smaller symbols, then equal ones of earlier runs
-        order = np.argsort(self.heads, kind="stable")
+        order = np.argsort(heads, kind="stable")
         before = np.cumsum(sizes[order]) - sizes[order]
         self.steps = np.empty(len(sizes), np.int64)
         self.steps[order] = before
         self.steps -= self.starts
-        self.first_sample, self.last_sample = suffixes[self.starts], suffixes[ends - 1]
+        first_sample, last_sample = suffixes[self.starts], suffixes[ends - 1]
         self.entries = suffixes[:np.count_nonzero(symbols == 0)]  # positions of the end marks, the smallest suffixes
-        depth = ranks[0]
-        shift = length - depth
-        near, far = ranks[1][suffixes], ranks[1][np.minimum(suffixes + np.int32(shift), n - 1)]
-        classes = _groups(near, far)
-        self.n_classes, self.classes = len(classes), Ranks(classes, n)
+        same = np.flatnonzero(heads[order[1:]] == heads[order[:-1]])
+        above, below = order[same], order[same + 1]
+        self.lengths = np.zeros(len(sizes), np.int32)
+        self.lengths[below] = 1 + agreement(words, first_sample[below], last_sample[above], length)
 
-    def back(self, row: np.ndarray) -> np.ndarray:
-        """The rows of the suffixes one symbol longer."""
-        return row + self.steps[self.runs(row) - 1]
+    def back(self, row: np.ndarray, matched: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the suffixes one symbol longer, and their matching lengths, exact below `length`."""
+        run = self.runs(row) - 1
+        return row + self.steps[run], np.where(self.starts[run] == row, self.lengths[run], matched + np.int32(1))
 
-    def class_of(self, row: np.ndarray) -> np.ndarray:
-        return self.classes(row) - 1
+
+def word_at(symbols: np.ndarray) -> np.ndarray:
+    """The 8 symbols from each position on, as on a circle."""
+    n = len(symbols)
+    padded = np.concatenate([symbols, symbols[:8]])
+    words = np.zeros(n, np.uint64)
+    for j in range(8):
+        words = (words << np.uint64(8)) | padded[j:j + n].astype(np.uint64)
+    return words
 
 
-def suffix_array(symbols: np.ndarray, length: int) -> tuple[np.ndarray, tuple[int, np.ndarray]]:
-    """Suffixes in order by doubling; and the largest depth of at most `length` reached, with the ranks at that depth.
+def agreement(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """How many symbols from positions a and b on are equal, exact below `length`."""
+    n = len(words)
+    out = np.zeros(len(a), np.int32)
+    left = np.arange(len(a))
+    for depth in range(0, length, 8):
+        unlike = words[(a[left] + depth) % n] ^ words[(b[left] + depth) % n]
+        out[left] += sum((unlike < np.uint64(1 << 8 * k)).astype(np.int32) for k in range(8))
+        left = left[unlike == 0]
+    return out
+
+
+def suffix_array(symbols: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Suffixes in order by doubling.
 
     Suffixes compare as on a circle. Strings of bounded length end in zeros, so a few doublings tell all apart but
     equal ones, and distinct strings leave none. Ranks take 31 bits, so a bucket holds less than 2 GB.
     """
     n = len(symbols)
-    padded = np.concatenate([symbols, symbols[:8]])
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | padded[j:j + n].astype(np.uint64)
-    order = np.argsort(key).astype(np.int32)
-    heads = _groups(key[order])
+    order = np.argsort(words).astype(np.int32)
+    heads = _groups(words[order])
     rank = np.empty(n, np.int32)
     rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
-    depth, kept = 8, None
-    if depth * 2 > length:
-        kept = (depth, rank.copy())
-    while True:
+    depth = 8
+    while depth < n:
         sizes = np.diff(np.append(heads, n))
-        tied = np.repeat(sizes > 1, sizes)
-        open_rows = np.flatnonzero(tied)
-        if len(open_rows) and depth < n:
-            at = order[open_rows]
-            following = at + np.int32(depth)
-            following[following >= n] -= n
-            own, pair = rank[at], rank[following]
-            turn = np.argsort((own.astype(np.uint64) << np.uint64(32)) | pair.astype(np.uint64))
-            at, own, pair = at[turn], own[turn], pair[turn]
-            order[open_rows] = at
-            new = _groups(own, pair)
-            fresh = np.repeat(open_rows[new], np.diff(np.append(new, len(at))))
-            rank[at] = fresh
-            cut = np.zeros(n, bool)
-            cut[heads] = True
-            cut[open_rows[new]] = True
-            heads = np.flatnonzero(cut)
-        elif kept is not None:
-            return order, kept
+        open_rows = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        if not len(open_rows):
+            break
+        at = order[open_rows]
+        following = at + np.int32(depth)
+        following[following >= n] -= n
+        own, pair = rank[at], rank[following]
+        turn = np.argsort((own.astype(np.uint64) << np.uint64(32)) | pair.astype(np.uint64))
+        at, own, pair = at[turn], own[turn], pair[turn]
+        order[open_rows] = at
+        new = _groups(own, pair)
+        rank[at] = np.repeat(open_rows[new], np.diff(np.append(new, len(at))))
+        cut = np.zeros(n, bool)
+        cut[heads] = True
+        cut[open_rows[new]] = True
+        heads = np.flatnonzero(cut)
         depth *= 2
-        if kept is None and depth * 2 > length:
-            kept = (depth, rank.copy())
+    return order
 
 
 def smallest_holders(content: np.ndarray, sizes: np.ndarray, holders: np.ndarray, length: int) -> np.ndarray:
     """For every window of distinct strings the smallest holder of any string with that window.
 
-    The matching statistics of all strings against the index are streamed
-    together, from their ends backwards: each step moves the row of every string over the runs.
+    The matching statistics of all strings against the index are streamed together, from their ends backwards: each step moves
+    the row and the matching length of every string over the runs. A window that agrees with the row above over `length` symbols
+    is of the class of that row; another one begins a class.
     """
     count = len(sizes)
     ends = np.cumsum(sizes + 1)
@@ -330,21 +344,23 @@ def smallest_holders(content: np.ndarray, sizes: np.ndarray, holders: np.ndarray
     inside[ends - 1] = False
     symbols[inside] = content + np.uint8(1)
     index = RunLengthIndex(symbols, length)
-    # every stream enters at the row of its string's end
-    row = np.empty(count, np.int64)
+    # every stream enters at the row of its string's end, where nothing of it is matched
+    row, matched = np.empty(count, np.int64), np.zeros(count, np.int32)
     row[np.searchsorted(ends, index.entries, "right")] = np.arange(count)
     per = sizes - length + 1
     firsts = np.cumsum(per) - per
-    classes = np.zeros(int(per.sum()), np.int64)
+    rows, fresh = np.zeros(int(per.sum()), np.int64), np.zeros(int(per.sum()), bool)
     left = np.argsort(-sizes, kind="stable")  # longest first: the strings still open are a prefix
     row, ordered = row[left], sizes[left]
     for step in range(1, int(ordered[0]) + 1):
         alive = int(np.searchsorted(-ordered, -step, "right"))
-        row[:alive] = index.back(row[:alive])
+        row[:alive], matched[:alive] = index.back(row[:alive], matched[:alive])
         if step >= length:
-            which = left[:alive]
-            classes[firsts[which] + sizes[which] - step] = index.class_of(row[:alive])
-    lowest = np.full(index.n_classes, np.iinfo(np.int64).max)
+            at = firsts[left[:alive]] + ordered[:alive] - step
+            rows[at], fresh[at] = row[:alive], matched[:alive] < length
+    heads = rows[fresh]
+    classes = Ranks(heads, len(symbols))(rows) - 1
+    lowest = np.full(len(heads), np.iinfo(np.int64).max)
     np.minimum.at(lowest, classes, np.repeat(holders, per))
     return lowest[classes]
 
