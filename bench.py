@@ -92,7 +92,7 @@ def main() -> None:
     warm("sum_cal_hour_of_day", lambda: rows(aggregate.calendar_agg(segments, "sum", "hour_of_day", ["tid"])))
     warm("sum_cal_minute", lambda: rows(aggregate.calendar_agg(segments, "sum", "minute", ["tid"])))
     warm("rqe_downsampled", lambda: rows(cq.rqe_downsampled(spark, sf_dir)))
-    signals = per_signal(groups, segments, fx.series_seq(spark, sf_dir).select("tid", "gid"), [r.tid for r in groups.select(F.col("gid").alias("tid")).distinct().orderBy("tid").take(10)])
+    signals = per_signal(groups, segments, fx.stored_series(spark, sf_dir), [r.tid for r in groups.select(F.col("gid").alias("tid")).distinct().orderBy("tid").take(10)])
     stored = stored_bytes(spark, fx.path_of(spark, sf_dir, table, 0.0), "*.parquet").first()["bytes"]
     model = groups.agg(F.sum(F.col("model_bytes") + 24 + 4 * F.col("n_gaps")).alias("b")).first()["b"]
     print(json.dumps({

@@ -9,7 +9,7 @@ from tidegauge.operators.regularize import align_grid, regularize
 from tidegauge.plans.ordered import positions
 from tidegauge.session import prepare, work_dir
 from tidegauge.sources.readings import number_sources
-from tidegauge.sources.store import read_segments, write_segments
+from tidegauge.sources.store import read_segments, write_segments, write_series
 
 # Sampling intervals of the point tables in ms.
 SI = {"pts_ev": 3_600_000, "pts_cnt": 3_600_000, "pts_ship": 86_400_000, "pts_seq": 2_000, "pts_smooth": 2_000}
@@ -93,6 +93,12 @@ def series_seq(spark, sf_dir) -> DataFrame:
                     (1 + (tid % 3) * 0.5).cast("float").alias("scaling"), tid.alias("gid"), "region", "nation")
 
 
+def stored_series(spark, sf_dir) -> DataFrame:
+    """series_seq as it is kept beside its store, written once per session."""
+    path = once(spark, (sf_dir, "series_seq"), "series", lambda p: write_series(series_seq(spark, sf_dir), p))
+    return spark.read.schema(series_seq(spark, sf_dir).schema).parquet(path)
+
+
 POINTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pts_ev": pts_ev, "pts_cnt": pts_cnt, "pts_ship": pts_ship, "pts_seq": pts_seq, "pts_smooth": pts_smooth}
 

@@ -102,3 +102,16 @@ def derived_series(spark, sf_dir):
     rules = [("click", 101, "sqrt(abs(cast(value as double))) / scalingFactor"), (2, 102, "value * 2 + 1"), ("click", 103, "value / scalingFactor")]
     d = groups.derive(stored, fx.series_ev(spark, sf_dir), rules)
     return d.select("tid", "ts", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+@add("derived_agg_s", sql("pts_ev", "series_ev", d="""SELECT 101 tid, CAST(sqrt(abs(CAST(value AS DOUBLE))) / scaling AS FLOAT) v FROM pts_ev JOIN series_ev USING (tid) WHERE source = 'click'
+ UNION ALL SELECT 102, CAST(value AS DOUBLE) * 2 + 1 FROM pts_ev WHERE tid = 2
+ UNION ALL SELECT 103, CAST(value AS DOUBLE) / scaling - 7 FROM pts_ev JOIN series_ev USING (tid) WHERE source = 'click'
+ UNION ALL SELECT 104, 0.5 * CAST(value AS DOUBLE) FROM pts_ev WHERE tid = 1""",
+     body="""SELECT CAST(tid AS INT) tid, count(*) AS count, round(min(v), 4) AS min, round(max(v), 4) AS max, round(sum(v), 2) AS sum, round(avg(v), 4) AS avg FROM (
+ SELECT tid, CAST(v AS DOUBLE) v FROM d) GROUP BY 1"""))
+def derived_agg_s(spark, sf_dir):
+    """Three derived series from whole segments, one from points of its source."""
+    rules = [("click", 101, "sqrt(abs(cast(value as double))) / scalingFactor"), (2, 102, "value * 2 + 1"), ("click", 103, "value / scalingFactor - 7"), (1, 104, "0.5 * value")]
+    d = groups.derived_agg(fx.store(spark, sf_dir, "pts_ev"), fx.series_ev(spark, sf_dir), rules)
+    return d.select("tid", "count", *[F.round(c, n).alias(c) for c, n in (("min", 4), ("max", 4), ("sum", 2), ("avg", 4))])

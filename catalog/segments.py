@@ -215,7 +215,7 @@ def _filter(name, condition, table="pts_seq"):
 
 
 def _of_tids(spark, sf_dir, tids):
-    gids = view.gids_of(fx.series_seq(spark, sf_dir), tids)
+    gids = view.gids_of(fx.stored_series(spark, sf_dir), tids)
     return _plain(view.points(fx.store(spark, sf_dir, "pts_seq"), tids=tids, gids=gids))
 
 
@@ -281,7 +281,9 @@ def filter_value_range(spark, sf_dir):
 
 @_filter("filter_and_or", "(tid = 2 OR ts < TIMESTAMP '2024-01-01 00:01:00') AND NOT (value < 5000 AND tid > 50)")
 def filter_and_or(spark, sf_dir):
-    d = _plain(view.points(fx.store(spark, sf_dir, "pts_seq")))
+    """Segments that neither belong to series 2 nor begin early are not read."""
+    wanted = view.touches(view.gids_of(fx.stored_series(spark, sf_dir), [2])) | view.touches(ts_to="2024-01-01 00:01:00")
+    d = _plain(view.points(fx.store(spark, sf_dir, "pts_seq").where(wanted)))
     early = F.col("ts") < F.lit("2024-01-01 00:01:00").cast("timestamp")
     return d.where(((F.col("tid") == 2) | early) & ~((F.col("value") < 5000) & (F.col("tid") > 50)))
 

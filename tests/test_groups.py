@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators.groups import Clause, Hierarchy, group_series
+from tidegauge.operators.compress import compress
+from tidegauge.operators.groups import Clause, Hierarchy, derive, derived_agg, group_series, is_even
+from tidegauge.operators.view import points
 from tidegauge.sources.dimensions import load_dimensions, parse_definitions
 
 # pumps on three sites: two levels of place, two of kind; the last dimension counts half
@@ -116,3 +118,25 @@ def test_dimension_file_errors(spark, tmp_path):
         file.write_text(f"Location, house string, channel int\n\n{row}\n")
         with pytest.raises(Exception):
             load_dimensions(spark, str(file))[1].collect()
+
+
+def test_even_expressions():
+    even = ["value", "value * 2 + 1", "2.5*value", "VALUE / scalingFactor - .5", " scalingFactor * value * 3 "]
+    assert all(map(is_even, even))
+    assert not any(map(is_even, ["sqrt(value)", "value * value", "1 / value", "value + 1 + 2", "-value", "values * 2", "value % 3", ""]))
+
+
+def test_derived_aggregates_of_segments_and_of_points_agree(spark):
+    d = spark.range(600).selectExpr("cast(id % 2 + 1 AS int) AS tid", "timestamp_millis((id div 2) * 1000) AS ts", "cast(10 * sin(id / 9) + id % 2 AS float) AS value")
+    listed = spark.createDataFrame([(1, 1, "left", -2.0), (2, 2, "right", 4.0)], "tid int, gid int, source string, scaling double")
+    stored = compress(d, 0.0, si_ms=1000)
+    rules = [("left", 11, "value * 2 + 1"), (1, 12, "value / scalingFactor - 7"), (2, 13, "scalingFactor * value"), (2, 14, "abs(value)"), ("right", 15, "value"), ("gone", 16, "value")]
+    want = {r.tid: r for r in derive(points(stored), listed, rules).groupBy("tid").agg(
+        F.count("*"), F.min("value"), F.max("value"), F.sum(F.col("value").cast("double")), F.avg("value")).collect()}
+    got = {r.tid: r for r in derived_agg(stored, listed, rules).collect()}
+    assert set(got) == set(want) == {11, 12, 13, 14, 15}
+    assert all(list(got[t]) == pytest.approx(list(want[t]), rel=1e-5, abs=1e-3) for t in got)
+    text = derived_agg(stored, listed, rules[:3])._jdf.queryExecution().optimizedPlan().toString()
+    assert "stored_values" not in text and "generate explode(sequence" not in text.lower()
+    with pytest.raises(ValueError):
+        derived_agg(stored, listed, [])

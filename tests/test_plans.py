@@ -78,3 +78,17 @@ def test_readings_beside_the_grid_are_refused(spark):
     for bad in ("tid = 7 OR tid = 1", "ms IS NULL"):
         with pytest.raises(Exception, match="not among the listed|not on the grid"):
             regularize.align_grid(points if bad == "ms IS NULL" else points.where("tid <> 2"), series).collect()
+
+
+def test_either_of_two_conditions_reaches_the_scan(spark, groups):
+    wanted = view.touches(view.gids_of(fx.stored_series(spark, SF), [2])) | view.touches(ts_to="2024-01-01 00:01:00")
+    text = plan(view.points(groups.where(wanted)))
+    assert "Or(EqualTo(gid,2),LessThanOrEqual(start_time,2024-01-01 00:01:00.0))" in text or "Or(In(gid, [2]),LessThanOrEqual(start_time" in text
+
+
+def test_series_are_looked_up_by_id(spark):
+    found = fx.stored_series(spark, SF)
+    assert view.gids_of(found, [3, 5, 3, 99_999_999]) == [3, 5] and view.gids_of(found, []) == []
+    assert sorted(map(str, found.collect())) == sorted(map(str, fx.series_seq(spark, SF).collect()))
+    text = plan(found.where("tid in (3, 5)").select("gid"))
+    assert "In(tid, [3,5])" in text and "Exchange" not in text

@@ -1,11 +1,15 @@
 """Dimensions, correlation groups, scaling rules and derived series over the `series` table."""
 
 import itertools
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegauge.operators.aggregate import with_stats
+from tidegauge.operators.view import members, points_by_member
 from tidegauge.plans.lookup import required
 from tidegauge.plans.ordered import positions
 from tidegauge.session import written
@@ -148,6 +152,50 @@ def series_distance(series: DataFrame, pairs: DataFrame, hierarchy: Hierarchy) -
     return pairs.join(left, "tid").join(right, "other_tid").select("tid", "other_tid", distance.alias("distance"))
 
 
+# Expressions that rise or fall evenly with the value, [c *] value [* c | / c] [+ c | - c] with c a number or scalingFactor.
+_C = r"(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+|scalingFactor)"
+_EVEN = re.compile(rf"\s*(?:{_C}\s*\*\s*)?value(?:\s*[*/]\s*{_C})?(?:\s*[+-]\s*{_C})?\s*", re.I)
+
+
+def is_even(expression: str) -> bool:
+    return _EVEN.fullmatch(expression) is not None
+
+
+def _applied(expression: str, to: str) -> Column:
+    return F.expr(re.sub(r"\bvalue\b", f"cast({to} AS double)", expression, flags=re.I)).cast("double")
+
+
+def derived_agg(groups: DataFrame, series: DataFrame, derived: Iterable[tuple[int | str, int, str]]) -> DataFrame:
+    """(tid, count, min, max, sum, avg) of derived series, see derive, from the segment groups of their sources.
+
+    Even expressions come from the count, extremes and sum of each segment, of which none is decoded; the others are evaluated on the
+    points of their sources, as FLOAT. A derived series without segments gives no row.
+    """
+    rules = list(derived)
+    even, other = [r for r in rules if is_even(r[2])], [r for r in rules if not is_even(r[2])]
+    names = lambda some: (F.col("source").isin([s for s, _, _ in some if isinstance(s, str)]) | F.col("tid").isin([s for s, _, _ in some if not isinstance(s, str)]))
+    parts = []
+    if even:
+        known = series.where(names(even)).select("tid", "source", F.col("scaling").alias("scalingFactor"))
+        d = with_stats(members(groups)).join(known, "tid")  # only sources are wanted
+        rows = []
+        for source, tid, text in even:
+            is_source = F.col("source") == source if isinstance(source, str) else F.col("tid") == source
+            ends = [_applied(text, c) for c in ("vmin", "vmax")]
+            total = _applied(text, "vsum") + (F.col("n_ticks") - 1) * _applied(text, "0")
+            rows.append(F.when(is_source, F.struct(F.lit(tid).alias("tid"), F.col("n_ticks").cast("long").alias("n"), F.least(*ends).alias("lo"),
+                                                   F.greatest(*ends).alias("hi"), total.alias("total"))))
+        d = d.select(F.explode(F.array_compact(F.array(*rows))).alias("p")).select("p.*")
+        parts.append(d.groupBy("tid").agg(F.sum("n").alias("count"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.sum("total").alias("sum")))
+    if other:
+        stored = points_by_member(groups, series.withColumn("scaling", F.lit(1.0)), names(other)).select("tid", "ts", "value")
+        v = F.col("value").cast("double")
+        parts.append(derive(stored, series, other).groupBy("tid").agg(F.count("value").alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum")))
+    if not parts:
+        raise ValueError("no derived series given")
+    return reduce(DataFrame.unionByName, parts).withColumn("avg", F.col("sum") / F.col("count"))
+
+
 def derive(stored: DataFrame, series: DataFrame, derived: Iterable[tuple[int | str, int, str]]) -> DataFrame:
     """Points of derived series: (source tid or name, new tid, SQL expression).
 

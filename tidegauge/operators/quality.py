@@ -9,6 +9,7 @@ from tidegauge.functions.errors import percentage_error, query_error, relative_e
 from tidegauge.plans.lookup import required
 from tidegauge.plans.ordered import consecutive_runs, positions
 from tidegauge.plans.quantile import exact_median, median_of_counts
+from tidegauge.session import written
 
 QUERIES = ("MIN", "MAX", "AVG", "SUM", "MEDIAN", "STD", "COUNT")
 HISTOGRAM_BINS = 10
@@ -180,10 +181,12 @@ def rqe(points: DataFrame, approx: DataFrame, sweep: str, population_std: bool =
     """(sweep, tid, query, rqe): errors of queries on `approx`, which has a column named by `sweep`.
 
     Raw and approximate points are aggregated together, and each answer meets the raw one in a
-    window over the few rows of its series and query. `scale_sum` multiplies sums by the sweep.
+    window over the few rows of its series and query. `scale_sum` multiplies sums by the sweep. The points are
+    written once to the shared folder, as the aggregates and both passes of the median read them.
     """
     columns = [sweep, "tid", "value"]
     both = points.withColumn(sweep, F.lit(_RAW)).select(*columns).unionByName(approx.select(*columns))
+    both = written(both.sparkSession, both, "rqe")
     answers = series_aggregates(both, [sweep, "tid"], population_std, positive)
     raw = F.col(sweep) == _RAW
     result = F.col("result")

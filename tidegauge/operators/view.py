@@ -161,9 +161,24 @@ def may_hold(low: float | None, high: float | None) -> Column:
     return condition
 
 
+def touches(gids: Iterable[int] | None = None, ts_from=None, ts_to=None) -> Column:
+    """Whether a segment group of the listed groups can hold points in the time, from plain columns of the store.
+
+    For conditions on points that points() can't state: what it combines with & and | reaches the scan of groups.where(...), so the
+    other segments are neither read nor decoded; the exact condition then follows on the points.
+    """
+    condition = F.lit(True) if gids is None else F.col("gid").isin([int(g) for g in gids])
+    if ts_from is not None:
+        condition &= F.col("end_time") >= _time(ts_from)
+    return condition if ts_to is None else condition & (F.col("start_time") <= _time(ts_to))
+
+
 def gids_of(series: DataFrame, tids: Iterable[int]) -> list[int]:
-    """The groups of the listed series, at most one per listed id; none for unknown ids."""
-    return [r.gid for r in series.where(F.col("tid").isin([int(t) for t in tids])).select("gid").distinct().collect()]
+    """The groups of the listed series, at most one per listed id; none for unknown ids.
+
+    On a table of store.write_series this is one small scan of the row groups with those ids.
+    """
+    return sorted({r.gid for r in series.where(F.col("tid").isin([int(t) for t in tids])).select("gid").collect()})
 
 
 def points_by_member(groups: DataFrame, series: DataFrame, condition: Column, **options) -> DataFrame:

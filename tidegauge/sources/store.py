@@ -31,6 +31,11 @@ def _ddl() -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.SEGMENT_GROUPS.fields)
 
 
+def write_series(series: DataFrame, path: str) -> None:
+    """The table of series beside a store, in order of ids, so that looking up a few of them reads few row groups."""
+    series.repartitionByRange("tid").sortWithinPartitions("tid").write.parquet(path)
+
+
 def scan_range(groups: DataFrame, period: str | None = None, start_from=None, end_to=None, gids=None) -> DataFrame:
     """Segments with start_time >= start_from and end_time <= end_to of some groups.
 
