@@ -36,16 +36,24 @@ def stream_ingest(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def to_the_end(spark, stream, write):
+    """Runs a stream over all there is, then once more after its end mark. `write` starts the query of a stream."""
+    marks = work_dir(spark, "end-marks")
+    for last in (False, True):
+        if last:
+            ingest.end_stream(spark, marks)
+        ingest.run(write(ingest.with_end_marks(stream, marks)))
+
+
 def regular(spark, sf_dir):
-    """Hourly points of a stream with series ids, completed by the windows open at its end; written once per session."""
+    """Hourly points of a stream with series ids, all emitted by the stream; written once per session."""
     def build(path):
-        emitted = work_dir(spark, "stream-windows")
-        hourly = ingest.regularize_stream(event_stream(prepare(spark), sf_dir), "event_type", "1 hour", DELAY)
-        ingest.run(ingest.append_to(hourly, emitted, work_dir(spark, "checkpoint"), state_partitions=cores(spark)))
+        emitted, checkpoint = work_dir(spark, "stream-windows"), work_dir(spark, "checkpoint")
+        to_the_end(spark, event_stream(prepare(spark), sf_dir), lambda d: ingest.append_to(
+            ingest.regularize_stream(d, "event_type", "1 hour", DELAY), emitted, checkpoint, state_partitions=cores(spark)))
         seen = spark.read.schema("event_type string, ts timestamp, value float").parquet(emitted)
-        rest = ingest.open_windows(fx.events(spark, sf_dir), seen, "event_type", "1 hour")
         ids = fx.series_ev(spark, sf_dir).select("tid", F.col("source").alias("event_type"))
-        seen.unionByName(rest).join(ids, "event_type").select("tid", "ts", "value").write.parquet(path)
+        seen.join(ids, "event_type").select("tid", "ts", "value").write.parquet(path)
     return fx.once(spark, (sf_dir, "stream_regular"), "stream-points", build)
 
 
@@ -58,14 +66,19 @@ def stream_regularize(spark, sf_dir):
     return d.select("tid", "ts", F.col("value").cast("double").alias("value"))
 
 
-def segmented(spark, sf_dir, latency):
-    """Segments of the stream of hourly points, with the micro-batch that emitted them."""
+def segmented(spark, sf_dir, latency, ended):
+    """Segments of the stream of hourly points, with the micro-batch that emitted them; up to its end mark or without one."""
     def build(path):
-        points = ingest.read_stream(spark, regular(spark, sf_dir), POINTS_DDL)
-        out = online.segment_stream(points, EPS, fx.SI["pts_ev"], chunk_ticks=CHUNK, maximum_latency=latency)
-        ingest.run(ingest.append_batches(out, path, work_dir(spark, "checkpoint"),
-                                    state_partitions=cores(spark)))
-    path = fx.once(spark, (sf_dir, "stream_segments", latency), "stream-segments", build)
+        points, checkpoint = ingest.read_stream(spark, regular(spark, sf_dir), POINTS_DDL), work_dir(spark, "checkpoint")
+
+        def write(d):
+            out = online.segment_stream(d, EPS, fx.SI["pts_ev"], chunk_ticks=CHUNK, maximum_latency=latency)
+            return ingest.append_batches(out, path, checkpoint, state_partitions=cores(spark))
+        if ended:
+            to_the_end(spark, points, write)
+        else:
+            ingest.run(write(points))
+    path = fx.once(spark, (sf_dir, "stream_segments", latency, ended), "stream-segments", build)
     return spark.read.parquet(path)
 
 
@@ -74,28 +87,36 @@ INVARIANTS = """SELECT tid, count(*) n_points, CAST(0 AS BIGINT) n_missing, CAST
 
 @add("stream_compress", sql("pts_ev", body=INVARIANTS))
 def stream_compress(spark, sf_dir):
-    """Finalized segments, completed at the end of the stream by the points no segment covers."""
+    """Finalized segments of a stream that has ended: every point is in one that the stream emitted."""
+    points = spark.read.schema(POINTS_DDL).parquet(regular(spark, sf_dir))
+    finals = segmented(spark, sf_dir, 0, True).where("is_final").drop("is_final", "batch")
+    return quality.alignment_counts(quality.align(points, view.points(finals)), EPS)
+
+
+def passed(spark, sf_dir):
+    """Hourly points whose tick the watermark of a stream without end mark has passed, which is the newest time."""
     points = spark.read.schema(POINTS_DDL).parquet(regular(spark, sf_dir))
-    finals = segmented(spark, sf_dir, 0).where("is_final").drop("is_final", "batch")
-    rest = online.finish(points, finals, eps=EPS, si_ms=fx.SI["pts_ev"], chunk_ticks=CHUNK)
-    return quality.alignment_counts(quality.align(points, view.points(finals.unionByName(rest))), EPS)
+    newest = points.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("__newest"))
+    return points.join(newest, points.ts <= F.col("__newest")).drop("__newest")
+
 
+PASSED = "SELECT * FROM pts_ev WHERE ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM pts_ev)"
 
-@add("stream_latency", sql("pts_ev", body="SELECT tid, CAST(0 AS BIGINT) n_extra, CAST(0 AS BIGINT) n_violations FROM pts_ev GROUP BY tid"))
+
+@add("stream_latency", sql("pts_ev", body="SELECT tid, CAST(0 AS BIGINT) n_extra, CAST(0 AS BIGINT) n_violations, true AS some FROM pts_ev GROUP BY tid"))
 def stream_latency(spark, sf_dir):
-    """Provisional segments show only points there are, within the bound."""
+    """Provisional segments show points of every series, only points there are, within the bound."""
     points = spark.read.schema(POINTS_DDL).parquet(regular(spark, sf_dir))
-    temporary = segmented(spark, sf_dir, 1).where("NOT is_final").drop("is_final", "batch")
-    return quality.alignment_counts(quality.align(points, view.points(temporary)), EPS).select("tid", "n_extra", "n_violations")
+    temporary = segmented(spark, sf_dir, 1, False).where("NOT is_final").drop("is_final", "batch")
+    counts = quality.alignment_counts(quality.align(points, view.points(temporary)), EPS)
+    return counts.select("tid", "n_extra", "n_violations", (F.col("n_missing") < F.col("n_points")).alias("some"))
 
 
-@add("online_view", sql("pts_ev", body=INVARIANTS))
+@add("online_view", sql("pts_ev", passed=PASSED, body=INVARIANTS.replace("FROM pts_ev", "FROM passed")))
 def online_view(spark, sf_dir):
-    """Finalized and provisional segments, and those of ticks that the watermark has not passed, show every tick once."""
-    segments = online.online_view(segmented(spark, sf_dir, 1))
-    points = spark.read.schema(POINTS_DDL).parquet(regular(spark, sf_dir))
-    last = online.finish(points, segments, eps=EPS, si_ms=fx.SI["pts_ev"], chunk_ticks=CHUNK)
-    return quality.alignment_counts(quality.align(points, view.points(segments).unionByName(view.points(last))), EPS)
+    """Finalized and provisional segments of a running stream show every tick that its watermark has passed, once."""
+    shown = view.points(online.online_view(segmented(spark, sf_dir, 1, False)))
+    return quality.alignment_counts(quality.align(passed(spark, sf_dir), shown), EPS)
 
 
 @add("stream_late_drop", """SELECT event_type, count(*) n, round(sum(value), 4) total FROM events GROUP BY 1""")

@@ -1,6 +1,7 @@
 """Streams of readings: regular ticks by watermark, duplicates, sinks."""
 
 from contextlib import contextmanager
+from datetime import datetime
 from threading import Event
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,17 +21,50 @@ def read_stream(spark: SparkSession, path: str, schema, file_format: str = "parq
     return reader.load(path)
 
 
+MARK = "is_end"
+FOR_GOOD = datetime(9999, 12, 31)
+
+
+def with_end_marks(stream: DataFrame, path: str) -> DataFrame:
+    """The stream together with the end marks that `end_stream` puts into the folder `path`.
+
+    A mark is a row with a time and nothing else. It moves the watermark like any row, so all that waits for later rows is
+    emitted by the stream itself; `watermarked` takes it out of the data again.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], "ts timestamp").write.mode("append").parquet(path)  # a file stream needs its folder
+    marks = spark.readStream.schema("ts timestamp").parquet(path).withColumn(MARK, F.lit(True))
+    return stream.withColumn(MARK, F.lit(False)).unionByName(marks, allowMissingColumns=True)
+
+
+def end_stream(spark: SparkSession, path: str, at: datetime = FOR_GOOD) -> None:
+    """Ends a stream `with_end_marks` of that folder at a time: its next run emits all before `at` less its delay, older rows are late from then on.
+
+    Put the mark down once a run has read the last rows: within one micro-batch nothing is late, across them it is.
+    """
+    spark.range(1).select(F.lit(at).cast("timestamp").alias("ts")).write.mode("append").parquet(path)
+
+
+def watermarked(events: DataFrame, delay: str) -> DataFrame:
+    """Events with a watermark on `ts`, without the end marks that moved it."""
+    d = events.withWatermark("ts", delay)
+    if MARK not in events.columns:
+        return d
+    # names the time, so that Spark does not move the filter below the watermark, where marks would go unseen
+    return d.where(~F.col(MARK) | F.col("ts").isNull()).drop(MARK)
+
+
 def regularize_stream(events: DataFrame, key: str, si: str, delay: str, how: str = "max") -> DataFrame:
     """One value per (key, tick); a tick is emitted once the watermark has passed its end."""
     aggregates = {"max": F.max("value"), "mean": F.avg("value"), "sum": F.sum("value"), "count": F.count("value")}
-    return (events.withWatermark("ts", delay).groupBy(F.window("ts", si), key)
+    return (watermarked(events, delay).groupBy(F.window("ts", si), key)
             .agg(aggregates[how].cast("float").alias("value"))
             .select(key, F.col("window.start").alias("ts"), "value"))
 
 
 def drop_late_and_duplicates(events: DataFrame, keys: list[str], delay: str) -> DataFrame:
     """First row per key within the watermark; rows behind the watermark are dropped."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+    return watermarked(events, delay).dropDuplicatesWithinWatermark(keys)
 
 
 @contextmanager

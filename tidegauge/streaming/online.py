@@ -13,7 +13,7 @@ from tidegauge.functions.models import Fit, segment_run
 from tidegauge.operators.compress import (CHUNK_TICKS, LENGTH_BOUND, check_options, chunk_ms, chunk_of,
                                           compress, default_models, runs, segment_table, tick_matrix, with_group)
 from tidegauge.operators.view import clip, with_offsets
-from tidegauge.streaming.ingest import STATE_STORE
+from tidegauge.streaming.ingest import STATE_STORE, watermarked
 
 OUTPUT = T.StructType([*schema.SEGMENT_GROUPS.fields, T.StructField("is_final", T.BooleanType())])
 _STATE = T.StructType([
@@ -110,7 +110,7 @@ def segment_stream(points: DataFrame, eps: float = 0.0, si_ms: int | None = None
     check_options([eps], length_bound, chunk_ticks, maximum_latency=maximum_latency)
     spark = points.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    d = with_group(points.withWatermark("ts", delay), series, si_ms)
+    d = with_group(watermarked(points, delay), series, si_ms)
     chunk = chunk_of(F.col("ts"), F.col("si_ms"), F.col("group_size"), chunk_ticks)
     width = chunk_ms(F.col("si_ms"), F.col("group_size"), chunk_ticks)
     keyed = d.select("gid", "part", chunk.alias("chunk"), "ts", F.unix_millis("ts").alias("ms"), "tid",
