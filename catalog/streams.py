@@ -6,7 +6,8 @@ from catalog import fixtures as fx
 from catalog.fixtures import Catalog, sql
 from tidegauge.operators import quality, view
 from tidegauge.session import prepare, work_dir
-from tidegauge.streaming import ingest, online
+from tidegauge.sources import readings
+from tidegauge.streaming import ingest, numbering, online, rejects
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -96,8 +97,8 @@ def stream_compress(spark, sf_dir):
 def passed(spark, sf_dir):
     """Hourly points whose tick the watermark of a stream without end mark has passed, which is the newest time."""
     points = spark.read.schema(POINTS_DDL).parquet(regular(spark, sf_dir))
-    newest = points.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("__newest"))
-    return points.join(newest, points.ts <= F.col("__newest")).drop("__newest")
+    newest = points.agg(F.max("ts")).scalar()
+    return points.where(F.col("ts") <= newest - F.expr("INTERVAL 1 HOUR"))
 
 
 PASSED = "SELECT * FROM pts_ev WHERE ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM pts_ev)"
@@ -140,3 +141,36 @@ def stream_late_drop(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@add("stream_rejects", """WITH edges AS (SELECT min(ts) oldest, max(ts) newest FROM events),
+first_ones AS (SELECT event_type, ts, value, row_number() OVER (PARTITION BY event_type, epoch_ms(ts) ORDER BY value, ts) n FROM events)
+SELECT event_type, ts, value, 'repeated' reason FROM first_ones WHERE n > 1
+UNION ALL SELECT event_type, ts, value, 'repeated' FROM events, edges WHERE ts > newest - INTERVAL 1 HOUR
+UNION ALL SELECT event_type, ts, CAST(NULL AS DOUBLE), 'no number' FROM events, edges WHERE ts > newest - INTERVAL 1 HOUR
+UNION ALL SELECT event_type, ts, value, 'late' FROM events, edges WHERE ts < oldest + INTERVAL 1 DAY""")
+def stream_rejects(spark, sf_dir):
+    """Of a second delivery, the last hour again, the same without numbers and the first day, every row comes out with its reason."""
+    inbox, path, checkpoint = (work_dir(spark, d) for d in ("inbox", "sorted", "checkpoint"))
+    ev = fx.events(spark, sf_dir).select("event_type", "ts", "value")
+    newest, oldest = ev.agg(F.max("ts")).scalar(), ev.agg(F.min("ts")).scalar()
+    again = ev.where(F.col("ts") > newest - F.expr("INTERVAL 1 HOUR"))
+    late = ev.where(F.col("ts") < oldest + F.expr("INTERVAL 1 DAY"))
+    for rows in (ev, again.unionByName(again.withColumn("value", F.lit(None).cast("double"))).unionByName(late)):
+        rows.write.mode("append").parquet(inbox)
+        d = rejects.sort_stream(ingest.read_stream(spark, inbox, ev.schema), DELAY, "event_type")
+        ingest.run(ingest.append_to(d, path, checkpoint, state_partitions=cores(spark)))
+    out = spark.read.schema("event_type string, ts timestamp, value double, reason string").parquet(path)
+    return out.where("reason IS NOT NULL")
+
+
+@add("stream_text_readings", sql("pts_ev", waves="SELECT tid, dense_rank() OVER (ORDER BY tid % 2 DESC, tid) n FROM pts_ev GROUP BY tid",
+                                 body="SELECT CAST(n AS INT) tid, ts, CAST(value AS DOUBLE) AS value FROM pts_ev JOIN waves USING (tid)"))
+def stream_text_readings(spark, sf_dir):
+    """Text files of two deliveries; series of the second one are numbered on from those of the first."""
+    inbox, points, sources, checkpoint = (work_dir(spark, d) for d in ("texts", "text-points", "sources", "checkpoint"))
+    named = fx.points(spark, sf_dir, "pts_ev").join(fx.series_ev(spark, sf_dir).select("tid", "source"), "tid")
+    for odd in (1, 0):
+        wave = named.where(F.col("tid") % 2 == odd)
+        wave.select("source", F.unix_millis("ts").alias("ms"), "value").write.mode("append").partitionBy("source").csv(inbox, compression="gzip")
+        d = readings.read_csv(spark, inbox, date_format="java", stream=True)
+        ingest.run(numbering.append_numbered(d, points, sources, checkpoint))
+    return spark.read.schema("tid int, ts timestamp, value float").parquet(points).select("tid", "ts", F.col("value").cast("double").alias("value"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tidegauge import schema
 from tidegauge.operators import quality, view
 from tidegauge.operators.compress import compress
-from tidegauge.streaming import ingest, online
+from tidegauge.sources import readings
+from tidegauge.streaming import ingest, numbering, online, rejects
 
 POINTS = "tid int, ts timestamp, value float"
 COLUMNS = [f.name for f in schema.SEGMENT_GROUPS.fields]
@@ -109,3 +110,101 @@ def test_windows_open_at_the_end(spark, points, tmp_path):
     rest = ingest.open_windows(events, seen, "key", "7 minutes")
     want = events.groupBy("key", F.window("ts", "7 minutes").start.alias("ts")).agg(F.max("value").cast("float").alias("value"))
     assert rest.count() > 0 and sorted(map(tuple, seen.union(rest).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_an_end_mark_closes_every_chunk(spark, points, tmp_path, grouped):
+    series = spark.createDataFrame([(1, 5), (2, 5), (3, 6)], "tid int, gid int").withColumn("si_ms", F.lit(60_000).cast("long"))
+    options = dict(eps=2.0, chunk_ticks=64) | (dict(series=series) if grouped else dict(si_ms=60_000))
+    inbox, marks = str(tmp_path / "in"), str(tmp_path / "marks")
+
+    def run():
+        stream = ingest.with_end_marks(ingest.read_stream(spark, inbox, POINTS), marks)
+        ingest.run(ingest.append_batches(online.segment_stream(stream, **options), str(tmp_path / "out"), str(tmp_path / "check"), state_partitions=2))
+        return spark.read.parquet(str(tmp_path / "out")).where("is_final").select(*COLUMNS)
+    half = F.col("ts") < datetime(2024, 1, 1, 1, 0)
+    points.where(half).write.parquet(inbox)
+    run()
+    points.where(~half).write.mode("append").parquet(inbox)
+    before = run().count()
+    ingest.end_stream(spark, marks)
+    ended = run()
+    assert before < ended.count() and as_rows(ended) == as_rows(compress(points, **options))
+
+
+def test_an_end_mark_within_time_leaves_later_windows_open(spark, points, tmp_path):
+    events = points.withColumnRenamed("tid", "key").withColumn("value", F.col("value").cast("double"))
+    inbox, marks = str(tmp_path / "in"), str(tmp_path / "marks")
+    events.write.parquet(inbox)
+
+    def run():
+        stream = ingest.with_end_marks(ingest.read_stream(spark, inbox, events.schema), marks)
+        ingest.run(ingest.append_to(ingest.regularize_stream(stream, "key", "7 minutes", "100 minutes"), str(tmp_path / "out"), str(tmp_path / "check"), state_partitions=2))
+        return spark.read.schema("key int, ts timestamp, value float").parquet(str(tmp_path / "out"))
+    want = events.groupBy("key", F.window("ts", "7 minutes").start.alias("ts")).agg(F.max("value").cast("float").alias("value"))
+    first = run().count()
+    ingest.end_stream(spark, marks, datetime(2024, 1, 1, 4, 0))  # less the delay: 02:20
+    passed = F.col("ts") + F.expr("INTERVAL 7 MINUTES") <= datetime(2024, 1, 1, 2, 20)
+    assert first < run().count() < want.count()
+    assert sorted(map(tuple, run().collect())) == sorted(map(tuple, want.where(passed).collect()))
+    ingest.end_stream(spark, marks)
+    assert sorted(map(tuple, run().collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_starting_a_stream_leaves_the_settings_of_the_session(spark, points, tmp_path):
+    keys = ["spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(k) for k in keys]
+    points.write.parquet(str(tmp_path / "in"))
+    out = online.segment_stream(ingest.read_stream(spark, str(tmp_path / "in"), POINTS), 1.0, 60_000)
+    ingest.run(ingest.append_batches(out, str(tmp_path / "out"), str(tmp_path / "check"), state_partitions=3))
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_refused_readings_of_a_stream_come_out_with_reasons(spark, tmp_path):
+    def at(minute, micro=0):
+        return datetime(2024, 1, 1, 0, minute, 0, micro)
+    deliveries = [
+        [(1, at(10), 5.0), (1, at(10), 4.0), (1, at(10, 999), 4.5), (2, at(10), 7.0), (1, at(50), 1.0), (None, at(10), 1.0), (1, None, 1.0), (1, at(11), float("nan")), (1, at(11), None)],
+        [(1, at(10), 4.0), (1, at(45), 2.0), (2, at(50), 3.0), (1, at(50), 9.0), (1, at(39), 8.0)],
+        [(1, at(45), 2.0), (1, at(46), 2.5)]]
+    ddl = "tid int, ts timestamp, value double"
+    for rows in deliveries:
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        d = rejects.sort_stream(ingest.read_stream(spark, str(tmp_path / "in"), ddl), "10 minutes")
+        ingest.run(ingest.append_to(d, str(tmp_path / "out"), str(tmp_path / "check"), state_partitions=2))
+    out = spark.read.schema(ddl + ", reason string").parquet(str(tmp_path / "out"))
+    def plain(rows):
+        return sorted((tuple(str(v) for v in r) for r in rows))
+    assert plain(out.select("tid", "ts", "value").collect()) == plain(r for d in deliveries for r in d)  # input = kept + refused
+    assert plain(out.where("reason IS NULL").select("tid", "ts", "value").collect()) == plain(
+        [(1, at(10), 4.0), (2, at(10), 7.0), (1, at(50), 1.0), (1, at(45), 2.0), (2, at(50), 3.0), (1, at(46), 2.5)])
+    reasons = {r.reason: r.n for r in out.where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert reasons == {"no number": 4, "repeated": 4, "late": 2}
+
+
+def test_sources_of_a_stream_are_numbered_on(spark, tmp_path):
+    def deliver(named, use=None):
+        for name, rows in named.items():
+            folder = tmp_path / "in" / f"source={name}"
+            folder.mkdir(parents=True, exist_ok=True)
+            (folder / f"{len(list(folder.iterdir()))}.csv").write_text("".join(f"{t},{v}\n" for t, v in rows))
+        d = readings.read_csv(spark, str(tmp_path / "in"), stream=True)
+        ingest.run(numbering.append_numbered(d, str(tmp_path / "points"), str(tmp_path / "ids"), str(tmp_path / "check"), use=use))
+
+    def ids():
+        return {r.source: r.tid for r in numbering.known_sources(spark, str(tmp_path / "ids")).collect()}
+    (tmp_path / "in").mkdir()
+    deliver({"m": [(60, 1.5)], "c": [(60, 2.5)]})
+    assert ids() == {"c": 1, "m": 2}
+
+    def lost(points, batch_id):
+        raise OSError("the executors are gone")
+    with pytest.raises(Exception, match="executors are gone"):
+        deliver({"a": [(60, 3.5)], "m": [(120, 4.5)]}, use=lost)
+    numbered = ids()
+    deliver({})  # the same batch again
+    assert ids() == numbered == {"c": 1, "m": 2, "a": 3}
+    got = spark.read.schema("tid int, ts timestamp, value float").parquet(str(tmp_path / "points"))
+    assert sorted((r.tid, r.ts.minute, r.value) for r in got.collect()) == [(1, 1, 2.5), (2, 1, 1.5), (2, 2, 4.5), (3, 1, 3.5)]
+    with pytest.raises(ValueError):
+        readings.read_csv(spark, "x", files_per_batch=1)

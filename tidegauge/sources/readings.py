@@ -49,12 +49,16 @@ def parse_number(text: Column, locale: str = "en") -> Column:
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], n_columns: int = 2, time_column: int = 0, value_column: int = 1,
              separator: str = ",", header: bool = False, date_format: str = "unix", time_zone: str = "UTC",
-             locale: str = "en", glob: str | None = None) -> DataFrame:
-    """(source, path, ts, value) from text files, gzipped or not; a malformed row raises."""
+             locale: str = "en", glob: str | None = None, stream: bool = False, files_per_batch: int | None = None) -> DataFrame:
+    """(source, path, ts, value) from text files, gzipped or not; a malformed row raises. `stream` reads files as they arrive in one folder."""
     fields = ", ".join(f"c{i} string" for i in range(n_columns))
-    reader = spark.read.schema(fields).option("sep", separator).option("header", header).option("mode", "FAILFAST")
+    if files_per_batch and not stream:
+        raise ValueError("files_per_batch is for streams")
+    reader = (spark.readStream if stream else spark.read).schema(fields).option("sep", separator).option("header", header).option("mode", "FAILFAST")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     raw = reader.csv(paths)
     ts = parse_time(F.col(f"c{time_column}"), date_format, time_zone)
     return raw.select(*_source(raw), ts.alias("ts"), parse_number(F.col(f"c{value_column}"), locale).alias("value"))

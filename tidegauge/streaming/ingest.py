@@ -1,5 +1,6 @@
 """Streams of readings: regular ticks by watermark, duplicates, sinks."""
 
+from collections.abc import Callable
 from contextlib import contextmanager
 from datetime import datetime
 from threading import Event
@@ -68,15 +69,19 @@ def drop_late_and_duplicates(events: DataFrame, keys: list[str], delay: str) ->
 
 
 @contextmanager
-def _state_partitions(spark: SparkSession, n: int | None):
-    """A stateful query keeps the number of partitions it first starts with."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, before if n is None else str(n))
+def _settings(spark: SparkSession, state_partitions: int | None):
+    """A stateful query keeps the number of partitions and the state store that it first starts with; the session's stay as they were."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    if state_partitions is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(state_partitions)
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def append_to(df: DataFrame, path: str, checkpoint: str, file_format: str = "parquet",
@@ -88,7 +93,7 @@ def append_to(df: DataFrame, path: str, checkpoint: str, file_format: str = "par
         writer = writer.partitionBy(*partition_by)
     if once:
         writer = writer.trigger(availableNow=True)
-    with _state_partitions(df.sparkSession, state_partitions):
+    with _settings(df.sparkSession, state_partitions):
         return writer.start(path)
 
 
@@ -141,15 +146,23 @@ def open_windows(events: DataFrame, emitted: DataFrame, key: str, si: str, how:
     return every.join(emitted.select(key, "ts"), [key, "ts"], "left_anti")
 
 
-def append_batches(df: DataFrame, path: str, checkpoint: str, once: bool = True,
-                   state_partitions: int | None = None) -> StreamingQuery:
-    """Online mode: every micro-batch overwrites its own `batch` partition, so a retry changes nothing."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """A micro-batch overwrites its own `batch` partition, so a retry changes nothing."""
+    (batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
 
+
+def start_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True,
+                  state_partitions: int | None = None) -> StreamingQuery:
+    """Hands every micro-batch and its number to `write`, at least once each."""
     writer = df.writeStream.option("checkpointLocation", checkpoint).outputMode("append").foreachBatch(write)
     if once:
         writer = writer.trigger(availableNow=True)
-    with _state_partitions(df.sparkSession, state_partitions):
+    with _settings(df.sparkSession, state_partitions):
         return writer.start()
+
+
+def append_batches(df: DataFrame, path: str, checkpoint: str, once: bool = True,
+                   state_partitions: int | None = None) -> StreamingQuery:
+    """Online mode: every micro-batch is a partition of its own."""
+    return start_batches(df, lambda batch, batch_id: write_batch(batch, batch_id, path), checkpoint, once, state_partitions)

@@ -13,7 +13,7 @@ from tidegauge.functions.models import Fit, segment_run
 from tidegauge.operators.compress import (CHUNK_TICKS, LENGTH_BOUND, check_options, chunk_ms, chunk_of,
                                           compress, default_models, runs, segment_table, tick_matrix, with_group)
 from tidegauge.operators.view import clip, with_offsets
-from tidegauge.streaming.ingest import STATE_STORE, watermarked
+from tidegauge.streaming.ingest import watermarked
 
 OUTPUT = T.StructType([*schema.SEGMENT_GROUPS.fields, T.StructField("is_final", T.BooleanType())])
 _STATE = T.StructType([
@@ -106,10 +106,9 @@ def segment_stream(points: DataFrame, eps: float = 0.0, si_ms: int | None = None
                    chunk_ticks: int = CHUNK_TICKS, maximum_latency: int = 0) -> DataFrame:
     """Segments of a stream of regular points; provisional ones (is_final = false) every
     `maximum_latency` ticks that no segment covers yet. State is keyed by (group, chunk) and leaves
-    with the chunk, so it stays bounded for any number of ticks."""
+    with the chunk, so it stays bounded for any number of ticks. Start it with `ingest.append_batches` or
+    `ingest.start_batches`, which choose the state store that it needs."""
     check_options([eps], length_bound, chunk_ticks, maximum_latency=maximum_latency)
-    spark = points.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     d = with_group(watermarked(points, delay), series, si_ms)
     chunk = chunk_of(F.col("ts"), F.col("si_ms"), F.col("group_size"), chunk_ticks)
     width = chunk_ms(F.col("si_ms"), F.col("group_size"), chunk_ticks)
