@@ -8,7 +8,7 @@ from tidegauge import schema
 from tidegauge.functions.calendar import UNITS
 from tidegauge.functions.models import Constant, Linear, Xor
 from tidegauge.operators import aggregate, quality, view
-from tidegauge.operators.compress import CHUNK_TICKS, compress, compress_groups, correlated_subgroups
+from tidegauge.operators.compress import CHUNK_TICKS, compress, compress_groups, lasting_subgroups, rejoined_subgroups
 from tidegauge.session import work_dir
 from tidegauge.sources import store as stores
 
@@ -161,15 +161,33 @@ LEADERS = """SELECT region_gid, 0 step, CAST(NULL AS INT) leader, CAST([] AS INT
  FROM l r JOIN apart b USING (region_gid) WHERE len(r.remaining) > 0)"""
 
 
-@add("correlated_subgroups", sql("pts_ship", "series_ship", recursive=True,
-     ship="SELECT p.*, region_gid FROM pts_ship p JOIN series_ship USING (tid)",
-     apart="""SELECT region_gid, list(DISTINCT far) FILTER (WHERE far IS NOT NULL) || [CAST(-1 AS INT)] far FROM (
+def leaders(ship):
+    """Tables of SQL: the members that are apart at a tick of `ship`, then the leaders of its groups."""
+    return {"ship": ship, "apart": """SELECT region_gid, list(DISTINCT far) FILTER (WHERE far IS NOT NULL) || [CAST(-1 AS INT)] far FROM (
  SELECT a.region_gid, CASE WHEN abs((CAST(b.value AS DOUBLE) - a.value) / b.value) * 100 > 20 THEN a.tid * 1000 + b.tid END far
- FROM ship a JOIN ship b ON a.region_gid = b.region_gid AND a.ts = b.ts) GROUP BY 1""",
-     l=LEADERS, body="SELECT region_gid gid, unnest(got) tid, leader FROM l WHERE step > 0"))
+ FROM ship a JOIN ship b ON a.region_gid = b.region_gid AND a.ts = b.ts) GROUP BY 1""", "l": LEADERS}
+
+
+@add("correlated_subgroups", sql("pts_ship", "series_ship", recursive=True,
+     **leaders("SELECT p.*, region_gid FROM pts_ship p JOIN series_ship USING (tid)"),
+     body="""SELECT region_gid gid, unnest(got) tid, leader FROM l WHERE step > 0"""))
 def subgroups(spark, sf_dir):
-    d = correlated_subgroups(fx.points(spark, sf_dir, "pts_ship"), grouped(spark, sf_dir), 10.0, chunk_ticks=500_000)
-    return d.select("gid", "tid", "leader")
+    """Sub-groups over the whole time, from what the chunks tell about each pair."""
+    return lasting_subgroups(fx.points(spark, sf_dir, "pts_ship"), grouped(spark, sf_dir), 10.0).select("gid", "tid", "leader")
+
+
+PER_CHUNK = 320  # points: 64 days of the five members of a region
+
+
+@add("rejoined_subgroups", sql("pts_ship", "series_ship", recursive=True,
+     **leaders("""SELECT p.tid, p.ts, p.value, CAST(region_gid * 100000 + epoch_ms(ts) // 5529600000 AS INT) region_gid
+ FROM pts_ship p JOIN series_ship USING (tid)"""),
+     follows="SELECT CAST(region_gid // 100000 AS INT) gid, CAST(region_gid % 100000 AS BIGINT) chunk, unnest(got) tid, leader FROM l WHERE step > 0",
+     islands="SELECT *, chunk - row_number() OVER (PARTITION BY gid, tid, leader ORDER BY chunk) island FROM follows",
+     body="""SELECT gid, tid, leader, min(chunk) first_chunk, max(chunk) last_chunk, count(*) n_chunks FROM islands GROUP BY gid, tid, leader, island"""))
+def rejoined(spark, sf_dir):
+    """When members follow which leader, chunk by chunk."""
+    return rejoined_subgroups(fx.points(spark, sf_dir, "pts_ship"), grouped(spark, sf_dir), 10.0, PER_CHUNK)
 
 
 @add("explode_groups", sql("pts_ship", body="SELECT tid, count(*) n_points, true placed FROM pts_ship GROUP BY tid"))

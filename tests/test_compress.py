@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge import schema
-from tidegauge.functions.models import Constant, Fit, Linear, Xor
+from tidegauge.functions.models import Constant, Fit, Linear, Xor, correlated_members
 from tidegauge.operators import aggregate, quality, view
-from tidegauge.operators.compress import compress, compress_groups
+from tidegauge.operators.compress import compress, compress_groups, lasting_subgroups, rejoined_subgroups
 
 START = datetime(2024, 2, 28, 23, 50)
 
@@ -156,3 +156,51 @@ def test_derived_members_share_the_segments_of_their_source(spark, points):
     d = view.derived_members(m, derived)
     assert {r.tid for r in d.select("tid").distinct().collect()} == {501, 502}
     assert d.agg(F.sum("n_ticks")).first()[0] == 2 * points.where("tid = 1").count()
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """80 members around six levels, some of which leave theirs for a while; members 1 and 40 have no points."""
+    rng = np.random.default_rng(8)
+    level = rng.integers(0, 6, 81)
+    v = 100.0 * 1.5 ** level[None, :] * (1 + rng.uniform(-0.02, 0.02, (300, 81)))
+    v[100:140, 5::9] *= 1.8
+    v[rng.random(v.shape) < 0.05] = np.nan
+    v[:, [0, 1, 40]] = np.nan
+    rows = [(tid, i, float(v[i, tid])) for i in range(300) for tid in range(81) if not np.isnan(v[i, tid])]
+    points = spark.createDataFrame(rows, "tid int, i long, v double").select(
+        "tid", F.timestamp_millis(F.col("i") * 1000).alias("ts"), F.col("v").cast("float").alias("value")).repartition(4).cache()
+    series = spark.createDataFrame([(t, 3, 1000) for t in range(1, 81)], "tid int, gid int, si_ms long")
+    return v.astype(np.float32), points, series
+
+
+def groups_of(values, tids, eps):
+    return {int(tids[i]): int(tids[g[0]]) for g in correlated_members(values[:, tids], eps) for i in g}
+
+
+@pytest.mark.parametrize("chunk_ticks", [1, 100_000])
+def test_lasting_subgroups_do_not_depend_on_chunks(crowd, chunk_ticks):
+    v, points, series = crowd
+    present = np.flatnonzero(~np.isnan(v).all(axis=0))
+    got = {r.tid: r.leader for r in lasting_subgroups(points, series, 5.0, chunk_ticks).collect()}
+    want = groups_of(v, present, 5.0)
+    assert got == want and 6 < len(set(want.values())) < len(present)
+
+
+def test_members_leave_their_leader_and_come_back(crowd):
+    v, points, series = crowd
+    want = []
+    chunks = [groups_of(part, np.flatnonzero(~np.isnan(part).all(axis=0)), 5.0) for part in (v[at:at + 64] for at in range(0, 300, 64))]
+    for tid in range(81):
+        for c, leaders in enumerate(chunks):
+            if tid in leaders and want and want[-1][:2] == (tid, leaders[tid]) and want[-1][3] == c - 1:
+                want[-1] = (*want[-1][:3], c, want[-1][4] + 1)
+            elif tid in leaders:
+                want.append((tid, leaders[tid], c, c, 1))
+    got = [tuple(r)[1:] for r in rejoined_subgroups(points, series, 5.0, chunk_ticks=1).collect()]
+    assert sorted(got) == sorted(want) and len(want) > len({w[:2] for w in want}) > 80
+
+
+def test_subgroups_of_nothing(spark, series):
+    empty = spark.createDataFrame([], "tid int, ts timestamp, value float")
+    assert lasting_subgroups(empty, series, 1.0).count() == rejoined_subgroups(empty, series, 1.0).count() == 0

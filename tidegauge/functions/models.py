@@ -193,3 +193,15 @@ def correlated_members(values: np.ndarray, eps: float) -> list[np.ndarray]:
         groups.append(left[same])
         left = left[~same]
     return groups
+
+
+def members_apart(values: np.ndarray, eps: float) -> np.ndarray:
+    """Which member (column) is beyond twice the bound of which leader (row) at a tick that both have; leaders come before their followers."""
+    width = values.shape[1]
+    apart = np.zeros((width, width), dtype=bool)
+    present = ~np.isnan(values)
+    for lead in range(width - 1):
+        later = slice(lead + 1, width)
+        shared = present[:, lead:lead + 1] & present[:, later]
+        apart[lead, later] = (shared & ~(percentage_error(values[:, lead:lead + 1], values[:, later]) <= 2 * eps)).any(axis=0)
+    return apart

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidegauge import schema
-from tidegauge.functions.models import Constant, Linear, Xor, correlated_members, segment_run
+from tidegauge.functions.models import Constant, Linear, Xor, correlated_members, members_apart, segment_run
 from tidegauge.plans.lookup import required
-from tidegauge.plans.ordered import positions
+from tidegauge.plans.ordered import consecutive_runs, positions
 
 CHUNK_TICKS = 4096
 LENGTH_BOUND = 50
@@ -49,11 +49,17 @@ def with_group(points: DataFrame, series: DataFrame | None, si_ms: int | None) -
             raise ValueError("pass si_ms or a series table")
         return points.withColumns({"gid": F.col("tid"), "part": F.lit(0), "si_ms": F.lit(si_ms).cast("long"),
                                    "group_size": F.lit(1)})
+    return required(points, _parts(series).drop("pos"), ["tid"], "series")
+
+
+def _parts(series: DataFrame) -> DataFrame:
+    """(gid, part, tid, si_ms, pos, group_size): members in order of their ids, GROUP_WIDTH a part, `pos` within the part."""
     meta = series.select("tid", "gid", F.col("si_ms").cast("long").alias("si_ms"))
     placed = positions(meta, ["gid"], ["tid"], F.floor(F.col("tid") / 65_536))
-    parts = placed.select("tid", "gid", "si_ms", F.floor((F.col("rn") - 1) / GROUP_WIDTH).cast("int").alias("part"))
+    at = F.col("rn") - 1
+    parts = placed.select("tid", "gid", "si_ms", F.floor(at / GROUP_WIDTH).cast("int").alias("part"), (at % GROUP_WIDTH).cast("int").alias("pos"))
     sizes = parts.groupBy("gid", "part").agg(F.count(F.lit(1)).cast("int").alias("group_size"))
-    return required(points, parts.join(sizes, ["gid", "part"]), ["tid"], "series")
+    return parts.join(sizes, ["gid", "part"])
 
 
 def chunk_ms(si_ms: Column, group_size: Column, chunk_ticks: int) -> Column:
@@ -115,6 +121,65 @@ def correlated_subgroups(points: DataFrame, series: DataFrame, eps: float,
     return keyed.groupBy("gid", "part", "chunk").applyInArrow(split, "gid int, chunk long, tid int, leader int")
 
 
+def lasting_subgroups(points: DataFrame, series: DataFrame, eps: float, chunk_ticks: int = CHUNK_TICKS) -> DataFrame:
+    """(gid, part, tid, leader): members within twice the bound of their leader at every shared tick of the whole time.
+
+    The smallest member left leads, repeatedly. A chunk tells which members are apart in it, as bits of 64 members a row; Spark
+    joins the bits of all chunks, so what meets in one task is one row per 64 members, whatever the length of the series.
+    Members without points have no row. Members of different parts of a wide group are not compared.
+    """
+    parts = _parts(series)
+    keyed = required(points, parts, ["tid"], "series").select(
+        "gid", "part", chunk_of(F.col("ts"), F.col("si_ms"), F.col("group_size"), chunk_ticks).alias("chunk"),
+        F.unix_millis("ts").alias("ms"), "tid", "value", "pos")
+
+    def far(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        _, tids, values = tick_matrix(*_columns(table))
+        _, at = np.unique(table["tid"].to_numpy(), return_index=True)
+        pos = table["pos"].to_numpy()[at]
+        flags = np.zeros((len(tids), GROUP_WIDTH), dtype=bool)
+        flags[:, pos] = members_apart(values, eps)
+        words = np.packbits(flags, axis=1, bitorder="little").view("<i8")
+        kept = words != 0
+        kept[:, 0] = True  # a row for each member that has points
+        row, word = np.nonzero(kept)
+        n = len(row)
+        return pa.table({"gid": pa.repeat(pa.scalar(key[0].as_py(), pa.int32()), n), "part": pa.repeat(pa.scalar(key[1].as_py(), pa.int32()), n),
+                         "pos": pa.array(pos[row], pa.int32()), "word": pa.array(word, pa.int32()), "bits": pa.array(words[row, word], pa.int64())})
+
+    apart = (keyed.groupBy("gid", "part", "chunk").applyInArrow(far, "gid int, part int, pos int, word int, bits long")
+             .groupBy("gid", "part", "pos", "word").agg(F.bit_or("bits").alias("bits")))
+    rows = apart.join(parts.select("gid", "part", "pos", "tid"), ["gid", "part", "pos"])
+
+    def lead(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        pos, first = np.unique(table["pos"].to_numpy(), return_index=True)
+        tids = table["tid"].to_numpy()[first]
+        words = np.zeros((GROUP_WIDTH, GROUP_WIDTH // 64), dtype="<i8")
+        words[table["pos"].to_numpy(), table["word"].to_numpy()] = table["bits"].to_numpy()
+        flags = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(bool)
+        left, leader = np.arange(len(pos)), np.empty(len(pos), dtype=np.int64)
+        while len(left):
+            same = ~flags[pos[left[0]], pos[left]]
+            same[0] = True
+            leader[left[same]] = tids[left[0]]
+            left = left[~same]
+        n = len(pos)
+        return pa.table({"gid": pa.repeat(pa.scalar(key[0].as_py(), pa.int32()), n), "part": pa.repeat(pa.scalar(key[1].as_py(), pa.int32()), n),
+                         "tid": pa.array(tids, pa.int32()), "leader": pa.array(leader, pa.int32())})
+
+    return rows.groupBy("gid", "part").applyInArrow(lead, "gid int, part int, tid int, leader int")
+
+
+def rejoined_subgroups(points: DataFrame, series: DataFrame, eps: float, chunk_ticks: int = CHUNK_TICKS) -> DataFrame:
+    """(gid, tid, leader, first_chunk, last_chunk, n_chunks): the time in which a member follows one leader without a break.
+
+    A member that leaves its leader and comes back later has a row for each time; a chunk without points of the member ends one.
+    """
+    d = correlated_subgroups(points, series, eps, chunk_ticks).withColumn("one", F.lit(1).cast("long"))
+    times = consecutive_runs(d, ["gid", "tid", "leader"], "chunk", "one", F.floor(F.col("chunk") / 4096))
+    return times.select("gid", "tid", "leader", F.col("first").alias("first_chunk"), F.col("last").alias("last_chunk"), F.col("n").alias("n_chunks"))
+
+
 def _columns(table: pa.Table):
     return (table[c].to_numpy() for c in ("ms", "tid", "value"))
 
