@@ -554,6 +554,25 @@ def _register_calendar():
 _register_calendar()
 
 
+def _register_group_calendar():
+    for unit in ("year", "month", "day_of_month", "minute"):
+        def query(spark, sf_dir, unit=unit):
+            return _rounded(aggregate.agg_groups(group_store(spark, sf_dir, 0.0), unit=unit), "tid", "field")
+
+        CATALOG.queries[f"groups_cal_{unit}"] = query
+        CATALOG.oracles[f"groups_cal_{unit}"] = sql("pts_ship", body=f"SELECT tid, CAST({UNIT_SQL[unit]} AS INT) field, {ALL} FROM pts_ship GROUP BY 1, 2")
+
+
+_register_group_calendar()
+
+
+@add("groups_range_s", sql("pts_ship", body=f"SELECT tid, {ALL} FROM pts_ship WHERE ts BETWEEN TIMESTAMP '1996-12-24 07:30:00' AND TIMESTAMP '1998-03-03 07:30:00' GROUP BY tid"))
+def groups_range_s(spark, sf_dir):
+    """A range of group segments: those at its ends are decoded once for all members."""
+    d = view.clip(view.with_offsets(group_store(spark, sf_dir, 0.0)), "1996-12-24 07:30:00", "1998-03-03 07:30:00")
+    return _rounded(aggregate.agg_groups(d), "tid")
+
+
 @add("sql_cal_views", sql("pts_ship", "series_ship", body=f"""SELECT a.tid, a.field, n AS "count", total AS "sum" FROM
  (SELECT tid, year(ts) field, count(*) n, round(sum({V}), 3) total FROM pts_ship GROUP BY 1, 2) a WHERE a.tid IN (SELECT tid FROM series_ship)"""))
 def sql_cal_views(spark, sf_dir):

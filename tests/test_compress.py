@@ -204,3 +204,44 @@ def test_members_leave_their_leader_and_come_back(crowd):
 def test_subgroups_of_nothing(spark, series):
     empty = spark.createDataFrame([], "tid int, ts timestamp, value float")
     assert lasting_subgroups(empty, series, 1.0).count() == rejoined_subgroups(empty, series, 1.0).count() == 0
+
+
+@pytest.mark.parametrize("eps", [0.0, 1.0])
+def test_aggregates_of_groups_decode_once_for_all_members(points, series, eps):
+    g = compress_groups(points, series, eps=eps).cache()
+    shown = view.points(g).withColumn("v", F.col("value").cast("double"))
+    lo, hi = "2024-02-28 23:51:00.5", "2024-02-29 00:03:20.7"
+    within = F.col("ts").between(F.lit(lo).cast("timestamp"), F.lit(hi).cast("timestamp"))
+    aggs = (F.count("*"), F.min("v"), F.max("v"), F.sum("v"), F.avg("v"))
+    fields = {"minute": F.minute("ts"), "day_of_month": F.dayofmonth("ts"), "second": F.second("ts"), "year": F.year("ts"), "month": F.month("ts") - 1}
+    clipped = view.clip(view.with_offsets(g), lo, hi)
+    for groups, real in ((g, shown), (clipped, shown.where(within))):
+        got = aggregate.agg_groups(groups).orderBy("tid").collect()
+        want = real.groupBy("tid").agg(*aggs).orderBy("tid").collect()
+        assert [tuple(r) for r in got] == [pytest.approx(tuple(r), rel=1e-6) for r in want] and len(got) == 4
+        for unit, field in fields.items():
+            got = aggregate.agg_groups(groups, unit=unit).orderBy("tid", "field").collect()
+            want = real.groupBy("tid", field.cast("int").alias("field")).agg(*aggs).orderBy("tid", "field").collect()
+            assert [tuple(r) for r in got] == [pytest.approx(tuple(r), rel=1e-6) for r in want]
+    by_member = aggregate.calendar_agg(view.clip(view.members(g), lo, hi), "sum", "minute", ["tid"]).orderBy("tid", "field").collect()
+    by_group = aggregate.agg_groups(clipped, aggs=["sum"], unit="minute").orderBy("tid", "field").collect()
+    assert [tuple(r) for r in by_member] == [pytest.approx(tuple(r)) for r in by_group]
+    counts = aggregate.agg_groups(g, ["gid"], ["count"], "minute")
+    assert counts.agg(F.sum("count")).first()[0] == shown.count()
+
+
+def test_pieces_of_no_groups(points, series):
+    g = compress_groups(points.where("false"), series, eps=0.0)
+    assert aggregate.agg_groups(g, unit="month").count() == 0
+    assert "payload" not in aggregate.group_pieces(g, "month").columns
+
+
+def test_wide_groups_are_decoded_in_portions(spark, monkeypatch):
+    rows = spark.range(0, 200 * 130).select((F.col("id") % 200).cast("int").alias("tid"), F.floor(F.col("id") / 200).alias("i"))
+    points = rows.select("tid", F.timestamp_millis(F.col("i") * 1000).alias("ts"), (F.xxhash64("tid", "i") % 1000).cast("float").alias("value"))
+    wide = spark.range(200).select(F.col("id").cast("int").alias("tid"), F.lit(1).alias("gid"), F.lit(1000).cast("long").alias("si_ms"))
+    monkeypatch.setattr(aggregate, "_DECODED", 5_000)
+    v = F.col("value").cast("double")
+    got = aggregate.agg_groups(compress_groups(points, wide, eps=0.0), unit="minute", aggs=("sum", "min")).collect()
+    want = points.groupBy("tid", F.minute("ts").alias("field")).agg(F.sum(v), F.min(v)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 600

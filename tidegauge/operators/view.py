@@ -13,26 +13,31 @@ from tidegauge.functions import xor
 from tidegauge.plans.lookup import required
 
 
-def decoder(models: tuple = ()):
-    """A function (mtid, payload, count) of the stored values of segments as array<float>, NULL where there is no payload."""
+def stored_values(ids: np.ndarray, blobs: list, counts: np.ndarray, models: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """All values of the payloads, one after the other, and where each begins; a missing payload has none."""
     custom = {m.mtid: m.decode for m in models if hasattr(m, "decode")}
+    known = np.array([b is not None for b in blobs], dtype=bool)
+    counts = np.where(known, counts, 0)
+    starts = np.concatenate(([0], np.cumsum(counts)))
+    flat = np.zeros(int(starts[-1]), dtype=np.float32)
+    coded = np.flatnonzero(known & (ids == schema.XOR))
+    if len(coded):
+        decoded = xor.decode_many([blobs[i] for i in coded], counts[coded])
+        slots = np.repeat(starts[coded] - np.concatenate(([0], np.cumsum(counts[coded])[:-1])), counts[coded])
+        flat[slots + np.arange(len(decoded))] = decoded
+    for i in np.flatnonzero(known & (ids != schema.XOR)):
+        read = custom.get(ids[i], lambda b, n: np.frombuffer(b, dtype="<f4", count=n))
+        flat[starts[i]:starts[i + 1]] = read(blobs[i], int(counts[i]))
+    return flat, starts
+
 
+def decoder(models: tuple = ()):
+    """A function (mtid, payload, count) of the stored values of segments as array<float>, NULL where there is no payload."""
     @arrow_udf(T.ArrayType(T.FloatType()))
     def decode(mtid: pa.Array, payload: pa.Array, count: pa.Array) -> pa.Array:
-        ids = mtid.to_numpy(zero_copy_only=False)
-        blobs, counts = payload.to_pylist(), count.to_numpy(zero_copy_only=False).astype(np.int64)
-        known = np.array([b is not None for b in blobs], dtype=bool)
-        counts = np.where(known, counts, 0)
-        starts = np.concatenate(([0], np.cumsum(counts)))
-        flat = np.zeros(int(starts[-1]), dtype=np.float32)
-        coded = np.flatnonzero(known & (ids == schema.XOR))
-        if len(coded):
-            decoded = xor.decode_many([blobs[i] for i in coded], counts[coded])
-            slots = np.repeat(starts[coded] - np.concatenate(([0], np.cumsum(counts[coded])[:-1])), counts[coded])
-            flat[slots + np.arange(len(decoded))] = decoded
-        for i in np.flatnonzero(known & (ids != schema.XOR)):
-            read = custom.get(ids[i], lambda b, n: np.frombuffer(b, dtype="<f4", count=n))
-            flat[starts[i]:starts[i + 1]] = read(blobs[i], int(counts[i]))
+        counts = count.to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, starts = stored_values(mtid.to_numpy(zero_copy_only=False), payload.to_pylist(), counts, models)
+        known = payload.is_valid().to_numpy(zero_copy_only=False)
         offsets = pa.array(starts.astype(np.int32), mask=np.concatenate((~known, [False])))
         return pa.ListArray.from_arrays(offsets, pa.array(flat))
 
