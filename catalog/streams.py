@@ -7,7 +7,7 @@ from catalog.fixtures import Catalog, sql
 from tidegauge.operators import quality, view
 from tidegauge.session import prepare, work_dir
 from tidegauge.sources import readings
-from tidegauge.streaming import ingest, numbering, online, rejects
+from tidegauge.streaming import ingest, numbering, online, rejects, sink
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -174,3 +174,15 @@ def stream_text_readings(spark, sf_dir):
         d = readings.read_csv(spark, inbox, date_format="java", stream=True)
         ingest.run(numbering.append_numbered(d, points, sources, checkpoint))
     return spark.read.schema("tid int, ts timestamp, value float").parquet(points).select("tid", "ts", F.col("value").cast("double").alias("value"))
+
+
+@add("stream_compacted", """SELECT event_type, CAST(ts AS DATE) AS day, count(*) n, round(sum(value), 4) total FROM events GROUP BY 1, 2""")
+def stream_compacted(spark, sf_dir):
+    """Online mode over many micro-batches: merged folders hold every row once."""
+    inbox, path, checkpoint = (work_dir(spark, d) for d in ("inbox", "compacted", "checkpoint"))
+    ev = fx.events(spark, sf_dir).select("event_type", "ts", "value")
+    ev.repartitionByRange(8, "ts").write.parquet(inbox)
+    stream = ingest.read_stream(spark, inbox, ev.schema, files_per_batch=1)
+    ingest.run(sink.append_compacted(stream, path, checkpoint, fan=3))
+    d = sink.read_compacted(spark, path, "event_type string, ts timestamp, value double", fan=3)
+    return d.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
