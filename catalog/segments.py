@@ -1,12 +1,13 @@
 """Compression, views over segments, and aggregates on segments."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
 from catalog.fixtures import Catalog, dbl, sql
 from tidegauge import schema
 from tidegauge.functions.calendar import UNITS
-from tidegauge.functions.models import Constant, Linear, Xor
+from tidegauge.functions.models import Constant, Fit, Linear, Xor
 from tidegauge.operators import aggregate, quality, view
 from tidegauge.operators.compress import CHUNK_TICKS, compress, compress_groups, lasting_subgroups, rejoined_subgroups
 from tidegauge.session import work_dir
@@ -53,6 +54,56 @@ def pmc_segments(spark, sf_dir):
     return g.select("gid", "start_time", "end_time", "n_ticks", F.round("b", 4).alias("model")).withColumnRenamed("gid", "tid")
 
 
+@add("pmc_sizes", sql("pts_smooth", p=TICKS, r=PMC, recursive=True, body="""SELECT tid, points, 4 * n models_size, 24 * n metadata_size,
+ CAST(0 AS BIGINT) gaps_size, 28 * n expected_size, round(points * 16 / (28 * n), 6) compression_factor FROM
+ (SELECT tid, count(*) points, count(*) FILTER (WHERE n = 1) n FROM r GROUP BY tid)"""))
+def pmc_sizes(spark, sf_dir):
+    """Sizes and factor of the segments that the SQL finds tick by tick."""
+    g = compress(fx.points(spark, sf_dir, "pts_smooth"), 5.0, si_ms=2000, models=(Constant(),), chunk_ticks=SHORT)
+    return quality.model_sizes(g, ["gid"]).withColumnRenamed("gid", "tid").withColumn("compression_factor", F.round("compression_factor", 6))
+
+
+def repeat_model():
+    """A model type as a user writes one: a run of equal values, kept as one of them."""
+    class Repeat:  # a local class travels to the executors with the tasks
+        mtid = 100
+
+        def fit(self, values, si_ms, eps):
+            other = (values != values[0, 0]).any(axis=1)
+            length = int(other.argmax()) if other.any() else len(values)
+            return Fit(length, 4.0, payload=values[:1, :1].astype("<f4").tobytes()) if length else Fit(0, float("nan"))
+
+        def decode(self, payload, count):
+            return np.full(count, np.frombuffer(payload, dtype="<f4")[0])
+
+    return Repeat()
+
+
+# the chunks of an hourly series, and its runs of equal values in them
+REPEATS = """SELECT *, sum(new) OVER (PARTITION BY tid, chunk ORDER BY ts) run FROM (SELECT *, CASE WHEN lag(value) OVER (
+ PARTITION BY tid, chunk ORDER BY ts) = value THEN 0 ELSE 1 END new FROM (SELECT *, epoch_ms(ts) // 14745600000 chunk FROM pts_cnt))"""
+
+
+@add("user_model_segments", sql("pts_cnt", runs=REPEATS, body=f"""SELECT tid, min(ts) start_time, max(ts) end_time, CAST(count(*) AS INT) n_ticks,
+ min({V}) low, sum({V}) total FROM runs GROUP BY tid, chunk, run"""))
+def user_model_segments(spark, sf_dir):
+    g = compress(fx.points(spark, sf_dir, "pts_cnt"), 0.0, si_ms=fx.SI["pts_cnt"], models=(repeat_model(),))
+    return g.select(F.col("gid").alias("tid"), "start_time", "end_time", "n_ticks", F.col("mins")[0].cast("double").alias("low"),
+                    F.col("sums")[0].alias("total"))
+
+
+@add("user_model_points", sql("pts_cnt", body=f"SELECT tid, CAST(day(ts) AS INT) field, count(*) n, sum({V}) total FROM pts_cnt WHERE ts >= TIMESTAMP '2024-01-02 05:30:00' GROUP BY 1, 2"))
+def user_model_points(spark, sf_dir):
+    """Points and clipped aggregates through the model's own decoding agree."""
+    models = (repeat_model(),)
+    g = compress(fx.points(spark, sf_dir, "pts_cnt"), 0.0, si_ms=fx.SI["pts_cnt"], models=models)
+    shown = view.points(g, ts_from="2024-01-02 05:30:00", models=models).groupBy("tid", F.dayofmonth("ts").alias("field")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("double")).alias("total"))
+    clipped = view.clip(view.with_offsets(g), "2024-01-02 05:30:00")
+    known = aggregate.agg_groups(clipped, aggs=["count", "sum"], unit="day_of_month", models=models)
+    return shown.join(known, ["tid", "field"]).where("n = count AND total = sum").select("tid", "field", "n", "total")
+
+
 SWING = """SELECT tid, chunk, i, v, i s, 1 n, v v0, CAST('infinity' AS DOUBLE) up, CAST('-infinity' AS DOUBLE) lo FROM p WHERE i = first
  UNION ALL SELECT tid, chunk, i, v, CASE WHEN fits THEN s ELSE i END, CASE WHEN fits THEN n + 1 ELSE 1 END,
  CASE WHEN fits THEN v0 ELSE v END, CASE WHEN fits THEN least(up, (x + d - v0) / dt) ELSE 'infinity' END,
