@@ -214,7 +214,7 @@ LEADERS = """SELECT region_gid, 0 step, CAST(NULL AS INT) leader, CAST([] AS INT
 
 def leaders(ship):
     """Tables of SQL: the members that are apart at a tick of `ship`, then the leaders of its groups."""
-    return {"ship": ship, "apart": """SELECT region_gid, list(DISTINCT far) FILTER (WHERE far IS NOT NULL) || [CAST(-1 AS INT)] far FROM (
+    return {"ship": ship, "apart": """SELECT region_gid, list_concat(list(DISTINCT far) FILTER (WHERE far IS NOT NULL), [CAST(-1 AS INT)]) far FROM (
  SELECT a.region_gid, CASE WHEN abs((CAST(b.value AS DOUBLE) - a.value) / b.value) * 100 > 20 THEN a.tid * 1000 + b.tid END far
  FROM ship a JOIN ship b ON a.region_gid = b.region_gid AND a.ts = b.ts) GROUP BY 1""", "l": LEADERS}
 
