@@ -92,3 +92,13 @@ def test_series_are_looked_up_by_id(spark):
     assert sorted(map(str, found.collect())) == sorted(map(str, fx.series_seq(spark, SF).collect()))
     text = plan(found.where("tid in (3, 5)").select("gid"))
     assert "In(tid, [3,5])" in text and "Exchange" not in text
+
+
+def test_points_of_small_segments_are_not_broadcast(spark):
+    from tidegauge.operators import quality
+    from tidegauge.operators.compress import compress
+    real = spark.range(6000).selectExpr("cast(1 AS int) tid", "timestamp_millis(id * 1000) ts", "cast(3 AS float) value")
+    approx = view.points(compress(real, 5.0, si_ms=1000))
+    table = quality.error_table(quality.align(real, approx))
+    assert "BroadcastHashJoin" not in plan(table) and "SortMergeJoin" in plan(table)
+    assert [tuple(r) for r in table.collect()] == [(1, 0.0, 0.0, 0, 6000, 0.0)]

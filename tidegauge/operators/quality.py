@@ -16,10 +16,14 @@ HISTOGRAM_BINS = 10
 
 
 def align(real: DataFrame, approx: DataFrame, keys: Sequence[str] = ("tid",)) -> DataFrame:
-    """(keys, ts, real, approx) of both sides; NULL = missing (no approx) or extra (no real)."""
+    """(keys, ts, real, approx) of both sides; NULL = missing (no approx) or extra (no real).
+
+    Both sides are points, so they meet by sorting. Spark takes points that are generated from segments for as few bytes as the
+    segments, and would broadcast all of them once a later filter makes this an inner join.
+    """
     r = real.select(*keys, "ts", F.col("value").alias("real"))
     a = approx.select(*keys, "ts", F.col("value").alias("approx"))
-    return r.join(a, [*keys, "ts"], "full_outer")
+    return r.join(a.hint("merge"), [*keys, "ts"], "full_outer")
 
 
 def error() -> Column:
