@@ -73,3 +73,22 @@ def test_exact_median(spark):
 def test_median_of_counts(spark):
     d = spark.createDataFrame([(1, 10, 3), (1, 20, 3), (2, 7, 1)], "k int, v int, c long")
     assert dict(median_of_counts(d, ["k"], "v", "c").collect()) == {1: 15.0, 2: 7.0}
+
+
+@pytest.mark.parametrize("how", ["mean", "last"])
+def test_downsample_deals_out_blocks_that_no_bin_crosses(spark, monkeypatch, how):
+    from tidegauge.operators import regularize
+    monkeypatch.setattr(regularize, "BUCKET_TICKS", 64)
+    rows = [(tid, 5_000 + tick * 1000, float(tick * tick % 97)) for tid, n in ((1, 1000), (2, 1), (3, 61)) for tick in range(n)]
+    points = spark.createDataFrame(rows, "tid int, ms long, value float").selectExpr("tid", "timestamp_millis(ms) ts", "value")
+    d = regularize.downsample(points, 1000, [2, 5, 7], how)
+    want = {}
+    for tid, ms, value in rows:
+        for k in (2, 5, 7):
+            want.setdefault((k, tid, 5_000 + -(-(ms - 5_000) // (k * 1000)) * k * 1000), []).append(value)
+    got = {(r.factor, r.tid, r.ms): r.value for r in d.selectExpr("factor", "tid", "unix_millis(ts) ms", "value").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(sum(v) / len(v) if how == "mean" else v[-1]) for k, v in want.items())
+    # one exchange of points to a fixed number of tasks, none of bins
+    text = d._jdf.queryExecution().executedPlan().toString()
+    assert text.count("REPARTITION_BY_NUM") == 1 and "hashpartitioning(factor" not in text

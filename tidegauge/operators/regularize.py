@@ -1,5 +1,6 @@
 """Points -> points: grids, gaps, resampling, scaling, reduced precision."""
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -117,16 +118,23 @@ def gapfree_runs(points: DataFrame, si_ms: int | None = None, series: DataFrame
 def downsample(points: DataFrame, si_ms: int, factors: Sequence[int], how: str = "mean") -> DataFrame:
     """(factor, tid, ts, value) in bins of factor * si_ms, closed and labelled on the right.
 
-    Bins are anchored at the first timestamp of the series; several factors share one scan.
+    Bins are anchored at the first timestamp of the series; several factors share one scan. A series is dealt out in blocks
+    of ticks that no bin of any factor crosses, to all shuffle partitions: a task has every bin of its blocks whole and
+    holds no more than its share of them, whatever the size of the files or of a series.
     """
     starts = points.groupBy("tid").agg(F.unix_millis(F.min("ts")).alias("start"))
-    d = points.join(starts, "tid").select(
-        "tid", "ts", "value", "start", F.explode(F.array(*[F.lit(int(k)) for k in factors])).alias("factor"))
+    unit = math.lcm(*[int(k) for k in factors])
+    block_ms = float(unit * max(1, BUCKET_TICKS // unit) * si_ms)
+    offset = F.unix_millis("ts") - F.col("start")
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = (points.join(starts, "tid").select("tid", "ts", "value", "start", F.ceil(offset / block_ms).alias("block"))
+              .repartition(tasks, "tid", "block"))
+    d = blocks.select("*", F.explode(F.array(*[F.lit(int(k)) for k in factors])).alias("factor"))
     width = F.col("factor").cast("long") * si_ms
-    label = F.col("start") + width * F.ceil((F.unix_millis("ts") - F.col("start")) / width)
+    label = F.col("start") + width * F.ceil(offset / width)
     picked = {"mean": F.avg(F.col("value").cast("double")), "last": F.max_by("value", "ts")}[how]
-    return (d.groupBy("factor", "tid", F.timestamp_millis(label).alias("ts"))
-            .agg(picked.cast("float").alias("value")))
+    return (d.groupBy("factor", "tid", "block", F.timestamp_millis(label).alias("ts"))
+            .agg(picked.cast("float").alias("value")).drop("block"))
 
 
 def downsample_rows(points: DataFrame, rows: int, bucket_ms: int = BUCKET_MS) -> DataFrame:
