@@ -82,7 +82,7 @@ def pts_seq(spark, sf_dir) -> DataFrame:
 
 
 def pts_smooth(spark, sf_dir) -> DataFrame:
-    return _sequence(spark, sf_dir, ["l_extendedprice", "l_orderkey", "l_linenumber"], F.floor("l_extendedprice"))
+    return _sequence(spark, sf_dir, ["l_extendedprice", "l_orderkey", "l_linenumber"], F.floor(F.col("l_extendedprice") / 1024))
 
 
 def series_seq(spark, sf_dir) -> DataFrame:

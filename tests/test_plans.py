@@ -1,5 +1,7 @@
 """Physical plans: what must not appear, and what must reach the scan."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,9 @@ def test_points_of_small_segments_are_not_broadcast(spark):
     table = quality.error_table(quality.align(real, approx))
     assert "BroadcastHashJoin" not in plan(table) and "SortMergeJoin" in plan(table)
     assert [tuple(r) for r in table.collect()] == [(1, 0.0, 0.0, 0, 6000, 0.0)]
+
+
+def test_points_of_a_single_series_travel_without_what_the_key_tells(spark):
+    from tidegauge.operators.compress import compress
+    text = plan(compress(fx.points(spark, SF, "pts_seq"), 0.0, si_ms=2000))
+    assert re.search(r"fit_chunk\(gid#\d+, chunk#\d+L, ms#\d+L, value#\d+\)", text)

@@ -86,18 +86,24 @@ def compress(points: DataFrame, eps: float | Iterable[float] = 0.0, si_ms: int |
     check_options(bounds, length_bound, chunk_ticks, split_fraction)
     models = models or default_models(length_bound)
     d = with_group(points, series, si_ms)
-    keyed = d.select(
-        "gid", "part", chunk_of(F.col("ts"), F.col("si_ms"), F.col("group_size"), chunk_ticks).alias("chunk"),
-        F.unix_millis("ts").alias("ms"), "tid", F.col("value").cast("float").alias("value"), "si_ms", "group_size")
+    # a series that is its own group is named by the key: only its times and values travel
+    alone = series is None
+    keys, known = (["gid", "chunk"], []) if alone else (["gid", "part", "chunk"], ["tid", "si_ms", "group_size"])
+    chunk = chunk_of(F.col("ts"), F.col("si_ms"), F.col("group_size"), chunk_ticks)
+    keyed = d.withColumns({"chunk": chunk, "ms": F.unix_millis("ts"), "value": F.col("value").cast("float")}).select(*keys, "ms", "value", *known)
     arrow_schema = to_arrow_schema(schema.SEGMENT_GROUPS)
 
     def fit_chunk(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         group = [k.as_py() for k in key]
+        if alone:
+            group.insert(1, 0)
+            for name, value in (("tid", pa.scalar(group[0], pa.int32())), ("si_ms", pa.scalar(si_ms)), ("group_size", pa.scalar(1))):
+                table = table.append_column(name, pa.repeat(value, len(table)))
         # the points travel once, whatever the number of bounds
-        return pa.concat_tables([segment_table(segment_chunk(table, bound, models, length_bound, split_fraction),
-                                               bound, group, arrow_schema) for bound in bounds])
+        found = segment_chunk(table, bounds, models, length_bound, split_fraction)
+        return segment_table(found, bounds, group, arrow_schema)
 
-    return keyed.groupBy("gid", "part", "chunk").applyInArrow(fit_chunk, schema.SEGMENT_GROUPS)
+    return keyed.groupBy(*keys).applyInArrow(fit_chunk, schema.SEGMENT_GROUPS)
 
 
 def compress_groups(points: DataFrame, series: DataFrame, **options) -> DataFrame:
@@ -214,10 +220,14 @@ def runs(ticks, values, si_ms):
         yield first, end, np.flatnonzero(present[first])
 
 
-def segment_chunk(table, eps, models, length_bound, split_fraction=0.0) -> list[tuple]:
-    """(start_ms, si_ms, mtid, Fit, tids, n_gaps, values) of every segment of one chunk."""
+def segment_chunk(table, bounds, models, length_bound, split_fraction=0.0) -> list[list[tuple]]:
+    """(start_ms, si_ms, mtid, Fit, tids, n_gaps, values) of every segment of one chunk, for each bound."""
     si_ms, group_size = table["si_ms"][0].as_py(), table["group_size"][0].as_py()
     ticks, tids, values = tick_matrix(*_columns(table))
+    return [_segment_bound(ticks, tids, values, si_ms, group_size, eps, models, length_bound, split_fraction) for eps in bounds]
+
+
+def _segment_bound(ticks, tids, values, si_ms, group_size, eps, models, length_bound, split_fraction):
     whole = _segment_members(ticks, tids, values, si_ms, group_size, eps, models, length_bound)
     if split_fraction <= 0 or len(tids) == 1:
         return whole
@@ -245,9 +255,10 @@ def _segment_members(ticks, tids, values, si_ms, group_size, eps, models, length
     return out
 
 
-def segment_table(segments, eps, group, arrow_schema) -> pa.Table:
+def segment_table(found, bounds, group, arrow_schema) -> pa.Table:
+    """The segments found for each bound as one table."""
     rows = []
-    for start, si_ms, mtid, fit, tids, gaps, values in segments:
+    for eps, (start, si_ms, mtid, fit, tids, gaps, values) in ((eps, s) for eps, segments in zip(bounds, found) for s in segments):
         stats = (None, None, None)
         if mtid not in schema.CLOSED_FORM:
             stats = (values.min(axis=0).tolist(), values.max(axis=0).tolist(),

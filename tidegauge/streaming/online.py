@@ -88,7 +88,7 @@ class Segmenter(StatefulProcessor):
             self.state.clear()
         for rows, is_final in ((final, True), (temporary, False)):
             if rows:
-                table = segment_table(rows, self.eps, [int(k) for k in key], self.arrow_schema)
+                table = segment_table([rows], [self.eps], [int(k) for k in key], self.arrow_schema)
                 yield table.to_pandas().assign(is_final=is_final)
 
     def _whole(self, buffer, si_ms):
