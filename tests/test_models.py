@@ -185,3 +185,11 @@ def test_same_segments_as_tick_by_tick(values, eps, bound, coded):
         want = tick_by_tick(v, 1000, eps, models, bound)
     got = [(at, mtid, fit.length) for at, mtid, fit in M.segment_run(v, 1000, eps, models, bound)[0]]
     assert got == want
+
+
+def test_xor_fits_of_a_prepared_run_equal_single_ones():
+    from tidegauge.functions.models import Xor
+    values = np.array([0, -0.0, 1.5, 1.5, -7, 3e38, 1e-45, 2, *np.random.default_rng(1).normal(size=120)], dtype=np.float32)[:, None]
+    model = Xor(50)
+    known = model.quick(values, 1000, 0.0)
+    assert [known(at) for at in range(len(values))] == [model.fit(values[at:], 1000, 0.0) for at in range(len(values))]

@@ -3,8 +3,8 @@
 `fit(values, si_ms, eps)` gets a float32 matrix (ticks x members) and returns a `Fit`. `eps` is a
 percentage of each real value. A user-defined model type is any object with `mtid`, `fit` and
 `decode(payload, count)`; pass it to `compress(models=...)` and to the reading functions. A model
-type may also have `quick(values, si_ms, eps)`: computed once per run, it returns the fit of a start
-tick where the shortest possible one is already known to be the longest, else None.
+type may also have `quick(values, si_ms, eps)`: computed once per run of one series, it returns the fit
+of a start tick where what is known of the run is enough for it, else None.
 """
 
 from typing import NamedTuple
@@ -138,6 +138,15 @@ class Xor:
         payload = xor.encode(values[:length].ravel())
         return Fit(length, float(len(payload)), payload=payload)
 
+    def quick(self, values, si_ms, eps):
+        bits, steps = xor.prepared(values.ravel())
+
+        def fit(at):
+            length = min(self.length_bound, len(bits) - at)
+            payload = xor.encoded(bits[at], steps[at:at + length - 1])
+            return Fit(length, float(len(payload)), payload=payload)
+        return fit
+
 
 def compression_ratio(length: int, size: float, n_gaps: int) -> np.float32:
     raw, meta, gap = schema.POINT_BYTES, schema.SEGMENT_METADATA_BYTES, schema.GAP_BYTES
