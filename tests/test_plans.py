@@ -110,3 +110,8 @@ def test_points_of_a_single_series_travel_without_what_the_key_tells(spark):
     from tidegauge.operators.compress import compress
     text = plan(compress(fx.points(spark, SF, "pts_seq"), 0.0, si_ms=2000))
     assert re.search(r"fit_chunk\(gid#\d+, chunk#\d+L, ms#\d+L, value#\d+\)", text)
+
+
+def test_segments_are_dealt_out_before_they_become_points(groups):
+    text = plan(view.points(groups))
+    assert text.index("ArrowEvalPython") < text.index("REPARTITION_BY_COL")

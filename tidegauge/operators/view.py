@@ -128,7 +128,8 @@ def points(groups: DataFrame, series: DataFrame | None = None, tids: Iterable[in
     wanted = tids if tids is None or isinstance(tids, str) else f"cast(array({', '.join(str(int(t)) for t in tids)}) AS array<int>)"
     g = groups if wanted is None else groups.where(f"arrays_overlap(tids, {wanted})")
     g = with_offsets(g).selectExpr("*", "unix_millis(start_time) - skip * si_ms AS __origin")
-    g = clip(g, ts_from, ts_to, longest_ms)
+    # a small file of segments is many points: the segments are dealt out before they are decoded
+    g = clip(g, ts_from, ts_to, longest_ms).repartition("tids", "start_time")
     stored = F.expr(f"CASE WHEN mtid NOT IN {schema.CLOSED_FORM} THEN payload END")
     g = g.withColumn("vals", values_of(F.col("mtid"), stored, F.expr("n_stored * width"), models))
     kept = list(keep)
