@@ -215,9 +215,7 @@ FILLED = """SELECT factor, tid, ts, value, last_value(approx IGNORE NULLS) OVER
 
 def filled(spark, sf_dir):
     """Every raw point next to its downsampled value, filled forward, per factor."""
-    factors = F.explode(F.array(*map(F.lit, FACTORS))).alias("factor")
-    raw = fx.points(spark, sf_dir, "pts_seq").select(factors, "tid", "ts", "value")
-    return rg.ffill_join(raw, downsampled(spark, sf_dir), ["factor", "tid"], bucket_ms=600_000)
+    return rg.ffill_join(fx.points(spark, sf_dir, "pts_seq"), downsampled(spark, sf_dir), ["factor", "tid"], bucket_ms=600_000, factors=FACTORS)
 
 
 @add("ffill_join", sql("pts_seq", down=down_sql("avg(CAST(value AS DOUBLE))"), filled=FILLED, body="""SELECT factor, tid, ts,

@@ -92,3 +92,47 @@ def test_downsample_deals_out_blocks_that_no_bin_crosses(spark, monkeypatch, how
     # one exchange of points to a fixed number of tasks, none of bins
     text = d._jdf.queryExecution().executedPlan().toString()
     assert text.count("REPARTITION_BY_NUM") == 1 and "hashpartitioning(factor" not in text
+
+
+def test_fill_forward_of_several_columns(spark):
+    rows = [(1, 0, 1.0, None), (1, 1, None, None), (1, 7, None, 5.0), (1, 30, None, None), (2, 3, None, 4.0), (2, 40, 2.0, None)]
+    d = spark.createDataFrame(rows, "k int, t long, a double, b double")
+    got = ordered.fill_forward(d, ["k"], "t", ["a", "b"], F.floor(F.col("t") / 5)).select("k", "t", "a", "b").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == [
+        (1, 0, 1.0, None), (1, 1, 1.0, None), (1, 7, 1.0, 5.0), (1, 30, 1.0, 5.0), (2, 3, None, 4.0), (2, 40, 2.0, 4.0)]
+
+
+@pytest.mark.parametrize("bucket_ms", [3_000, 40_000, 10**9])
+@pytest.mark.parametrize("factors", [None, (3, 5)])
+def test_ffill_join_is_a_left_join_filled_forward(spark, bucket_ms, factors):
+    from tidegauge.operators import regularize
+    ticks = {1: [t for t in range(120) if t % 11], 2: [4], 3: list(range(0, 60, 2))}
+    points = [(tid, t, float(t * tid)) for tid, ts in ticks.items() for t in ts] + [(1, None, 7.0), (None, 5, 7.0), (3, 10, None)]
+    # samples of times without a point, of no value, there twice, of other series, factors and times
+    samples = [(f, tid, t, None if t % 4 == 3 else float(f * t)) for f in (3, 5) for tid in (1, 2, 4) for t in range(0, 130, f)]
+    samples += [(3, 1, 12, 36.0), (3, 3, 10, -2.0), (5, 3, 58, -3.0), (5, 3, 58, -4.0), (9, 1, 1, -5.0), (None, 1, 1, -6.0), (3, 1, None, -7.0)]
+    spread = [] if factors is None else ["factor"]
+    if factors is None:
+        samples = [s for s in samples if s[0] == 3]
+    want = []
+    for f in factors or (3,):
+        for tid, t, value in [p for p in points if None not in p[:2]]:
+            at = sorted((s[2], s[3]) for s in samples if s[:2] == (f, tid) and s[2] is not None and s[2] <= t and s[2] in ticks[tid] and s[3] is not None)
+            here = [a for time, a in at if time == t] or [at[-1][1] if at else None]
+            want += [(*([f] if spread else []), tid, t, value, a) for a in here]
+    second = "timestamp_millis(t * 1000L) ts"
+    p = spark.createDataFrame(points, "tid int, t long, value float").selectExpr("tid", second, "value").repartition(3)
+    s = spark.createDataFrame(samples, "factor int, tid int, t long, value float").selectExpr(*spread, "tid", second, "value").repartition(3)
+    d = regularize.ffill_join(p, s, [*spread, "tid"], bucket_ms, factors)
+    assert d.columns == [*spread, "tid", "ts", "value", "approx"]
+    got = [(*[r[c] for c in spread], r.tid, r.t, r.value, r.approx) for r in d.withColumn("t", (F.unix_millis("ts") / 1000).cast("long")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_ffill_join_exchanges_no_row_per_factor(spark):
+    from catalog import points
+    d = points.ffill_join(spark, "/root/testdata/sf0.001")
+    assert d.count() > 0 and "hashpartitioning(factor" not in d._jdf.queryExecution().executedPlan().toString()
+    d.collect()
+    final = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Union") == 1 and "ReusedExchange" in final  # both passes read one exchange of points and samples

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.plans.lookup import required
-from tidegauge.plans.ordered import consecutive_runs, fill_forward, positions, time_bucket, with_neighbour
+from tidegauge.plans.ordered import BUCKET, consecutive_runs, fill_forward, positions, time_bucket, with_neighbour
 
 BUCKET_MS = 3_600_000  # of series with an unknown sampling interval
 BUCKET_TICKS = 65_536  # of regular series
@@ -148,10 +148,50 @@ def downsample_rows(points: DataFrame, rows: int, bucket_ms: int = BUCKET_MS) ->
 
 
 def ffill_join(points: DataFrame, sampled: DataFrame, keys: Sequence[str] = ("tid",),
-               bucket_ms: int = BUCKET_MS) -> DataFrame:
-    """Left join on (keys, ts) with gaps in the sampled value filled forward: (keys, ts, value, approx)."""
-    joined = points.join(sampled.withColumnRenamed("value", "approx"), [*keys, "ts"], "left")
-    return fill_forward(joined, keys, "ts", "approx", time_bucket("ts", bucket_ms))
+               bucket_ms: int = BUCKET_MS, factors: Sequence[int] | None = None) -> DataFrame:
+    """Left join on (keys, ts) with gaps in the sampled value filled forward: (keys, ts, value, approx).
+
+    With `factors`, points have no column `factor` yet and meet the samples of each. Points and samples are dealt out once and
+    together, by series and time bucket. There, samples meet the points of their time, every factor is filled in a column of
+    its own, and only the result has a row for each. Points without a key or a time are left out.
+    """
+    by = [k for k in keys if factors is None or k != "factor"]
+    kept = [c for c in points.columns if c not in (*by, "ts")]
+    label = [] if factors is None else ["factor"]
+    # a point's other columns go as one, which tells it from a sample: both passes of fill_forward read it and share one exchange
+    real = points.select(*by, "ts", F.struct(*kept).alias("__real"))
+    sample = sampled.select(*by, "ts", F.struct(*label, F.col("value").alias("approx")).alias("__sample"))
+    d = real.unionByName(sample, allowMissingColumns=True).withColumn(BUCKET, time_bucket("ts", bucket_ms))
+    for c in (*by, BUCKET):
+        d = d.where(F.col(c).isNotNull())
+    d = d.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, BUCKET)
+
+    columns = {"__approx": None} if factors is None else {f"__approx_{k}": int(k) for k in factors}
+
+    def own(k):
+        return F.col("__sample")["approx"] if k is None else F.when(F.col("__sample")["factor"] == k, F.col("__sample")["approx"])
+
+    here = Window.partitionBy(*by, BUCKET, "ts")
+    d = (d.withColumns({c: F.last(own(k), ignorenulls=True).over(here) for c, k in columns.items()})
+         .withColumn("__here", F.collect_list("__sample").over(here)).where("__real IS NOT NULL").drop("__sample"))
+    d = fill_forward(d, by, "ts", list(columns), F.col(BUCKET))
+
+    def row(c, k, approx=None):
+        filled = F.col(c) if approx is None else F.coalesce(approx, F.col(c))
+        return F.struct(*[F.lit(k).alias(f) for f in label], filled.alias("approx"))
+
+    def rows(c, k):
+        samples = F.col("__here") if k is None else F.filter("__here", lambda s: s["factor"] == k)
+        return F.when(F.size(samples) > 0, F.transform(samples, lambda s: row(c, k, s["approx"]))).otherwise(F.array(row(c, k)))
+
+    # a sample that is there several times makes as many rows
+    n = F.size("__here")
+    repeated = n > 1 if factors is None else (n > 1) & (n > F.size(F.array_distinct(F.col("__here")["factor"])))
+    each = F.when(repeated, F.flatten(F.array(*[rows(c, k) for c, k in columns.items()]))).otherwise(
+        F.array(*[row(c, k) for c, k in columns.items()]))
+    # outer, though there is always a row: a plain explode computes the array twice, to see whether it is empty
+    d = d.withColumn("__rows", each).select(*by, "ts", "__real", F.explode_outer("__rows").alias("__row"))
+    return d.select(*by, "ts", "__real.*", "__row.*").select(*keys, "ts", *kept, "approx")
 
 
 def scale(points: DataFrame, series: DataFrame) -> DataFrame:
