@@ -57,3 +57,10 @@ def test_scaling_inverts(spark):
     p = spark.createDataFrame([(1, datetime(2024, 1, 1), 8.0)], "tid int, ts timestamp, value float")
     s = spark.createDataFrame([(1, 4.0)], "tid int, scaling float")
     assert regularize.scale(p, s).first().value == 32.0 and regularize.unscale(regularize.scale(p, s), s).first().value == 8.0
+
+
+def test_mape_agg_exchanges_no_row_per_factor(spark):
+    from catalog import quality as queries
+    d = queries.mape_agg(spark, "/root/testdata/sf0.001")
+    # partial sums only
+    assert d._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(factor") == 1
